@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_ids(df: DataFrame, ids: DataFrame, col: str, most: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is in ``ids``; the ids are broadcast only if they are counted to be few."""
+    from pyspark.sql import functions as F
+
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids, col, "left_semi")
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Path of a public vocabulary file; ``folder`` overrides the installed place."""
     if folder:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int32).max
 #: A worker forgets its words after so many distinct ones, and takes so many characters at a time.
-MAX_WORDS = 250_000
-BLOCK_CHARS = 2_000_000
+MAX_WORDS = 150_000
+BLOCK_CHARS = 500_000
 
 
 #: Slots of the pair table.
@@ -315,6 +315,18 @@ def _blocks(column: pa.Array) -> Iterator[list[str | None]]:
         yield block
 
 
+def _rows(model: str, texts: pa.Array, eos: bool, decoded: bool) -> Iterator[list[pa.Array]]:
+    """For each block of texts: the ids, and the text decoded from them."""
+    m = load_model(model)
+    for block in _blocks(texts):
+        flat, ends = encode_texts(model, block, eos)
+        out: list[pa.Array] = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))]
+        if decoded:
+            at = ends.tolist()
+            out.append(pa.array([m.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()))
+        yield out
+
+
 def encode(df: DataFrame, model: str, text: str = "text", out: str = "token_ids", eos: bool = True) -> DataFrame:
     """Add ``out`` array<int>: the ids of ``text`` with the model file ``model``.
 
@@ -327,14 +339,7 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "token_ids"
     @F.arrow_udf("array<int>")
     def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            flat, offsets, base = [], [np.zeros(1, dtype=np.int64)], 0
-            for block in _blocks(column):
-                f, o = encode_texts(model, block, eos)
-                flat.append(f)
-                offsets.append(o[1:] + base)
-                base += int(o[-1])
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32), pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), values)
+            yield pa.concat_arrays([x[0] for x in _rows(model, column, eos, False)])
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -349,12 +354,26 @@ def decode(df: DataFrame, model: str, ids: str = "token_ids", out: str = "decode
     def texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = load_model(model)
         for column in columns:
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(np.nan_to_num(np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], dtype=np.float64))).astype(np.int64)
-            begin, made = 0, []
-            for end, ok in zip(ends.tolist(), column.is_valid().to_pylist(), strict=True):
-                made.append(m.decode(flat[begin:end].tolist()) if ok else None)
-                begin = end
-            yield pa.array(made, pa.string())
+            yield pa.array([None if x.as_py() is None else m.decode(x.values.to_pylist()) for x in column], pa.string())
 
     return df.withColumn(out, texts(F.col(ids)))
+
+
+def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", eos: bool = True) -> DataFrame:
+    """(id, token_ids, decoded): both directions in one pass over the texts, one worker per task.
+
+    Nulls, empty texts and repeated rows as in ``encode``; every row keeps a row
+    of its own, in blocks of a bounded number of characters. Other columns of
+    ``df`` don't take part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for columns in _rows(model, batch.column(1), eos, True):
+                n = len(columns[0])
+                yield pa.record_batch([batch.column(0).slice(at, n), *columns], names=[id_col, "token_ids", "decoded"])
+                at += n
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, token_ids array<int>, decoded string")
