@@ -69,9 +69,8 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict[str
     values = F.from_json(arguments, "map<string,string>")
     out = F.lit(False)
     for tool, fields in sorted(schemas.items()):
-        ok = values.isNotNull() & F.forall(
-            F.map_keys(values), lambda k, f=fields: k.isin([n.rstrip("?") for n in f])
-        )
+        known = F.array(*[F.lit(n.rstrip("?")) for n in sorted(fields)])
+        ok = values.isNotNull() & (F.size(F.array_except(F.map_keys(values), known)) == 0)
         for field, kind in sorted(fields.items()):
             value = values[field.rstrip("?")]
             typed = value.rlike(JSON_TYPES[kind]) if kind in JSON_TYPES else value.isNotNull()
