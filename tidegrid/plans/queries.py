@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import scalars as S
-from tidegrid.operators import clean, evaluate, grids, spectrum, stats, timeline
+from tidegrid.operators import clean, climatology, evaluate, grids, harmonics, spectrum, stats, timeline
+from tidegrid.streaming import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -851,3 +852,48 @@ def q_float16_round_trip(spark, sf_dir):
 )
 def q_color_scale(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", r6(S.smoothstep(30.0, 300.0, F.col("value"))).alias("shade"), S.ordinal(F.col("event_id") % 40 + 1).alias("nth"))
+
+
+# --- streams: the batch SQL says what the stream must come to --------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query("q_stream_tumbling", f"WITH {EV} SELECT t // 7200 * 7200 AS t, count(*) AS n, round(avg(value), 6) AS mean FROM ev GROUP BY 1")
+def q_stream_tumbling(spark, sf_dir):
+    s = frames.tumbling_means(event_stream(spark, sf_dir), "ts", "value")
+    return frames.run_to_table(s).select("t", "n", r6("mean").alias("mean"))
+
+
+@query(
+    "q_stream_sessions",
+    """WITH e AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+       s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM e)
+       SELECT event_type, epoch_us(min(ts)) // 1000000 AS start, count(*) AS n FROM s GROUP BY event_type, k""",
+)
+def q_stream_sessions(spark, sf_dir):
+    return frames.run_to_table(frames.gap_runs(event_stream(spark, sf_dir), "ts", "30 minutes", by=["event_type"]))
+
+
+@query("q_stream_dedupe", "SELECT DISTINCT event_id FROM events")
+def q_stream_dedupe(spark, sf_dir):
+    s = frames.first_of_epoch(event_stream(spark, sf_dir), "ts", ["event_id"]).select("event_id")
+    return frames.run_to_table(s, "append")
+
+
+# --- Python-backed operators without SQL twins -----------------------------------------------------------------------
+
+
+@query("q_climatology_model", None)
+def q_climatology_model(spark, sf_dir):
+    frames_ = event_rows(spark, sf_dir).select((F.floor(F.col("t") / HOUR) * HOUR).alias("t"), "value")
+    f107 = frames_.groupBy(S.epoch_date(F.col("t")).alias("day")).agg(F.max("value").alias("f107"))
+    return climatology.baseline(frames_.select("t").distinct(), f107, "t", LATS, LONS)
+
+
+@query("q_harmonic_power", None)
+def q_harmonic_power(spark, sf_dir):
+    return harmonics.grid_power(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8, 3)
