@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, col: str, most: int = 1_000_000) -> DataFrame:
+def only_ids(df: DataFrame, ids: DataFrame, col: str | list[str], most: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose ``col`` is in ``ids``; the ids are broadcast only if they are counted to be few."""
     from pyspark.sql import functions as F
 

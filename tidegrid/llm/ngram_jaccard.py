@@ -27,6 +27,10 @@ from tidegrid.llm.components import connected_components
 #: Both move only the order of grams, never the result.
 COMMON_FROM = 24
 COMMON_MOST = 500_000
+#: Grams that a task holds while it counts which of them several of its documents show.
+HELD_GRAMS = 4_000_000
+#: Hubs of each list in the first and in the second round.
+HUBS = (2, 4)
 #: Fragments of the grams after the prefix.
 FRAGMENTS = 4
 #: Words whose hash a worker remembers.
@@ -85,43 +89,71 @@ def in_order(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def gram_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str, common: np.ndarray | None = None) -> DataFrame:
-    """(id, size, set_hash, set_hash2, prefix): one row per document, in one pass over the texts.
+    """(id, size, h1, h2, prefix, rare, counts): one row per document, in one pass over the texts.
 
-    ``prefix`` holds the first grams in the global order.
+    ``prefix`` holds the first grams in the global order, of which ``rare`` are
+    not common; h1 and h2 are hashes of the whole set. Without ``common``, rows
+    of size -1 come between: grams that several documents of one task show, and
+    their ``counts``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, dtype=np.int64) if common is None else common)
+    counting = common is None
+
+    def rows(ids, size, h1, h2, prefixes, rare, counts) -> pa.RecordBatch:
+        ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
+        flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
+        return pa.record_batch(
+            [
+                ids,
+                pa.array(size, pa.int64()),
+                pa.array(h1, pa.int64()),
+                pa.array(h2, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                pa.array(rare, pa.int32()),
+                pa.array(counts, pa.list_(pa.int32())),
+            ],
+            names=["id", "size", "h1", "h2", "prefix", "rare", "counts"],
+        )
+
+    def shown(held: list[np.ndarray]) -> pa.RecordBatch:
+        g, c = np.unique(np.concatenate(held), return_counts=True)
+        return rows(pa.array([None], pa.int64()), [-1], [0], [0], [g[c > 1]], [0], [c[c > 1].astype(np.int32)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, late = GramHasher(n), shared.value
+        hasher, late, held, many = GramHasher(n), shared.value, [], 0
         for batch in batches:
-            size, h1, h2, prefixes = [], [], [], []
-            for t in batch.column(1):
-                g = hasher.grams(t.as_py())
-                size.append(len(g))
-                raw = g.tobytes()
-                d = xxhash.xxh3_128_digest(raw)
-                h1.append(int.from_bytes(d[:8], "little", signed=True))
-                h2.append(int.from_bytes(d[8:], "little", signed=True))
-                prefixes.append(in_order(g, late)[0][: prefix_size(len(g), num, den)])
-            ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
-            yield pa.record_batch(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array(size, pa.int64()),
-                    pa.array(h1, pa.int64()),
-                    pa.array(h2, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ],
-                names=["id", "size", "h1", "h2", "prefix"],
-            )
-
-    schema = "id long, size long, h1 long, h2 long, prefix array<long>"
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                size, h1, h2, prefixes, rares = [], [], [], [], []
+                for t in part.column(1):
+                    g = hasher.grams(t.as_py())
+                    size.append(len(g))
+                    d = xxhash.xxh3_128_digest(g.tobytes())
+                    h1.append(int.from_bytes(d[:8], "little", signed=True))
+                    h2.append(int.from_bytes(d[8:], "little", signed=True))
+                    k = prefix_size(len(g), num, den)
+                    g, rare = in_order(g, late)
+                    prefixes.append(g[:k].copy())
+                    rares.append(min(k, rare))
+                    if counting:
+                        held.append(g)
+                        many += len(g)
+                yield rows(part.column(0).cast(pa.int64()), size, h1, h2, prefixes, rares, [None] * len(size))
+                if many > HELD_GRAMS:
+                    yield shown(held)
+                    held, many = [], 0
+        if held:
+            yield shown(held)
+
+    schema = "id long, size long, h1 long, h2 long, prefix array<long>, rare int, counts array<int>"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def fragments(docs: DataFrame, n: int, id_col: str, text: str, common: np.ndarray) -> DataFrame:
-    """(id, fragment, grams): each set cut by the global order; fragment -1 holds common grams, the rest hash ranges."""
+def fragments(docs: DataFrame, n: int, text: str, common: np.ndarray) -> DataFrame:
+    """(node, fragment, grams): each set cut by the global order; fragment -1 holds common grams, the rest hash ranges.
+
+    ``node`` is the hash of the set.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +162,13 @@ def fragments(docs: DataFrame, n: int, id_col: str, text: str, common: np.ndarra
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part, ids, which, sets = batch.slice(lo, 512), [], [], []
-                for i, t in zip(part.column(0), part.column(1), strict=True):
-                    g, rare = in_order(hasher.grams(t.as_py()), late)
+                for t in part.column(0):
+                    whole = hasher.grams(t.as_py())
+                    node = int.from_bytes(xxhash.xxh3_128_digest(whole.tobytes())[:8], "little", signed=True)
+                    g, rare = in_order(whole, late)
                     cuts = [0, *np.searchsorted(g[:rare], edges).tolist(), rare, len(g)]
                     for k in range(FRAGMENTS + 1):
-                        ids.append(i.as_py())
+                        ids.append(node)
                         which.append(k if k < FRAGMENTS else -1)
                         sets.append(g[cuts[k] : cuts[k + 1]])
                 ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
@@ -144,12 +178,10 @@ def fragments(docs: DataFrame, n: int, id_col: str, text: str, common: np.ndarra
                         pa.array(which, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64))),
                     ],
-                    names=["id", "fragment", "grams"],
+                    names=["node", "fragment", "grams"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, fragment int, grams array<long>"
-    )
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, fragment int, grams array<long>")
 
 
 def _room(size_a: Column, size_b: Column, num: int, den: int) -> Column:
@@ -159,105 +191,112 @@ def _room(size_a: Column, size_b: Column, num: int, den: int) -> Column:
 
 
 def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, id_col: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by partial overlaps.
+    """The pairs (a, b) of nodes whose sets reach the threshold, by partial overlaps.
 
     First fragment: the prefixes. Where both run up to the lower of their last
     grams, every gram that only one shows is a difference; too many of them end
     the pair. The remaining fragments are counted for the survivors.
     """
-    sides = reps.select("id", "size", "prefix", "rare")
+    sides = reps.select("node", "size", "prefix", "rare")
     first = (
         pairs.join(sides.toDF("a", "size_a", "pre_a", "rare_a"), "a")
         .join(sides.toDF("b", "size_b", "pre_b", "rare_b"), "b")
         .where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num)
     )
-    # Rare grams of a prefix are in hash order, so both prefixes are whole up to the lower of the last rare ones.
-    def rare_part(p: str, k: str) -> Column:
-        return F.slice(F.col(p), F.lit(1), F.col(k))
 
+    # Rare grams of a prefix are in hash order, so both prefixes are whole up to the lower of the last rare ones.
     def last(p: str, k: str) -> Column:
         # A prefix that runs into the common grams shows all of its rare ones.
-        return F.when(F.col(k) < F.size(p), F.lit(2**63 - 1)).when(F.col(k) == 0, F.lit(-(2**63))).otherwise(F.element_at(p, F.col(k).cast("int")))
+        return F.when(F.col(k) < F.size(p), F.lit(2**63 - 1)).otherwise(F.element_at(p, F.col(k)))
 
     first = first.withColumn("upto", F.least(last("pre_a", "rare_a"), last("pre_b", "rare_b")))
     for p, k in (("pre_a", "rare_a"), ("pre_b", "rare_b")):
-        first = first.withColumn(p, F.filter(rare_part(p, k), lambda g: g <= F.col("upto")))
-    first = first.withColumn("shared", F.size(F.array_intersect("pre_a", "pre_b")))
+        first = first.withColumn(p, F.filter(F.slice(F.col(p), F.lit(1), F.col(k)), lambda g: g <= F.col("upto")))
+    differing = F.size("pre_a") + F.size("pre_b") - 2 * F.size(F.array_intersect("pre_a", "pre_b"))
     left = written(
-        first.where(F.size("pre_a") + F.size("pre_b") - 2 * F.col("shared") <= _room(F.col("size_a"), F.col("size_b"), num, den)).select(
-            "a", "b", "size_a", "size_b"
-        ),
-        "jaccard_pairs",
+        first.where(differing <= _room(F.col("size_a"), F.col("size_b"), num, den)).select("a", "b", "size_a", "size_b"), "jaccard_pairs"
     )
-    need = left.select(F.col("a").alias(id_col)).union(left.select(F.col("b").alias(id_col))).distinct()
-    parts = fragments(only_ids(docs, written(need, "jaccard_need"), id_col), n, id_col, text, common)
-    parts = parts.dropDuplicates(["id", "fragment"])
+    need = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+    ids = reps.select("node", F.col("id").alias(id_col)).join(need, "node", "left_semi").select(id_col)
+    parts = fragments(only_ids(docs, written(ids, "jaccard_need"), id_col), n, text, common)
+    # A repeated row repeats its fragments; the largest overlap of a fragment is the one overlap.
     overlap = (
         left.join(parts.toDF("a", "fragment", "grams_a"), "a")
         .join(parts.toDF("b", "fragment", "grams_b"), ["b", "fragment"])
-        .groupBy("a", "b")
-        .agg(
-            F.max("size_a").alias("size_a"),
-            F.max("size_b").alias("size_b"),
-            F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("overlap"),
-        )
+        .groupBy("a", "b", "size_a", "size_b", "fragment")
+        .agg(F.max(F.size(F.array_intersect("grams_a", "grams_b"))).alias("overlap"))
+        .groupBy("a", "b", "size_a", "size_b")
+        .agg(F.sum("overlap").alias("overlap"))
     )
     return overlap.where(F.col("overlap") * den >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * num).select("a", "b")
 
 
+def _open_lists(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The rows of the lists that still hold several components, with each row's component."""
+    known = lists.select("gram", "node", "size")
+    if comps is not None:
+        known = known.join(comps.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    else:
+        known = known.withColumn("comp", F.col("node"))
+    still = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
+    return known.join(still, "gram")
+
+
+def _hub_pairs(lists: DataFrame, hubs: int, seed: int, num: int, den: int) -> DataFrame:
+    """In each list, every document outside of a hub's component with that hub; hubs are the least by hash."""
+    picks = [F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(seed + k))).alias(f"h{k}") for k in range(hubs)]
+    chosen = lists.groupBy("gram").agg(*picks).select("gram", F.array_distinct(F.array(*[f"h{k}" for k in range(hubs)])).alias("hubs"))
+    out = lists.join(chosen, "gram").select("node", "size", "comp", F.explode("hubs").alias("h"))
+    fits = F.least("size", "h.size") * den >= F.greatest("size", "h.size") * num
+    return (
+        out.where(fits & (F.col("h.comp") != F.col("comp")))
+        .select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b"))
+        .distinct()
+    )
+
+
 def ngram_jaccard(
     docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(id, n_shingles, component_id) per row: documents linked at Jaccard >= num/den, and the least id they reach.
 
-    Exact: no candidate is dropped. Equal sets are one class, held by its least
-    id, before any pair is formed. In each list of documents that share a
-    prefix gram, all pair with the list's least one first; the links found
-    contract the lists, and only lists that still hold several components pair
-    further, across components. So copies are never expanded into all pairs.
+    Exact: no candidate is dropped. Equal sets are one node before any pair is
+    formed. In each list of nodes that share a prefix gram, all pair with a few
+    hubs first; the links found contract the lists. A second round does so in
+    the lists that still hold several components; what is left pairs fully, but
+    across components only. So copies are not expanded into all pairs.
 
     Null or empty text: no n-grams, linked with nothing, its own component.
     Fewer than n words: the whole sequence is the one n-gram. A null id has a
-    null component and links with nothing. Rows that repeat an id are one
-    document for links, and each keeps its row and its own ``n_shingles``. Other
-    columns of ``docs`` don't take part. An empty table gives an empty result.
+    null component and links with nothing. Rows that repeat an id keep rows of
+    their own, each linked by its own text. Other columns of ``docs`` don't
+    take part. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col), F.col(text))
     make = partial(gram_sets, docs, n, num, den, id_col, text)
     seen = written(make(), "jaccard_sets")
-    live = seen.where("id is not null and size > 0")
-    classes = live.groupBy("size", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    # Common grams: counted over the prefixes of all documents.
-    counted = live.select(F.explode("prefix").alias("gram")).groupBy("gram").count().where(F.col("count") >= COMMON_FROM)
-    common = np.sort(counted.orderBy(F.desc("count"), "gram").limit(COMMON_MOST).select("gram").toArrow()["gram"].to_numpy().astype(np.int64))
-    late = spark.sparkContext.broadcast(common)
-
-    @F.arrow_udf("int")
-    def rare_count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(late.value, flat), len(late.value) - 1) if len(late.value) else np.zeros(len(flat), dtype=np.int64)
-            rare = np.r_[0, np.cumsum(late.value[at] != flat)] if len(late.value) else np.arange(len(flat) + 1)
-            ends = np.r_[0, np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))].astype(np.int64)
-            yield pa.array((rare[ends[1:]] - rare[ends[:-1]]).astype(np.int32))
-
+    found = seen.where("size >= 0")
+    live = found.where("id is not null and size > 0")
+    classes = live.groupBy("h1").agg(F.min("id").alias("rep"))
+    # Common grams: what prefixes of all documents show, or what documents of one task share, summed over tasks.
+    in_prefix = live.select(F.explode("prefix").alias("gram"), F.lit(1).alias("p"), F.lit(0).alias("c"))
+    in_task = seen.where("size = -1").select(F.explode(F.arrays_zip("prefix", "counts")).alias("x")).select("x.prefix", F.lit(0), "x.counts")
+    counted = in_prefix.union(in_task).groupBy("gram").agg(F.greatest(F.sum("p"), F.sum("c")).alias("n")).where(F.col("n") >= COMMON_FROM)
+    common = np.sort(counted.orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram").toArrow()["gram"].to_numpy().astype(np.int64))
     ordered = make(common=common).where("id is not null and size > 0")
-    reps = ordered.join(classes.select("size", "h1", "h2", F.col("rep").alias("id")), ["id", "size", "h1", "h2"], "left_semi")
-    reps = written(reps.dropDuplicates(["id", "h1", "h2"]).withColumn("rare", rare_count("prefix")), "jaccard_reps")
-    lists = reps.select(F.explode("prefix").alias("gram"), "id", "size")
-    hubs = lists.groupBy("gram").agg(F.min("id").alias("hub"), F.min_by("size", "id").alias("hub_size"), F.count("*").alias("docs")).where("docs > 1")
-    shared = written(lists.join(hubs, "gram").select("gram", "id", "size", "hub", "hub_size"), "jaccard_lists")
+    nodes = ordered.select("id", F.col("h1").alias("node"), "size", "prefix", "rare")
+    reps = written(only_ids(nodes, written(classes.select(F.col("rep").alias("id"), F.col("h1").alias("node")), "jaccard_classes"), ["id", "node"]), "jaccard_reps")
+    lists = reps.select(F.explode("prefix").alias("gram"), "node", "size").repartition("gram")
+    several = lists.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    lists = written(lists.join(several, "gram"), "jaccard_lists")
     verify = partial(_linked, reps=reps, docs=docs, n=n, num=num, den=den, common=common, id_col=id_col, text=text)
-    fits = F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num
-    pairs = shared.where(fits & (F.col("hub") < F.col("id"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = written(pairs, "jaccard_hub_pairs")
-    links = written(verify(pairs), "jaccard_links")
-    comps = connected_components(links, "a", "b")
-    # Lists that still hold several components: pairs across them.
-    known = shared.select("gram", "id", "size").join(comps.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_lists = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    rest = written(known.join(open_lists, "gram"), "jaccard_open")
+    comps = None
+    for k, hubs in enumerate(HUBS):
+        lists = written(_open_lists(lists, comps), "jaccard_open")
+        links = verify(written(_hub_pairs(lists, hubs, 10 * k, num, den), "jaccard_hub_pairs"))
+        old = links.limit(0) if comps is None else comps.toDF("a", "b")
+        comps = connected_components(old.union(links), "a", "b")
+    rest = written(_open_lists(lists, comps), "jaccard_open")
     across = (
         rest.toDF("gram", "a", "size_a", "comp_a")
         .join(rest.toDF("gram", "b", "size_b", "comp_b"), "gram")
@@ -265,15 +304,13 @@ def ngram_jaccard(
         .where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num)
         .select("a", "b")
         .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = verify(written(across, "jaccard_across"))
-    nodes = comps.toDF("a", "b").union(more)
-    final = connected_components(nodes, "a", "b")
-    by_set = classes.join(final.toDF("rep", "component"), "rep", "left").select(
-        "size", "h1", "h2", F.coalesce("component", "rep").alias("component")
     )
-    out = seen.select("id", "size", "h1", "h2").join(by_set, ["size", "h1", "h2"], "left")
+    final = connected_components(comps.toDF("a", "b").union(verify(written(across, "jaccard_across"))), "a", "b")
+    by_set = classes.join(final.toDF("h1", "root"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    least = by_set.groupBy("root").agg(F.min("rep").alias("component"))
+    by_set = by_set.join(least, "root").select("h1", "component")
+    out = found.select("id", "size", "h1").join(by_set, "h1", "left")
+    linked = F.col("id").isNotNull() & (F.col("size") > 0)
     return out.select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
+        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("id")).alias("component_id")
     )
