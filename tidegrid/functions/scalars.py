@@ -120,3 +120,18 @@ def smoothstep(lo: float, hi: float, x: Column) -> Column:
 def fingerprint(*parts: Column) -> Column:
     """First 16 hex digits of SHA-256 over the parts, set apart by a zero byte."""
     return F.substring(F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256), 1, 16)
+
+
+def ecliptic_longitude(day: Column) -> Column:
+    """Degrees of the sun along the ecliptic from the March equinox, uniform over the year."""
+    return F.pmod((F.dayofyear(day) - 80) * F.lit(360.0 / 365.25), F.lit(360.0))
+
+
+def year_list(text: Column) -> Column:
+    """Years of a comma-separated list."""
+    return F.transform(F.split(F.trim(text), r"\s*,\s*"), lambda y: y.cast("int"))
+
+
+def hour_slice(day_values: Column, hour: Column, cells: int) -> Column:
+    """One hour's cells of a day's flat values."""
+    return F.slice(day_values, hour * cells + 1, F.lit(cells))

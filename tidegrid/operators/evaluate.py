@@ -114,3 +114,22 @@ def windows_long(frames: DataFrame, starts: DataFrame, t: str, value: str, caden
     return rows.select(
         "start", "step", F.when(F.col("step") < inputs, "input").otherwise("target").alias("role"), ((F.col(value) - mean) / std).alias("value")
     )
+
+
+def map_rmse(cells: DataFrame, by: list[str], sample: str, error: Column) -> DataFrame:
+    """Root of the mean over maps of each map's mean squared error."""
+    per = cells.groupBy(*by, sample).agg(F.avg(error * error).alias("_mse"))
+    return per.groupBy(*by).agg(F.sqrt(F.avg("_mse")).alias("rmse"))
+
+
+def subsample(df: DataFrame, key: str, one_in: int, seed: int) -> DataFrame:
+    """About one row in ``one_in``, chosen by a seeded hash of the key: the same rows in every run and on any cluster."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(one_in)) == 0)
+
+
+def lineage(parts: DataFrame, *stored: DataFrame) -> DataFrame:
+    """(part, fp_0, fp_1, ...): each partition's stored fingerprints, ``unknown`` where there is none."""
+    out = parts.select("part").distinct()
+    for k, s in enumerate(stored):
+        out = out.join(s.select("part", F.col("fingerprint").alias(f"fp_{k}")), "part", "left").withColumn(f"fp_{k}", F.coalesce(f"fp_{k}", F.lit("unknown")))
+    return out

@@ -115,3 +115,14 @@ def from_float16(df: DataFrame, pack: str, out: str = "values") -> DataFrame:
             )
 
     return df.withColumn(out, unpack(F.col(pack)))
+
+
+def day_packs(maps: DataFrame, day: str, hour: str, values: str, hours: int = 24) -> DataFrame:
+    """(day, pack): gzipped half floats of a day's maps in hour order, only for days whose every hour is there and finite.
+
+    A day is at most ``hours`` maps, whatever the number of days.
+    """
+    fine = maps.where(all_finite(F.col(values)))
+    days = fine.groupBy(day).agg(F.array_sort(F.collect_list(F.struct(hour, values))).alias("_h")).where(F.size("_h") == hours)
+    flat = days.select(day, F.flatten(F.transform("_h", lambda h: h[values])).alias("_v"))
+    return to_float16(flat, "_v", "pack").select(day, "pack")

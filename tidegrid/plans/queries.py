@@ -897,3 +897,63 @@ def q_climatology_model(spark, sf_dir):
 @query("q_harmonic_power", None)
 def q_harmonic_power(spark, sf_dir):
     return harmonics.grid_power(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8, 3)
+
+
+# --- smaller pieces --------------------------------------------------------------------------------------------------
+
+
+@query(
+    "q_map_rmse",
+    f"WITH {CELL_SQL} SELECT label, round(sqrt(avg(mse)), 9) AS rmse FROM (SELECT label, vec_id, avg((v - 0.1) ** 2) AS mse FROM c JOIN embeddings USING (vec_id) GROUP BY 1, 2) GROUP BY 1",
+)
+def q_map_rmse(spark, sf_dir):
+    c = cells(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return evaluate.map_rmse(c, ["label"], "vec_id", F.col("v") - 0.1).select("label", F.round("rmse", 9).alias("rmse"))
+
+
+@query("q_hour_slice", "SELECT vec_id, embedding[17:24] AS cells FROM embeddings")
+def q_hour_slice(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", S.hour_slice(F.col("embedding"), F.lit(2), 8).alias("cells"))
+
+
+@query(
+    "q_sun",
+    """SELECT event_id, round((((dayofyear(ts) - 80) * (360.0 / 365.25)) % 360 + 360) % 360, 6) AS ecliptic, round(((hour(ts) - 13 + value) % 24 + 24) % 24, 6) AS sub_hour FROM events""",
+)
+def q_sun(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", r6(S.ecliptic_longitude(F.to_date("ts"))).alias("ecliptic"), r6(S.subsolar_hour(F.hour("ts") - 13 + F.col("value"))).alias("sub_hour"))
+
+
+@query("q_year_list", "SELECT y AS year FROM (VALUES (2023), (2024), (2025)) AS t(y)")
+def q_year_list(spark, sf_dir):
+    return spark.range(1).select(F.explode(S.year_list(F.lit("2023, 2024,2025"))).alias("year"))
+
+
+@query(
+    "q_lineage",
+    "WITH "
+    + FINGERPRINTS.format(where="", name="f")
+    + ", "
+    + FINGERPRINTS.format(where="WHERE year(o_orderdate) < 2000", name="g").replace("p AS", "q AS").replace("FROM p)", "FROM q)")
+    + " SELECT f.part, f.fingerprint AS fp_0, coalesce(g.fingerprint, 'unknown') AS fp_1 FROM f LEFT JOIN g ON g.part = f.part",
+)
+def q_lineage(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    year = F.year("o_orderdate")
+    every, some = (evaluate.partition_fingerprints(x, year, F.col("o_orderkey")) for x in (o, o.where(year < 2000)))
+    return evaluate.lineage(every, every, some)
+
+
+@query("q_subsample", None)
+def q_subsample(spark, sf_dir):
+    return evaluate.subsample(read(spark, sf_dir, "events"), "event_id", 4, 7)
+
+
+@query("q_day_packs", None)
+def q_day_packs(spark, sf_dir):
+    ev = event_rows(spark, sf_dir)
+    maps = ev.groupBy(F.floor(F.col("t") / DAY).alias("day"), F.floor(F.pmod("t", F.lit(DAY)) / HOUR).alias("hour")).agg(
+        F.array(F.avg("value"), F.min("value"), F.max("value")).alias("v")
+    )
+    return grids.day_packs(maps, "day", "hour", "v")
