@@ -953,7 +953,7 @@ def q_subsample(spark, sf_dir):
 @query("q_day_packs", None)
 def q_day_packs(spark, sf_dir):
     ev = event_rows(spark, sf_dir)
-    maps = ev.groupBy(F.floor(F.col("t") / DAY).alias("day"), F.floor(F.pmod("t", F.lit(DAY)) / HOUR).alias("hour")).agg(
+    maps = ev.groupBy(F.floor(F.col("t") / DAY).alias("day"), F.floor(F.pmod("t", F.lit(DAY)) / (6 * HOUR)).alias("hour")).agg(
         F.array(F.avg("value"), F.min("value"), F.max("value")).alias("v")
     )
-    return grids.day_packs(maps, "day", "hour", "v")
+    return grids.day_packs(maps, "day", "hour", "v", hours=4)
