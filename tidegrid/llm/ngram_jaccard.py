@@ -186,8 +186,22 @@ def fragments(docs: DataFrame, n: int, text: str, common: np.ndarray) -> DataFra
 
 def _room(size_a: Column, size_b: Column, num: int, den: int) -> Column:
     """Differing grams that two sets of these sizes may have at most: (a+b) - 2 * least overlap."""
-    both = size_a + size_b
-    return both - 2 * F.floor((both * num + (num + den - 1)) / F.lit(num + den)).cast("long")
+    return size_a + size_b - 2 * _least_overlap(size_a, size_b, num, den)
+
+
+def _least_overlap(size_a: Column, size_b: Column, num: int, den: int) -> Column:
+    """Grams that two sets of these sizes share at least when they reach num/den."""
+    return F.floor(((size_a + size_b) * num + (num + den - 1)) / F.lit(num + den)).cast("long")
+
+
+def _may_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, num: int, den: int) -> Column:
+    """Whether a gram at these places (from 0) of two ordered sets can be the first one that linked sets share.
+
+    Linked sets share one so early that, on both sides, no more grams stand
+    before it than may differ.
+    """
+    least = _least_overlap(size_a, size_b, num, den)
+    return (at_a <= size_a - least) & (at_b <= size_b - least)
 
 
 def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, id_col: str, text: str) -> DataFrame:
@@ -233,21 +247,21 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int
 
 def _open_lists(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     """The rows of the lists that still hold several components, with each row's component."""
-    known = lists.select("gram", "node", "size")
+    known = lists.select("gram", "at", "node", "size")
     if comps is not None:
         known = known.join(comps.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:
         known = known.withColumn("comp", F.col("node"))
     still = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    return known.join(still, "gram")
+    return known.join(still, "gram").select("gram", "at", "node", "size", "comp")
 
 
 def _hub_pairs(lists: DataFrame, hubs: int, seed: int, num: int, den: int) -> DataFrame:
     """In each list, every document outside of a hub's component with that hub; hubs are the least by hash."""
-    picks = [F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(seed + k))).alias(f"h{k}") for k in range(hubs)]
+    picks = [F.min_by(F.struct("node", "size", "comp", "at"), F.xxhash64("node", F.lit(seed + k))).alias(f"h{k}") for k in range(hubs)]
     chosen = lists.groupBy("gram").agg(*picks).select("gram", F.array_distinct(F.array(*[f"h{k}" for k in range(hubs)])).alias("hubs"))
-    out = lists.join(chosen, "gram").select("node", "size", "comp", F.explode("hubs").alias("h"))
-    fits = F.least("size", "h.size") * den >= F.greatest("size", "h.size") * num
+    out = lists.join(chosen, "gram").select("node", "size", "comp", "at", F.explode("hubs").alias("h"))
+    fits = _may_link(F.col("size"), F.col("at"), F.col("h.size"), F.col("h.at"), num, den)
     return (
         out.where(fits & (F.col("h.comp") != F.col("comp")))
         .select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b"))
@@ -286,7 +300,7 @@ def ngram_jaccard(
     ordered = make(common=common).where("id is not null and size > 0")
     nodes = ordered.select("id", F.col("h1").alias("node"), "size", "prefix", "rare")
     reps = written(only_ids(nodes, written(classes.select(F.col("rep").alias("id"), F.col("h1").alias("node")), "jaccard_classes"), ["id", "node"]), "jaccard_reps")
-    lists = reps.select(F.explode("prefix").alias("gram"), "node", "size").repartition("gram")
+    lists = reps.select(F.posexplode("prefix").alias("at", "gram"), "node", "size").repartition("gram")
     several = lists.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     lists = written(lists.join(several, "gram"), "jaccard_lists")
     verify = partial(_linked, reps=reps, docs=docs, n=n, num=num, den=den, common=common, id_col=id_col, text=text)
@@ -298,10 +312,10 @@ def ngram_jaccard(
         comps = connected_components(old.union(links), "a", "b")
     rest = written(_open_lists(lists, comps), "jaccard_open")
     across = (
-        rest.toDF("gram", "a", "size_a", "comp_a")
-        .join(rest.toDF("gram", "b", "size_b", "comp_b"), "gram")
+        rest.toDF("gram", "at_a", "a", "size_a", "comp_a")
+        .join(rest.toDF("gram", "at_b", "b", "size_b", "comp_b"), "gram")
         .where("a < b and comp_a <> comp_b")
-        .where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num)
+        .where(_may_link(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b"), num, den))
         .select("a", "b")
         .distinct()
     )
