@@ -116,6 +116,32 @@ def test_without_labels_nothing_is_toxic(labelled):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 4])
+def test_copies_of_a_toxic_document_have_one_vote(edits):
+    rng = random.Random(11)
+    syllables = ["the", "on", "er", "in", "at", "sh", "ly"]
+    text = lambda: ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(40, 90))]
+    bad = ["vileword", "grimslur", "nastyjab", "foulmock", "crudejeer"]
+    texts = [(" ".join(text()), 0) for _ in range(1500)]
+    for _ in range(300):
+        words = text()
+        for w in rng.sample(bad, 2):
+            words.insert(rng.randrange(len(words)), w)
+        words.insert(rng.randrange(len(words)), "zap yerkself")
+        texts.append((" ".join(words), 1))
+    one = text() + ["vileword"] + text()
+    for _ in range(400):
+        copy = list(one)
+        for _ in range(edits):
+            copy[rng.randrange(len(copy))] = rng.choice(syllables)
+        texts.append((" ".join(copy), 1))
+    model = toxicity.learn(texts, 700 / 2200)
+    learned = model.toxic.decode().split()
+    assert all(any(w.startswith(stem) for stem in learned) for w in [*bad, "yerkself"])
+    # Nothing of the copied text itself is taken for toxic.
+    assert all(any(w.startswith(stem) for w in [*bad, "yerkself"]) for stem in learned)
+
+
 def test_windows_hold_every_byte():
     raw = toxicity.normalised("ab " * 500 + "x" * 1000)
     assert b"".join(toxicity.windows(raw)) == raw and max(map(len, toxicity.windows(raw))) <= 2 * toxicity.WINDOW

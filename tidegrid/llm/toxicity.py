@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.ngram_jaccard import GramHasher
+
 #: Labelled documents to learn from, at most so many of each class, and the longest text among them in bytes.
 SAMPLE_DOCS = 3000
 SAMPLE_BYTES = 20_000
@@ -33,6 +35,9 @@ LEVEL = 9
 LEAST, MOST = -3, 12
 #: Word stems go into the toxic dictionary from this standard score of their document counts.
 STEM_Z = 7.0
+#: Least shingle hashes of a text that are compared to find near-equal texts, and groups that make a shingle common.
+SKETCH = 64
+COMMON_GROUPS = 8
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -90,14 +95,43 @@ def _stems(text: str) -> set[str]:
     return {w[:k] for w in set(_LETTERS.findall(text.lower())) for k in range(4, min(len(w), 12) + 1)}
 
 
-def toxic_windows(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Word stems that toxic documents show far more often, best first; of one word's stems the most telling, then the longest."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for t in toxic:
-        in_toxic.update(_stems(t))
-    for t in ordinary:
-        in_ordinary.update(_stems(t))
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
+def text_groups(texts: list[str]) -> list[int]:
+    """Per text the place of the first text of its group; equal and near-equal texts are one group.
+
+    Near-equal: at least half of the least hashes of its three-word shingles
+    are a group's, shingles that COMMON_GROUPS groups show left aside.
+    """
+    hasher, first, owners, out = GramHasher(3), {}, {}, []
+    for k, t in enumerate(texts):
+        key = normalised(t)
+        if key not in first:
+            sketch = [h for h in hasher.grams(t)[:SKETCH].tolist() if len(owners.get(h, ())) < COMMON_GROUPS]
+            shared = Counter(g for h in sketch for g in owners.get(h, ()))
+            best = max(shared.items(), key=lambda x: (x[1], -x[0]), default=(k, 0))
+            first[key] = best[0] if 0 < len(sketch) <= 2 * best[1] else k
+            for h in sketch:
+                owners.setdefault(h, set()).add(first[key])
+        out.append(first[key])
+    return out
+
+
+def _votes(texts: list[tuple[str, int]]) -> tuple[Counter, int]:
+    """Stems with the number of groups that show them, and the number of groups; ``texts`` are (text, group)."""
+    shown: dict[int, set[str]] = {}
+    for t, g in texts:
+        shown.setdefault(g, set()).update(_stems(t))
+    counts: Counter = Counter()
+    for stems in shown.values():
+        counts.update(stems)
+    return counts, max(1, len(shown))
+
+
+def toxic_windows(toxic: list[tuple[str, int]], ordinary: list[tuple[str, int]]) -> list[str]:
+    """Word stems that toxic texts show far more often, best first; of one word's stems the most telling, then the longest.
+
+    Both lists hold (text, group); copies of one text, being one group, have one vote.
+    """
+    (in_toxic, n), (in_ordinary, m) = _votes(toxic), _votes(ordinary)
     telling = []
     for w, c in in_toxic.items():
         if c >= 5:
@@ -105,29 +139,21 @@ def toxic_windows(toxic: list[str], ordinary: list[str]) -> list[str]:
             z = (c / n - in_ordinary[w] / m) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n + 1 / m))
             if z >= STEM_Z:
                 telling.append((-round(z, 1), -len(w), w))
-    # Copies of one document repeat its words in the same places; a telling stem stands after many different words.
-    found = {w for _, _, w in telling}
-    before: dict[str, set[str]] = {w: set() for w in found}
-    for t in toxic:
-        words = ["", *_LETTERS.findall(t.lower())]
-        for prior, word in zip(words, words[1:], strict=False):
-            for k in range(4, min(len(word), 12) + 1):
-                if word[:k] in found:
-                    before[word[:k]].add(prior)
     kept: list[str] = []
     for _, _, w in sorted(telling):
-        if len(before[w]) >= 0.5 * in_toxic[w] and not any(w.startswith(v) or v.startswith(w) for v in kept):
+        if not any(w.startswith(v) or v.startswith(w) for v in kept):
             kept.append(w)
     return kept
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of a one-dimensional logistic fit, lightly drawn to slope 1."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of a one-dimensional logistic fit, lightly drawn to slope 1; ``share`` is each row's weight."""
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * x).sum() + 0.1 * (a - 1), (p - y).sum() + 0.001 * b])
+        w = share * (p * (1 - p) + 1e-9)
+        e = share * (p - y)
+        g = np.array([(e * x).sum() + 0.1 * (a - 1), e.sum() + 0.001 * b])
         h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.001]])
         step = np.linalg.solve(h, g)
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -2, 2))
@@ -146,12 +172,18 @@ def learn(texts: list[tuple[str, int]], toxic_share: float, seed: int = 0) -> To
 
     order = sorted(texts)
     random.Random(seed).shuffle(order)
-    fit = [x for k, x in enumerate(order) if k % 4]
-    rest = [x for k, x in enumerate(order) if k % 4 == 0]
-    toxic, ordinary = [t for t, y in fit if y], [t for t, y in fit if not y]
+    groups = text_groups([t for t, _ in order])
+    number = {g: k for k, g in enumerate(dict.fromkeys(groups))}
+    copies = Counter((g, bool(y)) for g, (_, y) in zip(groups, order, strict=True))
+    # (text, label, group, vote): the copies of a text share one vote in each class, and learn or calibrate together.
+    voting = [(t, bool(y), g, 1 / copies[g, bool(y)]) for g, (t, y) in zip(groups, order, strict=True)]
+    fit = [x for x in voting if number[x[2]] % 4]
+    rest = [x for x in voting if number[x[2]] % 4 == 0]
+    toxic, ordinary = [(t, g) for t, y, g, _ in fit if y], [(t, g) for t, y, g, _ in fit if not y]
     if not toxic or not ordinary or not 0 < toxic_share < 1:
         return None
-    pool = [w for t in ordinary for w in windows(normalised(t))]
+    once = {g: t for t, g in reversed(ordinary)}  # the first text of each group
+    pool = [w for t in once.values() for w in windows(normalised(t))]
     random.Random(seed).shuffle(pool)
     try:
         base = zs.train_dictionary(ORDINARY_BYTES, pool[:60_000]).as_bytes()
@@ -164,17 +196,17 @@ def learn(texts: list[tuple[str, int]], toxic_share: float, seed: int = 0) -> To
             kept = stem + kept
     bins = MOST - LEAST + 1
     seen = [np.ones(bins), np.ones(bins)]
-    for t, y in fit:
-        seen[int(bool(y))] += np.bincount(savings(base, kept, t), minlength=bins)
+    for t, y, _, vote in fit:
+        seen[int(y)] += vote * np.bincount(savings(base, kept, t), minlength=bins)
     weights = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     weights = np.where(np.arange(bins) + LEAST <= 0, np.minimum(weights, 0.0), weights)
-    x = np.array([min(30.0, max(-30.0, float(weights[savings(base, kept, t)].sum()))) for t, _ in rest])
-    y = np.array([float(bool(v)) for _, v in rest])
+    x = np.array([min(30.0, max(-30.0, float(weights[savings(base, kept, t)].sum()))) for t, _, _, _ in rest])
+    y = np.array([float(v) for _, v, _, _ in rest])
     if y.min(initial=1) == y.max(initial=0):
         slope, bias = 1.0, 0.0
     else:
-        slope, bias = _logistic(x, y)
-    share = float(np.mean([bool(v) for _, v in texts]))
+        slope, bias = _logistic(x, y, np.array([vote for _, _, _, vote in rest]))
+    share = sum(vote for _, v, _, vote in voting if v) / sum(vote for _, _, _, vote in voting)
     bias += math.log(toxic_share / (1 - toxic_share)) - math.log(share / (1 - share))
     return ToxicityModel(base, kept, tuple(float(w) for w in weights), slope, bias)
 
