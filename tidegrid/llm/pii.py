@@ -118,7 +118,7 @@ FEATURES: dict[str, object] = {
 def candidates(text: Column, base: Column) -> Column:
     """(start, end, votes, features) of candidates that touch no base span; both codes are digit strings, x for no opinion."""
     body = F.coalesce(text, F.lit(""))
-    hits = located(body, CANDIDATE, body.rlike("[0-9]"))
+    hits = located(body, CANDIDATE, body.rlike("[0-9]|[A-Za-z]{14}"))  # no candidate is without one of them
     hits = F.filter(hits, lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
 
     def described(x: Column) -> Column:
