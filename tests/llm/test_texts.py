@@ -131,6 +131,46 @@ def test_many_sources_share_queues(spark, monkeypatch):
     assert len({r.source_queue for r in out}) <= 4 and sum(r.length for r in out) == 160
 
 
+def test_weights_hold_among_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    rows = [(k, "word " * 30, ("a", "a", "a", "b")[k % 4]) for k in range(400)] + [(k, "word", f"s{k}") for k in range(400, 440)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = packing.pack(df, WORDS, window=128, weights={"a": 1.0, "b": 1.0, "absent": 9.0}).collect()
+    assert {"a", "b"} < {r.source_queue for r in out} and len({r.source_queue for r in out}) <= 6
+    share = {}
+    for r in out:
+        share.setdefault(r.sequence_id, {"a": 0, "b": 0}).setdefault(r.source_queue, 0)
+        share[r.sequence_id][r.source_queue] += r.length
+    assert all(abs(share[k]["a"] - 64) <= 2 and abs(share[k]["b"] - 64) <= 2 for k in range(40))
+    assert sum(r.length for r in out) == sum(30 + 1 for _ in range(400)) + 40 * 2
+
+
+@pytest.mark.parametrize("quanta", [[1, 60_000, 8 << 16], [3 << 16, 90_000, 65_535]])
+def test_slow_queues_are_laid_out_by_token(quanta):
+    import tracemalloc
+
+    held, quanta = np.array([70, 50, 300]), np.array(quanta)
+    # One round after another, as the method is told.
+    place, at, credit, given = {}, 0, [0, 0, 0], [0, 0, 0]
+    while at < held.sum():
+        for k in range(3):
+            credit[k] += int(quanta[k])
+            while credit[k] >= 1 << 16 and given[k] < held[k]:
+                place[k, given[k]] = at
+                credit[k], given[k], at = credit[k] - (1 << 16), given[k] + 1, at + 1
+        if [g >= h for g, h in zip(given, held)] == [False, True, True]:
+            for t in range(given[0], held[0]):
+                place[0, t], at = at, at + 1
+            given[0] = held[0]
+    queue, begin, size = np.array([0, 0, 1, 2, 2]), np.array([0, 40, 0, 0, 123]), np.array([40, 30, 50, 123, 177])
+    tracemalloc.start()
+    doc, start, length, seq, offset = packing.pieces_of(begin, size, queue, held, quanta, 16)
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+    got = {(queue[d], begin[d] + s + k): q * 16 + o + k for d, s, n, q, o in zip(doc, start, length, seq, offset) for k in range(n)}
+    assert got == place
+
+
 def test_shards_are_even_and_gapless(docs):
     rows = sharding.shard(docs, 4).collect()
     by = {}

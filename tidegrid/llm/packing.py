@@ -31,8 +31,10 @@ from tidegrid.llm.merge_rounds import MergeTable
 
 #: Binary digits of a quantum's fraction.
 FRACTION = 16
-#: More sources than this share queues by hash, so that the table of queues stays small.
+#: Where there are more sources than this, those without a given weight share so many queues by hash.
 MAX_QUEUES = 512
+#: Parts of documents that are laid out at once; a longer document alone may have one a token.
+MAX_PARTS = 500_000
 #: Chunks whose ids a worker remembers, and the bytes it tokenises at a time.
 MAX_CHUNKS = 300_000
 BLOCK_BYTES = 4_000_000
@@ -209,6 +211,18 @@ def _given(rounds: np.ndarray, quanta: np.ndarray, held: np.ndarray) -> np.ndarr
     return np.minimum((np.minimum(rounds[:, None], most) * quanta) >> FRACTION, held)
 
 
+def _round_of(token: np.ndarray, quanta: np.ndarray) -> np.ndarray:
+    """The round in which a queue gives its token of this number, from 0."""
+    return -((-((token + 1) << FRACTION)) // quanta)
+
+
+def _parts(begin: np.ndarray, size: np.ndarray, quanta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First part and number of parts of each document: its rounds, or its tokens where a round gives less than one."""
+    first = _round_of(begin, quanta)
+    slow = quanta < 1 << FRACTION
+    return np.where(slow, begin, first), np.where(slow, size, _round_of(begin + size - 1, quanta) - first + 1)
+
+
 def pieces_of(begin: np.ndarray, size: np.ndarray, queue: np.ndarray, held: np.ndarray, quanta: np.ndarray, window: int):
     """Pieces of documents: (document, start, length, sequence, offset) arrays.
 
@@ -216,13 +230,11 @@ def pieces_of(begin: np.ndarray, size: np.ndarray, queue: np.ndarray, held: np.n
     queue's round ends and where the window does; parts that meet in the stream
     are one piece.
     """
-    q = quanta[queue]
-    first = -((-((begin + 1) << FRACTION)) // q)
-    last = -((-((begin + size) << FRACTION)) // q)
-    n = last - first + 1
+    first, n = _parts(begin, size, quanta[queue])
     doc = np.repeat(np.arange(len(begin)), n)
-    rounds = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+    at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
     dq = queue[doc]
+    rounds = np.where(quanta[dq] < 1 << FRACTION, _round_of(at, quanta[dq]), at)
     lo = np.maximum(begin[doc], ((rounds - 1) * quanta[dq]) >> FRACTION)
     hi = np.minimum(begin[doc] + size[doc], (rounds * quanta[dq]) >> FRACTION)
     some = hi > lo
@@ -269,14 +281,16 @@ def pack(
     alone. ``weights`` gives target shares by source (default: the shares that
     the corpus has, so all queues run dry together; sources without a weight
     follow at one fraction a round). All sequences but the last are full. A null source is
-    a queue of its own. Repeated rows and null ids are packed as they stand. An
+    a queue of its own. Beyond MAX_QUEUES sources, those without a weight share
+    queues, whose tokens come in the order of the blocks. Repeated rows and null ids are packed as they stand. An
     empty table gives an empty result. Other columns don't take part.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
     few = docs.select(key.alias("q")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
     if not few:
-        key = F.concat(F.lit("hash "), F.pmod(F.xxhash64(key), F.lit(MAX_QUEUES)))
+        shared = F.concat(F.lit("\0hash "), F.pmod(F.xxhash64(key), F.lit(MAX_QUEUES)))
+        key = F.when(key.isin(list(weights)), key).otherwise(shared) if weights else shared
     coded = written(tokenised(docs.select(id_col, text, key.alias(source)), tokenizer, end_id, id_col, text, source), "packing_ids")
     blocks = coded.groupBy("queue", "block").agg(F.sum("tokens").alias("tokens"))
     base = blocks.select(
@@ -284,14 +298,18 @@ def pack(
         "block",
         (F.sum("tokens").over(Window.partitionBy("queue").orderBy("block")) - F.col("tokens")).alias("base"),
     )
-    totals = {r[0]: r[1] for r in blocks.groupBy("queue").agg(F.sum("tokens")).collect()}  # at most MAX_QUEUES rows
+    totals = {r[0]: r[1] for r in blocks.groupBy("queue").agg(F.sum("tokens")).collect()}  # at most MAX_QUEUES rows and the given weights
     names, held, quanta = queue_plan(totals, window, weights)
     index = {n: k for k, n in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            q = quanta[[index[x] for x in batch.column("queue").to_pylist()]]
+            _, n = _parts(batch.column("begin").to_numpy(), batch.column("tokens").to_numpy(), q)
+            laid, lo, hi = np.r_[0, np.cumsum(n)], 0, 0
+            while hi < batch.num_rows:
+                lo, hi = hi, min(hi + 1000, max(hi + 1, int(np.searchsorted(laid, laid[hi] + MAX_PARTS, side="right")) - 1))
+                part = batch.slice(lo, hi - lo)
                 begin = part.column("begin").to_numpy()
                 size = part.column("tokens").to_numpy()
                 queue = np.array([index[q] for q in part.column("queue").to_pylist()], dtype=np.int64)
