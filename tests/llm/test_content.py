@@ -187,6 +187,24 @@ def test_tool_calls_link_validate_and_serialise(spark):
     assert json.loads(got[1, 1].message_json)["calls"] == ["c1", "c2"] and len(got) == 7
 
 
+def test_messages_of_one_turn_link_each_by_itself(spark):
+    call = json.dumps({"tool_calls": [{"id": k, "name": "find", "arguments": {"q": "x", "n": 3}} for k in ("c1", "c2")]})
+    result = lambda k: json.dumps({"tool_call_id": k, "content": k})
+    rows = [(1, 1, "assistant", call), (1, 1, "user", "beside"), (1, 2, "tool", result("c1")), (1, 2, "tool", result("c2")), (1, 2, "tool", result("zz")), (1, 2, "tool", result("c1")), (1, 2, "user", "no result")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_tools.format_chat(m, chat_tools.explicit_calls(m), chat_tools.explicit_results(m), {"find": {"q": "string", "n": "integer"}}).collect()
+    got = sorted((r.turn, r.role, r.calls, r.link_status or "", json.loads(r.message_json).get("answers", "")) for r in out)
+    assert got == [
+        (1, "assistant", 2, "", ""),
+        (1, "user", 0, "", ""),
+        (2, "tool", 0, "linked", "c1"),
+        (2, "tool", 0, "linked", "c1"),
+        (2, "tool", 0, "linked", "c2"),
+        (2, "tool", 0, "orphan", ""),
+        (2, "user", 0, "", ""),
+    ]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, compare, name):
     ours, theirs = compare(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SF)

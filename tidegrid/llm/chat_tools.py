@@ -7,7 +7,7 @@ canonical JSON: keys in alphabetical order, no spaces, absent values left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A call's message: {"tool_calls": [{"id": ..., "name": ..., "arguments": {...}}]}; a result's: {"tool_call_id": ..., "content": ...}.
@@ -22,18 +22,25 @@ JSON_TYPES = {
 }
 
 
+def message_key() -> Column:
+    """Tells the messages of one turn apart; messages with equal role and text are equal."""
+    return F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("message")
+
+
 def explicit_calls(messages: DataFrame) -> DataFrame:
-    """(conv_id, call_id, turn, name, arguments): every call that an assistant's JSON message names."""
+    """(conv_id, call_id, turn, name, arguments, message): every call that an assistant's JSON message names."""
     parsed = messages.where(F.col("role") == "assistant").select(
-        "conv_id", "turn", F.explode(F.from_json("text", CALL_SCHEMA)["tool_calls"]).alias("c")
+        "conv_id", "turn", message_key(), F.explode(F.from_json("text", CALL_SCHEMA)["tool_calls"]).alias("c")
+    )
+    return parsed.select(
+        "conv_id", F.col("c.id").alias("call_id"), "turn", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), "message"
     )
-    return parsed.select("conv_id", F.col("c.id").alias("call_id"), "turn", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
 
 
 def explicit_results(messages: DataFrame) -> DataFrame:
-    """(conv_id, call_id, turn): the results that tool messages give."""
+    """(conv_id, call_id, turn, message): the results that tool messages give."""
     parsed = messages.where(F.col("role") == "tool").withColumn("r", F.from_json("text", RESULT_SCHEMA))
-    return parsed.select("conv_id", F.col("r.tool_call_id").alias("call_id"), "turn").where("call_id is not null")
+    return parsed.select("conv_id", F.col("r.tool_call_id").alias("call_id"), "turn", message_key()).where("call_id is not null")
 
 
 def turn_calls(messages: DataFrame) -> DataFrame:
@@ -44,13 +51,14 @@ def turn_calls(messages: DataFrame) -> DataFrame:
         "turn",
         F.lit("reply").alias("name"),
         F.concat(F.lit('{"prompt":'), json_text(F.col("text")), F.lit(',"turn":'), F.col("turn"), F.lit("}")).alias("arguments"),
+        message_key(),
     )
 
 
 def turn_results(messages: DataFrame) -> DataFrame:
     """Plain conversations: an assistant's turn is the result of the turn before it."""
     return messages.where(F.col("role") == "assistant").select(
-        "conv_id", F.concat(F.lit("turn-"), F.col("turn") - 1).alias("call_id"), "turn"
+        "conv_id", F.concat(F.lit("turn-"), F.col("turn") - 1).alias("call_id"), "turn", message_key()
     )
 
 
@@ -93,35 +101,42 @@ def format_chat(
     call); other messages have null. Sorting a conversation by ``order_turn``,
     ``order_step``, ``turn`` is a topological order: an early result moves
     behind its call, everything else keeps its turn. A call identifier that a
-    conversation uses twice belongs to its first turn. Null texts count as
+    conversation uses twice belongs to its first turn; on one message it is valid
+    if all its uses are. Calls and results belong to their own messages, however
+    many stand on a turn. Null texts count as
     empty; null ids and turns pass and link with nothing. A conversation is
     never gathered into one row, so a very long one is no hot group. Rows that
     repeat are formatted each.
     """
-    first_calls = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(
-        F.min_by(F.struct("turn", "name", "arguments"), F.struct("turn", "name", "arguments")).alias("c")
-    )
-    checked = first_calls.select(
-        "conv_id", "call_id", F.col("c.turn").alias("call_turn"), valid_arguments(F.col("c.name"), F.col("c.arguments"), schemas).alias("valid")
+    first_turn = F.min("turn").over(Window.partitionBy("conv_id", "call_id"))
+    checked = (
+        calls.where("call_id is not null")
+        .select("conv_id", "call_id", "turn", "message", valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"))
+        .withColumn("call_turn", first_turn)
+        .where(F.col("turn") == F.col("call_turn"))
+        .groupBy("conv_id", "call_id", "call_turn", "message")
+        .agg(F.min("valid").alias("valid"))
     )
-    by_turn = checked.groupBy("conv_id", F.col("call_turn").alias("turn")).agg(
+    by_message = checked.groupBy("conv_id", F.col("call_turn").alias("turn"), "message").agg(
         F.count("*").alias("calls"),
         F.count_if("valid").alias("valid_calls"),
         F.array_sort(F.collect_list("call_id")).alias("call_ids"),
     )
     answered = (
-        results.groupBy("conv_id", "turn")
-        .agg(F.min("call_id").alias("call_id"))
-        .join(checked.select("conv_id", "call_id", "call_turn"), ["conv_id", "call_id"], "left")
+        results.groupBy("conv_id", "turn", "message")
+        .agg(F.min("call_id").alias("call_id"))  # a message has one
+        .join(checked.select("conv_id", "call_id", "call_turn").distinct(), ["conv_id", "call_id"], "left")
         .select(
             "conv_id",
             "turn",
+            "message",
             F.col("call_id").alias("answers"),
             "call_turn",
             F.when(F.col("call_turn").isNull(), "orphan").when(F.col("call_turn") >= F.col("turn"), "early").otherwise("linked").alias("link_status"),
         )
     )
-    linked = messages.select("conv_id", "turn", "role", "text").join(by_turn, ["conv_id", "turn"], "left").join(answered, ["conv_id", "turn"], "left")
+    key = ["conv_id", "turn", "message"]
+    linked = messages.select("conv_id", "turn", "role", "text", message_key()).join(by_message, key, "left").join(answered, key, "left")
     fields = [
         F.when(F.col("link_status") == "linked", F.concat(F.lit('"answers":'), json_text(F.col("answers")))),
         F.when(F.col("calls") > 0, F.concat(F.lit('"calls":['), F.array_join(F.transform("call_ids", json_text), ","), F.lit("]"))),
