@@ -25,12 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at a Jaccard similarity of 0.8 on five-word shingles, the one with the least id stays.
 
-    Rows without an id stay. Rows that repeat an id are one row afterwards.
+    Rows without an id stay. Rows that repeat an id are judged each by its own
+    text; of equal rows, and of linked rows with one id, one stays.
     """
-    groups = ngram_jaccard.ngram_jaccard(docs, n=5, num=80, den=100)
-    kept = written(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "pipeline_kept")
-    named = ngram_jaccard.only_ids(docs, kept, "doc_id").dropDuplicates(["doc_id"])
-    return named.union(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    # A row is known by the hash of all its columns, as its id may repeat.
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    groups = ngram_jaccard.ngram_jaccard(named, n=5, num=80, den=100, id_col="_row")
+    first = groups.select("_row", "component_id").distinct().join(named.select("_row", "doc_id"), "_row")
+    kept = written(first.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("k")).select("k._row"), "pipeline_kept")
+    one = ngram_jaccard.only_ids(named, kept, "_row").dropDuplicates(["_row"])
+    return one.select(*COLUMNS).union(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

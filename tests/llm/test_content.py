@@ -211,6 +211,18 @@ def test_query_equals_sql(spark, compare, name):
     assert ours == theirs
 
 
+def test_near_copies_go_by_text_not_by_id(spark):
+    import corpus_pipeline as c
+
+    a, b, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abd")
+    rows = [(1, a), (2, b), (2, a), (3, b + " end"), (4, d), (4, d), (5, d), (6, ""), (7, None), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in c.drop_near_copies(spark, docs.repartition(3), SF).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (4, d), (6, ""), (7, None), (None, a)], key=str)
+    docs = spark.createDataFrame([(2, b, "en", "s", 0), (2, d, "en", "s", 0)], docs.schema)
+    assert c.drop_near_copies(spark, docs, SF).count() == 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
