@@ -6,8 +6,13 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +42,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, col: str | list[str], most: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose ``col`` is in ``ids``; the ids are broadcast only if they are counted to be few."""
-    from pyspark.sql import functions as F
+def few_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` as the small side of a join: marked for a broadcast only if its rows, a few numbers each, are counted to be few."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
 
-    few = ids.limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if few else ids, col, "left_semi")
+def only_ids(df: DataFrame, ids: DataFrame, col: str | list[str]) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is in ``ids``; the ids are broadcast only if they are counted to be few."""
+    return df.join(few_or_shuffled(ids), col, "left_semi")
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of the text in ``column``, one row at least."""
+    for batch in batches:
+        octets = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(octets, octets[lo] + most, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:

@@ -6,7 +6,10 @@ is cut into fragments. The first fragment of a document is its prefix, so long
 that two documents over the threshold must share a gram of it. Candidates come
 from the prefixes only; overlaps are counted fragment by fragment and summed
 per pair, and a pair leaves as soon as one fragment shows more differing grams
-than the threshold leaves room for.
+than the threshold leaves room for. Where a list of one prefix gram still holds
+documents that are not known to be connected, its pairs are compared inside the
+task by the parities of many fine fragments, a lower bound of their differing
+grams; only pairs that this bound can't refute become rows.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import only_ids, written
+from tidegrid.llm.common import few_or_shuffled, only_ids, text_blocks, written
 from tidegrid.llm.components import connected_components
 
 #: Documents that show a gram in their prefix before it counts as common, and the most grams put last as common.
@@ -29,12 +33,16 @@ COMMON_FROM = 24
 COMMON_MOST = 500_000
 #: Grams that a task holds while it counts which of them several of its documents show.
 HELD_GRAMS = 4_000_000
-#: Hubs of each list in the first and in the second round.
-HUBS = (2, 4)
+#: Hubs of each list in a round. Another round follows while one leaves less than this share of the open rows.
+HUBS = 2
+ROUND_LEAVES = 0.67
+MOST_ROUNDS = 8
 #: Fragments of the grams after the prefix.
 FRAGMENTS = 4
-#: Words whose hash a worker remembers.
-MAX_WORDS = 300_000
+#: Documents of one list block; larger groups are compared block against block.
+BLOCK_NODES = 1024
+#: Cells of the pair tables, pairs, and 8-byte words of parities that a task holds at a time.
+CELLS, PAIRS, WORDS = 16_000_000, 1_000_000, 2_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -44,149 +52,229 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 class GramHasher:
     """Distinct n-gram hashes of texts: A-Z lowered, words between ASCII white space."""
 
     def __init__(self, n: int):
         self.n = n
-        self.words: dict[bytes, int] = {}
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and each text's number of words."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+        which = coded.indices.to_numpy()
+        counts = pc.list_value_length(split).to_numpy()
+        if "" in distinct:  # before, after or between white space
+            some = which != distinct.index("")
+            before = np.r_[0, np.cumsum(some)]
+            ends = np.cumsum(counts)
+            counts = before[ends] - before[ends - counts]
+            which = which[some]
+        return hashes[which], counts.astype(np.int64)
+
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat sorted distinct hashes (int64) of each text, and the offsets between texts.
+
+        Fewer than n words: one gram of all of them. No words: none.
+        """
+        h, counts = self._words(texts)
+        ends = np.cumsum(counts)
+        width = np.minimum(counts, self.n)
+        sizes = np.where(counts > 0, counts - width + 1, 0)
+        offsets = np.r_[0, np.cumsum(sizes)]
+        out = np.empty(int(offsets[-1]), dtype=np.uint64)
+        for w in np.unique(width[width > 0]).tolist():
+            mine = np.flatnonzero(width == w)
+            if w == self.n:
+                acc = np.full(max(0, len(h) - w + 1), w, dtype=np.uint64)
+                for k in range(w):
+                    acc = _mix(acc * _M1 + h[k : len(h) - w + 1 + k])
+                at = np.repeat((ends - counts)[mine], sizes[mine]) + _steps(sizes[mine])
+                out[np.repeat(offsets[:-1][mine], sizes[mine]) + _steps(sizes[mine])] = acc[at]
+            else:
+                acc = np.full(len(mine), w, dtype=np.uint64)
+                for k in range(w):
+                    acc = _mix(acc * _M1 + h[(ends - counts)[mine] + k])
+                out[offsets[:-1][mine]] = acc
+        flat = out.view(np.int64)
+        cuts = offsets.tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            flat[a:b].sort()
+        fresh = np.ones(len(flat), dtype=bool)
+        fresh[1:] = flat[1:] != flat[:-1]
+        fresh[offsets[:-1][sizes > 0]] = True
+        return flat[fresh], np.r_[0, np.cumsum(fresh)][offsets]
 
     def grams(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes (int64). Fewer than n words: one gram of all of them. No words: none."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, dtype=np.int64)
-        known = self.words
-        if len(known) > MAX_WORDS:
-            known.clear()
-        try:
-            got = list(map(known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            got = list(map(known.__getitem__, words))
-        h = np.array(got, dtype=np.uint64)
-        width = min(self.n, len(h))
-        out = np.full(len(h) - width + 1, width, dtype=np.uint64)
-        for k in range(width):
-            out = _mix(out * _M1 + h[k : len(h) - width + 1 + k])
-        return np.unique(out.view(np.int64))
-
-
-def prefix_size(n: int, num: int, den: int) -> int:
+        """The sorted distinct hashes of one text."""
+        return self.sets(pa.array([text], pa.string()))[0]
+
+
+def prefix_size(n, num: int, den: int):
     """Grams of an n-gram set that may be left out before it could no longer reach num/den, plus one."""
-    return n - -(-num * n // den) + 1 if n else 0
+    return np.where(np.asarray(n) > 0, n - -(-num * np.asarray(n) // den) + 1, 0)
+
+
+class GramOrder:
+    """The global order: rare grams by hash, then common ones by hash."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = common
+        self.may = np.zeros(1 << 22, dtype=bool)
+        self.may[self._slot(common)] = True
+
+    @staticmethod
+    def _slot(grams: np.ndarray) -> np.ndarray:
+        return (grams.view(np.uint64) >> np.uint64(42)).astype(np.int64)
+
+    def arrange(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets in this order, and how many grams of each are rare."""
+        sizes = np.diff(offsets)
+        late = np.zeros(len(flat), dtype=bool)
+        if len(self.common):
+            at = np.flatnonzero(self.may[self._slot(flat)])
+            found = np.minimum(np.searchsorted(self.common, flat[at]), len(self.common) - 1)
+            late[at] = self.common[found] == flat[at]
+        rare = np.r_[0, np.cumsum(~late)]
+        n_rare = np.diff(rare[offsets])
+        begin = np.repeat(offsets[:-1], sizes)
+        rank = rare[:-1] - np.repeat(rare[offsets[:-1]], sizes)  # rare grams of the set before this one
+        place = begin + np.where(late, np.repeat(n_rare, sizes) + (np.arange(len(flat)) - begin - rank), rank)
+        out = np.empty_like(flat)
+        out[place] = flat
+        return out, n_rare
+
+
+def parity_words(size: np.ndarray) -> np.ndarray:
+    """Words of 64 fine fragments for sets of these sizes: 16 fragments a gram up to 4096, at least 2 a gram beyond."""
+    n = np.maximum(np.maximum(2 * size, np.minimum(16 * size, 4096)), 128)
+    return (1 << np.ceil(np.log2(n)).astype(np.int64)) >> 6
+
+
+def parities(grams: np.ndarray, words: int) -> np.ndarray:
+    """One bit for each fine fragment of the order of hashes: whether an odd number of the set's grams falls into it.
+
+    Two sets differ in at least as many grams as in bits. XOR of neighbouring
+    words gives the parities of half as many fragments.
+    """
+    u = grams.view(np.uint64) ^ np.uint64(1 << 63)
+    word = (u >> np.uint64(65 - int(words).bit_length())).astype(np.int64)
+    out = np.zeros(words, dtype="<u8")
+    if len(u):
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[first]] = np.bitwise_xor.reduceat(np.uint64(1) << (u & np.uint64(63)), first)
+    return out
 
 
-def in_order(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
-    """The grams in the global order (rare ones by hash, then common ones by hash), and how many are rare."""
-    if not len(common) or not len(grams):
-        return grams, len(grams)
-    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-    late = common[at] == grams
-    return np.r_[grams[~late], grams[late]], int((~late).sum())
+def _digests(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two hashes of each whole set."""
+    raw, cuts = memoryview(flat).cast("B"), (8 * offsets).tolist()
+    made = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
+    return np.frombuffer(made, dtype="<i8").reshape(-1, 2)
 
 
-def gram_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str, common: np.ndarray | None = None) -> DataFrame:
-    """(id, size, h1, h2, prefix, rare, counts): one row per document, in one pass over the texts.
+def _first_of(flat: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """The first grams of each set."""
+    at = np.repeat(offsets[:-1], counts) + _steps(counts)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat[at]))
 
-    ``prefix`` holds the first grams in the global order, of which ``rare`` are
-    not common; h1 and h2 are hashes of the whole set. Without ``common``, rows
-    of size -1 come between: grams that several documents of one task show, and
-    their ``counts``.
+
+def gram_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
+    """(id, size, h1, h2, prefix, counts): one row per document; h1 and h2 are hashes of the whole set.
+
+    ``prefix`` holds the first grams by hash. Rows of size -1 come between:
+    grams that several documents of one task show, and their ``counts``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, dtype=np.int64) if common is None else common)
-    counting = common is None
-
-    def rows(ids, size, h1, h2, prefixes, rare, counts) -> pa.RecordBatch:
-        ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
-        flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
-        return pa.record_batch(
-            [
-                ids,
-                pa.array(size, pa.int64()),
-                pa.array(h1, pa.int64()),
-                pa.array(h2, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                pa.array(rare, pa.int32()),
-                pa.array(counts, pa.list_(pa.int32())),
-            ],
-            names=["id", "size", "h1", "h2", "prefix", "rare", "counts"],
-        )
+    names = ["id", "size", "h1", "h2", "prefix", "counts"]
 
     def shown(held: list[np.ndarray]) -> pa.RecordBatch:
         g, c = np.unique(np.concatenate(held), return_counts=True)
-        return rows(pa.array([None], pa.int64()), [-1], [0], [0], [g[c > 1]], [0], [c[c > 1].astype(np.int32)])
+        g, c = g[c > 1], c[c > 1].astype(np.int32)
+        ends = pa.array([0, len(g)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(g)), pa.ListArray.from_arrays(ends, pa.array(c))]
+        return pa.record_batch([pa.array([None], pa.int64()), *[pa.array([x], pa.int64()) for x in (-1, 0, 0)], *lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, late, held, many = GramHasher(n), shared.value, [], 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                size, h1, h2, prefixes, rares = [], [], [], [], []
-                for t in part.column(1):
-                    g = hasher.grams(t.as_py())
-                    size.append(len(g))
-                    d = xxhash.xxh3_128_digest(g.tobytes())
-                    h1.append(int.from_bytes(d[:8], "little", signed=True))
-                    h2.append(int.from_bytes(d[8:], "little", signed=True))
-                    k = prefix_size(len(g), num, den)
-                    g, rare = in_order(g, late)
-                    prefixes.append(g[:k].copy())
-                    rares.append(min(k, rare))
-                    if counting:
-                        held.append(g)
-                        many += len(g)
-                yield rows(part.column(0).cast(pa.int64()), size, h1, h2, prefixes, rares, [None] * len(size))
-                if many > HELD_GRAMS:
-                    yield shown(held)
-                    held, many = [], 0
+        hasher, held, many = GramHasher(n), [], 0
+        for part in text_blocks(batches, 1):
+            flat, offsets = hasher.sets(part.column(1))
+            size, digest = np.diff(offsets), _digests(flat, offsets)
+            out = [part.column(0).cast(pa.int64()), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            out += [_first_of(flat, offsets, prefix_size(size, num, den)), pa.nulls(len(size), pa.list_(pa.int32()))]
+            yield pa.record_batch(out, names=names)
+            held.append(flat)
+            many += len(flat)
+            if many > HELD_GRAMS:
+                yield shown(held)
+                held, many = [], 0
         if held:
             yield shown(held)
 
-    schema = "id long, size long, h1 long, h2 long, prefix array<long>, rare int, counts array<int>"
+    schema = "id long, size long, h1 long, h2 long, prefix array<long>, counts array<int>"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def fragments(docs: DataFrame, n: int, text: str, common: np.ndarray) -> DataFrame:
-    """(node, fragment, grams): each set cut by the global order; fragment -1 holds common grams, the rest hash ranges.
-
-    ``node`` is the hash of the set.
-    """
+def ordered_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str, common: np.ndarray) -> DataFrame:
+    """(id, size, h1, h2, prefix, rare, bits): prefixes in the global order, of which ``rare`` grams are not common, and parities."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, late = GramHasher(n), shared.value
-        edges = np.linspace(-(2.0**63), 2.0**63, FRAGMENTS + 1)[1:-1].astype(np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part, ids, which, sets = batch.slice(lo, 512), [], [], []
-                for t in part.column(0):
-                    whole = hasher.grams(t.as_py())
-                    node = int.from_bytes(xxhash.xxh3_128_digest(whole.tobytes())[:8], "little", signed=True)
-                    g, rare = in_order(whole, late)
-                    cuts = [0, *np.searchsorted(g[:rare], edges).tolist(), rare, len(g)]
-                    for k in range(FRAGMENTS + 1):
-                        ids.append(node)
-                        which.append(k if k < FRAGMENTS else -1)
-                        sets.append(g[cuts[k] : cuts[k + 1]])
-                ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                yield pa.record_batch(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array(which, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64))),
-                    ],
-                    names=["node", "fragment", "grams"],
-                )
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, fragment int, grams array<long>")
+        hasher, order = GramHasher(n), GramOrder(shared.value)
+        for part in text_blocks(batches, 1):
+            flat, offsets = hasher.sets(part.column(1))
+            size, digest = np.diff(offsets), _digests(flat, offsets)
+            cuts, words = offsets.tolist(), parity_words(size)
+            bits = [parities(flat[a:b], w).tobytes() for a, b, w in zip(cuts, cuts[1:], words.tolist(), strict=False)]
+            k = prefix_size(size, num, den)
+            placed, rare = order.arrange(flat, offsets)
+            yield pa.record_batch(
+                [
+                    part.column(0).cast(pa.int64()),
+                    pa.array(size),
+                    pa.array(digest[:, 0]),
+                    pa.array(digest[:, 1]),
+                    _first_of(placed, offsets, k),
+                    pa.array(np.minimum(k, rare).astype(np.int32)),
+                    pa.array(bits, pa.binary()),
+                ],
+                names=["id", "size", "h1", "h2", "prefix", "rare", "bits"],
+            )
+
+    schema = "id long, size long, h1 long, h2 long, prefix array<long>, rare int, bits binary"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _room(size_a: Column, size_b: Column, num: int, den: int) -> Column:
-    """Differing grams that two sets of these sizes may have at most: (a+b) - 2 * least overlap."""
-    return size_a + size_b - 2 * _least_overlap(size_a, size_b, num, den)
+def fragments(docs: DataFrame, n: int, text: str, common: np.ndarray) -> DataFrame:
+    """(h1, h2, fragment, grams): each set cut by the global order; fragment -1 holds common grams, the rest hash ranges."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, order = GramHasher(n), GramOrder(shared.value)
+        edges = np.linspace(-(2.0**63), 2.0**63, FRAGMENTS + 1)[1:-1].astype(np.int64)
+        for part in text_blocks(batches, 0):
+            flat, offsets = hasher.sets(part.column(0))
+            digest = np.repeat(_digests(flat, offsets), FRAGMENTS + 1, axis=0)
+            placed, rare = order.arrange(flat, offsets)
+            cuts = [np.r_[a, a + np.searchsorted(placed[a : a + r], edges), a + r] for a, r in zip(offsets[:-1].tolist(), rare.tolist(), strict=True)]
+            ends = np.r_[np.concatenate(cuts) if cuts else np.zeros(0, np.int64), len(placed)].astype(np.int32)
+            yield pa.record_batch(
+                [
+                    pa.array(np.ascontiguousarray(digest[:, 0])),
+                    pa.array(np.ascontiguousarray(digest[:, 1])),
+                    pa.array(np.tile(np.r_[np.arange(FRAGMENTS), -1].astype(np.int32), len(rare))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(placed)),
+                ],
+                names=["h1", "h2", "fragment", "grams"],
+            )
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "h1 long, h2 long, fragment int, grams array<long>")
 
 
 def _least_overlap(size_a: Column, size_b: Column, num: int, den: int) -> Column:
@@ -194,6 +282,11 @@ def _least_overlap(size_a: Column, size_b: Column, num: int, den: int) -> Column
     return F.floor(((size_a + size_b) * num + (num + den - 1)) / F.lit(num + den)).cast("long")
 
 
+def _room(size_a: Column, size_b: Column, num: int, den: int) -> Column:
+    """Differing grams that two sets of these sizes may have at most: (a+b) - 2 * least overlap."""
+    return size_a + size_b - 2 * _least_overlap(size_a, size_b, num, den)
+
+
 def _may_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, num: int, den: int) -> Column:
     """Whether a gram at these places (from 0) of two ordered sets can be the first one that linked sets share.
 
@@ -230,30 +323,30 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int
     left = written(
         first.where(differing <= _room(F.col("size_a"), F.col("size_b"), num, den)).select("a", "b", "size_a", "size_b"), "jaccard_pairs"
     )
-    need = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-    ids = reps.select("node", F.col("id").alias(id_col)).join(need, "node", "left_semi").select(id_col)
-    parts = fragments(only_ids(docs, written(ids, "jaccard_need"), id_col), n, text, common)
-    # A repeated row repeats its fragments; the largest overlap of a fragment is the one overlap.
+    sides = left.select(F.col("a").alias("node"), "*").union(left.select(F.col("b").alias("node"), "*"))
+    need = written(reps.select("node", "id", "h1", "h2").join(sides.select("node").distinct(), "node", "left_semi"), "jaccard_need")
+    ids = need.select(F.col("id").alias(id_col)).distinct()
+    # A repeated row repeats its fragments; its pairs count each fragment once.
+    parts = fragments(only_ids(docs, ids, id_col), n, text, common).join(need, ["h1", "h2"]).select("node", "fragment", "grams")
     overlap = (
-        left.join(parts.toDF("a", "fragment", "grams_a"), "a")
-        .join(parts.toDF("b", "fragment", "grams_b"), ["b", "fragment"])
+        sides.join(parts, "node")
         .groupBy("a", "b", "size_a", "size_b", "fragment")
-        .agg(F.max(F.size(F.array_intersect("grams_a", "grams_b"))).alias("overlap"))
+        .agg(F.max_by("grams", F.col("node") == F.col("a")).alias("of_a"), F.max_by("grams", F.col("node") == F.col("b")).alias("of_b"))
         .groupBy("a", "b", "size_a", "size_b")
-        .agg(F.sum("overlap").alias("overlap"))
+        .agg(F.sum(F.size(F.array_intersect("of_a", "of_b"))).alias("overlap"))
     )
     return overlap.where(F.col("overlap") * den >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * num).select("a", "b")
 
 
 def _open_lists(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The rows of the lists that still hold several components, with each row's component."""
+    """The rows of the lists that still hold several components, with each row's component and each list's anchor, one of its nodes."""
     known = lists.select("gram", "at", "node", "size")
     if comps is not None:
         known = known.join(comps.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:
         known = known.withColumn("comp", F.col("node"))
-    still = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    return known.join(still, "gram").select("gram", "at", "node", "size", "comp")
+    seen = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("node", F.xxhash64("node")).alias("anchor"))
+    return known.join(seen.where("lo < hi").select("gram", "anchor"), "gram").select("gram", "at", "node", "size", "comp", "anchor")
 
 
 def _hub_pairs(lists: DataFrame, hubs: int, seed: int, num: int, den: int) -> DataFrame:
@@ -269,6 +362,136 @@ def _hub_pairs(lists: DataFrame, hubs: int, seed: int, num: int, den: int) -> Da
     )
 
 
+class BlockPairs:
+    """Pairs across components that lists of whole blocks may still link; each list is compared in one task, no pair becomes a row before."""
+
+    def __init__(self, block: pa.Table, num: int, den: int):
+        self.num, self.den = num, den
+        get = {c: block[c].combine_chunks() for c in ("lists", "bits")}
+        self.node, self.size, self.comp, self.part, lo, hi, anchor = (
+            block[c].to_numpy() for c in ("node", "size", "comp", "part", "lo", "hi", "anchor")
+        )
+        self.across = lo != hi
+        # The groups follow each other; their pairs are cells of one flat table.
+        first = np.r_[True, (anchor[1:] != anchor[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+        group = np.cumsum(first) - 1
+        members = np.bincount(group)
+        self.members, self.inside = members[group], np.arange(len(group)) - np.flatnonzero(first)[group]
+        self.base = np.r_[0, np.cumsum(members * members)]
+        self.group = group
+        entries = get["lists"].flatten()
+        row = np.repeat(np.arange(len(group)), pc.list_value_length(get["lists"]).to_numpy())
+        gram, at = entries.field("gram").to_numpy(), entries.field("at").to_numpy()
+        order = np.lexsort((gram, group[row]))
+        self.row, self.at = row[order], at[order].astype(np.int64)
+        fresh = np.r_[True, (gram[order][1:] != gram[order][:-1]) | (group[self.row][1:] != group[self.row][:-1])]
+        ends = np.r_[np.flatnonzero(fresh)[1:], len(fresh)]
+        self.later = ends[np.cumsum(fresh) - 1] - np.arange(len(fresh)) - 1  # entries of the same list behind each
+        self.bits = get["bits"]
+
+    def _least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((self.size[a] + self.size[b]) * self.num + self.num + self.den - 1) // (self.num + self.den)
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of pairs that a list's places allow, each pair of a group once."""
+        cells = np.zeros(int(self.base[-1]), dtype=bool)
+        laid, lo = np.r_[0, np.cumsum(self.later)], 0
+        while lo < len(self.row):
+            hi = max(lo + 1, int(np.searchsorted(laid, laid[lo] + PAIRS, side="right")) - 1)
+            i = np.repeat(np.arange(lo, hi), self.later[lo:hi])
+            j = i + _steps(self.later[lo:hi]) + 1
+            a, b = self.row[i], self.row[j]
+            least = self._least(a, b)
+            fits = (self.comp[a] != self.comp[b]) & (self.at[i] <= self.size[a] - least) & (self.at[j] <= self.size[b] - least)
+            fits &= ~self.across[a] | (self.part[a] != self.part[b])
+            a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
+            cells[self.base[self.group[a]] + self.inside[a] * self.members[a] + self.inside[b]] = True
+            lo = hi
+        at = np.flatnonzero(cells)
+        group = np.searchsorted(self.base, at, side="right") - 1
+        members = np.bincount(self.group)
+        begin = np.cumsum(members) - members
+        a, b = np.divmod(at - self.base[group], members[group])
+        return begin[group] + a, begin[group] + b
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of the pairs that parities can't refute."""
+        a, b = self.candidates()
+        words = parity_words(self.size)
+        common, keep = np.minimum(words[a], words[b]), np.zeros(len(a), dtype=bool)
+        flat = np.frombuffer(self.bits.buffers()[2], dtype="<u8") if len(a) else np.zeros(0, "<u8")
+        begin = np.frombuffer(self.bits.buffers()[1], dtype=np.int32)[self.bits.offset :] // 8
+        for w in np.unique(common).tolist():
+            table, place = [], np.full(len(self.size), -1, dtype=np.int64)
+            mine = np.flatnonzero(common == w)
+            used = np.unique(np.r_[a[mine], b[mine]])
+            for own in np.unique(words[used]).tolist():
+                rows = used[words[used] == own]
+                bits = flat[begin[rows][:, None] + np.arange(own)]
+                while bits.shape[1] > w:
+                    bits = bits[:, 0::2] ^ bits[:, 1::2]
+                place[rows] = sum(map(len, table)) + np.arange(len(rows))
+                table.append(bits)
+            bits = np.concatenate(table)
+            for k in range(0, len(mine), max(1, WORDS // w)):
+                at = mine[k : k + max(1, WORDS // w)]
+                x, y = a[at], b[at]
+                differ = np.bitwise_count(bits[place[x]] ^ bits[place[y]]).sum(axis=1, dtype=np.int64)
+                keep[at] = differ <= self.size[x] + self.size[y] - 2 * self._least(x, y)
+        return self.node[a[keep]], self.node[b[keep]]
+
+
+def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) across components that the open lists may still link.
+
+    Lists with one anchor go to one task, where each of their documents comes
+    once. Groups of more than BLOCK_NODES documents are dealt in blocks, each
+    pair of blocks to a task of its own.
+    """
+    rows = lists.groupBy("anchor", "node", "size", "comp").agg(F.collect_list(F.struct("gram", "at")).alias("lists"))
+    rows = written(rows.join(reps.select("node", "bits"), "node"), "jaccard_anchored")
+    blocks = rows.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks")).where("blocks > 1")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = (
+        rows.join(blocks, "anchor", "left")
+        .withColumn("part", part)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        .select("anchor", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "size", "comp", "lists", "bits")
+        .repartition("anchor", "lo", "hi")
+        .sortWithinPartitions("anchor", "lo", "hi")
+    )
+
+    def starts(t: pa.Table) -> np.ndarray:
+        keys = [t[c].to_numpy() for c in ("anchor", "lo", "hi")]
+        fresh = np.ones(t.num_rows, dtype=bool)
+        fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        return np.flatnonzero(fresh)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def out(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cells, lo = np.r_[0, np.cumsum(np.diff(np.r_[begin, t.num_rows]) ** 2)], 0
+            while lo < len(begin):
+                hi = max(lo + 1, int(np.searchsorted(cells, cells[lo] + CELLS, side="right")) - 1)
+                end = begin[hi] if hi < len(begin) else t.num_rows
+                a, b = BlockPairs(t.slice(begin[lo], end - begin[lo]).combine_chunks(), num, den).pairs()
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                lo = hi
+
+        for batch in batches:
+            if batch.num_rows:
+                held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+                begin = starts(held)
+                if len(begin) > 1:  # the last group may go on in the next batch
+                    yield from out(held.slice(0, begin[-1]), begin[:-1])
+                    held = held.slice(begin[-1])
+        if held is not None and held.num_rows:
+            yield from out(held, starts(held))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def ngram_jaccard(
     docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -276,9 +499,10 @@ def ngram_jaccard(
 
     Exact: no candidate is dropped. Equal sets are one node before any pair is
     formed. In each list of nodes that share a prefix gram, all pair with a few
-    hubs first; the links found contract the lists. A second round does so in
-    the lists that still hold several components; what is left pairs fully, but
-    across components only. So copies are not expanded into all pairs.
+    hubs first; the links found contract the lists, and rounds with other hubs
+    follow while they close many lists. What is left is compared across
+    components only, inside the tasks, and only pairs that may link leave them.
+    So copies are not expanded into all pairs.
 
     Null or empty text: no n-grams, linked with nothing, its own component.
     Fewer than n words: the whole sequence is the one n-gram. A null id has a
@@ -287,43 +511,39 @@ def ngram_jaccard(
     take part. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col), F.col(text))
-    make = partial(gram_sets, docs, n, num, den, id_col, text)
-    seen = written(make(), "jaccard_sets")
+    seen = written(gram_sets(docs, n, num, den, id_col, text), "jaccard_sets")
     found = seen.where("size >= 0")
     live = found.where("id is not null and size > 0")
-    classes = live.groupBy("h1").agg(F.min("id").alias("rep"))
+    # Nodes are numbered once, in a written table: equal sets are known by two hashes.
+    classes = written(live.groupBy("h1", "h2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "jaccard_classes")
     # Common grams: what prefixes of all documents show, or what documents of one task share, summed over tasks.
     in_prefix = live.select(F.explode("prefix").alias("gram"), F.lit(1).alias("p"), F.lit(0).alias("c"))
     in_task = seen.where("size = -1").select(F.explode(F.arrays_zip("prefix", "counts")).alias("x")).select("x.prefix", F.lit(0), "x.counts")
     counted = in_prefix.union(in_task).groupBy("gram").agg(F.greatest(F.sum("p"), F.sum("c")).alias("n")).where(F.col("n") >= COMMON_FROM)
     common = np.sort(counted.orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram").toArrow()["gram"].to_numpy().astype(np.int64))
-    ordered = make(common=common).where("id is not null and size > 0")
-    nodes = ordered.select("id", F.col("h1").alias("node"), "size", "prefix", "rare")
-    reps = written(only_ids(nodes, written(classes.select(F.col("rep").alias("id"), F.col("h1").alias("node")), "jaccard_classes"), ["id", "node"]), "jaccard_reps")
+    ordered = ordered_sets(docs, n, num, den, id_col, text, common).where("id is not null and size > 0")
+    reps = written(ordered.join(few_or_shuffled(classes), ["id", "h1", "h2"]), "jaccard_reps")
+    if reps.count() > classes.count():  # rows that repeat id and text
+        reps = written(reps.dropDuplicates(["node"]), "jaccard_reps")
     lists = reps.select(F.posexplode("prefix").alias("at", "gram"), "node", "size").repartition("gram")
-    several = lists.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    several = lists.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
     lists = written(lists.join(several, "gram"), "jaccard_lists")
     verify = partial(_linked, reps=reps, docs=docs, n=n, num=num, den=den, common=common, id_col=id_col, text=text)
-    comps = None
-    for k, hubs in enumerate(HUBS):
+    comps, many = None, None
+    for k in range(MOST_ROUNDS):
         lists = written(_open_lists(lists, comps), "jaccard_open")
-        links = verify(written(_hub_pairs(lists, hubs, 10 * k, num, den), "jaccard_hub_pairs"))
+        before, many = many, lists.count()
+        if not many or before is not None and many > ROUND_LEAVES * before:
+            break
+        links = verify(written(_hub_pairs(lists, HUBS, HUBS * k, num, den), "jaccard_hub_pairs"))
         old = links.limit(0) if comps is None else comps.toDF("a", "b")
         comps = connected_components(old.union(links), "a", "b")
-    rest = written(_open_lists(lists, comps), "jaccard_open")
-    across = (
-        rest.toDF("gram", "at_a", "a", "size_a", "comp_a")
-        .join(rest.toDF("gram", "at_b", "b", "size_b", "comp_b"), "gram")
-        .where("a < b and comp_a <> comp_b")
-        .where(_may_link(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b"), num, den))
-        .select("a", "b")
-        .distinct()
-    )
-    final = connected_components(comps.toDF("a", "b").union(verify(written(across, "jaccard_across"))), "a", "b")
-    by_set = classes.join(final.toDF("h1", "root"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
-    least = by_set.groupBy("root").agg(F.min("rep").alias("component"))
-    by_set = by_set.join(least, "root").select("h1", "component")
-    out = found.select("id", "size", "h1").join(by_set, "h1", "left")
+    links = verify(written(_block_pairs(lists, reps, num, den), "jaccard_block_pairs"))
+    final = connected_components(comps.toDF("a", "b").union(links), "a", "b") if comps is not None else connected_components(links, "a", "b")
+    by_set = classes.join(final.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = by_set.groupBy("root").agg(F.min("id").alias("component"))
+    by_set = by_set.join(least, "root").select("h1", "h2", "component")
+    out = found.select("id", "size", "h1", "h2").join(by_set, ["h1", "h2"], "left")
     linked = F.col("id").isNotNull() & (F.col("size") > 0)
     return out.select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("id")).alias("component_id")
