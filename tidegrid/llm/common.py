@@ -63,6 +63,11 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_00
             lo = hi
 
 
+def strings(column: pa.Array) -> list:
+    """The values as Python strings, by way of numpy, which is many times faster than ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Path of a public vocabulary file; ``folder`` overrides the installed place."""
     if folder:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import few_or_shuffled, only_ids, text_blocks, written
+from tidegrid.llm.common import few_or_shuffled, only_ids, strings, text_blocks, written
 from tidegrid.llm.components import connected_components
 
 #: Documents that show a gram in their prefix before it counts as common, and the most grams put last as common.
@@ -67,7 +67,7 @@ class GramHasher:
         """Hashes of all words, and each text's number of words."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = strings(coded.dictionary)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
         which = coded.indices.to_numpy()
         counts = pc.list_value_length(split).to_numpy()

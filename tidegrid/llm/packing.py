@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import written
+from tidegrid.llm.common import strings, text_blocks, written
 from tidegrid.llm.merge_rounds import MergeTable
 
 #: Binary digits of a quantum's fraction.
@@ -35,8 +35,8 @@ FRACTION = 16
 MAX_QUEUES = 512
 #: Parts of documents that are laid out at once; a longer document alone may have one a token.
 MAX_PARTS = 500_000
-#: Chunks whose ids a worker remembers, and the bytes it tokenises at a time.
-MAX_CHUNKS = 300_000
+#: Parts of words whose ids a worker remembers, and the bytes it tokenises at a time.
+MAX_PARTS_KEPT = 300_000
 BLOCK_BYTES = 4_000_000
 #: Places of so many blocks and queues may be broadcast; more are joined in a shuffle.
 MAX_PLACES = 500_000
@@ -49,9 +49,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Chunks of plain letters, digits and signs, for which the vocabulary's own steps are simple enough to take here.
-_PLAIN = re.compile("[A-Za-z0-9!\"#$%&()*+,./:;=>?@\\[\\]\\\\^_`{|}~À-ÖØ-öø-ÿ-]+")
-#: What such a chunk falls into once it is in lower case: letters, single digits, other signs.
+#: The steps of the vocabulary file that the plain path below takes by itself. Files with others are refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Chunks of plain letters, digits and signs (no apostrophe, nothing that NFC changes, no sign of a special string).
+_PLAIN = "^[A-Za-z0-9!\"#$%&()*+,./:;=>?@\\[\\]\\\\^_`{|}~À-ÖØ-öø-ÿ-]+$"
+#: What such a chunk falls into once it is in lower case: most are letters with signs behind them.
+_WORD = "^(?P<letters>[a-zß-öø-ÿ]+)(?P<signs>[^a-z0-9ß-öø-ÿ]*)$"
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -60,7 +64,10 @@ class WordMerges:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, split = file["model"], (file["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        if model["type"] != "BPE" or file["normalizer"] != NORMALIZER or split.get("pattern") != {"Regex": SPLIT} or not model["end_of_word_suffix"]:
+            raise ValueError(f"{path}: packing knows byte-pair vocabularies of lower-case words only")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -70,22 +77,32 @@ class WordMerges:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.table = MergeTable(max(vocab.values()) + 1, [(vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(pairs)])
 
-    def chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of plain chunks and each one's count."""
-        parts = [_PARTS.findall(c.lower()) for c in chunks]
-        raw = [p.encode() for x in parts for p in x]
-        lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        octets = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    def part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of plain parts, none of them empty, and each one's count."""
+        if not len(parts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        parts = pa.concat_arrays([parts])  # whole buffers, from offset 0
+        cuts = np.frombuffer(parts.buffers()[1], dtype=np.int32)[: len(parts) + 1]
+        octets = np.frombuffer(parts.buffers()[2], dtype=np.uint8)[cuts[0] : cuts[-1]]
+        ends = cuts[1:] - cuts[0] - 1
         sym = self.inner[octets]
-        ends = np.cumsum(lengths) - 1
         sym[ends] = self.last[octets[ends]]
-        flat, counts = self.table.merge(sym, lengths)
-        owner = np.repeat(np.arange(len(chunks)), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
-        return flat.astype(np.int32), np.bincount(owner, weights=counts, minlength=len(chunks)).astype(np.int64)
+        flat, counts = self.table.merge(sym, np.diff(cuts).astype(np.int64))
+        return flat.astype(np.int32), counts.astype(np.int64)
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each count, one after the other."""
+    begin = np.cumsum(count) - count
+    return np.repeat(start - begin, count) + np.arange(int(count.sum()))
 
 
 class ChunkIds:
-    """Ids of texts by chunks between plain white space, which this vocabulary drops and never crosses."""
+    """Ids of texts by chunks between plain white space, which this vocabulary drops and never crosses.
+
+    Plain chunks fall into parts; each distinct part is merged once, and the
+    frequent ones stay in memory. All other chunks go to the library.
+    """
 
     def __init__(self, path: str):
         self.tokenizer, self.merges = _tokenizer(path), WordMerges(path)
@@ -97,41 +114,60 @@ class ChunkIds:
         self.used = np.zeros(0, np.int64)
 
     def forget_rare(self) -> None:
-        """Keep the chunks that came up often since the last time, if they leave room."""
-        often = self.used >= 3
-        kept = [w for w, k in self.index.items() if often[k]]
-        at = np.array([self.index[w] for w in kept], dtype=np.int64)
+        """Keep the parts that came up often since the last time, if they leave room."""
+        kept = [w for w, often in zip(self.index, (self.used >= 3).tolist(), strict=True) if often]
+        at = np.flatnonzero(self.used >= 3)
         start, count, flat = self.start, self.count, self.flat
         self.clear()
-        if 2 * len(kept) < MAX_CHUNKS:
-            counts = count[at]
-            begin = np.cumsum(counts) - counts
-            self.flat = flat[np.repeat(start[at] - begin, counts) + np.arange(int(counts.sum()))]
-            self.start, self.count, self.used = begin, counts, np.zeros(len(kept), np.int64)
+        if 2 * len(kept) < MAX_PARTS_KEPT:
+            self.flat = flat[_spread(start[at], count[at])]
+            self.count, self.used = count[at], np.zeros(len(kept), np.int64)
+            self.start = np.cumsum(self.count) - self.count
             self.index = dict(zip(kept, range(len(kept)), strict=True))
 
-    def lookup(self, words: list[str]) -> np.ndarray:
-        """Places of distinct chunks; new ones are tokenised."""
-        if len(self.index) > MAX_CHUNKS:
+    def lookup(self, parts: pa.Array) -> np.ndarray:
+        """Places of distinct plain parts; new ones are merged."""
+        if len(self.index) > MAX_PARTS_KEPT:
             self.forget_rare()
+        words = strings(parts)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        miss = np.flatnonzero(at < 0).tolist()
-        if miss:
-            plain, other = [], []
-            for i in miss:
-                (plain if _PLAIN.fullmatch(words[i]) else other).append(i)
-            flat, counts = self.merges.chunk_ids([words[i] for i in plain])
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
-            counts = np.r_[counts, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))]
-            base, new = len(self.start), plain + other
-            at[new] = np.arange(base, base + len(new))
-            self.index.update(zip([words[i] for i in new], range(base, base + len(new)), strict=True))
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            flat, counts = self.merges.part_ids(parts.take(pa.array(miss)))
+            base = len(self.start)
+            at[miss] = np.arange(base, base + len(miss))
+            self.index.update(zip([words[i] for i in miss.tolist()], range(base, base + len(miss)), strict=True))
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(counts) - counts]
-            self.count = np.r_[self.count, counts]
-            self.flat = np.r_[self.flat, flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32)]
-            self.used = np.r_[self.used, np.zeros(len(new), np.int64)]
+            self.count, self.flat = np.r_[self.count, counts], np.r_[self.flat, flat]
+            self.used = np.r_[self.used, np.zeros(len(miss), np.int64)]
         return at
 
+    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, count) of the parts of each distinct chunk, in order, then (place of each part's ids, their count) in ``self.flat``."""
+        plain = pc.match_substring_regex(chunks, _PLAIN).to_numpy(zero_copy_only=False)
+        lower = pc.utf8_lower(chunks.take(pa.array(np.flatnonzero(plain))))
+        word = pc.extract_regex(lower, _WORD)
+        easy = word.is_valid().to_numpy(zero_copy_only=False)
+        at_easy, at_hard = np.flatnonzero(plain)[easy], np.flatnonzero(plain)[~easy]
+        word = word.take(pa.array(np.flatnonzero(easy)))
+        signed = np.flatnonzero(pc.greater(pc.binary_length(word.field("signs")), 0).to_numpy(zero_copy_only=False))
+        hard = [_PARTS.findall(c) for c in strings(lower.take(pa.array(np.flatnonzero(~easy))))]
+        other = [e.ids for e in self.tokenizer.encode_batch_fast(strings(chunks.take(pa.array(np.flatnonzero(~plain)))), add_special_tokens=False)]
+        parts = pa.concat_arrays(
+            [word.field("letters"), word.field("signs").take(pa.array(signed)), pa.array([x for h in hard for x in h], pa.string())]
+        ).dictionary_encode()
+        owner = np.r_[at_easy, at_easy[signed], np.repeat(at_hard, np.array([len(h) for h in hard], dtype=np.int64))]
+        places = self.lookup(parts.dictionary)[parts.indices.to_numpy()]
+        # Chunks that the library tokenised are one part each, behind all others for this call only.
+        counts = np.fromiter(map(len, other), dtype=np.int64, count=len(other))
+        order = np.argsort(np.r_[owner, np.flatnonzero(~plain)], kind="stable")
+        start = np.r_[self.start[places], len(self.flat) + np.cumsum(counts) - counts][order]
+        count = np.r_[self.count[places], counts][order]
+        self.used += np.bincount(places, minlength=len(self.used))
+        many = np.bincount(np.r_[owner, np.flatnonzero(~plain)], minlength=len(chunks))
+        self.more = np.fromiter(chain.from_iterable(other), dtype=np.int32)
+        return np.cumsum(many) - many, many, start, count
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, each with the end id, and the offsets between them.
 
@@ -140,16 +176,17 @@ class ChunkIds:
         """
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        distinct = self.lookup(coded.dictionary.to_pylist())
+        first, many, start, count = self.chunk_ids(coded.dictionary)
         which = coded.indices.to_numpy()
-        self.used[distinct] += np.bincount(which, minlength=len(distinct))
-        at = distinct[which]
-        counts, starts = self.count[at], self.start[at]
+        k = many[which]
+        part = _spread(first[which], k)
+        counts = count[part]
+        flat = np.concatenate([self.flat, self.more])[_spread(start[part], counts)]
+        parts_before = np.r_[0, np.cumsum(k)]
         total = np.r_[0, np.cumsum(counts)]
-        flat = self.flat[np.repeat(starts - total[:-1], counts) + np.arange(total[-1])]
-        ends = total[np.cumsum(pc.list_value_length(split).to_numpy())]
+        ends = total[parts_before[np.cumsum(pc.list_value_length(split).to_numpy())]]
         flat = np.insert(flat, ends, end_id)
-        return flat.astype(np.int32), np.r_[0, ends + np.arange(1, len(ends) + 1)]
+        return flat, np.r_[0, ends + np.arange(1, len(ends) + 1)]
 
 
 @lru_cache(maxsize=2)
@@ -166,28 +203,23 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, block, held = _chunks(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            queues, lo = batch.column(2).to_pylist(), 0
-            octets = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())]
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(octets, octets[lo] + BLOCK_BYTES, side="right")) - 1)
-                flat, ends = coder.encode(batch.column(1).slice(lo, hi - lo), end_id)
-                sizes, before = np.diff(ends), []
-                for q, n in zip(queues[lo:hi], sizes.tolist(), strict=True):
-                    before.append(held.get(q, 0))
-                    held[q] = before[-1] + n
-                yield pa.record_batch(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(queues[lo:hi], pa.string()),
-                        pa.array(np.full(hi - lo, block, dtype=np.int64)),
-                        pa.array(before, pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)),
-                    ],
-                    names=[id_col, "queue", "block", "before", "tokens", "ids"],
-                )
-                lo = hi
+        for part in text_blocks(batches, 1, BLOCK_BYTES):
+            flat, ends = coder.encode(part.column(1), end_id)
+            sizes, before, queues = np.diff(ends), [], strings(part.column(2))
+            for q, n in zip(queues, sizes.tolist(), strict=True):
+                before.append(held.get(q, 0))
+                held[q] = before[-1] + n
+            yield pa.record_batch(
+                [
+                    part.column(0),
+                    part.column(2),
+                    pa.array(np.full(len(sizes), block, dtype=np.int64)),
+                    pa.array(before, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)),
+                ],
+                names=[id_col, "queue", "block", "before", "tokens", "ids"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text, source).mapInArrow(
@@ -304,7 +336,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = quanta[[index[x] for x in batch.column("queue").to_pylist()]]
+            q = quanta[[index[x] for x in strings(batch.column("queue"))]]
             _, n = _parts(batch.column("begin").to_numpy(), batch.column("tokens").to_numpy(), q)
             laid, lo, hi = np.r_[0, np.cumsum(n)], 0, 0
             while hi < batch.num_rows:
@@ -312,7 +344,7 @@ def pack(
                 part = batch.slice(lo, hi - lo)
                 begin = part.column("begin").to_numpy()
                 size = part.column("tokens").to_numpy()
-                queue = np.array([index[q] for q in part.column("queue").to_pylist()], dtype=np.int64)
+                queue = np.array([index[q] for q in strings(part.column("queue"))], dtype=np.int64)
                 doc, start, length, seq, offset = pieces_of(begin, size, queue, held, quanta, window)
                 column = part.column("ids")
                 flat = column.flatten().to_numpy()

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import text_blocks, written
+from tidegrid.llm.common import strings, text_blocks, written
 
 #: Pre-tokens whose counts are broadcast: the commonest of the corpus, at most so many.
 HEAD = 300_000
@@ -84,7 +84,7 @@ class Splitter:
         signed = ended.is_valid().to_numpy(zero_copy_only=False)
         letters, marked, mixed = np.flatnonzero(plainly), np.flatnonzero(signed), np.flatnonzero(~plainly & ~signed)
         ended = ended.take(pa.array(marked))
-        found = [PRE_TOKEN.findall(c) for c in glued(word.take(pa.array(mixed)), mixed).to_pylist()]
+        found = [PRE_TOKEN.findall(c) for c in strings(glued(word.take(pa.array(mixed)), mixed))]
         tokens = [glued(word.take(pa.array(letters)), letters), glued(ended.field("letters"), marked), ended.field("signs")]
         tokens.append(pa.array([t for f in found for t in f], pa.string()))
         owner = [letters, marked, marked, np.repeat(mixed, np.array([len(f) for f in found], dtype=np.int64))]
@@ -120,7 +120,7 @@ def count_pieces(distinct: DataFrame, tokenizer: str, pre_token: str = "pre_toke
     def pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _tokenizer(tokenizer)
         for column in columns:
-            made, words = [], column.to_pylist()
+            made, words = [], strings(column)
             for k in range(0, len(words), 5000):
                 made += [len(e) for e in t.encode_batch_fast(words[k : k + 5000], add_special_tokens=False)]
             yield pa.array(made, pa.int32())
