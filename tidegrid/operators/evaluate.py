@@ -107,13 +107,25 @@ def first_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFr
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
-def windows_long(frames: DataFrame, starts: DataFrame, t: str, value: str, cadence: int, inputs: int, targets: int, mean: float, std: float) -> DataFrame:
-    """(start, step, role, value): the frames of each window, normalised, gathered by joins on exact times."""
+def windows_long(frames: DataFrame, starts: DataFrame, t: str, value: str, cadence: int, inputs: int, targets: int, moments: DataFrame) -> DataFrame:
+    """(start, step, role, value): the frames of each window, normalised, gathered by joins on exact times.
+
+    ``moments`` is one row (n, mean, std); where it has no frames it fails, and so does this.
+    """
     steps = starts.select(F.col(t).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(inputs + targets - 1))).alias("step"))
     rows = steps.withColumn(t, F.col("start") + F.col("step") * cadence).join(frames.select(t, value), t)
-    return rows.select(
-        "start", "step", F.when(F.col("step") < inputs, "input").otherwise("target").alias("role"), ((F.col(value) - mean) / std).alias("value")
-    )
+    one = moments.select(F.when(F.col("n") > 0, F.col("mean")).alias("_mean"), F.col("std").alias("_std"))
+    role = F.when(F.col("step") < inputs, "input").otherwise("target").alias("role")
+    return rows.join(F.broadcast(one)).select("start", "step", role, normalised(F.col(value), F.col("_mean"), F.col("_std")).alias("value"))  # one row
+
+
+def normalised(value: Column, mean: Column, std: Column) -> Column:
+    return (value - mean) / std
+
+
+def denormalised(value: Column, mean: Column, std: Column) -> Column:
+    """The inverse of ``normalised``; stored values are single precision, the result is double."""
+    return value.cast("double") * std + mean
 
 
 def map_rmse(cells: DataFrame, by: list[str], sample: str, error: Column) -> DataFrame:

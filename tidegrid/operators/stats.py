@@ -16,6 +16,14 @@ def population_moments(df: DataFrame, value: Column, by: list[str] | None = None
     )
 
 
+def train_moments(frames: DataFrame, value: Column) -> DataFrame:
+    """``population_moments`` of the training frames; without any frame to learn from it fails instead of passing on nothing."""
+    m = population_moments(frames, value)
+    return m.select(
+        F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no training windows to take moments from"))).alias("n"), "mean", "std"
+    )
+
+
 def input_frames(starts: DataFrame, t: str, steps: int, cadence: int) -> DataFrame:
     """The distinct frames that windows show as input: each counts once however many windows show it."""
     offsets = starts.select(F.col(t), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_k"))

@@ -7,39 +7,45 @@ one carried row, found from a table with one row per bucket.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds of a bucket: 30 days of frames.
-BUCKET = 30 * 86400
+#: Seconds of a bucket, a day; and of a bucket of decimation, whose distinct seconds bound what its task holds.
+BUCKET = 86400
+FOLD_BUCKET = 30 * 86400
 
 
-def with_neighbours(df: DataFrame, t: str, value: str, by: list[str] | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Add prev_t, prev_v, next_t, next_v: the nearest known value at or before and at or after each row."""
+def with_neighbours(df: DataFrame, t: str, value: str, by: list[str] | None = None, bucket: int = BUCKET, ahead: bool = True) -> DataFrame:
+    """Add prev_t, prev_v, next_t, next_v: the nearest known value at or before and at or after each row.
+
+    Both ways the frames start at an edge and grow row by row (the way ahead in
+    descending order), so a bucket costs its rows, not their square. Without
+    ``ahead``, next_t and next_v are null.
+    """
     by = by or []
     known = F.when(F.col(value).isNotNull(), F.col(t))
     df = df.withColumn("_b", F.floor(F.col(t) / bucket))
-    here = Window.partitionBy(*by, "_b").orderBy(t)
-    back, ahead = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(0, Window.unboundedFollowing)
-    near = (
-        df.withColumn("_pt", F.last(known, True).over(back))
-        .withColumn("_pv", F.last(value, True).over(back))
-        .withColumn("_nt", F.first(known, True).over(ahead))
-        .withColumn("_nv", F.first(value, True).over(ahead))
-    )
+    grown = (Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*by, "_b").orderBy(t).rowsBetween(*grown)
+    front = Window.partitionBy(*by, "_b").orderBy(F.desc(t)).rowsBetween(*grown)
+    near = df.withColumn("_pt", F.last(known, True).over(back)).withColumn("_pv", F.last(value, True).over(back))
+    nothing_t, nothing_v = (F.lit(None).cast(df.schema[c].dataType) for c in (t, value))
+    near = near.withColumn("_nt", F.last(known, True).over(front) if ahead else nothing_t)
+    near = near.withColumn("_nv", F.last(value, True).over(front) if ahead else nothing_v)
     edges = df.groupBy(*by, "_b").agg(
         F.max(known).alias("lt"), F.max_by(value, known).alias("lv"), F.min(known).alias("ft"), F.min_by(value, known).alias("fv")
     )
-    over = Window.partitionBy(*by).orderBy("_b")
-    before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *by,
         "_b",
         F.last("lt", True).over(before).alias("_ct"),
         F.last("lv", True).over(before).alias("_cv"),
-        F.first("ft", True).over(after).alias("_dt"),
-        F.first("fv", True).over(after).alias("_dv"),
+        (F.last("ft", True).over(after) if ahead else nothing_t).alias("_dt"),
+        (F.last("fv", True).over(after) if ahead else nothing_v).alias("_dv"),
     )
     return (
         near.join(carried, [*by, "_b"])
@@ -87,7 +93,7 @@ def align_carried(
 ) -> DataFrame:
     """Each frame's last value at or before it, null where that is older than ``limit`` seconds."""
     by = by or []
-    near = with_neighbours(_on_one_line(obs, frames, t, value, by), t, value, by, bucket).where("is_frame = 1")
+    near = with_neighbours(_on_one_line(obs, frames, t, value, by), t, value, by, bucket, ahead=False).where("is_frame = 1")
     age = F.col(t) - F.col("prev_t")
     return near.select(*by, t, F.when(age <= limit, F.col("prev_v")).alias(value), F.coalesce(age > 0, F.lit(True)).alias("imputed"))
 
@@ -99,42 +105,63 @@ def fill_forward_linear(df: DataFrame, t: str, value: str, bucket: int = BUCKET)
     return near.withColumn(value, line).drop("prev_t", "prev_v", "next_t", "next_v")
 
 
-def decimate(df: DataFrame, t: str, cadence: int, bucket: int = BUCKET) -> DataFrame:
-    """Keep a row if it stands at least ``cadence`` after the last row kept.
+def _exits(t: np.ndarray, cadence: int) -> np.ndarray:
+    """For each time, the last time kept if it is kept itself; pointers to the next kept time double in every step."""
+    last, step = np.arange(len(t)), np.searchsorted(t, t + cadence)
+    while (inside := step < len(t)).any():
+        last = np.where(inside, last[np.minimum(step, len(t) - 1)], last)
+        step = np.where(inside, step[np.minimum(step, len(t) - 1)], step)
+    return t[last]
 
-    A recurrence, but after a gap of ``cadence`` or more the next row is kept
-    whatever came before: the rows between such gaps are folded apart, each
-    group in time order, on the narrow time column only. A single run without
-    such a gap is one task's fold.
-    """
-    times = df.select(F.col(t).alias("_t")).distinct()
-    lagged = _lagged(times, "_t", bucket)
-    starts = lagged.withColumn("_v", F.when(F.col("_before").isNull() | (F.col("_t") - F.col("_before") >= cadence), F.col("_t").cast("double")))
-    runs = with_neighbours(starts.drop("_before"), "_t", "_v", None, bucket).select("_t", F.col("prev_t").alias("run"))
-
-    def fold(rows: pa.Table) -> pa.Table:
-        kept, last = [], None
-        for x in sorted(rows["_t"].to_pylist()):
-            if last is None or x - last >= cadence:
-                kept.append(x)
-                last = x
-        return pa.table({"_t": pa.array(kept, pa.int64())})
-
-    kept = runs.groupBy("run").applyInArrow(fold, "_t long")
-    return df.join(kept, F.col(t) == F.col("_t"), "left_semi")
 
+def decimate(df: DataFrame, t: str, cadence: int, bucket: int = FOLD_BUCKET) -> DataFrame:
+    """Keep a row if it stands at least ``cadence`` after the last row kept; rows of one time stay or go together.
 
-def _lagged(df: DataFrame, t: str, bucket: int = BUCKET) -> DataFrame:
-    """Add _before: the time of the row before, across buckets."""
-    rows = df.withColumn("_b", F.floor(F.col(t) / bucket))
-    ends = rows.groupBy("_b").agg(F.max(t).alias("_end"))
-    carried = ends.select("_b", F.last("_end", True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    return (
-        rows.withColumn("_lag", F.lag(t).over(Window.partitionBy("_b").orderBy(t)))
-        .join(carried, "_b")
-        .withColumn("_before", F.coalesce("_lag", "_carry"))
-        .drop("_b", "_lag", "_carry")
-    )
+    A recurrence over the whole series, folded by buckets: what a bucket keeps
+    depends only on its first kept time, which lies in its first cadence (or
+    is the first time behind that). Each bucket, on its own, maps every such
+    time to the last time it keeps; these small tables, at most one row for
+    each second of a cadence and bucket, are chained to find the true entry of
+    each bucket; then all buckets are replayed apart. ``t`` holds whole
+    seconds. Null times go; an empty table gives an empty result.
+    """
+    times = df.where(F.col(t).isNotNull()).select(F.col(t).cast("long").alias("_t")).distinct().withColumn("_b", F.floor(F.col("_t") / bucket))
+
+    def maps(key: tuple, rows: pa.Table) -> pa.Table:
+        x = np.sort(rows["_t"].to_numpy())
+        b = key[0].as_py()
+        some = int(np.searchsorted(x, b * bucket + cadence)) + 1
+        first, last = x[:some], _exits(x, cadence)[:some]
+        # Neighbours that lead to one exit are one row, known by the latest of them.
+        ends = np.r_[last[1:] != last[:-1], True]
+        return pa.table({"_b": np.full(int(ends.sum()), b), "_first": first[ends], "_last": last[ends]})
+
+    def chain(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_b", "ascending"), ("_first", "ascending")])
+        b, first, last = (rows[c].to_numpy() for c in ("_b", "_first", "_last"))
+        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        kept, entries = None, []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
+            entry = int(first[lo]) if kept is None else kept + cadence
+            # A first kept time is never before the bucket; the earliest entry takes its first row.
+            entries.append(entry if kept is not None else int(b[lo]) * bucket)
+            at = lo + int(np.searchsorted(first[lo:hi], entries[-1]))
+            if at < hi:
+                kept = int(last[at])
+        return pa.table({"_b": b[starts], "_entry": np.array(entries, dtype=np.int64)})
+
+    def replay(rows: pa.Table) -> pa.Table:
+        x = np.sort(rows["_t"].to_numpy())
+        step, at, kept = np.searchsorted(x, x + cadence), int(np.searchsorted(x, rows["_entry"][0].as_py())), []
+        while at < len(x):
+            kept.append(x[at])
+            at = int(step[at])
+        return pa.table({"_t": np.array(kept, dtype=np.int64)})
+
+    tables = times.groupBy("_b").applyInArrow(maps, "_b long, _first long, _last long")
+    entries = tables.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(chain, "_b long, _entry long")
+    kept = times.join(entries, "_b").groupBy("_b").applyInArrow(replay, "_t long")
+    return df.join(kept, F.col(t) == F.col("_t"), "left_semi")
 
 
 def window_starts(df: DataFrame, t: str, finite: str, cadence: int, length: int = 9, bucket: int = BUCKET) -> DataFrame:
@@ -146,6 +173,7 @@ def window_starts(df: DataFrame, t: str, finite: str, cadence: int, length: int
     rows of that reach from the next one.
     """
     reach = (length - 1) * cadence
+    bucket = max(bucket, 4 * reach)
     rows = df.select(t, F.col(finite).cast("int").alias("_ok")).withColumn("_b", F.floor(F.col(t) / bucket))
     tail = rows.where(F.pmod(F.col(t), F.lit(bucket)) <= reach).withColumn("_b", F.col("_b") - 1)
     both = rows.withColumn("_own", F.lit(True)).unionByName(tail.withColumn("_own", F.lit(False)))

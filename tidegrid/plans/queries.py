@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 HOUR, CADENCE = 3600, 7200
-DAY = 86400
+DAY, WEEK = 86400, 604800
 
 
 def query(name: str, sql: str | None):
@@ -58,10 +58,17 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy((F.floor(F.col("s") / DAY) * DAY).alias("t")).agg(F.avg("o_totalprice").alias("value"), F.count("*").alias("n"))
 
 
+def weekly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t, value): one row for each week with orders, weeks counted from the epoch."""
+    o = read(spark, sf_dir, "orders").select(S.epoch_seconds(F.col("o_orderdate")).alias("s"), "o_totalprice")
+    return o.groupBy((F.floor(F.col("s") / WEEK) * WEEK).alias("t")).agg(F.avg("o_totalprice").alias("value"), F.count("*").alias("n"))
+
+
 DAILY = (
     "d AS (SELECT (epoch_us(o_orderdate) // 1000000) // 86400 * 86400 AS t, avg(o_totalprice) AS value, count(*) AS n "
     "FROM orders GROUP BY 1)"
 )
+WEEKLY = DAILY.replace("86400", "604800")
 SPLIT_1, SPLIT_2 = 883612800, 915148800  # 1998-01-01, 1999-01-01
 
 
@@ -414,14 +421,14 @@ def q_window_attribution(spark, sf_dir):
 
 
 def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = daily_orders(spark, sf_dir).withColumn("ok", F.lit(True))
-    w = timeline.window_starts(f, "t", "ok", DAY).where("valid")
-    return w.select("t", timeline.split_name(F.col("t"), F.col("last_t"), SPLIT_1, SPLIT_2, 9 * DAY).alias("split"))
+    f = weekly_orders(spark, sf_dir).withColumn("ok", F.lit(True))
+    w = timeline.window_starts(f, "t", "ok", WEEK).where("valid")
+    return w.select("t", timeline.split_name(F.col("t"), F.col("last_t"), SPLIT_1, SPLIT_2, 9 * WEEK).alias("split"))
 
 
-SPLITS = f"""{DAILY}, f AS (SELECT t, 1 AS ok FROM d), {WINDOWS.format(c=86400)},
-    s AS (SELECT t, CASE WHEN t + 691200 < {SPLIT_1} THEN 'train' WHEN t >= {SPLIT_1} + 777600 AND t + 691200 < {SPLIT_2} THEN 'val'
-    WHEN t >= {SPLIT_2} + 777600 THEN 'test' END AS split FROM v WHERE paced AND whole)"""
+SPLITS = f"""{WEEKLY}, f AS (SELECT t, 1 AS ok FROM d), {WINDOWS.format(c=604800)},
+    s AS (SELECT t, CASE WHEN t + 4838400 < {SPLIT_1} THEN 'train' WHEN t >= {SPLIT_1} + 5443200 AND t + 4838400 < {SPLIT_2} THEN 'val'
+    WHEN t >= {SPLIT_2} + 5443200 THEN 'test' END AS split FROM v WHERE paced AND whole)"""
 
 
 @query("q_split_purge_embargo", f"WITH {SPLITS} SELECT t, split FROM s")
@@ -436,16 +443,16 @@ def q_split_counts(spark, sf_dir):
 
 @query(
     "q_split_disjoint",
-    f"""WITH {SPLITS}, x AS (SELECT DISTINCT split, t + k * 86400 AS t FROM s, range(9) AS r(k) WHERE split IS NOT NULL)
+    f"""WITH {SPLITS}, x AS (SELECT DISTINCT split, t + k * 604800 AS t FROM s, range(9) AS r(k) WHERE split IS NOT NULL)
         SELECT count(*) AS shared_frames FROM (SELECT t FROM x GROUP BY t HAVING count(*) > 1)""",
 )
 def q_split_disjoint(spark, sf_dir):
     s = split_windows(spark, sf_dir).where("split is not null")
-    frames = s.select("split", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"), "t").select("split", (F.col("t") + F.col("k") * DAY).alias("t")).distinct()
+    frames = s.select("split", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"), "t").select("split", (F.col("t") + F.col("k") * WEEK).alias("t")).distinct()
     return frames.groupBy("t").count().where("count > 1").agg(F.count("*").alias("shared_frames"))
 
 
-MOMENTS = f"""{SPLITS}, u AS (SELECT DISTINCT t + k * 86400 AS t FROM s, range(6) AS r(k) WHERE split = 'train'),
+MOMENTS = f"""{SPLITS}, u AS (SELECT DISTINCT t + k * 604800 AS t FROM s, range(6) AS r(k) WHERE split = 'train'),
     mo AS (SELECT count(*) AS n, sum(value) / count(*) AS mean, sqrt(greatest(sum(value * value) / count(*) - (sum(value) / count(*)) ** 2, 1e-12)) AS std
     FROM u JOIN d USING (t))"""
 
@@ -458,20 +465,18 @@ def q_train_moments(spark, sf_dir):
 
 def train_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = split_windows(spark, sf_dir).where("split = 'train'").select("t")
-    frames = stats.input_frames(starts, "t", 6, DAY).join(daily_orders(spark, sf_dir), "t")
-    return stats.population_moments(frames, F.col("value"))
+    frames = stats.input_frames(starts, "t", 6, WEEK).join(weekly_orders(spark, sf_dir), "t")
+    return stats.train_moments(frames, F.col("value"))
 
 
 @query(
     "q_window_tensors",
     f"""WITH {MOMENTS} SELECT s.split, s.t AS start, k AS step, CASE WHEN k < 6 THEN 'input' ELSE 'target' END AS role,
-        round((d.value - mo.mean) / mo.std, 6) AS value FROM s CROSS JOIN range(9) AS r(k) JOIN d ON d.t = s.t + k * 86400 CROSS JOIN mo WHERE split IS NOT NULL""",
+        round((d.value - mo.mean) / mo.std, 6) AS value FROM s CROSS JOIN range(9) AS r(k) JOIN d ON d.t = s.t + k * 604800 CROSS JOIN mo WHERE split IS NOT NULL""",
 )
 def q_window_tensors(spark, sf_dir):
-    m = train_moments(spark, sf_dir).first()  # one row
-    mean, std = (m["mean"], m["std"]) if m["mean"] is not None else (0.0, 1.0)
     starts = split_windows(spark, sf_dir).where("split is not null")
-    long = evaluate.windows_long(daily_orders(spark, sf_dir), starts, "t", "value", DAY, 6, 3, mean, std)
+    long = evaluate.windows_long(weekly_orders(spark, sf_dir), starts, "t", "value", WEEK, 6, 3, train_moments(spark, sf_dir))
     return long.join(starts.withColumnRenamed("t", "start"), "start").select(
         "split", "start", F.col("step").cast("long").alias("step"), "role", r6("value").alias("value")
     )
