@@ -184,7 +184,77 @@ def test_tool_calls_link_validate_and_serialise(spark):
     first = json.loads(got[1, 2].message_json)
     assert first["answers"] == "c1" and list(first) == sorted(first)
     assert json.loads(got[1, 0].message_json) == {"content": 'say "hi"\n', "conv_id": 1, "role": "user", "turn": 0}
-    assert json.loads(got[1, 1].message_json)["calls"] == ["c1", "c2"] and len(got) == 7
+    assert '"calls":[{"arguments":{"n":3,"q":"x"},"id":"c1","name":"find"},{"arguments":{"n":"three","q":"x"},"id":"c2","name":"find"}]' in got[1, 1].message_json
+    assert len(got) == 7
+    empty = chat_tools.format_chat(m.limit(0), chat_tools.explicit_calls(m.limit(0)), chat_tools.explicit_results(m.limit(0)), {})
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_arguments_are_checked_by_their_json_types(spark):
+    schema = {"find": {"q": "string", "n": "integer", "x?": "number", "on?": "boolean", "o?": "object", "l?": "array"}}
+    cases = {
+        '{"n":3,"q":"5"}': True,
+        '{"n":"3","q":5}': False,
+        '{"n":3,"q":{"a":1}}': False,
+        '{"n":3,"q":"a","x":1e3,"on":true,"o":{},"l":[]}': True,
+        '{"n":3,"q":"a","x":"1"}': False,
+        '{"n":3,"q":"a","on":"true"}': False,
+        '{"n":3.5,"q":"a"}': False,
+        '{"n":123456789012345678901234567890,"q":"a"}': True,
+        '{"n":3,"q":null}': False,
+        '{"n":3,"q":"a","on":null}': False,
+        '{"n":3,"q":"a","other":1}': False,
+        '{"n":3,"n":4,"q":"a"}': False,
+        '{"n":3': False,
+        '["n","q"]': False,
+        "": False,
+        None: False,
+    }
+    df = spark.createDataFrame([("find", a) for a in cases] + [("none", '{"n":3,"q":"5"}'), (None, '{"n":3,"q":"5"}')], "name string, arguments string")
+    got = [r[0] for r in df.select(chat_tools.valid_arguments(F.col("name"), F.col("arguments"), schema)).collect()]
+    assert got == [*cases.values(), False, False]
+    texts = ['{"b":[1, 2.50],"a":{"d":null,"c":"\u00e9 /\\n"}}', "no json", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(chat_tools.canonical_json(F.col("t"))).collect()]
+    assert got == ['{"a":{"c":"é /\\n","d":null},"b":[1,2.5]}', '"no json"', None]
+
+
+def test_order_of_links_is_topological(spark):
+    """Against a plain walk: random results that answer calls before, on and after their own turns, over other results."""
+    rng = random.Random(7)
+    rows = []
+    for conv in range(40):
+        ids = [f"c{k}" for k in range(6)]
+        for turn in range(12):
+            body = {"tool_calls": [{"id": ids.pop(rng.randrange(len(ids))), "name": "f", "arguments": {}}]} if ids and rng.random() < 0.6 else {}
+            if rng.random() < 0.8:
+                body["tool_call_id"] = f"c{rng.randrange(7)}"
+            rows.append((conv, turn, "tool", json.dumps(body)))
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("_r", F.col("role"))
+    calls = chat_tools.explicit_calls(m.withColumn("role", F.lit("assistant"))).drop("message")
+    calls = calls.join(m.select("conv_id", "turn", chat_tools.message_key()), ["conv_id", "turn"])
+    out = chat_tools.format_chat(m, calls, chat_tools.explicit_results(m), {"f": {}}).collect()
+    at, made, kinds = {}, {}, set()
+    for r in out:
+        at[r.conv_id, r.turn] = r
+        made.update({(r.conv_id, c["id"]): r.turn for c in json.loads(r.message_json).get("calls", [])})
+    place = lambda c, t: (at[c, t].order_turn, at[c, t].order_step, t)
+    for conv, turn, _, text in rows:
+        r, call = at[conv, turn], made.get((conv, json.loads(text).get("tool_call_id")))
+        seen, x = [], turn
+        while x is not None and x not in seen:
+            seen.append(x)
+            x = made.get((conv, json.loads(rows[12 * conv + x][3]).get("tool_call_id")))
+        circle = x == turn
+        kinds.add(r.link_status)
+        if call is None:
+            assert r.link_status == ("orphan" if "tool_call_id" in text else None) and place(conv, turn) == (turn, 0, turn)
+        elif circle and call == max(seen):  # the circle is broken here
+            assert r.link_status == "cycle" and place(conv, turn) == (turn, 0, turn)
+        else:
+            assert r.link_status == ("early" if call >= turn else "linked")
+            assert place(conv, turn) > place(conv, call)
+        assert r.order_turn >= turn
+    assert kinds == {None, "orphan", "early", "linked", "cycle"}
 
 
 def test_messages_of_one_turn_link_each_by_itself(spark):

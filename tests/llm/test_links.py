@@ -75,6 +75,40 @@ def test_jaccard_equals_brute_force(spark, corpus, monkeypatch, n, num, den):
     assert got == jaccard_brute(corpus, n, num, den)
 
 
+def test_jaccard_just_under_the_threshold(spark, monkeypatch):
+    """A large group of near copies: one half links, the other is just too far from all; blocks of a few documents."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_NODES", 37)
+    monkeypatch.setattr(ngram_jaccard, "CELLS", 3000)
+    monkeypatch.setattr(ngram_jaccard, "PAIRS", 1000)
+    monkeypatch.setattr(ngram_jaccard, "WORDS", 500)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(500):
+        words = list(base)
+        # Each changed word changes four shingles: 2 or 3 leave 0.85 of two such documents or don't.
+        for at in rng.sample(range(6, 112, 6), 2 if k % 2 else 3):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    long = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(3000)) for _ in range(3)]
+    rows += [(1000 + k, long[k % 3] + f" tail{k}" * (k // 3)) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(df).collect()}
+    assert got == jaccard_brute(rows, 4, 85, 100)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(0)
+    for size in (1, 5, 100, 900, 5000):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, size=size))
+        y = np.unique(np.r_[x[: -(-size * 9 // 10)], rng.integers(-(2**63), 2**63 - 1, size=size // 8)])
+        for words in (2, 16, 128):
+            a, b = ngram_jaccard.parities(x, words), ngram_jaccard.parities(y, words)
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+            wide = ngram_jaccard.parities(x, 2 * words)
+            assert (wide[0::2] ^ wide[1::2] == a).all()
+
+
 def test_jaccard_rows_without_id_and_repeated_rows(spark):
     t = "a b c d e f g h i j"
     df = spark.createDataFrame([(7, t), (7, t), (9, t), (None, t), (11, "z y x w v")], "doc_id long, text string")

@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import written
+
 #: A call's message: {"tool_calls": [{"id": ..., "name": ..., "arguments": {...}}]}; a result's: {"tool_call_id": ..., "content": ...}.
 CALL_SCHEMA = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 RESULT_SCHEMA = "struct<tool_call_id:string,content:string>"
 
-#: JSON types by the text of a value.
+#: The type that Spark gives to a parsed JSON value, by the type that a tool's schema names.
 JSON_TYPES = {
-    "integer": r"^-?(0|[1-9][0-9]*)$",
-    "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$",
-    "boolean": r"^(true|false)$",
+    "string": r"^STRING$",
+    "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$",
+    "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$",
+    "boolean": r"^BOOLEAN$",
+    "object": r"^OBJECT<",
+    "array": r"^ARRAY<",
 }
 
 
@@ -69,24 +74,80 @@ def json_text(text: Column) -> Column:
 
 
 def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict[str, str]]) -> Column:
-    """Whether the arguments are a JSON object with every field of the tool's schema, each of its type.
+    """Whether the arguments are a JSON object with every field of the tool's schema, each of its JSON type, and no other.
 
-    ``schemas``: tool name -> field -> string, integer, number or boolean. A
-    field whose name ends in ``?`` may be absent. An unknown tool is not valid.
+    ``schemas``: tool name -> field -> string, integer, number, boolean, object
+    or array. A field whose name ends in ``?`` may be absent (but not null). An
+    unknown tool, broken JSON and a repeated key are not valid. 1.0 counts as an
+    integer, as in JSON schemas.
     """
-    values = F.from_json(arguments, "map<string,string>")
+    parsed = F.try_parse_json(arguments)
     out = F.lit(False)
     for tool, fields in sorted(schemas.items()):
         known = F.array(*[F.lit(n.rstrip("?")) for n in sorted(fields)])
-        ok = values.isNotNull() & (F.size(F.array_except(F.map_keys(values), known)) == 0)
+        ok = F.schema_of_variant(parsed).rlike("^OBJECT<") & (F.size(F.array_except(F.json_object_keys(arguments), known)) == 0)
         for field, kind in sorted(fields.items()):
-            value = values[field.rstrip("?")]
-            typed = value.rlike(JSON_TYPES[kind]) if kind in JSON_TYPES else value.isNotNull()
-            ok = ok & (F.coalesce(typed, F.lit(False)) if not field.endswith("?") else F.coalesce(typed, F.lit(True)))
+            found = F.schema_of_variant(F.try_variant_get(parsed, f"$['{field.rstrip('?')}']", "variant"))
+            ok = ok & F.coalesce(found.rlike(JSON_TYPES[kind]), F.lit(field.endswith("?")))
         out = F.when(name == tool, ok).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
+def canonical_json(text: Column) -> Column:
+    """The JSON value with keys in order and without spaces; text that is no JSON becomes a JSON string, null stays null."""
+    return F.when(text.isNotNull(), F.coalesce(F.to_json(F.try_parse_json(text)), json_text(text)))
+
+
+def call_json(call_id: Column, name: Column, arguments: Column) -> Column:
+    """A call as canonical JSON."""
+    fields = [
+        F.concat(F.lit('"arguments":'), canonical_json(arguments)),
+        F.concat(F.lit('"id":'), json_text(call_id)),
+        F.when(name.isNotNull(), F.concat(F.lit('"name":'), json_text(name))),
+    ]
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+KEY = ["conv_id", "turn", "message"]
+
+
+def order_of(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, message, order_turn, order_step, cyclic) of the messages that links move or that answer in a circle.
+
+    ``links`` has one row for each result's message, with the message of its
+    call (call_turn, call_message). A result stands behind its call: if that
+    comes later, or has itself been moved, the result moves to the call's turn,
+    one step behind it. Moves pass on from message to message, in rounds over
+    the moved ones only; ``step`` counts the links since the turn that sets the
+    place. Where messages answer each other in a circle, the one
+    whose call comes last is marked and keeps its turn, so the rest has an order.
+    """
+    child = links.select("conv_id", F.struct("turn", "message").alias("node"), F.struct("call_turn", "call_message").alias("parent"))
+    start = F.col("parent")["call_turn"]
+    moved = written(
+        child.where(start >= F.col("node")["turn"]).select("conv_id", "node", F.col("node").alias("root"), start.alias("at"), F.lit(1).alias("step")), "chat_moved"
+    )
+    out, front = moved, moved
+    while not front.isEmpty():
+        follow = front.select("conv_id", F.col("node").alias("parent"), "root", "at", "step").join(child, ["conv_id", "parent"])
+        # A message that the move reaches again is on a circle; one that comes later anyway stays.
+        again = F.col("node").eqNullSafe(F.col("root"))
+        follow = follow.where(again | (F.col("node")["turn"] <= F.col("at")))
+        follow = written(follow.select("conv_id", "node", "root", "at", F.when(again, -1).otherwise(F.col("step") + 1).alias("step")), "chat_moved")
+        out, front = out.union(follow), follow.where("step > 0")
+    best = out.groupBy("conv_id", "node").agg(
+        F.max(F.when(F.col("step") > 0, F.struct("at", "step"))).alias("best"), F.max(F.col("step") < 0).alias("cyclic")
+    )
+    return best.select(
+        "conv_id",
+        F.col("node.turn").alias("turn"),
+        F.col("node.message").alias("message"),
+        F.when(~F.col("cyclic"), F.col("best.at")).alias("order_turn"),
+        F.when(~F.col("cyclic"), F.col("best.step")).alias("order_step"),
+        "cyclic",
+    )
+
+
 def format_chat(
     messages: DataFrame,
     calls: DataFrame,
@@ -97,49 +158,53 @@ def format_chat(
 
     (conv_id, turn, role, calls, valid_calls, link_status, order_turn,
     order_step, message_json). ``link_status`` of a result is ``linked``,
-    ``orphan`` (no call has its identifier) or ``early`` (it stands before its
-    call); other messages have null. Sorting a conversation by ``order_turn``,
-    ``order_step``, ``turn`` is a topological order: an early result moves
-    behind its call, everything else keeps its turn. A call identifier that a
-    conversation uses twice belongs to its first turn; on one message it is valid
+    ``orphan`` (no call has its identifier), ``early`` (it stands before its
+    call or on its turn) or ``cycle`` (early, and the last link of a circle);
+    other messages have null. Sorting a conversation by ``order_turn``,
+    ``order_step``, ``turn`` is a topological order of the links: an early
+    result moves behind its call, and what answers a moved message moves with
+    it; everything else keeps its turn. A call identifier that a conversation
+    uses twice belongs to its first turn, on that turn to the least message; on
+    one message its first use by name and arguments is written, and it is valid
     if all its uses are. Calls and results belong to their own messages, however
     many stand on a turn. Null texts count as
     empty; null ids and turns pass and link with nothing. A conversation is
     never gathered into one row, so a very long one is no hot group. Rows that
-    repeat are formatted each.
+    repeat are formatted each. An empty table gives an empty result; other
+    columns don't take part.
     """
     first_turn = F.min("turn").over(Window.partitionBy("conv_id", "call_id"))
     checked = (
         calls.where("call_id is not null")
-        .select("conv_id", "call_id", "turn", "message", valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"))
+        .select("conv_id", "call_id", "turn", "message", "name", "arguments", valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"))
         .withColumn("call_turn", first_turn)
         .where(F.col("turn") == F.col("call_turn"))
         .groupBy("conv_id", "call_id", "call_turn", "message")
-        .agg(F.min("valid").alias("valid"))
+        .agg(F.min("valid").alias("valid"), F.min(F.struct("name", "arguments")).alias("use"))
     )
     by_message = checked.groupBy("conv_id", F.col("call_turn").alias("turn"), "message").agg(
         F.count("*").alias("calls"),
         F.count_if("valid").alias("valid_calls"),
-        F.array_sort(F.collect_list("call_id")).alias("call_ids"),
-    )
-    answered = (
-        results.groupBy("conv_id", "turn", "message")
-        .agg(F.min("call_id").alias("call_id"))  # a message has one
-        .join(checked.select("conv_id", "call_id", "call_turn").distinct(), ["conv_id", "call_id"], "left")
-        .select(
-            "conv_id",
-            "turn",
-            "message",
-            F.col("call_id").alias("answers"),
-            "call_turn",
-            F.when(F.col("call_turn").isNull(), "orphan").when(F.col("call_turn") >= F.col("turn"), "early").otherwise("linked").alias("link_status"),
-        )
+        F.array_sort(F.collect_list(F.struct("call_id", call_json(F.col("call_id"), F.col("use.name"), F.col("use.arguments")).alias("json")))).alias("made"),
     )
-    key = ["conv_id", "turn", "message"]
+    called = checked.groupBy("conv_id", "call_id").agg(F.min("call_turn").alias("call_turn"), F.min("message").alias("call_message"))
+    # A message has one identifier. The calls are the hashed side: an identifier has one row there.
+    answered = results.groupBy(*KEY).agg(F.min("call_id").alias("call_id")).join(called.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    answered = written(answered, "chat_answered")
+    links = answered.where("call_turn is not null")
+    key = KEY
     linked = messages.select("conv_id", "turn", "role", "text", message_key()).join(by_message, key, "left").join(answered, key, "left")
+    linked = linked.join(order_of(links), key, "left").withColumn(
+        "link_status",
+        F.when(F.col("call_id").isNull(), None)
+        .when(F.col("cyclic"), "cycle")
+        .when(F.col("call_turn").isNull(), "orphan")
+        .when(F.col("call_turn") >= F.col("turn"), "early")
+        .otherwise("linked"),
+    )
     fields = [
-        F.when(F.col("link_status") == "linked", F.concat(F.lit('"answers":'), json_text(F.col("answers")))),
-        F.when(F.col("calls") > 0, F.concat(F.lit('"calls":['), F.array_join(F.transform("call_ids", json_text), ","), F.lit("]"))),
+        F.when(F.col("link_status").isin("linked", "early", "cycle"), F.concat(F.lit('"answers":'), json_text(F.col("call_id")))),
+        F.when(F.col("calls") > 0, F.concat(F.lit('"calls":['), F.array_join(F.transform("made", lambda x: x["json"]), ","), F.lit("]"))),
         F.concat(F.lit('"content":'), json_text(F.col("text"))),
         F.concat(F.lit('"conv_id":'), F.col("conv_id").cast("string")),
         F.concat(F.lit('"role":'), json_text(F.col("role"))),
@@ -152,7 +217,7 @@ def format_chat(
         F.coalesce("calls", F.lit(0)).cast("long").alias("calls"),
         F.coalesce("valid_calls", F.lit(0)).cast("long").alias("valid_calls"),
         "link_status",
-        F.greatest("turn", F.when(F.col("link_status") == "early", F.col("call_turn"))).alias("order_turn"),
-        F.when(F.col("link_status") == "early", 1).otherwise(0).alias("order_step"),
+        F.coalesce("order_turn", "turn").alias("order_turn"),
+        F.coalesce("order_step", F.lit(0)).alias("order_step"),
         F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("message_json"),
     )

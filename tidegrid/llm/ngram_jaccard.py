@@ -414,11 +414,11 @@ class BlockPairs:
         a, b = np.divmod(at - self.base[group], members[group])
         return begin[group] + a, begin[group] + b
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes of the pairs that parities can't refute."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes of the pairs that parities can't refute, and in how many parities they differ."""
         a, b = self.candidates()
         words = parity_words(self.size)
-        common, keep = np.minimum(words[a], words[b]), np.zeros(len(a), dtype=bool)
+        common, differ = np.minimum(words[a], words[b]), np.zeros(len(a), dtype=np.int64)
         flat = np.frombuffer(self.bits.buffers()[2], dtype="<u8") if len(a) else np.zeros(0, "<u8")
         begin = np.frombuffer(self.bits.buffers()[1], dtype=np.int32)[self.bits.offset :] // 8
         for w in np.unique(common).tolist():
@@ -435,14 +435,13 @@ class BlockPairs:
             bits = np.concatenate(table)
             for k in range(0, len(mine), max(1, WORDS // w)):
                 at = mine[k : k + max(1, WORDS // w)]
-                x, y = a[at], b[at]
-                differ = np.bitwise_count(bits[place[x]] ^ bits[place[y]]).sum(axis=1, dtype=np.int64)
-                keep[at] = differ <= self.size[x] + self.size[y] - 2 * self._least(x, y)
-        return self.node[a[keep]], self.node[b[keep]]
+                differ[at] = np.bitwise_count(bits[place[a[at]]] ^ bits[place[b[at]]]).sum(axis=1, dtype=np.int64)
+        keep = differ <= self.size[a] + self.size[b] - 2 * self._least(a, b)
+        return self.node[a[keep]], self.node[b[keep]], differ[keep]
 
 
 def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) across components that the open lists may still link.
+    """(a, b, differ): pairs across components that the open lists may still link, by at least how many grams they differ.
 
     Lists with one anchor go to one task, where each of their documents comes
     once. Groups of more than BLOCK_NODES documents are dealt in blocks, each
@@ -475,8 +474,8 @@ def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataF
             while lo < len(begin):
                 hi = max(lo + 1, int(np.searchsorted(cells, cells[lo] + CELLS, side="right")) - 1)
                 end = begin[hi] if hi < len(begin) else t.num_rows
-                a, b = BlockPairs(t.slice(begin[lo], end - begin[lo]).combine_chunks(), num, den).pairs()
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b, differ = BlockPairs(t.slice(begin[lo], end - begin[lo]).combine_chunks(), num, den).pairs()
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(differ)], names=["a", "b", "differ"])
                 lo = hi
 
         for batch in batches:
@@ -489,7 +488,21 @@ def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataF
         if held is not None and held.num_rows:
             yield from out(held, starts(held))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, differ long").distinct()
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs the nearest of each node."""
+    sides = pairs.select(F.col("a").alias("node"), "*").union(pairs.select(F.col("b").alias("node"), "*"))
+    least = sides.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p"))
+    return least.select("p.a", "p.b").distinct()
+
+
+def _still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    for c in ("a", "b"):
+        pairs = pairs.join(comps.toDF(c, f"comp_{c}"), c, "left")
+    return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
 
 def ngram_jaccard(
@@ -501,8 +514,9 @@ def ngram_jaccard(
     formed. In each list of nodes that share a prefix gram, all pair with a few
     hubs first; the links found contract the lists, and rounds with other hubs
     follow while they close many lists. What is left is compared across
-    components only, inside the tasks, and only pairs that may link leave them.
-    So copies are not expanded into all pairs.
+    components only, inside the tasks, and only pairs that may link leave them;
+    of these each node's nearest is verified first, then all that its links
+    leave apart. So copies are not expanded into all pairs.
 
     Null or empty text: no n-grams, linked with nothing, its own component.
     Fewer than n words: the whole sequence is the one n-gram. A null id has a
@@ -536,10 +550,12 @@ def ngram_jaccard(
         if not many or before is not None and many > ROUND_LEAVES * before:
             break
         links = verify(written(_hub_pairs(lists, HUBS, HUBS * k, num, den), "jaccard_hub_pairs"))
-        old = links.limit(0) if comps is None else comps.toDF("a", "b")
-        comps = connected_components(old.union(links), "a", "b")
-    links = verify(written(_block_pairs(lists, reps, num, den), "jaccard_block_pairs"))
-    final = connected_components(comps.toDF("a", "b").union(links), "a", "b") if comps is not None else connected_components(links, "a", "b")
+        comps = connected_components(links if comps is None else comps.toDF("a", "b").union(links), "a", "b")
+    left = written(_block_pairs(lists, reps, num, den), "jaccard_block_pairs")
+    links = verify(written(_nearest(left), "jaccard_nearest"))
+    comps = connected_components(links if comps is None else comps.toDF("a", "b").union(links), "a", "b")
+    links = verify(written(_still_apart(left, comps), "jaccard_apart"))
+    final = connected_components(comps.toDF("a", "b").union(links), "a", "b")
     by_set = classes.join(final.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_set.groupBy("root").agg(F.min("id").alias("component"))
     by_set = by_set.join(least, "root").select("h1", "h2", "component")

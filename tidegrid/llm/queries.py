@@ -96,7 +96,8 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS valid_calls,
                l.link_status, m.turn AS order_turn, 0::INTEGER AS order_step,
                '{' || CASE WHEN l.link_status = 'linked' THEN '"answers":' || to_json(l.call_id)::VARCHAR || ',' ELSE '' END
-                   || CASE WHEN c.call_id IS NULL THEN '' ELSE '"calls":[' || to_json(c.call_id)::VARCHAR || '],' END
+                   || CASE WHEN c.call_id IS NULL THEN '' ELSE '"calls":[{"arguments":{"prompt":' || to_json(m.text)::VARCHAR || ',"turn":' || m.turn
+                   || '},"id":' || to_json(c.call_id)::VARCHAR || ',"name":"reply"}],' END
                    || '"content":' || to_json(m.text)::VARCHAR || ',"conv_id":' || m.conv_id
                    || ',"role":' || to_json(m.role)::VARCHAR || ',"turn":' || m.turn || '}' AS message_json
         FROM m
