@@ -148,11 +148,20 @@ def test_copies_of_a_toxic_document_have_one_vote(edits):
         for _ in range(edits):
             copy[rng.randrange(len(copy))] = rng.choice(syllables)
         texts.append((" ".join(copy), 1))
-    model = toxicity.learn(texts, 700 / 2200)
-    learned = model.toxic.decode().split()
+    groups = toxicity.text_groups([t for t, _ in texts])
+    sides = [[(t, g) for (t, y), g in zip(texts, groups, strict=True) if y == side] for side in (1, 0)]
+    learned = toxicity.telling_stems(*sides)
     assert all(any(w.startswith(stem) for stem in learned) for w in [*bad, "yerkself"])
     # Nothing of the copied text itself is taken for toxic.
     assert all(any(w.startswith(stem) for w in [*bad, "yerkself"]) for stem in learned)
+    model = toxicity.learn(texts, 700 / 2200)
+    assert all(w.encode() in model.toxic for w in bad)
+    fresh = [(text(), k % 2) for k in range(200)]
+    for words, y in fresh:
+        words.extend(rng.sample(bad, 2) if y else [])
+        rng.shuffle(words)
+    got = [(toxicity.score_text(model, " ".join(words)) >= 0.5, y) for words, y in fresh]
+    assert sum(s for s, y in got if y) >= 55 and sum(s for s, y in got if not y) <= 5
 
 
 def test_windows_hold_every_byte():

@@ -63,7 +63,17 @@ def test_bytes_that_are_no_text_decode_as_the_library_does():
     rng = random.Random(3)
     for _ in range(300):
         ids = [rng.choice([rng.randint(3, 258), rng.randint(259, 31999), 1, 2]) for _ in range(rng.randint(0, 12))]
-        assert m.decode(ids) == sp.decode(ids), ids
+        assert m.decode(np.array(ids, dtype=np.int64), np.array([0, len(ids)])) == [sp.decode(ids)], ids
+
+
+def test_a_very_long_word_is_merged_in_time():
+    import sentencepiece
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghinorst") for _ in range(60_000)), "ab" * 50_000, "é" * 9_000]
+    flat, ends = sentence_pieces.encode_texts(PIECES, words, True)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [sp.encode(w, add_eos=True) for w in words]
 
 
 @pytest.mark.parametrize("head", [0, 5, 100_000])

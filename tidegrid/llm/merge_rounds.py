@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from functools import cached_property
 
 import numpy as np
 
 NO_RANK = np.iinfo(np.int32).max
 
-#: Slots of the pair table.
+#: Slots of the pair table, and symbols from which a word is merged one step at a time: rounds grow with its length.
 TABLE = 1 << 20
+LONG = 4000
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -41,6 +43,7 @@ class MergeTable:
         self.size = size
         self.rank = np.array([m[2] for m in merges], dtype=np.int32)
         self.piece = np.array([m[3] for m in merges], dtype=np.int64)
+        self.merges = merges
         self.pair_key, self.pair_merge, self.probes = _hash_table([m[0] * size + m[1] for m in merges], list(range(len(merges))))
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -66,10 +69,23 @@ class MergeTable:
         occurrences from the left at once, and compacts the arrays; words whose
         pairs are all unknown leave. Where a merge makes a pair that is as good
         as the one just merged, the order of single merges matters: that word is
-        finished one merge at a time.
+        finished one merge at a time, as are words of more than LONG symbols.
         """
         word = np.repeat(np.arange(len(lengths)), lengths)
         done_sym, done_word = [], []
+
+        def finish(words: np.ndarray) -> None:
+            # Words are in order, so each stands in one slice.
+            lo, hi = np.searchsorted(word, words), np.searchsorted(word, words, side="right")
+            for w, a, b in zip(words.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                out = self.merge_one(sym[a:b])
+                done_sym.append(np.array(out, dtype=np.int64))
+                done_word.append(np.full(len(out), w))
+
+        if (lengths > LONG).any():
+            finish(np.flatnonzero(lengths > LONG))
+            short = np.repeat(lengths <= LONG, lengths)
+            sym, word = sym[short], word[short]
         while len(sym):
             same = word[:-1] == word[1:]
             made = np.where(same, self.joined(sym[:-1], sym[1:]), -1) if len(sym) > 1 else np.zeros(0, dtype=np.int64)
@@ -108,12 +124,8 @@ class MergeTable:
                 bad = at[(fresh >= 0) & (self.rank[fresh] <= old_best[at])]
                 if len(bad):
                     slow = np.unique(new_word[bad])
-                    is_slow = np.isin(word, slow)
-                    for w in slow:
-                        out = self.merge_one(sym[word == w].tolist())
-                        done_sym.append(np.array(out, dtype=np.int64))
-                        done_word.append(np.full(len(out), w))
-                    keep = ~is_slow[kept]
+                    finish(slow)
+                    keep = ~np.isin(new_word, slow)
                     new, new_word = new[keep], new_word[keep]
             sym, word = new, new_word
         if not done_sym:
@@ -122,28 +134,34 @@ class MergeTable:
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(lengths))
 
-    def merge_one(self, sym: list[int]) -> list[int]:
-        """One word's merges, one at a time: best rank first, then from the left."""
-        n = len(sym)
+    @cached_property
+    def by_pair(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and piece by pair, for words that are merged one step at a time."""
+        return {(a, b): (rank, piece) for a, b, rank, piece in self.merges}
+
+    def merge_one(self, sym: np.ndarray) -> list[int]:
+        """One word's merges, one at a time: best rank first, then from the left. Its cost grows with n log n."""
+        n, known = len(sym), self.by_pair
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
+        made = self.joined(sym[:-1], sym[1:])
+        at = np.flatnonzero(made >= 0)
+        heap = list(zip(self.rank[made[at]].tolist(), at.tolist(), sym[at].tolist(), sym[at + 1].tolist(), self.piece[made[at]].tolist(), strict=True))
+        heapq.heapify(heap)
+        sym = sym.tolist()
 
         def offer(i: int) -> None:
             j = nxt[i] if i >= 0 else n
-            if i >= 0 and j < n and sym[i] >= 0 and sym[j] >= 0:
-                made = int(self.joined(np.array([sym[i]]), np.array([sym[j]]))[0])
-                if made >= 0:
-                    heapq.heappush(heap, (int(self.rank[made]), i, sym[i], sym[j], int(self.piece[made])))
+            found = known.get((sym[i], sym[j])) if i >= 0 and j < n else None
+            if found:
+                heapq.heappush(heap, (found[0], i, sym[i], sym[j], found[1]))
 
-        for i in range(n - 1):
-            offer(i)
         alive = [True] * n
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            _, i, a, b, piece = heapq.heappop(heap)
             j = nxt[i]
             if not alive[i] or j >= n or sym[i] != a or sym[j] != b:
                 continue
-            sym[i] = made
+            sym[i] = piece
             alive[j] = False
             nxt[i] = nxt[j]
             if nxt[i] < n:

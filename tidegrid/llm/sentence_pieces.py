@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import strings
 from tidegrid.llm.merge_rounds import MergeTable
 
 #: The space marker of SentencePiece (a fixed value of its format).
@@ -61,8 +63,13 @@ class PieceModel:
                 if a is not None and b is not None:
                     merges.append((a, b, rank[i], i))
         self.merges = MergeTable(size, merges)
-        self.text_of = ["" if special[i] and not sp.is_byte(i) else p.replace(SPACE, " ") for i, p in enumerate(pieces)]
-        self.unknown_text = " ⁇ "
+        # What each id stands for in the decoded text, as one array of bytes.
+        octets = [
+            bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
+        ]
+        self.octets = np.frombuffer(b"".join(octets), dtype=np.uint8)
+        self.octet_count = np.array([len(o) for o in octets], dtype=np.int64)
+        self.octet_start = np.cumsum(self.octet_count) - self.octet_count
 
     def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat symbols of all words after merging, and each word's symbol count.
@@ -89,30 +96,21 @@ class PieceModel:
         out[np.repeat(sym < 0, times)] = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.int64) + self.byte_base
         return out.astype(np.int32), np.bincount(np.repeat(word, times), minlength=len(words))
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: pieces joined, byte pieces read as UTF-8, the leading added space dropped."""
-        low, high = self.byte_base, self.byte_base + 256
-        parts, run, text_of = [], bytearray(), self.text_of
-        for i in ids:
-            if low <= i < high:
-                run.append(i - low)
-            else:
-                if run:
-                    parts.append(_bytes_text(bytes(run)))
-                    run = bytearray()
-                parts.append(text_of[i])
-        if run:
-            parts.append(_bytes_text(bytes(run)))
-        text = "".join(parts)
-        return text[1:] if text[:1] == " " else text
-
-
-def _bytes_text(raw: bytes) -> str:
-    """UTF-8 text; every byte that is no part of a character becomes one U+FFFD."""
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return raw[: e.start].decode("utf-8") + "�" + _bytes_text(raw[e.start + 1 :])
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of flat ids cut at ``ends``: the bytes of all pieces gathered at once, the leading added space dropped."""
+        count = self.octet_count[flat]
+        before = np.r_[0, np.cumsum(count)]
+        raw = self.octets[np.repeat(self.octet_start[flat] - before[:-1], count) + np.arange(int(before[-1]))].tobytes()
+        cuts = before[ends].tolist()
+        return [raw[a:b].decode("utf-8", "each_byte").removeprefix(" ") for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _each_byte(e: UnicodeError) -> tuple[str, int]:
+    return "\ufffd", e.start + 1
+
+
+#: In decoding, every byte that is no part of a character becomes one U+FFFD.
+codecs.register_error("each_byte", _each_byte)
 
 
 @lru_cache(maxsize=4)
@@ -177,7 +175,7 @@ def encode_texts(path: str, texts: list[str | None], add_eos: bool = True) -> tu
 
 def _blocks(column: pa.Array) -> Iterator[list[str | None]]:
     block, size = [], 0
-    for t in column.to_pylist():
+    for t in strings(column):
         block.append(t)
         size += len(t or "")
         if size > BLOCK_CHARS:
@@ -194,8 +192,7 @@ def _rows(model: str, texts: pa.Array, eos: bool, decoded: bool) -> Iterator[lis
         flat, ends = encode_texts(model, block, eos)
         out: list[pa.Array] = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))]
         if decoded:
-            at = ends.tolist()
-            out.append(pa.array([m.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()))
+            out.append(pa.array(m.decode(flat, ends), pa.string()))
         yield out
 
 
@@ -226,7 +223,9 @@ def decode(df: DataFrame, model: str, ids: str = "token_ids", out: str = "decode
     def texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = load_model(model)
         for column in columns:
-            yield pa.array([None if x.as_py() is None else m.decode(x.values.to_pylist()) for x in column], pa.string())
+            counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+            found = m.decode(column.flatten().to_numpy(), np.r_[0, np.cumsum(counts)])
+            yield pa.array(found, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
 
     return df.withColumn(out, texts(F.col(ids)))
 

@@ -1,12 +1,12 @@
 """Toxicity by compression distance (operator 9).
 
-One zstandard dictionary is trained, on ordinary text. The toxic dictionary is
-not trained: it is the ordinary one with word stems behind it, which toxic
-documents show far more often. Each window of a text is compressed with both;
-where the toxic dictionary saves bytes, the window is evidence. The evidence
-of all windows, weighed by how often labelled text shows each saving, gives a
-calibrated score. Words too rare for the choice of stems are no evidence; the
-README gives figures, and those of two trained dictionaries.
+Two zstandard dictionaries are trained apart: one on windows of ordinary text,
+one on the narrow windows of toxic text that hold what toxic documents show far
+more often than others. Each window of a text is compressed with the ordinary
+dictionary and with both; where the toxic one saves bytes, the window is
+evidence. The evidence of all windows, weighed by how often labelled text shows
+each saving, gives a calibrated score. Words too rare to be told from chance
+are no evidence; the README gives figures.
 """
 
 from __future__ import annotations
@@ -32,11 +32,13 @@ SAMPLE_BYTES = 20_000
 #: Bytes of a window (it ends at the next space), of the dictionary of ordinary text, and the compression level.
 WINDOW = 64
 ORDINARY_BYTES = 32_768
-TOXIC_BYTES = 8_192
+#: The same of the narrow windows that the toxic dictionary is trained on.
+TOXIC_WINDOW = 8
+TOXIC_BYTES = 2_048
 LEVEL = 9
 #: Savings outside these count as the nearest of them.
 LEAST, MOST = -3, 12
-#: Word stems go into the toxic dictionary from this standard score of their document counts.
+#: Windows with a word stem of at least this standard score of its document counts train the toxic dictionary.
 STEM_Z = 7.0
 #: Least shingle hashes of a text that are compared to find near-equal texts, and groups that make a shingle common.
 SKETCH = 64
@@ -78,7 +80,8 @@ def _compressors(ordinary: bytes, toxic: bytes):
     import zstandard as zs
 
     made = []
-    # The toxic side sees the ordinary dictionary as well, so only toxic text sets the two apart.
+    # The toxic side sees the ordinary dictionary as well, so only toxic text sets the two apart. Both are plain
+    # content here: a trained dictionary's tables of symbols would set the two sides apart by more than their texts.
     for content in (ordinary, ordinary + toxic):
         d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
         p = zs.ZstdCompressionParameters.from_level(LEVEL, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0)
@@ -129,7 +132,7 @@ def _votes(texts: list[tuple[str, int]]) -> tuple[Counter, int]:
     return counts, max(1, len(shown))
 
 
-def toxic_windows(toxic: list[tuple[str, int]], ordinary: list[tuple[str, int]]) -> list[str]:
+def telling_stems(toxic: list[tuple[str, int]], ordinary: list[tuple[str, int]]) -> list[str]:
     """Word stems that toxic texts show far more often, best first; of one word's stems the most telling, then the longest.
 
     Both lists hold (text, group); copies of one text, being one group, have one vote.
@@ -165,14 +168,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, f
     return a, b
 
 
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary of at most ``size`` bytes, trained by zstandard on all samples; too few to train on are taken as they are."""
+    import zstandard as zs
+
+    try:
+        return zs.train_dictionary(size, samples).as_bytes()
+    except zs.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
+
+
 def learn(texts: list[tuple[str, int]], toxic_share: float, seed: int = 0) -> ToxicityModel | None:
-    """A model from labelled texts: three parts in four train dictionaries and weights, the rest calibrate.
+    """A model from labelled texts: half of the groups train the dictionaries, a quarter weighs savings, the rest calibrate.
 
     None where a class is missing. ``toxic_share`` is the share of label 1 among
     all labelled rows, which the sample doesn't keep.
     """
-    import zstandard as zs
-
     order = sorted(texts)
     random.Random(seed).shuffle(order)
     groups = text_groups([t for t, _ in order])
@@ -180,23 +191,23 @@ def learn(texts: list[tuple[str, int]], toxic_share: float, seed: int = 0) -> To
     copies = Counter((g, bool(y)) for g, (_, y) in zip(groups, order, strict=True))
     # (text, label, group, vote): the copies of a text share one vote in each class, and learn or calibrate together.
     voting = [(t, bool(y), g, 1 / copies[g, bool(y)]) for g, (t, y) in zip(groups, order, strict=True)]
-    fit = [x for x in voting if number[x[2]] % 4]
+    base_part = [x for x in voting if number[x[2]] % 4 in (1, 2)]
+    fit = [x for x in voting if number[x[2]] % 4 == 3]
     rest = [x for x in voting if number[x[2]] % 4 == 0]
-    toxic, ordinary = [(t, g) for t, y, g, _ in fit if y], [(t, g) for t, y, g, _ in fit if not y]
+    toxic, ordinary = [(t, g) for t, y, g, _ in base_part if y], [(t, g) for t, y, g, _ in base_part if not y]
     if not toxic or not ordinary or not 0 < toxic_share < 1:
         return None
     once = {g: t for t, g in reversed(ordinary)}  # the first text of each group
     pool = [w for t in once.values() for w in windows(normalised(t))]
     random.Random(seed).shuffle(pool)
-    try:
-        base = zs.train_dictionary(ORDINARY_BYTES, pool[:60_000]).as_bytes()
-    except zs.ZstdError:  # too little text to train on: the text itself
-        base = b"".join(pool)[:ORDINARY_BYTES]
+    base = _trained(ORDINARY_BYTES, pool)
     kept = b""
-    for w in toxic_windows(toxic, ordinary):
-        stem = (" " + w).encode()
-        if len(kept) + len(stem) <= TOXIC_BYTES:
-            kept = stem + kept
+    if stems := telling_stems(toxic, ordinary):
+        telling = re.compile(b"|".join(re.escape((" " + w).encode()) for w in stems))
+        first = {g: t for t, g in reversed(toxic)}
+        narrow = [w for t in first.values() for w in windows(normalised(t), TOXIC_WINDOW) if telling.search(w)]
+        random.Random(seed).shuffle(narrow)
+        kept = _trained(TOXIC_BYTES, narrow)
     bins = MOST - LEAST + 1
     seen = [np.ones(bins), np.ones(bins)]
     for t, y, _, vote in fit:
