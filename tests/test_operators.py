@@ -132,7 +132,7 @@ def test_float16_round_trip(spark):
 
 def test_stage_runs_once_and_again_when_rows_change(spark, tmp_path):
     df = spark.createDataFrame([(2015, 1), (2016, 2)], "y int, k int")
-    args = dict(part="y", row_key="k", build=lambda d: d.withColumn("twice", F.col("k") * 2), target=str(tmp_path / "t"), log=str(tmp_path / "log"))
+    args = dict(part="y", build=lambda d: d.withColumn("twice", F.col("k") * 2), target=str(tmp_path / "t"), log=str(tmp_path / "log"))
     assert run_stage(spark, "s", df, **args)["partitions"] == "[2015, 2016]"
     assert run_stage(spark, "s", df, **args)["partitions"] == "[]"
     changed = spark.createDataFrame([(2015, 1), (2016, 3)], "y int, k int")

@@ -117,14 +117,9 @@ def smoothstep(lo: float, hi: float, x: Column) -> Column:
     return t * t * (3.0 - 2.0 * t)
 
 
-def fingerprint(*parts: Column) -> Column:
-    """First 16 hex digits of SHA-256 over the parts, set apart by a zero byte."""
-    return F.substring(F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256), 1, 16)
-
-
-def ecliptic_longitude(day: Column) -> Column:
-    """Degrees of the sun along the ecliptic from the March equinox, uniform over the year."""
-    return F.pmod((F.dayofyear(day) - 80) * F.lit(360.0 / 365.25), F.lit(360.0))
+def ecliptic_longitude(day_of_year: Column) -> Column:
+    """Degrees of the sun along the ecliptic from the March equinox, uniform over the year; days count from 1, with fractions."""
+    return F.pmod((day_of_year - 79) * F.lit(360.0 / 365.24), F.lit(360.0))
 
 
 def year_list(text: Column) -> Column:

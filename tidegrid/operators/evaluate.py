@@ -134,9 +134,51 @@ def map_rmse(cells: DataFrame, by: list[str], sample: str, error: Column) -> Dat
     return per.groupBy(*by).agg(F.sqrt(F.avg("_mse")).alias("rmse"))
 
 
+def horizon_rmse(cells: DataFrame, horizon: str, error: Column, weight: Column) -> DataFrame:
+    """(horizon, rmse): root of the plain mean of weighted squared errors, with the latitudes' weights; not divided by their sum."""
+    return cells.groupBy(horizon).agg(F.sqrt(F.avg(weight * error * error)).alias("rmse"))
+
+
+def seeded_order(key: str, seed: int) -> Column:
+    """Order of a seeded draw: the digest of seed and key, the same on any cluster and in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+
+
 def subsample(df: DataFrame, key: str, one_in: int, seed: int) -> DataFrame:
-    """About one row in ``one_in``, chosen by a seeded hash of the key: the same rows in every run and on any cluster."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(one_in)) == 0)
+    """Exactly max(1, floor(n / one_in)) of the n rows, drawn by ``seeded_order``, ties to the smaller key; keys are distinct.
+
+    The draw is a threshold: counts by the digest's first signs tell the class
+    of the last row drawn, and only that class, about n in 4096, is ordered.
+    """
+    order = df.select(key, seeded_order(key, seed).alias("_o")).withColumn("_c", F.substring("_o", 1, 3))
+    classes = order.groupBy("_c").agg(F.count("*").alias("_n"))  # at most 4096 rows
+    below = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    total = classes.agg(F.greatest(F.lit(1), F.floor(F.sum("_n") / one_in)).alias("_k"))
+    wanted = classes.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0))).join(F.broadcast(total)).select("_c", "_n", (F.col("_k") - F.col("_before")).alias("_left"))
+    marked = order.join(F.broadcast(wanted.where("_left > 0")), "_c")
+    whole = marked.where("_n <= _left").select(key)
+    last = marked.where("_n > _left").withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_o", key))).where("_r <= _left").select(key)
+    return df.join(whole.union(last), key, "left_semi")
+
+
+def teacher_forcing(epoch: Column, epochs: int) -> Column:
+    """Share of steps fed with the truth: falls evenly from 1 to 0, and stays there."""
+    return F.greatest(F.lit(0.0), 1 - epoch / epochs)
+
+
+def mismatches(old: DataFrame, new: DataFrame, key: str, value: str, near: float = 1e-9) -> DataFrame:
+    """(key, side, old, new): keys on one side only, and on both with values farther apart than ``near``."""
+    both = old.select(key, F.col(value).alias("old"), F.lit(1).alias("_io")).join(new.select(key, F.col(value).alias("new"), F.lit(1).alias("_in")), key, "full_outer")
+    apart = ~F.col("old").eqNullSafe(F.col("new")) & ~F.coalesce(F.abs(F.col("old") - F.col("new")) <= near, F.lit(False))
+    side = F.when(F.col("_in").isNull(), "only_old").when(F.col("_io").isNull(), "only_new").when(apart, "differs")
+    return both.withColumn("side", side).where("side is not null").select(key, "side", "old", "new")
+
+
+def require_equal(gates: DataFrame) -> None:
+    """Fails unless every gate (a row of ``equality_gate``) has equal keys and values on both sides."""
+    bad = gates.where("only_old > 0 or only_new > 0 or within < both").count()
+    if bad:
+        raise ValueError(f"{bad} gates don't hold")
 
 
 def lineage(parts: DataFrame, *stored: DataFrame) -> DataFrame:

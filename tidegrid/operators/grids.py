@@ -58,6 +58,29 @@ def regrid(cells: DataFrame, weights: DataFrame, by: list[str], cell: str, value
     )
 
 
+def with_poles(cells: DataFrame, weights: list[tuple[int, int, float]], by: list[str], cell: str, value: str, src: tuple[int, int], tgt: tuple[int, int], south_first: bool = True) -> DataFrame:
+    """``regrid``, where target rows beyond the source's latitudes get the mean of the source's edge row on their side.
+
+    ``src`` and ``tgt`` are (latitudes, longitudes); ``south_first`` tells which
+    way the source runs; the target's rows run north.
+    """
+    spark = cells.sparkSession
+    covered = {t // tgt[1] for t, _, _ in weights}
+    first = min(covered, default=0)
+    extra = []
+    for row in sorted(set(range(tgt[0])) - covered):
+        southern = row < first if covered else 2 * row < tgt[0]
+        source_row = 0 if southern == south_first else src[0] - 1
+        extra += [(row * tgt[1] + j, source_row * src[1] + k, 1.0 / src[1]) for j in range(tgt[1]) for k in range(src[1])]
+    return regrid(cells, weight_table(spark, weights + extra), by, cell, value)
+
+
+def back_weights(lats: np.ndarray, lons: np.ndarray, native_lats: np.ndarray, native_lons: np.ndarray) -> list[tuple[int, int, float]]:
+    """Bilinear weights from the Gauss-Legendre grid back to a map file's grid; latitudes outside take the nearest row's."""
+    inside = np.clip(native_lats, lats.min(), lats.max())
+    return bilinear_weights(lats, lons, inside, native_lons)
+
+
 def weight_table(spark: SparkSession, rows: list[tuple[int, int, float]]) -> DataFrame:
     return spark.createDataFrame(rows, "target int, source int, weight double")
 

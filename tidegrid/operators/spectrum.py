@@ -42,3 +42,13 @@ def first_cliff(spectrum: DataFrame, s: str, drop: float = -1.5, cap: int = 36)
 def noise_floor(spectrum: DataFrame, s: str, from_degree: int) -> DataFrame:
     """Mean power of odd degrees from ``from_degree`` up."""
     return spectrum.agg(F.avg(F.when((F.col("l") >= from_degree) & (F.col("l") % 2 == 1), F.col(s))).alias("noise_floor"))
+
+
+def sobolev_weight(degree: Column) -> Column:
+    """Weight of a degree in a loss that counts gradients."""
+    return 1 + degree * (degree + 1)
+
+
+def gibbs_window(degree: Column, most: int) -> Column:
+    """Factor that fades a spectrum out towards its highest degree."""
+    return 1 - degree / F.lit(most)

@@ -184,12 +184,13 @@ def q_html_sniff(spark, sf_dir):
 
 @query(
     "q_url_templates",
-    """SELECT day, key, CASE WHEN day < DATE '1999-06-01' THEN s ELSE l END AS first_name FROM (SELECT DISTINCT o_orderdate::DATE AS day,
-       strftime(o_orderdate, '%Y-%j') AS key, 'abcg' || strftime(o_orderdate, '%j') || '0.' || strftime(o_orderdate, '%y') || 'i.Z' AS s,
-       'abcg' || strftime(o_orderdate, '%j') || '0.' || strftime(o_orderdate, '%y') || 'i.Z' AS l FROM orders)""",
+    """SELECT day, strftime(day, '%Y-%j') AS key, CASE WHEN day < DATE '2023-08-07' THEN 'abcg' || strftime(day, '%j') || '0.' || strftime(day, '%y') || 'i.Z'
+       ELSE 'ABC0OPSFIN_' || strftime(day, '%Y%j') || '0000_01D_02H_GIM.INX.gz' END AS first_name
+       FROM (SELECT DISTINCT (o_orderdate + INTERVAL 9132 DAY)::DATE AS day FROM orders)""",
 )
 def q_url_templates(spark, sf_dir):
-    days = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    # 25 years later, so that the days lie on both sides of the change of names.
+    days = read(spark, sf_dir, "orders").select(F.date_add(F.to_date("o_orderdate"), 9132).alias("day")).distinct()
     return days.select("day", S.day_key(F.col("day")).alias("key"), S.map_file_names(F.col("day"), "ABC")[0].alias("first_name"))
 
 
@@ -398,13 +399,12 @@ WINDOWS = """w AS (SELECT t, min(g) OVER s AS a, max(g) OVER s AS b, sum(ok) OVE
 
 @query(
     "q_valid_windows",
-    f"""WITH {EV}, f AS (SELECT t // 3600 * 3600 AS t, (max(value) >= 150)::INT AS ok FROM ev GROUP BY 1), {WINDOWS.format(c=3600)}
-        SELECT t FROM v WHERE paced AND whole""",
+    f"""WITH {WEEKLY}, f AS (SELECT t, (n % 5 > 0)::INT AS ok FROM d), {WINDOWS.format(c=604800)}
+        SELECT t, paced AND whole AS valid FROM v""",
 )
 def q_valid_windows(spark, sf_dir):
-    ev = event_rows(spark, sf_dir)
-    f = ev.groupBy((F.floor(F.col("t") / HOUR) * HOUR).alias("t")).agg((F.max("value") >= 150).alias("ok"))
-    return timeline.window_starts(f, "t", "ok", HOUR).where("valid").select("t")
+    f = weekly_orders(spark, sf_dir).withColumn("ok", F.col("n") % 5 > 0)
+    return timeline.window_starts(f, "t", "ok", WEEK).select("t", "valid")
 
 
 @query(
@@ -722,7 +722,10 @@ def q_regrid_bilinear(spark, sf_dir):
 
 @query("q_lon_wrap", f"SELECT DISTINCT ((x % 360) + 360) % 360 AS lon FROM (VALUES {', '.join(f'({-180 + 5 * k}.0::DOUBLE)' for k in range(73))}) AS t(x)")
 def q_lon_wrap(spark, sf_dir):
-    return spark.range(73).select(F.pmod((F.col("id") * 5 - 180).cast("double"), F.lit(360.0)).alias("lon")).distinct()
+    import numpy as np
+
+    lons, _ = grids.wrap_longitudes(np.array([-180.0 + 5 * k for k in range(73)]))
+    return spark.createDataFrame([(float(x),) for x in lons], "lon double")
 
 
 @query(
@@ -736,8 +739,9 @@ def q_ring_mean(spark, sf_dir):
 
 @query(
     "q_residual_join",
-    f"""WITH {CELL_SQL}, m AS (SELECT label, cell, avg(v) AS b FROM c JOIN embeddings USING (vec_id) GROUP BY 1, 2)
-        SELECT vec_id, cell, round(v - b, 6) AS residual FROM c JOIN embeddings USING (vec_id) JOIN m USING (label, cell)""",
+    """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS cell FROM embeddings),
+        m AS (SELECT label, cell, avg(v) AS b FROM e GROUP BY 1, 2)
+        SELECT vec_id, cell::INT AS cell, round(v - b, 6) AS residual FROM e JOIN m USING (label, cell)""",
 )
 def q_residual_join(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -821,12 +825,15 @@ def q_noise_floor(spark, sf_dir):
 
 @query(
     "q_pred_minus_actual",
-    "SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS total FROM embeddings",
+    """SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS total
+       FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 )
 def q_pred_minus_actual(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
-    d = grids.minus(F.col("p"), F.reverse("p"))
-    return e.select("vec_id", r6(F.aggregate(d, F.lit(0.0), lambda s, x: s + F.abs(x))).alias("total"))
+    # The next map stands for what was measured at the time that the map before it forecasts.
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("a")), "vec_id")
+    d = grids.minus(F.col("p"), F.col("a"))
+    return both.select("vec_id", r6(F.aggregate(d, F.lit(0.0), lambda s, x: s + F.abs(x))).alias("total"))
 
 
 @query(
@@ -923,11 +930,11 @@ def q_hour_slice(spark, sf_dir):
 
 @query(
     "q_sun",
-    """SELECT event_id, round((((dayofyear(ts) - 80) * (360.0 / 365.25)) % 360 + 360) % 360, 6) AS ecliptic, round(((hour(ts) - 13 + value) % 24 + 24) % 24, 6) AS sub_hour FROM events""",
+    """SELECT event_id, round((((dayofyear(ts) - 79 + epoch_us(ts) % 86400000000 / 86400000000.0) * (360.0 / 365.24)) % 360 + 360) % 360, 6) AS ecliptic, round(((hour(ts) - 13 + value) % 24 + 24) % 24, 6) AS sub_hour FROM events""",
 )
 def q_sun(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return e.select("event_id", r6(S.ecliptic_longitude(F.to_date("ts"))).alias("ecliptic"), r6(S.subsolar_hour(F.hour("ts") - 13 + F.col("value"))).alias("sub_hour"))
+    return e.select("event_id", r6(S.ecliptic_longitude(F.dayofyear("ts") + F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(DAY * 1_000_000)) / (DAY * 1e6))).alias("ecliptic"), r6(S.subsolar_hour(F.hour("ts") - 13 + F.col("value"))).alias("sub_hour"))
 
 
 @query("q_year_list", "SELECT y AS year FROM (VALUES (2023), (2024), (2025)) AS t(y)")
@@ -950,7 +957,11 @@ def q_lineage(spark, sf_dir):
     return evaluate.lineage(every, every, some)
 
 
-@query("q_subsample", None)
+@query(
+    "q_subsample",
+    """SELECT * EXCLUDE (r, n) FROM (SELECT *, row_number() OVER (ORDER BY md5('7:' || event_id), event_id) AS r, count(*) OVER () AS n FROM events)
+       WHERE r <= greatest(1, n // 4)""",
+)
 def q_subsample(spark, sf_dir):
     return evaluate.subsample(read(spark, sf_dir, "events"), "event_id", 4, 7)
 

@@ -6,10 +6,11 @@ import json
 import os
 import platform
 import time
+import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.operators.evaluate import partition_fingerprints, stale_partitions
@@ -53,12 +54,48 @@ class Settings:
         return out
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def output_summary(spark: SparkSession, paths: list[str]) -> list[dict]:
+    """Of each path whether it is there, and how many data files it holds, folders below it included."""
+    out = []
+    for path in paths:
+        there, files = path_exists(spark, path), 0
+        if there:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+            while found.hasNext():
+                files += not found.next().getPath().getName().startswith(("_", "."))
+        out.append({"path": path, "exists": there, "files": files})
+    return out
+
+
+def append_manifest(rows: DataFrame, path: str) -> None:
+    """Rows added to a manifest; a manifest is never rewritten."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_index(df: DataFrame, root: str, table: str) -> str:
+    """An index table below ``root``, which may be a staging folder; returns its path."""
+    path = f"{root.rstrip('/')}/{table}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def row_content(df: DataFrame) -> Column:
+    """All columns of a row as one text, by name: nulls told apart from empty texts, so that any changed value shows."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+
+
 def run_stage(
     spark: SparkSession,
     name: str,
     source: DataFrame,
     part: str,
-    row_key: str,
     build: Callable[[DataFrame], DataFrame],
     target: str,
     log: str,
@@ -67,18 +104,14 @@ def run_stage(
 ) -> dict:
     """Build the partitions of ``source`` whose fingerprint isn't the one stored with ``target``; append a manifest row.
 
-    The fingerprint covers the rows and the contract. Failures are logged and
-    raised again. Partitions are overwritten one by one (dynamic overwrite).
+    The fingerprint covers all columns of the rows and the contract. Failures
+    are logged and raised again; a log that can't be written is only warned of.
+    Partitions are overwritten one by one (dynamic overwrite).
     """
     started, status, stale = time.time(), "failed", None
     try:
-        prints = partition_fingerprints(source, F.col(part), F.concat_ws("|", F.lit(contract), F.col(row_key).cast("string")))
-        try:
-            stored = spark.read.parquet(f"{target}_fingerprints")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = prints.limit(0)
+        prints = partition_fingerprints(source, F.col(part), F.concat(F.lit(f"{contract}|"), row_content(source)))
+        stored = spark.read.parquet(f"{target}_fingerprints") if path_exists(spark, f"{target}_fingerprints") else prints.limit(0)
         latest = stored.groupBy("part").agg(F.max_by("fingerprint", "written_at").alias("fingerprint")) if "written_at" in stored.columns else stored
         todo = stale_partitions(prints, latest, overwrite).where("action <> 'skip'")
         stale = sorted(r["part"] for r in todo.select("part").collect())  # one row per partition
@@ -97,8 +130,12 @@ def run_stage(
             "spark": spark.version,
             "python": platform.python_version(),
             "timezone": spark.conf.get("spark.sql.session.timeZone"),
+            "outputs": json.dumps(output_summary(spark, [target])),
         }
-        spark.createDataFrame([row]).coalesce(1).write.mode("append").json(log)
+        try:
+            spark.createDataFrame([row]).coalesce(1).write.mode("append").json(log)
+        except Exception as e:
+            warnings.warn(f"the run of {name} isn't in the log: {e}", stacklevel=2)
     return row
 
 

@@ -59,18 +59,21 @@ def parse(text: str) -> Iterator[tuple[int, list[float], list[float], list[list[
             row.extend(None if int(x) == MISSING else int(x) * scale for x in line[:80].split())
 
 
-def parse_texts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """One row per map of a DataFrame of file texts."""
+def parse_texts(texts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per map of a DataFrame of file texts, with the file's columns ``keep``."""
+    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64()))]
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for k, t in enumerate(batch.column(len(keep)).to_pylist()):
                 maps = list(parse(t or ""))
                 columns = list(zip(*maps, strict=True)) if maps else [[], [], [], []]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["epoch_s", "lats", "lons", "grid"])
+                kept = [batch.column(c).take(pa.array([k] * len(maps), pa.int64())) for c in range(len(keep))]
+                yield pa.record_batch([*kept, *[pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]], names=[*keep, "epoch_s", "lats", "lons", "grid"])
 
-    return texts.select(text).mapInArrow(run, SCHEMA)
+    given = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep]
+    return texts.select(*keep, text).mapInArrow(run, ", ".join([*given, SCHEMA]))
 
 
 class _File(InputPartition):
