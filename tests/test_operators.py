@@ -43,7 +43,7 @@ def test_regrid_recovers_a_smooth_field(spark):
     lats, lons = np.arange(87.5, -90, -2.5), np.arange(-180, 181, 5.0)
     to_lats, _ = grids.gauss_latitudes(23)
     to_lons = np.arange(0, 360, 8.0)
-    field = lambda a, o: 20 + 10 * np.sin(np.radians(o)) + 5 * np.cos(np.radians(a))
+    field = lambda a, o: 12.5 + a / 20 + 6 * np.cos(np.radians(2 * o + a))
     flat = field(lats[:, None], lons[None, :]).ravel()
     rows = [(m, k, float(v) if (m, k) != (1, 100) else None) for m in (0, 1) for k, v in enumerate(flat)]
     cells = spark.createDataFrame(rows, "m int, cell int, v double")

@@ -54,7 +54,7 @@ def line(payload: str, label: str) -> str:
 
 
 def field(lat, lon):
-    return 20 + 10 * math.sin(math.radians(lon)) + 5 * math.cos(math.radians(lat))
+    return 12.5 + lat / 20 + 6 * math.cos(math.radians(2 * lon + lat))
 
 
 def text(stamps, exponent=True, missing=None):
