@@ -54,6 +54,18 @@ def test_base_spans_equal_the_patterns(private):
     assert got == sorted(want)
 
 
+def test_many_matches_in_one_text_are_all_located(spark):
+    mails = [f"a{k}@b{k % 7}.org" for k in range(3000)]
+    text = "é " + " 😀 ".join(mails) + " end"
+    df = spark.createDataFrame([(1, text), (2, " ".join(mails[: pii.BLOCK])), (3, " ".join(mails[: pii.BLOCK + 1]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_spans(df).collect()}
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"a[0-9]+@b[0-9]\.org", text))
+    assert got[1].spans == want and got[1].n_spans == got[1].n_email == 3000 and got[1].n_added == 0
+    assert (got[2].n_email, got[3].n_email) == (pii.BLOCK, pii.BLOCK + 1)
+    empty = pii.pii_spans(df.limit(0))
+    assert empty.count() == 0 and pii.redact(df.limit(0)).count() == 0
+
+
 def test_all_spans_hold_the_base_spans_and_secrets(private):
     text = {r.doc_id: r.text or "" for r in private.collect()}
     found = 0

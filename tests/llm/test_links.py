@@ -81,6 +81,8 @@ def test_jaccard_just_under_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "CELLS", 3000)
     monkeypatch.setattr(ngram_jaccard, "PAIRS", 1000)
     monkeypatch.setattr(ngram_jaccard, "WORDS", 500)
+    monkeypatch.setattr(ngram_jaccard, "AT_ONCE", 0.01)
+    monkeypatch.setattr(ngram_jaccard, "HUBS", 1)
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = []

@@ -34,9 +34,11 @@ COMMON_MOST = 500_000
 #: Grams that a task holds while it counts which of them several of its documents show.
 HELD_GRAMS = 4_000_000
 #: Hubs of each list in a round. Another round follows while one leaves less than this share of the open rows.
-HUBS = 2
+HUBS = 4
 ROUND_LEAVES = 0.67
 MOST_ROUNDS = 8
+#: Of the pairs that parities can't refute, all are verified at once when there are fewer than this share of the nodes.
+AT_ONCE = 0.25
 #: Fragments of the grams after the prefix.
 FRAGMENTS = 4
 #: Documents of one list block; larger groups are compared block against block.
@@ -338,13 +340,9 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int
     return overlap.where(F.col("overlap") * den >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * num).select("a", "b")
 
 
-def _open_lists(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of the lists that still hold several components, with each row's component and each list's anchor, one of its nodes."""
-    known = lists.select("gram", "at", "node", "size")
-    if comps is not None:
-        known = known.join(comps.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        known = known.withColumn("comp", F.col("node"))
+    known = lists.select("gram", "at", "node", "size").join(comps.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     seen = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("node", F.xxhash64("node")).alias("anchor"))
     return known.join(seen.where("lo < hi").select("gram", "anchor"), "gram").select("gram", "at", "node", "size", "comp", "anchor")
 
@@ -500,9 +498,10 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 def _still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components."""
+    cols = pairs.columns
     for c in ("a", "b"):
         pairs = pairs.join(comps.toDF(c, f"comp_{c}"), c, "left")
-    return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select(*cols)
 
 
 def ngram_jaccard(
@@ -515,8 +514,8 @@ def ngram_jaccard(
     hubs first; the links found contract the lists, and rounds with other hubs
     follow while they close many lists. What is left is compared across
     components only, inside the tasks, and only pairs that may link leave them;
-    of these each node's nearest is verified first, then all that its links
-    leave apart. So copies are not expanded into all pairs.
+    where they are many, each node's nearest is verified first, in rounds, then
+    all that the links leave apart. So copies are not expanded into all pairs.
 
     Null or empty text: no n-grams, linked with nothing, its own component.
     Fewer than n words: the whole sequence is the one n-gram. A null id has a
@@ -543,20 +542,28 @@ def ngram_jaccard(
     several = lists.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
     lists = written(lists.join(several, "gram"), "jaccard_lists")
     verify = partial(_linked, reps=reps, docs=docs, n=n, num=num, den=den, common=common, id_col=id_col, text=text)
-    comps, many = None, None
+    comps = docs.sparkSession.createDataFrame([], "node long, component long")
+    many = None
     for k in range(MOST_ROUNDS):
         lists = written(_open_lists(lists, comps), "jaccard_open")
         before, many = many, lists.count()
         if not many or before is not None and many > ROUND_LEAVES * before:
             break
         links = verify(written(_hub_pairs(lists, HUBS, HUBS * k, num, den), "jaccard_hub_pairs"))
-        comps = connected_components(links if comps is None else comps.toDF("a", "b").union(links), "a", "b")
-    left = written(_block_pairs(lists, reps, num, den), "jaccard_block_pairs")
-    links = verify(written(_nearest(left), "jaccard_nearest"))
-    comps = connected_components(links if comps is None else comps.toDF("a", "b").union(links), "a", "b")
-    links = verify(written(_still_apart(left, comps), "jaccard_apart"))
-    final = connected_components(comps.toDF("a", "b").union(links), "a", "b")
-    by_set = classes.join(final.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        comps = connected_components(comps.toDF("a", "b").union(links), "a", "b")
+    nodes, left = reps.count(), _block_pairs(lists, reps, num, den)
+    for k in range(MOST_ROUNDS):
+        left = written(_still_apart(left, comps), "jaccard_left")
+        many = left.count()
+        if not many:
+            break
+        whole = many <= AT_ONCE * nodes or k == MOST_ROUNDS - 1
+        chosen = left.select("a", "b") if whole else written(_nearest(left), "jaccard_nearest")
+        comps = connected_components(comps.toDF("a", "b").union(verify(chosen)), "a", "b")
+        if whole:
+            break
+        left = left.join(chosen, ["a", "b"], "left_anti")
+    by_set = classes.join(comps.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_set.groupBy("root").agg(F.min("id").alias("component"))
     by_set = by_set.join(least, "root").select("h1", "h2", "component")
     out = found.select("id", "size", "h1", "h2").join(by_set, ["h1", "h2"], "left")

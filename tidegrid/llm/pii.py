@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import written
+
 # The base patterns, written so that no start is tried twice and no group recurses.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -29,14 +31,31 @@ GAZETTEER = r"(?i)(password|passwd|pwd|token|secret|api[_ -]?key|key|ssn|phone|t
 #: Characters before a candidate that the labelers see.
 BEFORE = 24
 EM_ROUNDS = 60
+#: Matches whose starts are summed up in one array.
+BLOCK = 64
 
 _FOUND = "array<struct<start:int,end:int,value:string>>"
 
 
 def located(text: Column, pattern: str, worth: Column) -> Column:
-    """All matches as (start, end, value), in code points, leftmost and without overlap; none where not ``worth``."""
+    """All matches as (start, end, value), in code points, leftmost and without overlap; none where not ``worth``.
+
+    Starts are running sums of lengths. They are taken over blocks of matches
+    first and then within each block, so no array grows beyond a block.
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
+    hits = F.filter(parts, lambda x: x["hit"].isNotNull())
+    ends = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(ends, lambda k: F.slice(hits, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def width(x: Column) -> Column:
+        return F.length(x["gap"]) + F.length(x["hit"])
+
+    def begun(acc: Column, block: Column) -> Column:
+        return F.struct(
+            F.aggregate(block, acc["at"], lambda at, x: at + width(x)).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), block.alias("hits")))).alias("out"),
+        )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -46,8 +65,11 @@ def located(text: Column, pattern: str, worth: Column) -> Column:
             F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"),
         )
 
-    hits = F.filter(parts, lambda x: x["hit"].isNotNull())
-    return F.when(worth, F.aggregate(hits, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_FOUND))
+    empty = F.array().cast(_FOUND)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,hits:array<struct<gap:string,hit:string>>>>").alias("out"))
+    started = F.aggregate(blocks, zero, begun, lambda acc: acc["out"])
+    found = F.transform(started, lambda b: F.aggregate(b["hits"], F.struct(b["at"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
+    return F.when(worth, F.flatten(found)).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -233,28 +255,35 @@ def _of_rank(k: int):
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans) per row.
+
+    ``n_added`` counts the spans that the method adds, ``n_spans`` all.
 
     Null text counts as empty and has no spans. Repeated rows and null ids keep
     rows of their own; an empty table gives an empty result. Other columns
     don't take part.
     """
-    from tidegrid.llm.common import written
-
     found = written(with_candidates(docs.select(id_col, text), text).drop(text), "pii_found")
     model = train(found)
     count = [F.size(F.filter("pii_base", _of_rank(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return found.select(
+    spans = all_spans(model, F.col("pii_base"), F.col("pii_candidates"))
+    return found.withColumn("_spans", spans).select(
         id_col,
         *count,
         F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"),
-        joined(all_spans(model, F.col("pii_base"), F.col("pii_candidates"))).alias("spans"),
+        joined(F.col("_spans")).alias("spans"),
+        (F.size("_spans") - F.size("pii_base")).cast("long").alias("n_added"),
+        F.size("_spans").cast("long").alias("n_spans"),
     )
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced; null stays null."""
-    found = with_candidates(docs, text, "_pii_base", "_pii_extra")
+    """``docs`` with every span of ``text`` replaced; null stays null, an empty table stays empty.
+
+    The spans are found once and written, as the model needs those of all rows
+    before the first text can be changed.
+    """
+    found = written(with_candidates(docs, text, "_pii_base", "_pii_extra"), "pii_found")
     model = train(found, "_pii_extra")
     spans = all_spans(model, F.col("_pii_base"), F.col("_pii_extra"))
     return found.withColumn(text, redacted(F.col(text), spans)).drop("_pii_base", "_pii_extra")
