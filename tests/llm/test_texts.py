@@ -205,6 +205,33 @@ def test_rebalancing_moves_few_slots():
     assert set(grown) == set(range(9))
 
 
+def test_maps_are_kept_by_version(spark, docs, tmp_path):
+    path = str(tmp_path / "maps")
+    assert sharding.load_map(spark, path) == (-1, [])
+    first = sharding.shard(docs, 4, slots=64, map_path=path).select("doc_id", "text_crc32", "vslot", "shard").distinct().collect()
+    version, edited = sharding.load_map(spark, path)
+    assert version == 1 and sharding.load_map(spark, path, 0) == (0, sharding.first_map(4, 64))
+    # Another run starts from the last version, and rows stay where they are.
+    again = sharding.shard(docs, 4, slots=64, map_path=path).select("doc_id", "text_crc32", "vslot", "shard").distinct().collect()
+    assert sorted(map(str, first)) == sorted(map(str, again)) and sharding.load_map(spark, path) == (1, edited)
+    grown = sharding.shard(docs, 5, slots=64, map_path=path).select("shard").distinct().count()
+    moved = [a != b for a, b in zip(edited, sharding.load_map(spark, path)[1], strict=True)]
+    assert grown == 5 and sharding.load_map(spark, path)[0] == 2 and 0 < sum(moved) < 40
+    with pytest.raises(ValueError):
+        sharding.load_map(spark, path, 9)
+
+
+def test_one_row_repeated_without_end_is_spread(spark):
+    df = spark.range(6000).selectExpr("CASE WHEN id < 4000 THEN 7 ELSE id END AS doc_id", "CASE WHEN id < 4000 THEN 'same' ELSE repeat('x', 4) END AS text")
+    out = sharding.shard(df, 10).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r)
+    sizes = [sum(r.size for r in x) for x in by.values()]
+    assert len(out) == 6000 and len(by) == 10 and max(sizes) <= 1.05 * min(sizes)
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert sentence_pieces.encode_decode(empty, PIECES).count() == 0

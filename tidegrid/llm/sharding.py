@@ -7,17 +7,19 @@ shards are rebalanced or added. Law: ``bytes``.
 
 from __future__ import annotations
 
-import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import shared_dir
+from tidegrid.llm.common import shared_dir, written
 
 #: Virtual slots; fixed for the life of a dataset. The map has this many rows.
 SLOTS = 4096
 #: Bytes counted for each record besides its text.
 RECORD_BYTES = 16
+#: Rows from which a slot can be too full for one shard.
+LEAST_HOT = 1000
 
 
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -102,30 +104,42 @@ def _near(low: list[tuple[int, int]], want: float) -> list[tuple[int, int]]:
     return low[max(0, at - 1) : at + 1]
 
 
-def spread(load: list[int], shards: int) -> list[int]:
-    """A map from nothing: fullest slots first, each to the emptiest shard."""
-    heap = [(0, shard) for shard in range(shards)]
-    out = [0] * len(load)
-    for slot in sorted(range(len(load)), key=lambda s: (-load[s], s)):
-        total, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (total + load[slot], shard))
-    return out
+def save_map(spark: SparkSession, path: str, version: int, slot_map: list[int]) -> None:
+    """Add a version of the map, one row a slot; a stored version is never changed."""
+    rows = [(slot, shard) for slot, shard in enumerate(slot_map)]
+    spark.createDataFrame(rows, "vslot long, shard int").coalesce(1).write.parquet(f"{path.rstrip('/')}/version={version}")
+
 
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """(version, map) of that or of the last version; (-1, []) where none is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return -1, []
+    stored = spark.read.schema("vslot long, shard int, version int").parquet(path)
+    last = stored.agg(F.max("version")).first()[0] if version is None else version
+    rows = stored.where(F.col("version") == last).orderBy("vslot").collect()  # one row a slot
+    if not rows:
+        raise ValueError(f"{path} has no version {version}")
+    return last, [r["shard"] for r in rows]
 
-def store_map(spark: SparkSession, versions: list[list[int]], name: str = "slot_map") -> DataFrame:
-    """Write all versions of the map to the shared folder: (version, vslot, shard)."""
-    import uuid
 
-    path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
-    rows = [(v, slot, shard) for v, m in enumerate(versions) for slot, shard in enumerate(m)]
-    spark.createDataFrame(rows, "version int, vslot long, shard int").coalesce(1).write.partitionBy("version").parquet(path)
-    return spark.read.schema("vslot long, shard int, version int").parquet(path)
+def _spread_hot(placed: DataFrame, hot: list[int], id_col: str, slots: int) -> DataFrame:
+    """Rows of slots that hold more than a shard's part, dealt to slots by their places; written, as places differ in another run."""
+    anew = F.pmod(F.xxhash64(id_col, "text_crc32", F.monotonically_increasing_id()), F.lit(slots))
+    return written(placed.withColumn("vslot", F.when(F.col("vslot").isin(hot), anew).otherwise(F.col("vslot"))), "sharding_rows")
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+def shard(
+    docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None
+) -> DataFrame:
     """Place every row: (id, size, text_crc32, law, shard, slot, grown_shard, vslot).
 
+    The map starts from the last version stored at ``map_path`` (by default a
+    new folder) or from equal ranges; where rebalancing moves a slot, the
+    edited map is stored as the next version. A slot that alone holds more than
+    a shard's part of bytes or rows (one id or text repeated without end) is
+    dealt anew over all slots.
+
     ``slot`` is the row's place in its shard, gapless from 0: the rows of the
     shard's earlier virtual slots plus the place within its own. No task ever
     holds more than one virtual slot's narrow rows. An empty table gives an
@@ -133,12 +147,30 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     placed = with_slots(docs, id_col, text, slots)
-    rows, load = [0] * slots, [0] * slots
-    for r in slot_loads(placed).collect():  # at most `slots` rows
-        rows[r["vslot"]], load[r["vslot"]] = r["rows"], r["bytes"]
-    start = first_map(shards, slots)
+
+    def loads() -> tuple[list[int], list[int]]:
+        rows, load = [0] * slots, [0] * slots
+        for r in slot_loads(placed).collect():  # at most `slots` rows
+            rows[r["vslot"]], load[r["vslot"]] = r["rows"], r["bytes"]
+        return rows, load
+
+    rows, load = loads()
+    hot = [k for k in range(slots) if rows[k] > LEAST_HOT and (rows[k] * shards > sum(rows) or load[k] * shards > sum(load))]
+    if hot:
+        placed = _spread_hot(placed, hot, id_col, slots)
+        rows, load = loads()
+    path = map_path or f"{shared_dir(spark)}/slot_map_{uuid.uuid4().hex}"
+    version, start = load_map(spark, path)
+    if version < 0:
+        version, start = 0, first_map(shards, slots)
+        save_map(spark, path, 0, start)
+    if len(start) != slots:
+        raise ValueError(f"the stored map has {len(start)} slots, not {slots}")
     edited = rebalance(start, load, shards)
-    slot_map = store_map(spark, [start, edited]).where("version = 1").drop("version")
+    if edited != start:
+        version += 1
+        save_map(spark, path, version, edited)
+    slot_map = spark.read.schema("vslot long, shard int, version int").parquet(path).where(F.col("version") == version).drop("version")
     before, base = [0] * shards, []
     for slot in range(slots):
         base.append((slot, before[edited[slot]]))
