@@ -54,7 +54,8 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: SQL can't express the toxicity and packing stages; tests hold the stages against brute force.
+#: SQL can't express the toxicity and packing stages. Tests hold the kept rows of the second stage and the pieces of the
+#: last against brute force, and the redacted texts against the base patterns.
 ORACLE_SQL: str | None = None
 
 

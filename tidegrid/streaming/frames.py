@@ -50,6 +50,61 @@ def decimated(stream: DataFrame, key: str, t: str, cadence: int) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, {t} long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def sliding_frames(stream: DataFrame, ts: str, value: str, frames: int = 9, cadence: str = "2 hours", late: str = "10 minutes") -> DataFrame:
+    """(t, n, values): for each frame the ``frames`` cadences that begin with it, as long as all of them have a row.
+
+    ``cadence`` is a number of hours or minutes. Rows of a window in time order.
+    """
+    count, unit = cadence.split()
+    out = timed(stream, ts, late).groupBy(F.window(ts, f"{int(count) * frames} {unit}", cadence)).agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.unix_seconds(ts).alias("t"), F.col(value).alias("value")))).alias("_r")
+    )
+    return out.where(F.col("n") == frames).select(F.unix_seconds("window.start").alias("t"), "n", F.transform("_r", lambda x: x["value"]).alias("values"))
+
+
+def bounded_staleness(frames: DataFrame, drivers: DataFrame, t: str, value: str, limit: int, late: str = "10 minutes") -> DataFrame:
+    """(t, value): of two streams the drivers' latest value at or before each frame, no older than ``limit`` seconds.
+
+    A join of streams by a range of event time, so the state that it keeps is
+    bounded by the limit and the lateness; frames without such a value don't
+    appear. Both sides meet in buckets of the limit's length: a value serves its
+    own bucket and the next.
+    """
+    a = timed(frames, t, late).select(F.col(t).alias("_t"), F.floor(F.unix_seconds(t) / limit).alias("_b"))
+    own = F.floor(F.unix_seconds(t) / limit)
+    b = timed(drivers, t, late).select(F.col(t).alias("_d"), F.col(value), F.explode(F.array(own, own + 1)).alias("_b"))
+    near = a.join(b, (a["_b"] == b["_b"]) & (F.col("_d") <= F.col("_t")) & (F.col("_d") >= F.col("_t") - F.expr(f"INTERVAL {int(limit)} SECONDS")))
+    latest = near.groupBy(F.window("_t", "1 second")).agg(F.max_by(value, F.col("_d")).alias(value))  # frames stand at whole seconds
+    return latest.select(F.unix_seconds("window.start").alias(t), value)
+
+
+def upsert(batch: DataFrame, path: str, key: str, rank: str) -> None:
+    """Rows of a micro-batch into the table at ``path``: of each key the row of the highest rank (definitive over preliminary).
+
+    Versions are written side by side and the last whole one counts, so a lost
+    executor or a repeated batch leaves the table as it was.
+    """
+    spark = batch.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    versions = 0
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{versions + 1}/_SUCCESS")):
+        versions += 1
+    old = spark.read.parquet(f"{path}/v{versions}") if versions else batch.limit(0)
+    rest = [c for c in batch.columns if c not in (key, rank)]
+    rows = old.unionByName(batch).groupBy(key).agg(F.max_by(F.struct(rank, *rest), F.struct(F.coalesce(rank, F.lit(-1)), *rest)).alias("_r"))
+    rows.select(key, *[F.col("_r")[c].alias(c) for c in (rank, *rest)]).write.mode("overwrite").parquet(f"{path}/v{versions + 1}")
+
+
+def current(spark, path: str) -> DataFrame:
+    """The last whole version of an upserted table."""
+    at, versions = spark._jvm.org.apache.hadoop.fs.Path, 0
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    while fs.exists(at(f"{path}/v{versions + 1}/_SUCCESS")):
+        versions += 1
+    return spark.read.parquet(f"{path}/v{versions}")
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drive a stream over all that is there and return what it wrote."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
@@ -57,14 +112,18 @@ def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drive a stream over all that is there into Parquet in the shared folder; rows never pass the driver."""
+def run_to_table(stream: DataFrame, mode: str = "complete", at: str | None = None) -> DataFrame:
+    """Drive a stream over all that is there into Parquet; rows never pass the driver.
+
+    A later call with the same folder ``at`` goes on where the last one ended;
+    by default each call has a new one in the shared folder.
+    """
     import tempfile
     import uuid
 
     spark = stream.sparkSession
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidegrid_stream_")
-    path, schema = f"{shared.rstrip('/')}/stream_{uuid.uuid4().hex}", stream.schema
+    path, schema = at or f"{shared.rstrip('/')}/stream_{uuid.uuid4().hex}", stream.schema
     write_mode = "overwrite" if mode == "complete" else "append"
     q = (
         stream.writeStream.foreachBatch(lambda df, _: df.write.mode(write_mode).parquet(f"{path}/out"))
