@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import scalars as S
 from tidegrid.operators import clean, climatology, evaluate, grids, harmonics, spectrum, stats, timeline
+from tidegrid.plans import compose
 from tidegrid.streaming import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -973,3 +974,71 @@ def q_day_packs(spark, sf_dir):
         F.array(F.avg("value"), F.min("value"), F.max("value")).alias("v")
     )
     return grids.day_packs(maps, "day", "hour", "v", hours=4)
+
+
+# --- ranges, gates, weights ------------------------------------------------------------------------------------------
+
+
+@query("q_date_range", "SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1996-02-29' AND DATE '1997-03-01'")
+def q_date_range(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return compose.in_range(o, "day", "1996-02-29", "1997-03-01").select("o_orderkey")
+
+
+@query(
+    "q_horizon_rmse",
+    f"""WITH {WEEKLY}, p AS (SELECT k AS horizon, d.value AS pred, e.value AS target FROM d CROSS JOIN range(1, 4) AS r(k) JOIN d e ON e.t = d.t + k * 604800)
+        SELECT horizon::INT AS horizon, round(sqrt(avg((pred - target) ** 2 / horizon)), 3) AS rmse FROM p GROUP BY 1""",
+)
+def q_horizon_rmse(spark, sf_dir):
+    p = evaluate.persistence(weekly_orders(spark, sf_dir), "t", "value", 3, WEEK)
+    return evaluate.horizon_rmse(p, "horizon", F.col("pred") - F.col("target"), 1 / F.col("horizon")).select("horizon", F.round("rmse", 3).alias("rmse"))
+
+
+@query(
+    "q_degree_weights",
+    f"WITH {POWER} SELECT vec_id, round(sum((1 + l * (l + 1)) * s_l), 6) AS gradient, round(sum((1 - l / 8.0) * s_l), 6) AS faded FROM p GROUP BY 1",
+)
+def q_degree_weights(spark, sf_dir):
+    p, l = powers(spark, sf_dir), F.col("l")
+    sums = p.groupBy("vec_id").agg(F.sum(spectrum.sobolev_weight(l) * F.col("s_l")).alias("g"), F.sum(spectrum.gibbs_window(l, 8) * F.col("s_l")).alias("f"))
+    return sums.select("vec_id", r6("g").alias("gradient"), r6("f").alias("faded"))
+
+
+@query(
+    "q_mismatches",
+    """SELECT coalesce(c_custkey, s_suppkey) AS k, CASE WHEN s_suppkey IS NULL THEN 'only_old' WHEN c_custkey IS NULL THEN 'only_new' ELSE 'differs' END AS side,
+       c_acctbal AS old, s_acctbal AS new FROM customer FULL JOIN supplier ON c_custkey = s_suppkey
+       WHERE c_custkey IS NULL OR s_suppkey IS NULL OR abs(c_acctbal - s_acctbal) > 1e-9""",
+)
+def q_mismatches(spark, sf_dir):
+    old = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    return evaluate.mismatches(old, new, "k", "v")
+
+
+@query("q_forcing_schedule", "SELECT n_nationkey, round(greatest(0.0, 1 - n_nationkey / 20.0), 6)::DOUBLE AS share FROM nation")
+def q_forcing_schedule(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select("n_nationkey", r6(evaluate.teacher_forcing(F.col("n_nationkey"), 20)).alias("share"))
+
+
+#: A target grid with rows beyond the source's latitudes on both sides.
+POLE_LATS, POLE_LONS = [-80.0, -20.0, 20.0, 80.0], [0.0, 120.0, 240.0]
+
+
+def _pole_weights() -> list[tuple[int, int, float]]:
+    import numpy as np
+
+    return grids.bilinear_weights(np.array(LATS), np.array(LONS), np.array(POLE_LATS), np.array(POLE_LONS))
+
+
+@query(
+    "q_regrid_poles",
+    f"""WITH {CELL_SQL}, w AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b}, {w!r}::DOUBLE)" for a, b, w in _pole_weights())}) AS t(target, cell, w))
+        SELECT vec_id, target, round(sum(v * w), 6) AS v FROM c JOIN w USING (cell) GROUP BY 1, 2
+        UNION ALL SELECT vec_id, (CASE WHEN cell // 8 = 7 THEN 0 ELSE 9 END + k)::INT, round(avg(v), 6) FROM c CROSS JOIN range(3) AS r(k)
+        WHERE cell // 8 IN (0, 7) GROUP BY vec_id, cell // 8, k""",
+)
+def q_regrid_poles(spark, sf_dir):
+    out = grids.with_poles(cells(spark, sf_dir), _pole_weights(), ["vec_id"], "cell", "v", (8, 8), (4, 3), south_first=False)
+    return out.select("vec_id", "target", r6("v").alias("v"))
