@@ -31,8 +31,9 @@ from tidegrid.llm.components import connected_components
 #: Both move only the order of grams, never the result.
 COMMON_FROM = 24
 COMMON_MOST = 500_000
-#: Grams that a task holds while it counts which of them several of its documents show.
-HELD_GRAMS = 4_000_000
+#: Bytes of text that a task hashes at a time, and grams that it holds while it counts which of them several documents show.
+BLOCK_BYTES = 2_000_000
+HELD_GRAMS = 1_500_000
 #: Hubs of each list in a round. Another round follows while one leaves less than this share of the open rows.
 HUBS = 4
 ROUND_LEAVES = 0.67
@@ -44,7 +45,7 @@ FRAGMENTS = 4
 #: Documents of one list block; larger groups are compared block against block.
 BLOCK_NODES = 1024
 #: Cells of the pair tables, pairs, and 8-byte words of parities that a task holds at a time.
-CELLS, PAIRS, WORDS = 16_000_000, 1_000_000, 2_000_000
+CELLS, PAIRS, WORDS = 8_000_000, 500_000, 1_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -205,7 +206,7 @@ def gram_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, many = GramHasher(n), [], 0
-        for part in text_blocks(batches, 1):
+        for part in text_blocks(batches, 1, BLOCK_BYTES):
             flat, offsets = hasher.sets(part.column(1))
             size, digest = np.diff(offsets), _digests(flat, offsets)
             out = [part.column(0).cast(pa.int64()), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
@@ -229,7 +230,7 @@ def ordered_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order = GramHasher(n), GramOrder(shared.value)
-        for part in text_blocks(batches, 1):
+        for part in text_blocks(batches, 1, BLOCK_BYTES):
             flat, offsets = hasher.sets(part.column(1))
             size, digest = np.diff(offsets), _digests(flat, offsets)
             cuts, words = offsets.tolist(), parity_words(size)
@@ -260,7 +261,7 @@ def fragments(docs: DataFrame, n: int, text: str, common: np.ndarray) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order = GramHasher(n), GramOrder(shared.value)
         edges = np.linspace(-(2.0**63), 2.0**63, FRAGMENTS + 1)[1:-1].astype(np.int64)
-        for part in text_blocks(batches, 0):
+        for part in text_blocks(batches, 0, BLOCK_BYTES):
             flat, offsets = hasher.sets(part.column(0))
             digest = np.repeat(_digests(flat, offsets), FRAGMENTS + 1, axis=0)
             placed, rare = order.arrange(flat, offsets)
@@ -306,7 +307,9 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int
     grams, every gram that only one shows is a difference; too many of them end
     the pair. The remaining fragments are counted for the survivors.
     """
-    sides = reps.select("node", "size", "prefix", "rare")
+    # Only the sets that stand in a pair move.
+    ends = few_or_shuffled(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    sides = reps.select("node", "size", "prefix", "rare").join(ends, "node", "left_semi")
     first = (
         pairs.join(sides.toDF("a", "size_a", "pre_a", "rare_a"), "a")
         .join(sides.toDF("b", "size_b", "pre_b", "rare_b"), "b")
@@ -331,7 +334,8 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int
     # A repeated row repeats its fragments; its pairs count each fragment once.
     parts = fragments(only_ids(docs, ids, id_col), n, text, common).join(need, ["h1", "h2"]).select("node", "fragment", "grams")
     overlap = (
-        sides.join(parts, "node")
+        few_or_shuffled(sides)
+        .join(parts, "node")
         .groupBy("a", "b", "size_a", "size_b", "fragment")
         .agg(F.max_by("grams", F.col("node") == F.col("a")).alias("of_a"), F.max_by("grams", F.col("node") == F.col("b")).alias("of_b"))
         .groupBy("a", "b", "size_a", "size_b")
