@@ -1,4 +1,4 @@
-"""Queries op1 to op10: each applies its operator to its whole table, with production parameters."""
+"""Queries op1 to op13: each applies its operator to its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat_tools, mtree, ngram_jaccard, packing, pii, pivot_index, sentence_pieces, sharding, token_counts, toxicity
+from tidegrid.llm import chat_tools, filter_audit, mtree, ngram_jaccard, packing, pii, pivot_index, sentence_pieces, sharding, token_counts, toxicity
 from tidegrid.llm.common import table, tokenizer_path
 
 
@@ -65,6 +65,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivot_index": op8_pivot_index,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -156,4 +161,51 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.node AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.root AS component_id, c.node = c.root AS kept
         FROM c LEFT JOIN n ON n.a = c.node
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ),
+        m AS (
+            SELECT doc_id, part,
+                   (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END)
+                   + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+                   + (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 4 ELSE 0 END)
+                   + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+                   + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask
+            FROM d
+        ),
+        l AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+            FROM labels GROUP BY doc_id
+        ),
+        c AS (
+            SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+            FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+        ),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+            AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+        ),
+        s AS (
+            SELECT filter_order, k::INTEGER AS step, bits[k] AS bit, list_sum(bits[1:k]) - bits[k] AS earlier
+            FROM o, range(1, 6) t(k)
+        ),
+        r AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN mask & (bit + earlier)::INTEGER = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & earlier::INTEGER = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & earlier::INTEGER <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & earlier::INTEGER = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & earlier::INTEGER = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM c, s GROUP BY part, filter_order, step, bit
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM r
+    """,
 }
