@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat_tools, filter_audit, mtree, ngram_jaccard, packing, pii, pivot_index, sentence_pieces, sharding, token_counts, toxicity
+from tidegrid.llm import chat_tools, filter_audit, language_id, mtree, ngram_jaccard, packing, pii, pivot_index, sentence_pieces, sharding, token_counts, toxicity
 from tidegrid.llm.common import table, tokenizer_path
 
 
@@ -69,6 +69,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op12_filter_audit": op12_filter_audit,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
