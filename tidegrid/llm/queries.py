@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat_tools, filter_audit, language_id, mtree, ngram_jaccard, packing, pii, pivot_index, sentence_pieces, sharding, token_counts, toxicity
+from tidegrid.llm import chat_tools, conversation_repair, filter_audit, language_id, mtree, ngram_jaccard, packing, pii, pivot_index, sentence_pieces, sharding, token_counts, toxicity
 from tidegrid.llm.common import table, tokenizer_path
+from tidegrid.llm.repair_sql import repair_sql
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations")
+    return conversation_repair.audit(conversation_repair.damaged(messages), asked=messages)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivot_index": op8_pivot_index,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
     "op13_language_id": op13_language_id,
 }
@@ -166,6 +173,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.node AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.root AS component_id, c.node = c.root AS kept
         FROM c LEFT JOIN n ON n.a = c.node
     """,
+    "op11_conversation_repair": repair_sql(),
     "op12_filter_audit": r"""
         WITH d AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
