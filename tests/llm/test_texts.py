@@ -62,8 +62,13 @@ def test_bytes_that_are_no_text_decode_as_the_library_does():
     m = sentence_pieces.load_model(PIECES)
     rng = random.Random(3)
     for _ in range(300):
-        ids = [rng.choice([rng.randint(3, 258), rng.randint(259, 31999), 1, 2]) for _ in range(rng.randint(0, 12))]
+        ids = [rng.choice([rng.randint(3, 258), rng.randint(259, 31999), 0, 1, 2]) for _ in range(rng.randint(0, 12))]
         assert m.decode(np.array(ids, dtype=np.int64), np.array([0, len(ids)])) == [sp.decode(ids)], ids
+    space = sp.piece_to_id("▁")
+    many = [[215, 1, 188], [5000, 0, 5000], [0], [], [1, 2], [35, 5000], [2, 5000], [space, space, 5000], [space], [1, 215, 188], [215], [188, 2, 215, 1, 188]]
+    many += [[rng.choice([rng.randint(190, 230), rng.randint(130, 195), 1, space]) for _ in range(rng.randint(0, 9))] for _ in range(2000)]
+    flat = np.array([i for ids in many for i in ids], dtype=np.int64)
+    assert m.decode(flat, np.r_[0, np.cumsum([len(ids) for ids in many])]) == [sp.decode(ids) for ids in many]
 
 
 def test_a_very_long_word_is_merged_in_time():

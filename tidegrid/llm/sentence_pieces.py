@@ -63,10 +63,13 @@ class PieceModel:
                 if a is not None and b is not None:
                     merges.append((a, b, rank[i], i))
         self.merges = MergeTable(size, merges)
-        # What each id stands for in the decoded text, as one array of bytes.
+        # What each id stands for in the decoded text, as one array of bytes; the unknown id has a surface of its own.
         octets = [
-            bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
+            bytes([int(p[3:5], 16)]) if sp.is_byte(i) else sp.decode([i]).encode() if sp.is_unknown(i) else b"" if special[i] else p.replace(SPACE, " ").encode()
+            for i, p in enumerate(pieces)
         ]
+        self.is_byte = np.array([sp.is_byte(i) for i in range(size)])
+        self.led = np.array([not special[i] and p.startswith(SPACE) for i, p in enumerate(pieces)])
         self.octets = np.frombuffer(b"".join(octets), dtype=np.uint8)
         self.octet_count = np.array([len(o) for o in octets], dtype=np.int64)
         self.octet_start = np.cumsum(self.octet_count) - self.octet_count
@@ -97,12 +100,30 @@ class PieceModel:
         return out.astype(np.int32), np.bincount(np.repeat(word, times), minlength=len(words))
 
     def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
-        """Texts of flat ids cut at ``ends``: the bytes of all pieces gathered at once, the leading added space dropped."""
+        """Texts of flat ids cut at ``ends``: the bytes of all pieces gathered at once.
+
+        The space that the first piece leads with is dropped. A run of byte
+        pieces ends at any other id, also one that leaves nothing behind.
+        """
         count = self.octet_count[flat]
         before = np.r_[0, np.cumsum(count)]
         raw = self.octets[np.repeat(self.octet_start[flat] - before[:-1], count) + np.arange(int(before[-1]))].tobytes()
-        cuts = before[ends].tolist()
-        return [raw[a:b].decode("utf-8", "each_byte").removeprefix(" ") for a, b in zip(cuts, cuts[1:], strict=False)]
+        cuts = before[ends]
+        # The first id of each text that leaves something.
+        shown = np.flatnonzero(count > 0)
+        first = np.searchsorted(shown, ends[:-1])
+        led = np.zeros(len(cuts) - 1, dtype=bool)
+        some = np.flatnonzero(first < len(shown))
+        some = some[shown[first[some]] < ends[1:][some]]
+        led[some] = self.led[flat[shown[first[some]]]]
+        starts = (cuts[:-1] + led).tolist()
+        out = [raw[a:b].decode("utf-8", "each_byte") for a, b in zip(starts, cuts[1:].tolist(), strict=True)]
+        broken = np.flatnonzero((count[1:] == 0) & self.is_byte[flat[:-1]]) + 1
+        for k in np.unique(np.searchsorted(ends, broken, side="right") - 1).tolist():
+            inner = before[broken[(broken > ends[k]) & (broken < ends[k + 1])]].tolist()
+            bounds = [starts[k], *inner, int(cuts[k + 1])]
+            out[k] = "".join(raw[a:b].decode("utf-8", "each_byte") for a, b in zip(bounds, bounds[1:], strict=False))
+        return out
 
 
 def _each_byte(e: UnicodeError) -> tuple[str, int]:
@@ -216,7 +237,8 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "token_ids"
 def decode(df: DataFrame, model: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` string: the text that the ids stand for.
 
-    Null ids give null, an empty array the empty text. Control ids vanish.
+    Null ids give null, an empty array the empty text. Control ids vanish, the
+    unknown id leaves the model's surface for it.
     """
 
     @F.arrow_udf("string")
