@@ -5,8 +5,9 @@ mask of five bits; how many documents of a part show which mask is all that
 any order needs, so the masks are counted once and all orders are read off the
 counters.
 
-Equal texts are found by sorting: rows are dealt by ranges of (fingerprint,
-text, id) and sorted, so each row needs its predecessor only. A group of equal
+Equal texts are found by sorting: rows are dealt by ranges of (fingerprints,
+id), sorted by (fingerprints, text, id), and each compared with its
+predecessor, whole text with whole text. A group of equal
 texts may run over any number of ranges; what a range's first run continues is
 learnt from the ends of the ranges before it.
 """
@@ -136,8 +137,11 @@ def _ranged(docs: DataFrame, limits: Limits) -> DataFrame:
             ends = [pa.array([str(runs.first)], pa.string()), pa.array([str(runs.last)], pa.string()), pa.array([runs.least], pa.int64()), pa.array([runs.single])]
             yield pa.record_batch([pa.array([place], pa.int32()), *none, *ends], names=names)
 
-    keys = [F.xxhash64("text"), F.col("text"), F.col("id").asc_nulls_last()]
-    return docs.select("id", "text", "part").repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, _RANGED)
+    # Bounds of ranges are sampled keys: two fingerprints stand for the text there, so no text goes to the driver.
+    prints = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    by_id = F.col("id").asc_nulls_last()
+    ranged = docs.select("id", "text", "part").repartitionByRange(*prints, by_id)
+    return ranged.sortWithinPartitions(*prints, "text", by_id).mapInArrow(run, _RANGED)
 
 
 def _carried(ends: DataFrame) -> DataFrame:
