@@ -32,44 +32,69 @@ GAZETTEER = r"(?i)(password|passwd|pwd|token|secret|api[_ -]?key|key|ssn|phone|t
 BEFORE = 24
 EM_ROUNDS = 60
 #: Matches whose starts are summed up in one array.
-BLOCK = 64
+BLOCK = 32
 
-_FOUND = "array<struct<start:int,end:int,value:string>>"
+_FOUND = "array<struct<start:int,end:int,value:string,before:string>>"
 
 
-def located(text: Column, pattern: str, worth: Column) -> Column:
-    """All matches as (start, end, value), in code points, leftmost and without overlap; none where not ``worth``.
+def _with(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body or a lambda in it uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Starts are running sums of lengths. They are taken over blocks of matches
-    first and then within each block, so no array grows beyond a block.
-    """
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    hits = F.filter(parts, lambda x: x["hit"].isNotNull())
-    ends = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(ends, lambda k: F.slice(hits, k * BLOCK + 1, F.lit(BLOCK)))
 
-    def width(x: Column) -> Column:
-        return F.length(x["gap"]) + F.length(x["hit"])
+def _running(widths: Column) -> Column:
+    """Where each of the widths begins when they are laid end to end: sums over blocks, then within each block."""
 
-    def begun(acc: Column, block: Column) -> Column:
-        return F.struct(
-            F.aggregate(block, acc["at"], lambda at, x: at + width(x)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), block.alias("hits")))).alias("out"),
+    def blocks_of(values: Column, body) -> Column:
+        # A sequence would run backwards where there is no value.
+        last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+        ids = F.when(F.size(values) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(ids, lambda k: body(F.slice(values, k * BLOCK + 1, F.lit(BLOCK)), k))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    def before(values: Column) -> Column:
+        return F.transform(values, lambda _, k: total(F.slice(values, F.lit(1), k)))
+
+    def laid(values: Column, starts) -> Column:
+        """Running sums of ``values`` whose blocks begin at ``starts``."""
+        return F.flatten(
+            blocks_of(values, lambda block, k: _with(block, lambda b: _with(F.element_at(starts, k + 1), lambda at: F.transform(before(b), lambda x: at + x))))
         )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"),
+    # Blocks of blocks: no sum goes over more than a block, but for the few of the topmost ones.
+    def starts_of(sums: Column) -> Column:
+        return _with(blocks_of(sums, lambda b, _: total(b)), lambda tops: _with(before(tops), lambda at: laid(sums, at)))
+
+    return _with(widths, lambda w: _with(blocks_of(w, lambda b, _: total(b)), lambda sums: _with(starts_of(sums), lambda at: laid(w, at))))
+
+
+def located(text: Column, pattern: str, worth: Column) -> Column:
+    """All matches as (start, end, value, before), in code points, leftmost and without overlap; none where not ``worth``.
+
+    The text is split and searched once; starts are running sums of lengths.
+    ``before`` is what stands between the last match and this one, its last
+    BEFORE characters at most.
+    """
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    measured = F.transform(
+        F.filter(parts, lambda x: x["hit"].isNotNull()),
+        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("long"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(BEFORE)).alias("tail")),
+    )
+
+    def placed(hits: Column) -> Column:
+        starts = _running(F.transform(hits, lambda x: (x["gap"] + x["long"]).cast("long")))
+        return F.zip_with(
+            hits,
+            starts,
+            lambda x, at: F.struct(
+                (at + x["gap"]).cast("int").alias("start"), (at + x["gap"] + x["long"]).cast("int").alias("end"), x["hit"].alias("value"), x["tail"].alias("before")
+            ),
         )
 
     empty = F.array().cast(_FOUND)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,hits:array<struct<gap:string,hit:string>>>>").alias("out"))
-    started = F.aggregate(blocks, zero, begun, lambda acc: acc["out"])
-    found = F.transform(started, lambda b: F.aggregate(b["hits"], F.struct(b["at"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
-    return F.when(worth, F.flatten(found)).otherwise(empty)
+    return F.when(worth, _with(measured, lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(empty))).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -108,14 +133,13 @@ def base_spans(text: Column) -> Column:
             hits, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(KINDS[rank]).alias("kind"))
         )
 
-    return F.array_sort(
-        F.concat(
-            kind(0, EMAIL, F.contains(body, F.lit("@")), None),
-            kind(1, IP, has_digit & body.rlike(r"[0-9]\.[0-9]"), lambda x: _ip_ok(x["value"])),
-            kind(2, CARD, has_digit, lambda x: F.length(_digits(x["value"])).between(14, 19) & _luhn(_digits(x["value"]))),
-            kind(3, PHONE, F.contains(body, F.lit("+")) & has_digit, lambda x: F.length(_digits(x["value"])).between(10, 15)),
-        )
+    mails = kind(0, EMAIL, F.contains(body, F.lit("@")), None)
+    numbers = F.concat(
+        kind(1, IP, body.rlike(r"[0-9]\.[0-9]"), lambda x: _ip_ok(x["value"])),
+        kind(2, CARD, F.lit(True), lambda x: F.length(_digits(x["value"])).between(14, 19) & _luhn(_digits(x["value"]))),
+        kind(3, PHONE, F.contains(body, F.lit("+")), lambda x: F.length(_digits(x["value"])).between(10, 15)),
     )
+    return F.when(has_digit, F.array_sort(F.concat(mails, numbers))).otherwise(mails)
 
 
 #: Votes of the labelers on a candidate: 1 private, 0 not, null no opinion. They see the value and what stands before it.
@@ -144,9 +168,8 @@ def candidates(text: Column, base: Column) -> Column:
     hits = F.filter(hits, lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
 
     def described(x: Column) -> Column:
-        before = F.substring(body, F.greatest(x["start"] - BEFORE, F.lit(0)) + 1, F.least(x["start"], F.lit(BEFORE)))
-        votes = [F.coalesce(f(x["value"], before).cast("string"), F.lit("x")) for f in LABELERS.values()]
-        features = [F.when(f(x["value"], before), "1").otherwise("0") for f in FEATURES.values()]
+        votes = [F.coalesce(f(x["value"], x["before"]).cast("string"), F.lit("x")) for f in LABELERS.values()]
+        features = [F.when(f(x["value"], x["before"]), "1").otherwise("0") for f in FEATURES.values()]
         return F.struct(x["start"], x["end"], F.concat(*votes).alias("votes"), F.concat(*features).alias("features"))
 
     return F.transform(hits, described)
@@ -277,13 +300,25 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     )
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``docs`` has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced; null stays null, an empty table stays empty.
 
     The spans are found once and written, as the model needs those of all rows
     before the first text can be changed.
     """
-    found = written(with_candidates(docs, text, "_pii_base", "_pii_extra"), "pii_found")
-    model = train(found, "_pii_extra")
-    spans = all_spans(model, F.col("_pii_base"), F.col("_pii_extra"))
-    return found.withColumn(text, redacted(F.col(text), spans)).drop("_pii_base", "_pii_extra")
+    base, extra = free_names(docs, "_pii_base", "_pii_extra")
+    found = written(with_candidates(docs, text, base, extra), "pii_found")
+    model = train(found, extra)
+    spans = all_spans(model, F.col(base), F.col(extra))
+    return found.withColumn(text, redacted(F.col(text), spans)).drop(base, extra)
