@@ -42,6 +42,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch between Spark and its Python workers. By rows alone a batch of long texts has no bound.
+BATCH_BYTES = 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python workers in batches of bounded bytes; a smaller bound of its own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", str(spark.conf.get(key, "")) or "")
+    if not now or not str(spark.conf.get(key)).isdigit() or int(now[0]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def common_from(counted: DataFrame, most: int, n: str = "n") -> int:
+    """The least count that at most ``most`` rows reach, from a few hundred classes of counts."""
+    size = F.when(F.col(n) < 64, F.col(n).cast("double")).otherwise(F.pow(2.0, F.floor(F.log2(n) * 8) / 8))
+    classes = counted.groupBy(size.alias("at")).agg(F.count("*").alias("rows")).collect()
+    least, total = None, 0
+    for at, rows in sorted(classes, reverse=True):
+        total += rows
+        if total > most:
+            break
+        least = at
+    return 1 << 62 if least is None else int(np.ceil(least))
+
+
 def few_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df`` as the small side of a join: marked for a broadcast only if its rows, a few numbers each, are counted to be few."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

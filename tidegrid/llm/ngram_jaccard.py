@@ -14,6 +14,7 @@ grams; only pairs that this bound can't refute become rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import few_or_shuffled, only_ids, strings, text_blocks, written
+from tidegrid.llm.common import common_from, few_or_shuffled, only_ids, strings, text_blocks, written
 from tidegrid.llm.components import connected_components
 
 #: Documents that show a gram in their prefix before it counts as common, and the most grams put last as common.
@@ -43,9 +44,9 @@ AT_ONCE = 0.25
 #: Fragments of the grams after the prefix.
 FRAGMENTS = 4
 #: Documents of one list block; larger groups are compared block against block.
-BLOCK_NODES = 1024
+BLOCK_NODES = 512
 #: Cells of the pair tables, pairs, and 8-byte words of parities that a task holds at a time.
-CELLS, PAIRS, WORDS = 8_000_000, 500_000, 1_000_000
+CELLS, PAIRS, WORDS = 2_000_000, 250_000, 500_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -446,18 +447,37 @@ def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataF
     """(a, b, differ): pairs across components that the open lists may still link, by at least how many grams they differ.
 
     Lists with one anchor go to one task, where each of their documents comes
-    once. Groups of more than BLOCK_NODES documents are dealt in blocks, each
-    pair of blocks to a task of its own.
+    once. Larger groups are dealt in blocks, by classes of sizes first: sets
+    that link are of one class or of neighbouring ones, so only blocks of such
+    classes meet, each pair of blocks in a task of its own.
     """
     rows = lists.groupBy("anchor", "node", "size", "comp").agg(F.collect_list(F.struct("gram", "at")).alias("lists"))
+    # A class is a little wider than the ratio of sizes that a link allows.
+    klass = F.floor(F.log("size") / (math.log(den / num) * (1 + 1e-6))).cast("int") if num < den else F.col("size").cast("int")
+    rows = rows.withColumn("klass", klass)
     rows = written(rows.join(reps.select("node", "bits"), "node"), "jaccard_anchored")
-    blocks = rows.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks")).where("blocks > 1")
-    part = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    counts = rows.groupBy("anchor", "klass").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("anchor").agg(F.sum("n").alias("all"))
+    counts = counts.join(groups.where(F.col("all") > BLOCK_NODES).select("anchor"), "anchor")
+    blocks = written(counts.select("anchor", "klass", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")), "jaccard_blocks")
+    # A block's name is its class and its number in it; a row goes to every pair of blocks that holds its own.
+    near = blocks.select("anchor", F.col("klass").alias("beside"), F.col("blocks").alias("many"))
+    pairs = blocks.join(near, "anchor").where(F.abs(F.col("klass") - F.col("beside")) <= 1).select("anchor", "klass", "blocks", "beside", "many")
+    own = F.struct("klass", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("k"))
+    split = rows.join(few_or_shuffled(pairs), ["anchor", "klass"], "left").withColumn("own", own)
+    every = F.sequence(F.lit(0), F.coalesce("many", F.lit(1)) - 1)
+    other = F.transform(every, lambda k: F.struct(F.col("beside").alias("klass"), k.alias("k")))
+    # A group in one piece is one block, whatever its classes.
+    whole = F.struct(F.lit(0).alias("klass"), F.lit(0).alias("k"))
+    split = split.withColumn("own", F.when(F.col("beside").isNull(), whole).otherwise(F.col("own")))
+    split = split.withColumn("other", F.explode(F.when(F.col("beside").isNull(), F.array(whole)).otherwise(other)))
+
+    def named(c: Column) -> Column:
+        return c["klass"].cast("long") * 2**31 + c["k"]
+
+    own, other = named(F.col("own")), named(F.col("other"))
     dealt = (
-        rows.join(blocks, "anchor", "left")
-        .withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        .select("anchor", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "size", "comp", "lists", "bits")
+        split.select("anchor", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), own.alias("part"), "node", "size", "comp", "lists", "bits")
         .repartition("anchor", "lo", "hi")
         .sortWithinPartitions("anchor", "lo", "hi")
     )
@@ -537,7 +557,9 @@ def ngram_jaccard(
     in_prefix = live.select(F.explode("prefix").alias("gram"), F.lit(1).alias("p"), F.lit(0).alias("c"))
     in_task = seen.where("size = -1").select(F.explode(F.arrays_zip("prefix", "counts")).alias("x")).select("x.prefix", F.lit(0), "x.counts")
     counted = in_prefix.union(in_task).groupBy("gram").agg(F.greatest(F.sum("p"), F.sum("c")).alias("n")).where(F.col("n") >= COMMON_FROM)
-    common = np.sort(counted.orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram").toArrow()["gram"].to_numpy().astype(np.int64))
+    counted = written(counted, "jaccard_common")
+    frequent = counted.where(F.col("n") >= common_from(counted, COMMON_MOST)).select("gram")
+    common = np.sort(frequent.toArrow()["gram"].to_numpy().astype(np.int64))
     ordered = ordered_sets(docs, n, num, den, id_col, text, common).where("id is not null and size > 0")
     reps = written(ordered.join(few_or_shuffled(classes), ["id", "h1", "h2"]), "jaccard_reps")
     if reps.count() > classes.count():  # rows that repeat id and text

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import chat_tools, conversation_repair, filter_audit, language_id, mtree, ngram_jaccard, packing, pii, pivot_index, sentence_pieces, sharding, token_counts, toxicity
-from tidegrid.llm.common import table, tokenizer_path
+from tidegrid.llm.common import bounded_batches, table, tokenizer_path
 from tidegrid.llm.repair_sql import repair_sql
 
 
@@ -79,6 +80,15 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
@@ -94,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_filter_audit": op12_filter_audit,
     "op13_language_id": op13_language_id,
 }
+QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_tools": """

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import strings, text_blocks, written
+from tidegrid.llm.common import common_from, strings, text_blocks, written
 
 #: Pre-tokens whose counts are broadcast: the commonest of the corpus, at most so many.
 HEAD = 300_000
@@ -128,19 +128,6 @@ def count_pieces(distinct: DataFrame, tokenizer: str, pre_token: str = "pre_toke
     return distinct.withColumn(out, pieces(F.col(pre_token)))
 
 
-def common_from(counted: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` pre-tokens reach, from a few hundred classes of counts."""
-    size = F.when(F.col("n") < 64, F.col("n").cast("double")).otherwise(F.pow(2.0, F.floor(F.log2("n") * 8) / 8))
-    classes = counted.groupBy(size.alias("at")).agg(F.count("*").alias("tokens")).collect()
-    least, total = None, 0
-    for at, tokens in sorted(classes, reverse=True):
-        total += tokens
-        if total > most:
-            break
-        least = at
-    return 1 << 62 if least is None else int(np.ceil(least))
-
-
 def token_counts(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", limit: int = 512, head: int = HEAD
 ) -> DataFrame:
