@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import ngram_jaccard, packing, pii, toxicity
-from tidegrid.llm.common import table, tokenizer_path, written
+from tidegrid.llm.common import bounded_batches, table, tokenizer_path, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least one half go."""
+    bounded_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_scores(docs, model, "text", "_score").where(F.col("_score") < 0.5).select(*COLUMNS)
 
@@ -28,22 +29,26 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id stay. Rows that repeat an id are judged each by its own
     text; of equal rows, and of linked rows with one id, one stays.
     """
-    # A row is known by the hash of all its columns, as its id may repeat.
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    bounded_batches(spark)
+    # A row is known by hashes of all its columns, as its id may repeat: by one where it can only stay too long, by two where it would go.
+    content = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
+    named = docs.where(F.col("doc_id").isNotNull()).withColumns({"_row": F.xxhash64(*content), "_second": F.xxhash64(F.lit(1), *content)})
     groups = ngram_jaccard.ngram_jaccard(named, n=5, num=80, den=100, id_col="_row")
     first = groups.select("_row", "component_id").distinct().join(named.select("_row", "doc_id"), "_row")
     kept = written(first.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("k")).select("k._row"), "pipeline_kept")
-    one = ngram_jaccard.only_ids(named, kept, "_row").dropDuplicates(["_row"])
+    one = ngram_jaccard.only_ids(named, kept, "_row").dropDuplicates(["_row", "_second"])
     return one.select(*COLUMNS).union(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind; ``n_chars`` follows."""
+    bounded_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2048 tokens with the corpus's own mixture of sources."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
