@@ -47,10 +47,10 @@ BATCH_BYTES = 4_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let the session hand texts to Python workers in batches of bounded bytes; a smaller bound of its own stays."""
+    """Let the session hand texts to Python workers in batches of bounded bytes; a smaller bound in plain bytes stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.match(r"\d+", str(spark.conf.get(key, "")) or "")
-    if not now or not str(spark.conf.get(key)).isdigit() or int(now[0]) > BATCH_BYTES:
+    now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key) or "")
+    if not now or int(now[1]) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
