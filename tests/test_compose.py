@@ -44,8 +44,8 @@ def index_lines(spark):
 
 def test_from_texts_to_windows(spark, tmp_path):
     settings = Settings()
-    weights = grids.weight_table(spark, grids.bilinear_weights(np.array(LATS), np.array(LONS), TO_LATS, TO_LONS))
-    maps = compose.interpolated_maps(map_texts(spark), weights).cache()
+    weights = grids.bilinear_weights(np.array(LATS), np.array(LONS), TO_LATS, TO_LONS)
+    maps = compose.interpolated_maps(map_texts(spark), weights, 12).cache()
     assert maps.count() == 37 and maps.select("t").distinct().count() == 37
     one = maps.where(F.col("t") == T0 + 86400).first()
     assert one.src_year == 2015 and len(one.tec) == 12 and abs(one.tec[4] - field(0.0, 0.0)) < 0.06
@@ -65,19 +65,25 @@ def test_from_texts_to_windows(spark, tmp_path):
     got = compose.read_windows(spark, path, "train").orderBy("t").collect()
     assert [r.t for r in got] == [T0 + 7200 * k for k in range(16)]
     assert all(len(r.inputs) == 6 and len(r.targets) == 3 and len(r.inputs[0]) == 12 and len(r.drivers[0]) == 6 for r in got)
-    assert got[0].drivers[1][0] == pytest.approx(2.4) and compose.read_windows(spark, path, "val").count() == 0
+    assert compose.read_windows(spark, path, "val").count() == 0
     by_t = {r.t: r.dtec for r in series.collect()}
     seen = np.array([by_t[T0 + 7200 * k] for k in range(21)])
     m = moments.first()
     assert (m.n, m["mean"], m["std"]) == (21 * 12, pytest.approx(seen.mean()), pytest.approx(seen.std()))
+    driven = {r.t: [r[n] for n in names] for r in series.collect()}
+    d = np.array([driven[T0 + 7200 * k] for k in range(21)])
+    assert np.allclose(m.channel_mean, d.mean(axis=0)) and np.allclose(m.channel_std, np.maximum(d.std(axis=0), 1e-6)) and m.frames == 21
+    assert np.allclose(got[3].drivers, (d[3:9] - d.mean(axis=0)) / np.maximum(d.std(axis=0), 1e-6), atol=1e-5)
     assert got[3].targets[1] == pytest.approx((np.array(by_t[T0 + 7200 * 10]) - m["mean"]) / m["std"], abs=1e-5)
     assert compose.read_windows(spark, path, "train", ["t"]).columns == ["t"]
     summary = stages.output_summary(spark, [path, str(tmp_path / "none")])
     assert summary[0]["exists"] and summary[0]["files"] > 0 and summary[1] == {"path": str(tmp_path / "none"), "exists": False, "files": 0}
     with pytest.raises(Exception, match="no training windows"):
         compose.windows(series, settings, names, T0, T0)[1].collect()
-    meta = json.loads(stages.metadata(settings, {"mean": m["mean"], "std": m["std"]}, {"train": 16}))
-    assert meta["embargo_seconds"] == 9 * 7200 and meta["splits"] == {"train": 16}
+    meta = json.loads(stages.metadata(settings, m.asDict(), {"train": 16}, names, {"2015": "abc"}))
+    assert meta["embargo_seconds"] == meta["split_rule"]["embargo_seconds"] == 9 * 7200 and meta["splits"] == {"train": 16} and meta["lineage"] == {"2015": "abc"}
+    assert meta["horizon"] == {"history": "12h", "lead_times": "+2/+4/+6h", "steps": ["t+2h", "t+4h", "t+6h"]}
+    assert meta["normalization"]["driver_mean"] == m.channel_mean and len(meta["drivers"]) == 6
 
 
 def test_outage_of_one_channel_stays_its_own(spark):
@@ -104,12 +110,13 @@ def test_years_must_agree_and_may_lack_drivers(spark):
 def test_seasons_and_repeats_are_checked(spark):
     with pytest.raises(ValueError, match="swapped"):
         compose.index_tables(index_lines(spark), "2015-01-01", "2015-12-31")
+    weights = grids.bilinear_weights(np.array(LATS), np.array(LONS), TO_LATS, TO_LONS)
     same = map_texts(spark)
-    assert not compose.repeats_differ(same)
+    assert not compose.repeats_differ(compose.gridded_maps(same, weights, 12))
     scaled = F.regexp_replace("text", "^    -1", "     0")  # another exponent
     other = same.withColumn("text", F.when(F.col("key") == "2015-033", scaled).otherwise(F.col("text")))
     with pytest.warns(UserWarning, match="repeated epochs differ"):
-        assert compose.repeats_differ(other)
+        assert compose.repeats_differ(compose.gridded_maps(other, weights, 12))
 
 
 def test_manifests_years_and_stored_tables(spark, tmp_path):

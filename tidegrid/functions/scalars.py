@@ -95,9 +95,25 @@ def one_decimal(x: Column) -> Column:
     return F.rint(x * 10.0) / 10.0
 
 
+def hours_text(hours: Column) -> Column:
+    """Hours without needless zeros: 2, 0.5, 12."""
+    return F.regexp_replace(F.format_string("%.6f", hours.cast("double")), r"\.?0+$", "")
+
+
 def horizon_label(step: Column, cadence_seconds: int) -> Column:
-    """Lead time of a step in hours, as in 12h."""
-    return F.concat(F.floor(step * cadence_seconds / 3600).cast("string"), F.lit("h"))
+    """How far back so many steps reach, as in 12h."""
+    return F.concat(hours_text(step * cadence_seconds / 3600), F.lit("h"))
+
+
+def lead_labels(steps: Column, cadence_seconds: int) -> Column:
+    """Lead times of the first steps, as in +2/+4/+6h."""
+    each = F.transform(F.sequence(F.lit(1), steps.cast("int")), lambda k: F.concat(F.lit("+"), hours_text(k * cadence_seconds / 3600)))
+    return F.concat(F.array_join(each, "/"), F.lit("h"))
+
+
+def step_label(step: Column, cadence_seconds: int) -> Column:
+    """A single step's name, as in t+2h."""
+    return F.concat(F.lit("t+"), horizon_label(step, cadence_seconds))
 
 
 def ordinal(n: Column) -> Column:

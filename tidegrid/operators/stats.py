@@ -24,6 +24,46 @@ def train_moments(frames: DataFrame, value: Column) -> DataFrame:
     )
 
 
+def vector_moments(frames: DataFrame, values: str, floor: float = 1e-12) -> DataFrame:
+    """(channel, n, mean, std) of an array column, place by place, in one pass of partial sums; nulls don't count."""
+    flat = frames.select(F.posexplode(values).alias("channel", "_x"))
+    return population_moments(flat, F.col("_x"), ["channel"], floor)
+
+
+def window_moments(frames: DataFrame, values: str, channels: list[str], floor: float = 1e-12) -> DataFrame:
+    """One row (n, mean, std, frames, channel_mean, channel_std): moments over all cells of all maps, and of each channel over frames.
+
+    One pass: every row adds its map up in place, then sums are added. Frames
+    must be finite. Without any frame to learn from it fails.
+    """
+    x = [F.col(c).cast("double") for c in channels]
+    own = frames.select(
+        F.size(values).alias("_n"),
+        F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v).alias("_s"),
+        F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")).alias("_q"),
+        *[c.alias(f"_x{k}") for k, c in enumerate(x)],
+    )
+    sums = own.agg(
+        F.sum("_n").alias("n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.count("*").alias("frames"),
+        *[F.sum(f"_x{k}").alias(f"_s{k}") for k in range(len(x))],
+        *[F.sum(F.col(f"_x{k}") * F.col(f"_x{k}")).alias(f"_q{k}") for k in range(len(x))],
+    )
+
+    def spread(s: str, q: str, n: str) -> Column:
+        mean = F.col(s) / F.col(n)
+        return F.sqrt(F.greatest(F.col(q) / F.col(n) - mean * mean, F.lit(floor)))
+
+    some = F.when(F.col("frames") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no training windows to take moments from")))
+    return sums.select(
+        some.alias("n"),
+        (F.col("_s") / F.col("n")).alias("mean"),
+        spread("_s", "_q", "n").alias("std"),
+        "frames",
+        F.array(*[F.col(f"_s{k}") / F.col("frames") for k in range(len(x))]).alias("channel_mean"),
+        F.array(*[spread(f"_s{k}", f"_q{k}", "frames") for k in range(len(x))]).alias("channel_std"),
+    )
+
+
 def input_frames(starts: DataFrame, t: str, steps: int, cadence: int) -> DataFrame:
     """The distinct frames that windows show as input: each counts once however many windows show it."""
     offsets = starts.select(F.col(t), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_k"))
@@ -72,6 +112,27 @@ def driver_quality(aligned: DataFrame, channel: str, value: str, imputed: str =
     )
 
 
+def quality_by_year(rows: DataFrame, year: Column, channels: list[str], imputed: str) -> DataFrame:
+    """(year, channel, imputed_share, outage_share, frames, frames_lost) of wide driver rows, one pass.
+
+    ``imputed`` is an array of flags in the order of ``channels``; an outage is
+    a null or NaN. ``frames_lost`` counts the year's frames that miss any channel.
+    """
+
+    def lost(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return x.isNull() | F.isnan(x)
+
+    any_lost = F.lit(False)
+    for c in channels:
+        any_lost = any_lost | lost(c)
+    shares = [F.avg(F.coalesce(F.get(F.col(imputed), F.lit(k)), F.lit(False)).cast("int")).alias(f"_i{k}") for k in range(len(channels))]
+    outages = [F.avg(lost(c).cast("int")).alias(f"_o{k}") for k, c in enumerate(channels)]
+    wide = rows.groupBy(year.alias("year")).agg(F.count("*").alias("frames"), F.count_if(any_lost).alias("frames_lost"), *shares, *outages)
+    parts = [F.struct(F.lit(c).alias("channel"), F.col(f"_i{k}").alias("imputed_share"), F.col(f"_o{k}").alias("outage_share")) for k, c in enumerate(channels)]
+    return wide.select("year", F.explode(F.array(*parts)).alias("c"), "frames", "frames_lost").select("year", "c.*", "frames", "frames_lost")
+
+
 def weighted_anomaly(cells: DataFrame, by: list[str], value: str, weight: str, out: str = "anomaly") -> DataFrame:
     """Each cell minus its map's weighted mean; joined by the map's key after a partial sum."""
     mean = cells.groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("_mean"))

@@ -55,29 +55,30 @@ def rows_by_year(manifest: DataFrame, order: list[str]) -> DataFrame:
     return usable_rows(manifest, order).groupBy("year").agg(F.count("*").alias("files"))
 
 
-def interpolated_maps(texts: DataFrame, weights: DataFrame, key: str = "key") -> DataFrame:
-    """(t, src_year, tec) of map files ``key``, ``text``: one map an epoch, on the target grid, rows of latitude in one array.
+def gridded_maps(texts: DataFrame, weights: list[tuple[int, int, float]], targets: int, key: str = "key") -> DataFrame:
+    """(t, key, src_year, tec) of map files ``key``, ``text``: every map on the target grid, rows of latitude in one array.
+
+    Regridding is work within the row, done before anything moves. ``src_year``
+    is the year in the file's key. Cells without a corner stay null.
+    """
+    maps = ionex.parse_texts(texts, keep=[key]).select("epoch_s", key, F.flatten("grid").alias("_v"))
+    return maps.select(F.col("epoch_s").alias("t"), key, F.split(key, "-")[0].cast("int").alias("src_year"), grids.regrid_row(F.col("_v"), weights, targets).alias("tec"))
+
+
+def interpolated_maps(texts: DataFrame, weights: list[tuple[int, int, float]], targets: int, key: str = "key") -> DataFrame:
+    """(t, src_year, tec): ``gridded_maps``, one map an epoch.
 
     Files overlap in the epoch between two days: of an epoch the map of the
-    first file stays. ``src_year`` is the year in the file's key. Cells without
-    a corner stay null.
+    first file stays.
     """
-    maps = ionex.parse_texts(texts, keep=[key]).select("epoch_s", key, F.flatten("grid").alias("values"))
-    kept = timeline.dedupe_epochs(maps, "epoch_s", key)
-    cells = kept.select("epoch_s", F.split(key, "-")[0].cast("int").alias("src_year"), F.posexplode("values").alias("cell", "value"))
-    on_grid = grids.regrid(cells, weights, ["epoch_s", "src_year"], "cell", "value")
-    packed = on_grid.groupBy("epoch_s", "src_year").agg(F.array_sort(F.collect_list(F.struct("target", "value"))).alias("_c"))
-    return packed.select(F.col("epoch_s").alias("t"), "src_year", F.transform("_c", lambda c: c["value"]).alias("tec"))
-
-
-def repeats_differ(texts: DataFrame, key: str = "key", tolerance: float = REPEAT_TOLERANCE) -> bool:
-    """Whether repeated epochs differ by more than ``tolerance`` of the signal; warns if so."""
-    maps = ionex.parse_texts(texts, keep=[key]).select("epoch_s", key, F.posexplode(F.flatten("grid")).alias("cell", "value"))
-    pairs = maps.groupBy("epoch_s", "cell").agg(F.array_sort(F.collect_list(F.struct(key, "value"))).alias("_r")).where(F.size("_r") > 1)
-    a, b = F.col("_r")[0]["value"], F.col("_r")[1]["value"]
-    share = pairs.agg((F.avg(F.abs(b - a)) / F.avg(F.abs(a))).alias("share")).first()["share"]  # one row
-    if share is not None and share > tolerance:
-        warnings.warn(f"repeated epochs differ by {share:.1%} of the signal", stacklevel=2)
+    return timeline.dedupe_epochs(gridded_maps(texts, weights, targets, key), "t", key).select("t", "src_year", "tec")
+
+
+def repeats_differ(maps: DataFrame, t: str = "t", key: str = "key", values: str = "tec", tolerance: float = REPEAT_TOLERANCE) -> bool:
+    """Whether repeated epochs of ``gridded_maps`` differ by more than ``tolerance`` of the signal; warns if so."""
+    found = grids.repeat_differences(maps, t, key, values).first()  # one row
+    if found["relative"] > tolerance:
+        warnings.warn(f"repeated epochs differ by {found['relative']:.1%} of the signal", stacklevel=2)
         return True
     return False
 
@@ -92,11 +93,12 @@ def residual_maps(maps: DataFrame, flux: DataFrame, lats: list[float], lons: lis
 
 
 def driver_rows(lines: DataFrame, kp: DataFrame, frames: DataFrame, settings: Settings) -> DataFrame:
-    """(t, five drivers, kp, imputed): all drivers at the frames' epochs, one row for each distinct frame.
+    """(t, five drivers, kp, imputed, imputed_channels): all drivers at the frames' epochs, one row for each distinct frame.
 
     Five-minute drivers lie on the line between their neighbours, no farther
     than the longest gap; kp carries its last value. A value that is too far
-    away stays null, by its own channel only.
+    away stays null, by its own channel only. ``imputed_channels`` flags each
+    channel, kp last, whose value was not observed at the frame; ``imputed`` any.
     """
     names = list(text_tables.DRIVERS)
     wide = clean.mean_of_repeats(text_tables.parse_drivers(lines), ["t"], names)
@@ -105,10 +107,12 @@ def driver_rows(lines: DataFrame, kp: DataFrame, frames: DataFrame, settings: Se
     wanted = times.select("t", F.explode(F.array(*[F.lit(n) for n in names])).alias("channel"))
     aligned = timeline.align_interpolated(long.where("value is not null"), wanted, "t", "value", settings.gap_minutes * 60, ["channel"])
     values = [F.max(F.when(F.col("channel") == n, F.col("value"))).alias(n) for n in names]
-    driven = aligned.groupBy("t").agg(*values, F.max("imputed").alias("imputed"))
+    flags = [F.max(F.when(F.col("channel") == n, F.col("imputed"))).alias(f"_i_{n}") for n in names]
+    driven = aligned.groupBy("t").agg(*values, *flags)
     carried = timeline.align_carried(kp, times, "t", "kp", settings.kp_hours * 3600)
     both = driven.join(carried.select("t", "kp", F.col("imputed").alias("_old")), "t")
-    return both.select("t", *names, "kp", (F.col("imputed") | F.col("_old")).alias("imputed"))
+    each = F.array(*[F.coalesce(f"_i_{n}", F.lit(True)) for n in names], F.coalesce("_old", F.lit(True)))
+    return both.select("t", *names, "kp", F.exists(each, lambda x: x).alias("imputed"), each.alias("imputed_channels"))
 
 
 def fan_out(targets: DataFrame, values: DataFrame, t: str) -> DataFrame:
@@ -141,23 +145,24 @@ def windows(series: DataFrame, settings: Settings, drivers: list[str], train_end
     """(split, t, inputs, targets, drivers) of all valid windows, normalised by the training frames, and the moments (one row).
 
     The series is thinned to the cadence; a window is valid if its frames are
-    evenly spaced, finite and have all drivers. Splits are purged and embargoed
-    by one window. Fails where no window is left to train on.
+    evenly spaced and neither a map nor a driver misses a value or holds NaN or
+    an infinity. Maps have one mean and deviation, drivers one each. Splits are
+    purged and embargoed by one window. Fails where no window is left to train
+    on. The thinned series is kept in the checkpoint folder, as moments, starts
+    and rows all need it.
     """
     cadence, length = settings.cadence_seconds, settings.inputs + settings.targets
-    kept = timeline.decimate(series, "t", cadence)
-    whole = grids.all_finite(F.col(values))
-    for d in drivers:
-        whole = whole & F.col(d).isNotNull()
-    frames = kept.withColumn("_ok", whole)
-    valid = timeline.window_starts(frames, "t", "_ok", cadence, length).where("valid")
+    whole = grids.all_finite(F.col(values)) & grids.all_finite(F.array(*[F.col(d).cast("double") for d in drivers]))
+    frames = timeline.decimate(series, "t", cadence).select("t", values, *drivers, whole.alias("_ok")).checkpoint()
+    valid = timeline.window_starts(frames.select("t", "_ok"), "t", "_ok", cadence, length).where("valid")
     named = valid.select("t", timeline.split_name(F.col("t"), F.col("last_t"), train_end, val_end, length * cadence).alias("split")).where("split is not null")
     used = stats.input_frames(named.where("split = 'train'").select("t"), "t", settings.inputs, cadence).join(frames, "t")
-    moments = stats.train_moments(used.select(F.explode(values).alias("x")), F.col("x"))
+    moments = stats.window_moments(used, values, drivers)
     steps = named.select("split", F.col("t").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("step"))
-    rows = steps.withColumn("t", F.col("start") + F.col("step") * cadence).join(frames, "t").join(F.broadcast(moments))  # one row
-    scaled = F.transform(values, lambda x: evaluate.normalised(x, F.col("mean"), F.col("std")).cast("float"))
-    cell = F.struct("step", scaled.alias("map"), F.array(*[F.col(d).cast("float") for d in drivers]).alias("drivers"))
+    rows = steps.withColumn("t", F.col("start") + F.col("step") * cadence).join(frames, "t").join(F.broadcast(moments.select(F.struct("*").alias("_m"))))  # one row
+    scaled = F.transform(values, lambda x: evaluate.normalised(x, F.col("_m.mean"), F.col("_m.std")).cast("float"))
+    driven = [evaluate.normalised(F.col(d), F.get(F.col("_m.channel_mean"), F.lit(k)), F.get(F.col("_m.channel_std"), F.lit(k))).cast("float") for k, d in enumerate(drivers)]
+    cell = F.struct("step", scaled.alias("map"), F.array(*driven).alias("drivers"))
     packed = rows.groupBy("split", "start").agg(F.array_sort(F.collect_list(cell)).alias("_w"))
 
     def part(first: int, many: int, field: str) -> Column:

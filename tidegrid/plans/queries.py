@@ -353,6 +353,30 @@ def q_driver_quality(spark, sf_dir):
     return q.select("event_type", r6("imputed_share").alias("imputed_share"), r6("outage_share").alias("outage_share"), "frames")
 
 
+WHOLE_CHANNELS = CHANNELS.replace("WHERE value < 300 ", "")
+
+
+@query(
+    "q_quality_by_day",
+    f"""WITH {EV}, {WHOLE_CHANNELS}, w AS (SELECT t // 86400 AS day, t, event_type, coalesce(g > 0, true) AS imputed, NOT coalesce(g <= 1800, false) AS lost
+            FROM (SELECT event_type, t, least(t - pt, nt - t) AS g FROM n WHERE f = 1)),
+        l AS (SELECT day, count(*) FILTER (lost) AS frames_lost, count(*) AS frames FROM (SELECT day, t, bool_or(lost) AS lost FROM w GROUP BY 1, 2) GROUP BY 1)
+        SELECT day, event_type AS channel, round(avg(imputed::INT), 6) AS imputed_share, round(avg(lost::INT), 6) AS outage_share, any_value(frames) AS frames,
+        any_value(frames_lost) AS frames_lost FROM w JOIN l USING (day) GROUP BY 1, 2""",
+)
+def q_quality_by_day(spark, sf_dir):
+    ev = event_rows(spark, sf_dir)
+    names = sorted(r[0] for r in ev.select("event_type").distinct().limit(1000).collect())  # channels are columns, a handful
+    frames_ = ev.select((F.floor(F.col("t") / HOUR) * HOUR).alias("t")).distinct()
+    wanted = frames_.select("t", F.explode(F.array(*[F.lit(n) for n in names])).alias("event_type"))
+    aligned = timeline.align_interpolated(ev, wanted, "t", "value", 1800, ["event_type"])
+    value = [F.max(F.when(F.col("event_type") == n, F.col("value"))).alias(n) for n in names]
+    flag = F.array(*[F.max(F.when(F.col("event_type") == n, F.col("imputed"))) for n in names]).alias("flags")
+    wide = aligned.groupBy("t").agg(*value, flag)
+    out = stats.quality_by_year(wide, F.floor(F.col("t") / DAY), names, "flags")
+    return out.select(F.col("year").alias("day"), "channel", r6("imputed_share").alias("imputed_share"), r6("outage_share").alias("outage_share"), "frames", "frames_lost")
+
+
 @query(
     "q_driver_matrix",
     f"""WITH {EV}, h AS (SELECT t // 3600 * 3600 AS t, event_type, avg(value) AS v FROM ev GROUP BY 1, 2)
@@ -483,6 +507,41 @@ def q_window_tensors(spark, sf_dir):
     )
 
 
+#: Weekly orders as maps of three cells, with two drivers.
+ORDER_MAPS = """d AS (SELECT epoch_us(o_orderdate) // 1000000 // 604800 * 604800 AS t, avg(o_totalprice) AS a, min(o_totalprice) AS lo, max(o_totalprice) AS hi,
+    count(*)::DOUBLE AS n, sum(o_custkey)::DOUBLE AS c FROM orders GROUP BY 1)"""
+
+
+def order_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select((F.floor(S.epoch_seconds(F.col("o_orderdate")) / WEEK) * WEEK).alias("t"), "o_totalprice", "o_custkey")
+    price = F.col("o_totalprice")
+    return o.groupBy("t").agg(F.array(F.avg(price), F.min(price), F.max(price)).alias("dtec"), F.count("*").cast("double").alias("n"), F.sum("o_custkey").cast("double").alias("c"))
+
+
+@query(
+    "q_window_arrays",
+    f"""WITH {SPLITS.replace(WEEKLY, ORDER_MAPS)}, u AS (SELECT DISTINCT t + k * 604800 AS t FROM s, range(6) AS r(k) WHERE split = 'train'),
+        x AS (SELECT unnest([a, lo, hi]) AS v FROM u JOIN d USING (t)),
+        mo AS (SELECT sum(v) / count(*) AS m, sqrt(greatest(sum(v * v) / count(*) - (sum(v) / count(*)) ** 2, 1e-12)) AS s FROM x),
+        dm AS (SELECT sum(n) / count(*) AS nm, sqrt(greatest(sum(n * n) / count(*) - (sum(n) / count(*)) ** 2, 1e-12)) AS ns,
+            sum(c) / count(*) AS cm, sqrt(greatest(sum(c * c) / count(*) - (sum(c) / count(*)) ** 2, 1e-12)) AS cs FROM u JOIN d USING (t)),
+        wa AS (SELECT s.split, s.t AS start, k AS step, [(a - m) / s, (lo - m) / s, (hi - m) / s] AS map, [(n - nm) / ns, (c - cm) / cs] AS driver
+            FROM s CROSS JOIN range(9) AS r(k) JOIN d ON d.t = s.t + k * 604800 CROSS JOIN mo CROSS JOIN dm WHERE split IS NOT NULL)
+        SELECT split, start, step, 'map' AS what, generate_subscripts(map, 1) - 1 AS place, round(unnest(map), 4) AS value FROM wa
+        UNION ALL SELECT split, start, step, 'driver', generate_subscripts(driver, 1) - 1, round(unnest(driver), 4) FROM wa WHERE step < 6""",
+)
+def q_window_arrays(spark, sf_dir):
+    settings = compose.Settings(cadence_seconds=WEEK)
+    out, _ = compose.windows(order_maps(spark, sf_dir), settings, ["n", "c"], SPLIT_1, SPLIT_2)
+
+    def rows(what: str, frames_: Column) -> DataFrame:
+        steps = out.select("split", F.col("t").alias("start"), F.posexplode(frames_).alias("step", "_v"))
+        flat = steps.select("split", "start", F.col("step").cast("long").alias("step"), F.lit(what).alias("what"), F.posexplode("_v").alias("place", "x"))
+        return flat.select("split", "start", "step", "what", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 4).alias("value"))
+
+    return rows("map", F.concat("inputs", "targets")).union(rows("driver", F.col("drivers")))
+
+
 @query("q_horizon_labels", "SELECT k AS step, (k * 7200 // 3600) || 'h' AS label FROM range(1, 13) AS r(k)")
 def q_horizon_labels(spark, sf_dir):
     return spark.range(1, 13).select(F.col("id").alias("step"), S.horizon_label(F.col("id"), CADENCE).alias("label"))
@@ -717,8 +776,21 @@ def _weights() -> list[tuple[int, int, float]]:
         SELECT vec_id, target, round(CASE WHEN count(v) = count(*) THEN sum(v * w) END, 6) AS v FROM c JOIN w USING (cell) GROUP BY 1, 2""",
 )
 def q_regrid_bilinear(spark, sf_dir):
-    out = grids.regrid(cells(spark, sf_dir), grids.weight_table(spark, _weights()), ["vec_id"], "cell", "v")
-    return out.select("vec_id", "target", r6("v").alias("v"))
+    e = read(spark, sf_dir, "embeddings")
+    row = grids.regrid_row(F.col("embedding"), _weights(), len(TO_LATS) * len(TO_LONS))
+    return e.select("vec_id", F.posexplode(row).alias("target", "v")).select("vec_id", "target", r6("v").alias("v"))
+
+
+@query(
+    "q_repeat_differences",
+    """WITH r AS (SELECT label, vec_id, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings),
+        p AS (SELECT list_transform(range(1, len(b) + 1), lambda k: abs(b[k]::DOUBLE - a[k]::DOUBLE)) AS d, list_transform(a, lambda x: abs(x::DOUBLE)) AS s FROM r WHERE a IS NOT NULL)
+        SELECT count(*) AS dropped, round(max(list_max(d)), 6) AS max, round(sum(list_sum(d)) / sum(len(d)), 6) AS mean,
+        round(sum(list_sum(d)) / sum(len(d)) / (sum(list_sum(s)) / sum(len(s))), 6) AS relative FROM p""",
+)
+def q_repeat_differences(spark, sf_dir):
+    out = grids.repeat_differences(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    return out.select("dropped", *[r6(c).alias(c) for c in ("max", "mean", "relative")])
 
 
 @query("q_lon_wrap", f"SELECT DISTINCT ((x % 360) + 360) % 360 AS lon FROM (VALUES {', '.join(f'({-180 + 5 * k}.0::DOUBLE)' for k in range(73))}) AS t(x)")

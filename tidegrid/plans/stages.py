@@ -101,16 +101,21 @@ def run_stage(
     log: str,
     contract: str = "1",
     overwrite: bool = False,
+    expected: DataFrame | None = None,
+    versions: Mapping[str, str] | None = None,
 ) -> dict:
     """Build the partitions of ``source`` whose fingerprint isn't the one stored with ``target``; append a manifest row.
 
-    The fingerprint covers all columns of the rows and the contract. Failures
+    The fingerprint covers all columns of the rows and the contract, unless
+    ``expected`` (part, fingerprint) gives it, as contracts.chained does from
+    the stages before. ``versions`` go into the manifest row. Failures
     are logged and raised again; a log that can't be written is only warned of.
     Partitions are overwritten one by one (dynamic overwrite).
     """
     started, status, stale = time.time(), "failed", None
     try:
-        prints = partition_fingerprints(source, F.col(part), F.concat(F.lit(f"{contract}|"), row_content(source)))
+        prints = partition_fingerprints(source, F.col(part), F.concat(F.lit(f"{contract}|"), row_content(source))) if expected is None else expected
+        prints = prints.withColumn("part", F.col("part").cast(source.schema[part].dataType))
         stored = spark.read.parquet(f"{target}_fingerprints") if path_exists(spark, f"{target}_fingerprints") else prints.limit(0)
         latest = stored.groupBy("part").agg(F.max_by("fingerprint", "written_at").alias("fingerprint")) if "written_at" in stored.columns else stored
         todo = stale_partitions(prints, latest, overwrite).where("action <> 'skip'")
@@ -130,6 +135,7 @@ def run_stage(
             "spark": spark.version,
             "python": platform.python_version(),
             "timezone": spark.conf.get("spark.sql.session.timeZone"),
+            "versions": json.dumps(dict(versions or {}), sort_keys=True),
             "outputs": json.dumps(output_summary(spark, [target])),
         }
         try:
@@ -139,8 +145,41 @@ def run_stage(
     return row
 
 
-def metadata(settings: Settings, moments: Mapping[str, float], counts: Mapping[str, int]) -> str:
-    """What a reader of the windows needs to know, as JSON with sorted keys."""
+def metadata(settings: Settings, moments: Mapping[str, object], counts: Mapping[str, int], drivers: list[str] | None = None, lineage: Mapping[str, str] | None = None) -> str:
+    """What a reader of the windows needs to know, as JSON with sorted keys.
+
+    ``moments`` is the row that goes with the windows, or the part of it that
+    is known; ``lineage`` has the digest of each year's inputs.
+    """
+    m = dict(moments)
+    scale = {
+        "map_mean": m.get("mean"),
+        "map_std": m.get("std"),
+        "driver_mean": list(m.get("channel_mean") or []),
+        "driver_std": list(m.get("channel_std") or []),
+        "computed_from": "distinct input frames of training windows, each counted once",
+        "applied_to": ["inputs", "targets", "drivers"],
+    }
+    step = settings.cadence_seconds / 3600
+    leads = "/".join(f"+{(k + 1) * step:g}" for k in range(settings.targets))
     return json.dumps(
-        {"settings": asdict(settings), "normalization": dict(moments), "splits": dict(counts), "embargo_seconds": settings.embargo_seconds}, sort_keys=True
+        {
+            "settings": asdict(settings),
+            "cadence_seconds": settings.cadence_seconds,
+            "horizon": {"history": f"{settings.inputs * step:g}h", "lead_times": f"{leads}h", "steps": [f"t+{(k + 1) * step:g}h" for k in range(settings.targets)]},
+            "drivers": list(drivers or []),
+            "normalization": scale,
+            "split_rule": {
+                "train_end": settings.train_end,
+                "val_end": settings.val_end,
+                "assignment": "a window belongs to a split only if all of it does",
+                "embargo_steps": settings.inputs + settings.targets,
+                "embargo_seconds": settings.embargo_seconds,
+            },
+            "window_rule": "frames stand exactly one cadence apart; maps and drivers are finite in all of them",
+            "splits": dict(counts),
+            "embargo_seconds": settings.embargo_seconds,
+            "lineage": dict(lineage or {}),
+        },
+        sort_keys=True,
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -78,31 +81,97 @@ def bounded_staleness(frames: DataFrame, drivers: DataFrame, t: str, value: str,
     return latest.select(F.unix_seconds("window.start").alias(t), value)
 
 
-def upsert(batch: DataFrame, path: str, key: str, rank: str) -> None:
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of a table's last whole manifest; (0, {}) where there is none."""
+    fs, at = _folder(spark, f"{path}/manifests")
+    if not fs.exists(at):
+        return 0, {}
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    last = max((int(n.removesuffix(".json")) for n in names if re.fullmatch(r"[0-9]+\.json", n)), default=0)
+    if not last:
+        return 0, {}
+    return last, json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifests/{last:09d}.json").collect()))
+
+
+def _publish(spark: SparkSession, path: str, number: int, content: dict) -> None:
+    """A new manifest, whole or not at all: written beside its place and renamed."""
+    fs, part = _folder(spark, f"{path}/manifests/{number:09d}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
+    out.close()
+    if not fs.rename(part, _folder(spark, f"{path}/manifests/{number:09d}.json")[1]):
+        raise FileExistsError(f"another writer published version {number} of {path}")
+
+
+def upsert(batch: DataFrame, path: str, key: str, rank: str, batch_id: int | None = None, buckets: int = 64, keep: int = 2) -> None:
     """Rows of a micro-batch into the table at ``path``: of each key the row of the highest rank (definitive over preliminary).
 
-    Versions are written side by side and the last whole one counts, so a lost
-    executor or a repeated batch leaves the table as it was.
+    Keys are dealt to a fixed number of buckets. Only buckets that the batch
+    touches are read and written anew; a manifest says which version of each
+    bucket counts, so a lost executor leaves the table as it was. A batch whose
+    number isn't above the last one's is there already and changes nothing.
+    Files that none of the last ``keep`` manifests names are removed.
     """
     spark = batch.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    versions = 0
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{versions + 1}/_SUCCESS")):
-        versions += 1
-    old = spark.read.parquet(f"{path}/v{versions}") if versions else batch.limit(0)
-    rest = [c for c in batch.columns if c not in (key, rank)]
-    rows = old.unionByName(batch).groupBy(key).agg(F.max_by(F.struct(rank, *rest), F.struct(F.coalesce(rank, F.lit(-1)), *rest)).alias("_r"))
-    rows.select(key, *[F.col("_r")[c].alias(c) for c in (rank, *rest)]).write.mode("overwrite").parquet(f"{path}/v{versions + 1}")
-
-
-def current(spark, path: str) -> DataFrame:
-    """The last whole version of an upserted table."""
-    at, versions = spark._jvm.org.apache.hadoop.fs.Path, 0
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    while fs.exists(at(f"{path}/v{versions + 1}/_SUCCESS")):
-        versions += 1
-    return spark.read.parquet(f"{path}/v{versions}")
+    number, now = _manifest(spark, path)
+    if now and now["buckets"] != buckets:
+        raise ValueError(f"{path} has {now['buckets']} buckets, not {buckets}")
+    if batch_id is not None and now.get("batch_id") is not None and batch_id <= now["batch_id"]:
+        return
+    fresh = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).checkpoint()
+    touched = sorted(r[0] for r in fresh.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
+    versions = dict(now.get("versions", {}))
+    if touched:
+        old = [f"{path}/data/{versions[str(b)]}/_bucket={b}" for b in touched if str(b) in versions]
+        rows = fresh
+        if old:
+            rows = rows.unionByName(spark.read.option("basePath", f"{path}/data").schema(batch.schema).parquet(*old).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).select(*fresh.columns))
+        rest = [c for c in batch.columns if c not in (key, rank)]
+        best = rows.groupBy("_bucket", key).agg(F.max_by(F.struct(rank, *rest), F.struct(F.coalesce(rank, F.lit(-1)), *rest)).alias("_r"))
+        fields = {key: F.col(key), rank: F.col("_r")[rank]} | {c: F.col("_r")[c] for c in rest}
+        version = f"v{number + 1:09d}_{uuid.uuid4().hex[:8]}"
+        best.select("_bucket", *[fields[c].alias(c) for c in batch.columns]).write.partitionBy("_bucket").parquet(f"{path}/data/{version}")
+        versions |= {str(b): version for b in touched}
+    told = now.get("batch_id") if batch_id is None else batch_id
+    _publish(spark, path, number + 1, {"buckets": buckets, "versions": versions, "batch_id": told})
+    _clean(spark, path, number + 1, keep)
+
+
+def _clean(spark: SparkSession, path: str, number: int, keep: int) -> None:
+    """Remove manifests before the last ``keep``, and bucket versions that none of the kept ones names."""
+    fs, at = _folder(spark, f"{path}/manifests")
+    used: set[tuple[str, str]] = set()
+    for n in range(max(1, number - keep + 1), number + 1):
+        if fs.exists(_folder(spark, f"{path}/manifests/{n:09d}.json")[1]):
+            used |= {(v, b) for b, v in json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifests/{n:09d}.json").collect()))["versions"].items()}
+    for f in fs.listStatus(at):
+        if (m := re.fullmatch(r"([0-9]+)\.json", f.getPath().getName())) and int(m[1]) <= number - keep:
+            fs.delete(f.getPath(), False)
+    data = _folder(spark, f"{path}/data")[1]
+    for version in fs.listStatus(data) if fs.exists(data) else []:
+        left = 0
+        for f in fs.listStatus(version.getPath()):
+            if m := re.fullmatch(r"_bucket=([0-9]+)", f.getPath().getName()):
+                if (version.getPath().getName(), m[1]) in used:
+                    left += 1
+                else:
+                    fs.delete(f.getPath(), True)
+        if not left:
+            fs.delete(version.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path`` as its last manifest has it."""
+    _, now = _manifest(spark, path)
+    if not now.get("versions"):
+        raise FileNotFoundError(f"nothing was upserted at {path}")
+    parts = [f"{path}/data/{v}/_bucket={b}" for b, v in sorted(now["versions"].items(), key=lambda x: int(x[0]))]
+    return spark.read.parquet(*parts)
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
@@ -116,21 +185,29 @@ def run_to_table(stream: DataFrame, mode: str = "complete", at: str | None = Non
     """Drive a stream over all that is there into Parquet; rows never pass the driver.
 
     A later call with the same folder ``at`` goes on where the last one ended;
-    by default each call has a new one in the shared folder.
+    by default each call has a new one in the shared folder. A batch that is
+    run again leaves one copy of its rows.
     """
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidegrid_stream_")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not shared:
+        raise ValueError("name a folder, or set spark.checkpoint.dir")
     path, schema = at or f"{shared.rstrip('/')}/stream_{uuid.uuid4().hex}", stream.schema
-    write_mode = "overwrite" if mode == "complete" else "append"
+    whole = mode == "complete"
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        # A batch has a folder of its own, which its repetition replaces; a complete result is one batch.
+        df.write.mode("overwrite").parquet(f"{path}/out/batch__={0 if whole else batch_id}")
+
     q = (
-        stream.writeStream.foreachBatch(lambda df, _: df.write.mode(write_mode).parquet(f"{path}/out"))
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{path}/log")
         .outputMode(mode)
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/out")
+    fs, out = _folder(spark, f"{path}/out")
+    if not fs.exists(out):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/out").drop("batch__")
