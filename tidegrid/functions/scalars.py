@@ -21,6 +21,13 @@ def epoch_seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
+def aware_epoch(text: Column) -> Column:
+    """Whole seconds since 1970 of an ISO time that names its zone; one that doesn't is refused, a null stays null."""
+    zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
+    fault = F.raise_error(F.concat(F.lit("a time without a zone: "), text)).cast("long")
+    return F.when(text.isNull(), None).when(zoned, F.unix_seconds(F.to_timestamp(text))).otherwise(fault)
+
+
 def ut_hours(epoch: Column) -> Column:
     """Decimal hour of the UTC day."""
     return F.pmod(epoch, F.lit(86400)) / F.lit(3600.0)
@@ -128,6 +135,26 @@ def subsolar_hour(hour: Column) -> Column:
     return F.pmod(F.pmod(hour, F.lit(24.0)) + 24.0, F.lit(24.0))
 
 
+def driver_file_name(year: Column) -> Column:
+    """Name of a year's five-minute driver file."""
+    return F.concat(F.lit("omni_5min"), year.cast("string"), F.lit(".asc"))
+
+
+def date_key(day: Column) -> Column:
+    """A date as its file's name has it, 2015-02-01."""
+    return F.date_format(day, "yyyy-MM-dd")
+
+
+def two_digits(n: Column) -> Column:
+    """A number below 100 in two digits; larger ones whole."""
+    return F.when(n < 10, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
+
+
+def diverging(x: Column, limit: float = 30.0) -> Column:
+    """Where a difference stands on a two-sided scale, from -1 to 1, full at the limit."""
+    return F.least(F.greatest(x / F.lit(limit), F.lit(-1.0)), F.lit(1.0))
+
+
 def smoothstep(lo: float, hi: float, x: Column) -> Column:
     t = F.least(F.greatest((x - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
     return t * t * (3.0 - 2.0 * t)

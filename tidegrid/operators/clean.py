@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,30 @@ def coverage(manifest: DataFrame, wanted: DataFrame, source: str = "source") ->
 def calendar(spark, start: str, end: str) -> DataFrame:
     """Every day from start to end, both included."""
     return spark.sql(f"SELECT explode(sequence(date '{start}', date '{end}', interval 1 day)) AS day")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(source, key, expected_filename, status, reason, n_bytes, checked_at, seq) of manifest CSV files with a header.
+
+    ``seq`` is a row's place: files by name, rows in the order of their file,
+    so that the last row of a key wins as the file has it.
+    """
+    schema = "source string, key string, expected_filename string, status string, reason string, n_bytes long, checked_at string"
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    # Offsets grow with a row's place in its file; a file is read in as many parts as Spark likes.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias("seq"))
+
+
+def with_fallback(wanted: DataFrame, daily: DataFrame, day: str, value: str, days: int = 1, what: str | None = None) -> DataFrame:
+    """``wanted`` with the day's finite value, else the one of the nearest day before, ``days`` back at most; fails where there is none.
+
+    ``from_previous`` tells a value of another day, ``what`` names the value in
+    the error. ``daily`` has one row a day.
+    """
+    fine = daily.select(F.col(day).alias("_of"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) <> double('inf')")
+    serves = fine.select("_v", F.explode(F.sequence(F.lit(0), F.lit(days))).alias("_back"), "_of").select(F.date_add("_of", F.col("_back")).alias(day), "_v", "_back")
+    best = serves.groupBy(day).agg(F.min_by(F.struct("_v", "_back"), "_back").alias("_b"))
+    both = wanted.join(best, day, "left")
+    fault = F.raise_error(F.concat(F.lit(f"no {what or 'finite ' + value} for "), F.col(day).cast("string"), F.lit(" or the day before"))).cast("double")
+    return both.withColumn(value, F.when(F.col("_b").isNull(), fault).otherwise(F.col("_b._v"))).withColumn("from_previous", F.col("_b._back") > 0).drop("_b")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import epoch_date, ut_hours
+from tidegrid.operators.clean import with_fallback
 
 #: (day of year, hours, latitudes, longitudes, f107) -> hours x latitudes x longitudes
 Provider = Callable[[int, np.ndarray, np.ndarray, np.ndarray, float], np.ndarray]
@@ -27,15 +28,13 @@ def analytic(doy: int, hours: np.ndarray, lats: np.ndarray, lons: np.ndarray, f1
 def baseline(frames: DataFrame, f107: DataFrame, t: str, lats: list[float], lons: list[float], provider: Provider = analytic) -> DataFrame:
     """(t, iri): a flat map, rows of latitude, for each frame.
 
-    The day's flux, or the day before's where it is missing; a day without
-    either fails. Frames are distinct before the costly call, and one call
+    The day's flux, or the day before's where it is missing or not finite; a
+    day without either fails. Frames are distinct before the costly call, and one call
     serves all frames of a day.
     """
-    flux = f107.select(F.col("day").alias("_day"), F.col("f107").alias("_f"))
-    before = flux.select(F.date_add("_day", 1).alias("_day"), F.col("_f").alias("_g"))
+    flux = f107.select(F.col("day").alias("_day"), "f107")
     keyed = frames.select(F.col(t).cast("long").alias("t")).distinct().withColumn("_day", epoch_date(F.col("t"))).withColumn("ut", ut_hours(F.col("t")))
-    found = keyed.join(flux, "_day", "left").join(before, "_day", "left").withColumn("_f", F.coalesce("_f", "_g"))
-    ready = found.select("_day", "t", "ut", F.dayofyear("_day").alias("doy"), F.coalesce("_f", F.raise_error(F.lit("no solar flux for a day"))).alias("f107"))
+    ready = with_fallback(keyed, flux, "_day", "f107", what="solar flux").select("_day", "t", "ut", F.dayofyear("_day").alias("doy"), "f107")
 
     def run(day: pa.Table) -> pa.Table:
         maps = provider(day["doy"][0].as_py(), day["ut"].to_numpy(), np.array(lats), np.array(lons), float(day["f107"][0].as_py()))

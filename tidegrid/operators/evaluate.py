@@ -40,6 +40,12 @@ def skill(table: DataFrame, model: str, horizon: str, rmse: str, reference: str)
     return table.join(F.broadcast(ref), horizon, "left").withColumn("skill", 100 * (1 - F.col(rmse) / F.col("_ref"))).drop("_ref")
 
 
+def comparison(table: DataFrame, model: str, horizon: str, value: str, horizons: list) -> DataFrame:
+    """One row per model with a column ``value_horizon`` for each of the horizons; null where a model has none."""
+    cells = [F.max(F.when(F.col(horizon) == h, F.col(value))).alias(f"{value}_{h}") for h in horizons]
+    return table.groupBy(model).agg(*cells)
+
+
 def persistence(frames: DataFrame, t: str, value: str, horizons: int, cadence: int) -> DataFrame:
     """(horizon, t, pred, target): the value at t carried to t + horizon * cadence, where that frame exists."""
     out = frames.select(F.col(t), F.col(value).alias("pred"), F.explode(F.sequence(F.lit(1), F.lit(horizons))).alias("horizon"))

@@ -141,6 +141,16 @@ def back_weights(lats: np.ndarray, lons: np.ndarray, native_lats: np.ndarray, na
     return bilinear_weights(lats, lons, inside, native_lons)
 
 
+def checked_grid(lats: list[float], lons: list[float], n_lat: int, n_lon: int) -> tuple[np.ndarray, np.ndarray]:
+    """A grid's axes, which must have the sizes that are expected, ascend, and lie on the sphere."""
+    a, b = np.asarray(lats, dtype=np.float64), np.asarray(lons, dtype=np.float64)
+    if a.shape != (n_lat,) or b.shape != (n_lon,):
+        raise ValueError(f"the grid is {a.shape} by {b.shape}, not {n_lat} by {n_lon}")
+    if not (np.isfinite(a).all() and np.isfinite(b).all() and (np.diff(a) > 0).all() and (np.diff(b) > 0).all() and np.abs(a).max() <= 90):
+        raise ValueError("the grid's axes must ascend, latitudes within 90 degrees")
+    return a, b
+
+
 def weight_table(spark: SparkSession, rows: list[tuple[int, int, float]]) -> DataFrame:
     return spark.createDataFrame(rows, "target int, source int, weight double")
 

@@ -39,6 +39,13 @@ def first_cliff(spectrum: DataFrame, s: str, drop: float = -1.5, cap: int = 36)
     return spectrum.select("l", (F.lead(log).over(w) - log).alias("_d")).agg(F.coalesce(F.min(F.when(F.col("_d") < drop, F.col("l"))), F.lit(cap)).alias("cliff"))
 
 
+def cut_off(spectrum: DataFrame, s: str, epsilon: float, drop: float = -1.5, cap: int = 36, residual: bool = False) -> DataFrame:
+    """(by_energy, cliff, l): the degree to keep; the higher of both criteria, for residual maps the energy's alone."""
+    energy = degree_for_energy(energy_fraction(spectrum, s), [epsilon]).select(F.col("l").alias("by_energy"))
+    both = energy.join(first_cliff(spectrum, s, drop, cap))  # one row each
+    return both.withColumn("l", F.col("by_energy") if residual else F.greatest("by_energy", "cliff"))
+
+
 def noise_floor(spectrum: DataFrame, s: str, from_degree: int) -> DataFrame:
     """Mean power of odd degrees from ``from_degree`` up."""
     return spectrum.agg(F.avg(F.when((F.col("l") >= from_degree) & (F.col("l") % 2 == 1), F.col(s))).alias("noise_floor"))

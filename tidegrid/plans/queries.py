@@ -353,6 +353,32 @@ def q_driver_quality(spark, sf_dir):
     return q.select("event_type", r6("imputed_share").alias("imputed_share"), r6("outage_share").alias("outage_share"), "frames")
 
 
+@query(
+    "q_fallback_days",
+    """WITH d AS (SELECT ts::DATE AS day, avg(value) AS v FROM events GROUP BY 1), w AS (SELECT day FROM d UNION SELECT day + 1 FROM d)
+        SELECT strftime(w.day, '%Y-%m-%d') AS day, round(coalesce(a.v, b.v), 6) AS value, a.v IS NULL AS from_previous
+        FROM w LEFT JOIN d a ON a.day = w.day LEFT JOIN d b ON b.day = w.day - 1""",
+)
+def q_fallback_days(spark, sf_dir):
+    daily = read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    wanted = daily.select("day").union(daily.select(F.date_add("day", 1).alias("day"))).distinct()
+    out = clean.with_fallback(wanted, daily, "day", "v")
+    return out.select(S.date_key(F.col("day")).alias("day"), r6("v").alias("value"), "from_previous")
+
+
+@query(
+    "q_model_comparison",
+    """SELECT event_type AS model, """
+    + ", ".join(f"round(sqrt(avg(value * value) FILTER (ts::DATE = DATE '2024-01-{d:02d}')), 6) AS rmse_{d}" for d in (2, 9, 16, 23))
+    + " FROM events GROUP BY 1",
+)
+def q_model_comparison(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts"))
+    table = e.groupBy("event_type", "day").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rmse"))
+    wide = evaluate.comparison(table, "event_type", "day", "rmse", [2, 9, 16, 23])
+    return wide.select(F.col("event_type").alias("model"), *[r6(f"rmse_{d}").alias(f"rmse_{d}") for d in (2, 9, 16, 23)])
+
+
 WHOLE_CHANNELS = CHANNELS.replace("WHERE value < 300 ", "")
 
 

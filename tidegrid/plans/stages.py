@@ -18,7 +18,7 @@ from tidegrid.operators.evaluate import partition_fingerprints, stale_partitions
 
 @dataclass(frozen=True)
 class Settings:
-    """Run parameters: defaults, then a JSON file, then the environment; blank values count as unset."""
+    """Run parameters: defaults, then a JSON or YAML file, then the environment; blank values count as unset."""
 
     root: str = "data"
     cadence_seconds: int = 7200
@@ -37,16 +37,23 @@ class Settings:
         return f"{self.root.rstrip('/')}/{layer}/{table}"
 
     @classmethod
-    def load(cls, file: str | None = None, env: Mapping[str, str] | None = None, prefix: str = "TIDEGRID_") -> Settings:
-        """A file that is named but missing is an error; so is an unknown key in it."""
+    def load(cls, file: str | None = None, env: Mapping[str, str] | None = None, prefix: str = "TIDEGRID_", candidates: list[str] | None = None) -> Settings:
+        """A file that is named, by argument or by ``<prefix>CONFIG_FILE``, must be there; else the first candidate that is.
+
+        Candidates are ``config.yaml`` and ``config.json`` in the working
+        folder. A key that isn't a setting is an error.
+        """
         out, env = cls(), os.environ if env is None else env
-        if file and file.strip():
-            with open(file) as f:
-                given = json.load(f)
+        named = (file or "").strip() or env.get(f"{prefix}CONFIG_FILE", "").strip()
+        if named and not os.path.exists(named):
+            raise FileNotFoundError(f"settings were asked for in {named}, which isn't there")
+        at = named or next((c for c in (["config.yaml", "config.json"] if candidates is None else candidates) if os.path.exists(c)), None)
+        if at:
+            given = read_settings(at)
             unknown = set(given) - {x.name for x in fields(cls)}
             if unknown:
                 raise ValueError(f"unknown settings: {sorted(unknown)}")
-            out = replace(out, **given)
+            out = replace(out, **{k: type(getattr(out, k))(v) for k, v in given.items()})
         for x in fields(cls):
             value = env.get(prefix + x.name.upper(), "").strip()
             if value:
@@ -54,6 +61,23 @@ class Settings:
         return out
 
 
+def read_settings(path: str) -> dict:
+    """The mapping in a JSON or YAML file; an empty file is an empty one."""
+    with open(path) as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError(f"{path} needs a YAML library; write it as JSON instead") from e
+        given = yaml.safe_load(text)
+    else:
+        given = json.loads(text) if text.strip() else None
+    if given is not None and not isinstance(given, dict):
+        raise ValueError(f"{path} holds no settings by name")
+    return given or {}
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,9 +26,14 @@ def parse(text: str) -> Iterator[tuple[int, list[float], list[float], list[list[
 
     Labels stand in columns 61 to 80, values use all 80. The missing mark is
     told before the scale, ten to the EXPONENT (-1 where the header has none).
+    A band with too few values, and one that isn't there, is null as a whole;
+    values and bands beyond the header's grid are passed over. A text without a
+    grid in its header is an error, an empty one has no maps.
     """
     exponent, lats, lons = -1, [], []
-    epoch, rows, row, in_map = None, [], [], False
+    epoch, rows, row, band, in_map = None, [], None, -1, False
+    if not text.strip():
+        return
     for line in text.splitlines():
         label = line[60:80].strip()
         if label == "EXPONENT" and line[:60].strip():
@@ -40,23 +45,27 @@ def parse(text: str) -> Iterator[tuple[int, list[float], list[float], list[list[
         elif label == "START OF RMS MAP":
             return
         elif label == "START OF TEC MAP":
-            epoch, rows, row, in_map = None, [], [], True
+            if not lats or not lons:
+                raise ValueError("the header has no grid")
+            rows, row, band, in_map = [[None] * len(lons) for _ in lats], None, -1, True
         elif not in_map:
             continue
         elif label == "EPOCH OF CURRENT MAP":
             y, mo, d, h, mi, s = (int(x) for x in line[:60].split()[:6])
             epoch = calendar.timegm((y, mo, d, 0, 0, 0)) + h * 3600 + mi * 60 + s
         elif label == "LAT/LON1/LON2/DLON/H":
-            row = []
-            rows.append(row)
+            row, band = [], band + 1
         elif label == "END OF TEC MAP":
-            if epoch is None or len(rows) != len(lats) or any(len(r) != len(lons) for r in rows):
-                raise ValueError("a map doesn't fit its header")
+            if epoch is None:
+                raise ValueError("a map has no epoch")
             yield epoch, lats, lons, rows
             in_map = False
-        else:
-            scale = 10.0**exponent
-            row.extend(None if int(x) == MISSING else int(x) * scale for x in line[:80].split())
+        elif row is not None and band < len(lats):
+            row.extend(int(x) for x in line[:80].split())
+            if len(row) >= len(lons):
+                scale = 10.0**exponent
+                rows[band] = [None if x == MISSING else x * scale for x in row[: len(lons)]]
+                row = None
 
 
 def parse_texts(texts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -76,25 +85,53 @@ def parse_texts(texts: DataFrame, text: str = "text", keep: list[str] | None = N
     return texts.select(*keep, text).mapInArrow(run, ", ".join([*given, SCHEMA]))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, uri: str, paths: list[str]):
+        self.uri, self.paths = uri, paths
+
+
+def _store(uri: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, uri: str, split_bytes: int):
+        self.uri, self.split_bytes = uri, split_bytes
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        """The files below the path by name, neighbours together up to so many bytes."""
+        from pyarrow import fs
+
+        store, path = _store(self.uri)
+        found = store.get_file_info(path)
+        if found.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.uri)
+        listed = [found] if found.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+        files = sorted((f.path, f.size or 0) for f in listed if f.is_file and not f.base_name.startswith(("_", ".")))
+        out, size = [], 0
+        for name, n in files:
+            if not out or size + n > self.split_bytes:
+                out, size = [*out, _Files(self.uri, [])], 0
+            out[-1].paths.append(name)
+            size += n
+        return out
 
     def read(self, partition: InputPartition):
-        with open(partition.path, "rb") as f:
-            yield from parse(to_text(partition.path, f.read()))
+        store, _ = _store(partition.uri)
+        for path in partition.paths:
+            with store.open_input_stream(path, compression=None) as f:
+                yield from parse(to_text(path, f.read()))
 
 
 class IonexSource(DataSource):
-    """``spark.read.format("ionex").load(folder or file)`` for files that every executor can open; else ``read_maps``."""
+    """``spark.read.format("ionex").load(folder or file)`` in any store that Arrow's file systems open.
+
+    Files are listed with their sizes and dealt to tasks by ``split_bytes``
+    (32 MB). Stores that only Spark reads are ``read_maps``' work.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -104,11 +141,7 @@ class IonexSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        import glob
-        import os
-
-        path = self.options["path"]
-        return _Reader(sorted(glob.glob(os.path.join(path, "*"))) if os.path.isdir(path) else [path])
+        return _Reader(self.options["path"], int(self.options.get("split_bytes", 32_000_000)))
 
 
 def register(spark: SparkSession) -> None:
