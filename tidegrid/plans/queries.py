@@ -1005,9 +1005,40 @@ def q_climatology_model(spark, sf_dir):
     return climatology.baseline(frames_.select("t").distinct(), f107, "t", LATS, LONS)
 
 
-@query("q_harmonic_power", None)
+N_LAT, N_LON, L_MOST = 23, 45, 22
+
+
+def _to_gauss() -> list[tuple[int, int, float]]:
+    """From the 8 by 8 maps to the Gauss-Legendre grid; rows beyond the source get its edge row's mean."""
+    import numpy as np
+
+    lats, _ = grids.gauss_latitudes(N_LAT)
+    w = grids.bilinear_weights(np.array(LATS), np.array(LONS), lats, np.arange(N_LON) * 360.0 / N_LON)
+    return grids.pole_weights(w, (8, 8), (N_LAT, N_LON), south_first=False)
+
+
+def _quadrature() -> list[tuple[int, int, int, float]]:
+    """(l, m, row, weight): Legendre function times quadrature weight, which with the rows' Fourier sums makes coefficients."""
+    import numpy as np
+
+    x, w = np.polynomial.legendre.leggauss(N_LAT)
+    p = harmonics.legendre(L_MOST, x)
+    return [(n, m, i, float(p[n, m, i] * w[i])) for n in range(L_MOST + 1) for m in range(n + 1) for i in range(N_LAT)]
+
+
+@query(
+    "q_harmonic_power",
+    f"""WITH {CELL_SQL}, rw AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b}, {w!r}::DOUBLE)" for a, b, w in _to_gauss())}) AS t(target, cell, w)),
+        q AS (SELECT * FROM (VALUES {", ".join(f"({n}, {m}, {i}, {w!r}::DOUBLE)" for n, m, i, w in _quadrature())}) AS t(l, m, i, p)),
+        g AS (SELECT vec_id, target // {N_LON} AS i, target % {N_LON} AS j, sum(v * w) AS v FROM c JOIN rw USING (cell) GROUP BY 1, 2, 3),
+        f AS (SELECT vec_id, i, m, sum(v * cos(2 * pi() * m * j / {N_LON})) * 2 * pi() / {N_LON} AS re, sum(v * sin(2 * pi() * m * j / {N_LON})) * 2 * pi() / {N_LON} AS im
+            FROM g, range({L_MOST + 1}) AS r(m) GROUP BY 1, 2, 3),
+        a AS (SELECT vec_id, l, m, sum(p * re) AS re, sum(p * im) AS im FROM f JOIN q USING (m, i) GROUP BY 1, 2, 3)
+        SELECT vec_id, l, round(sum(CASE WHEN m = 0 THEN 1 ELSE 2 END * (re * re + im * im)), 6) AS s_l FROM a GROUP BY 1, 2""",
+)
 def q_harmonic_power(spark, sf_dir):
-    return harmonics.grid_power(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8, 3)
+    e = read(spark, sf_dir, "embeddings").select("vec_id", grids.regrid_row(F.col("embedding"), _to_gauss(), N_LAT * N_LON).alias("map"))
+    return harmonics.grid_power(e, "vec_id", "map", N_LAT, N_LON, L_MOST).select("vec_id", "l", r6("s_l").alias("s_l"))
 
 
 # --- smaller pieces --------------------------------------------------------------------------------------------------
