@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import common_from, few_or_shuffled, only_ids, strings, text_blocks, written
+from tidegrid.llm.common import common_from, few_or_shuffled, only_ids, strings, text_blocks, tidied, written
 from tidegrid.llm.components import connected_components
 
 #: Documents that show a gram in their prefix before it counts as common, and the most grams put last as common.
@@ -35,6 +35,8 @@ COMMON_MOST = 500_000
 #: Bytes of text that a task hashes at a time, and grams that it holds while it counts which of them several documents show.
 BLOCK_BYTES = 2_000_000
 HELD_GRAMS = 1_500_000
+#: Parts of the table of all prefix grams, times the session's shuffle partitions.
+PARTS = 3
 #: Hubs of each list in a round. Another round follows while one leaves less than this share of the open rows.
 HUBS = 4
 ROUND_LEAVES = 0.67
@@ -222,7 +224,7 @@ def gram_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: st
             yield shown(held)
 
     schema = "id long, size long, h1 long, h2 long, prefix array<long>, counts array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(tidied(run), schema)
 
 
 def ordered_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str, common: np.ndarray) -> DataFrame:
@@ -252,7 +254,7 @@ def ordered_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text:
             )
 
     schema = "id long, size long, h1 long, h2 long, prefix array<long>, rare int, bits binary"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(tidied(run), schema)
 
 
 def fragments(docs: DataFrame, n: int, text: str, common: np.ndarray) -> DataFrame:
@@ -278,7 +280,7 @@ def fragments(docs: DataFrame, n: int, text: str, common: np.ndarray) -> DataFra
                 names=["h1", "h2", "fragment", "grams"],
             )
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "h1 long, h2 long, fragment int, grams array<long>")
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidied(run), "h1 long, h2 long, fragment int, grams array<long>")
 
 
 def _least_overlap(size_a: Column, size_b: Column, num: int, den: int) -> Column:
@@ -510,7 +512,7 @@ def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataF
         if held is not None and held.num_rows:
             yield from out(held, starts(held))
 
-    return dealt.mapInArrow(run, "a long, b long, differ long").distinct()
+    return dealt.mapInArrow(tidied(run), "a long, b long, differ long").distinct()
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -564,7 +566,9 @@ def ngram_jaccard(
     reps = written(ordered.join(few_or_shuffled(classes), ["id", "h1", "h2"]), "jaccard_reps")
     if reps.count() > classes.count():  # rows that repeat id and text
         reps = written(reps.dropDuplicates(["node"]), "jaccard_reps")
-    lists = reps.select(F.posexplode("prefix").alias("at", "gram"), "node", "size").repartition("gram")
+    # Nearly all grams stand in one list only; many small parts keep the table of them small in each task.
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = reps.select(F.posexplode("prefix").alias("at", "gram"), "node", "size").repartition(parts, "gram")
     several = lists.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
     lists = written(lists.join(several, "gram"), "jaccard_lists")
     verify = partial(_linked, reps=reps, docs=docs, n=n, num=num, den=den, common=common, id_col=id_col, text=text)
