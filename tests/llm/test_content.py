@@ -296,6 +296,35 @@ def test_messages_of_one_turn_link_each_by_itself(spark):
     ]
 
 
+def test_identifiers_used_again_link_to_the_nearest_call_before(spark):
+    call = lambda n: json.dumps({"tool_calls": [{"id": "call_0", "name": "find", "arguments": {"q": n, "n": 1}}]})
+    result = lambda k: json.dumps({"tool_call_id": "call_0", "content": k})
+    rows = [(1, 0, "tool", result("early")), (1, 1, "assistant", call("a")), (1, 2, "tool", result("one")), (1, 3, "assistant", call("b")), (1, 4, "tool", result("two")), (1, 9, "tool", result("late"))]
+    rows += [(None, 1, "assistant", call("n")), (None, 2, "tool", result("n")), (1, None, "assistant", call("t"))]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_tools.format_chat(m, chat_tools.explicit_calls(m), chat_tools.explicit_results(m), {"find": {"q": "string", "n": "integer"}}).collect()
+    assert sorted((r.turn, r.calls, r.valid_calls, r.link_status) for r in out if r.conv_id and r.turn is not None) == [
+        (0, 0, 0, "early"), (1, 1, 1, None), (2, 0, 0, "linked"), (3, 1, 1, None), (4, 0, 0, "linked"), (9, 0, 0, "linked"),
+    ]
+    links = chat_tools.written(chat_tools.order_of(spark.createDataFrame([(1, 0, 7, 1, 8), (1, 2, 9, 1, 8)], "conv_id long, turn long, message long, call_turn long, call_message long")), "t")
+    assert [tuple(r) for r in links.collect()] == [(1, 0, 7, 1, 1, False)]
+    assert len(out) == len(rows) and all(r.link_status is None for r in out if r.conv_id is None)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A thousand early results, each answering the next one: the last turn sets the place of all."""
+    n, rounds = 1000, []
+    monkeypatch.setattr(chat_tools, "written", lambda df, name, w=chat_tools.written: rounds.append(name) or w(df, name))
+    links = spark.createDataFrame([(1, k, 10 * k, k + 1, 10 * (k + 1)) for k in range(n)], "conv_id long, turn long, message long, call_turn long, call_message long")
+    got = {r.turn: (r.order_turn, r.order_step, r.cyclic) for r in chat_tools.order_of(links).collect()}
+    assert got == {k: (n, n - k, False) for k in range(n)}
+    assert rounds.count("chat_chains") <= 15
+    ring = spark.createDataFrame([(1, k, k, (k + 1) % 300, (k + 1) % 300) for k in range(300)] + [(1, 500, 500, 4, 4)], links.schema)
+    got = {r.turn: (r.order_turn, r.order_step, r.cyclic) for r in chat_tools.order_of(ring).collect()}
+    assert got[298] == (None, None, True) and sum(c for _, _, c in got.values()) == 1
+    assert got[297] == (298, 1, False) and got[0] == (298, 298, False) and got[299] == (299, 0, False) if 299 in got else got[0][0] >= 298
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, compare, name):
     ours, theirs = compare(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SF)

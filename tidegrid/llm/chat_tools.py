@@ -111,34 +111,59 @@ def call_json(call_id: Column, name: Column, arguments: Column) -> Column:
 KEY = ["conv_id", "turn", "message"]
 
 
+def _doubled(links: DataFrame, rounds: int) -> DataFrame:
+    """(conv_id, node, best, jump): of each node the greatest (turn, distance) among itself and what it answers, directly or not.
+
+    Every round doubles how far back a node has looked, so a chain of L links
+    takes log L rounds of L rows. ``jump`` is null where the chain's end was
+    reached; after enough rounds only nodes on or behind a circle have one.
+    """
+    own = F.struct(F.col("node.turn").alias("at"), F.lit(0).alias("step")).alias("best")
+    state = links.select("conv_id", "node", own, F.col("parent").alias("jump"))
+    for k in range(rounds):
+        state = written(state, "chat_chains")
+        if state.where("jump is not null").isEmpty():
+            break
+        far = state.select("conv_id", F.col("node").alias("jump"), F.col("best").alias("_best"), F.col("jump").alias("_jump"))
+        joined = state.join(far, ["conv_id", "jump"], "left")
+        # The end of a chain has no row of its own.
+        top = F.coalesce("_best", F.when(F.col("jump").isNotNull(), F.struct(F.col("jump.turn").alias("at"), F.lit(0).alias("step"))))
+        beyond = F.when(top.isNotNull(), F.struct(top["at"].alias("at"), (top["step"] + 2**k).alias("step")))
+        state = joined.select("conv_id", "node", F.greatest("best", beyond).alias("best"), F.col("_jump").alias("jump"))
+    return written(state, "chat_chains")
+
+
 def order_of(links: DataFrame) -> DataFrame:
     """(conv_id, turn, message, order_turn, order_step, cyclic) of the messages that links move or that answer in a circle.
 
     ``links`` has one row for each result's message, with the message of its
-    call (call_turn, call_message). A result stands behind its call: if that
-    comes later, or has itself been moved, the result moves to the call's turn,
-    one step behind it. Moves pass on from message to message, in rounds over
-    the moved ones only; ``step`` counts the links since the turn that sets the
-    place. Where messages answer each other in a circle, the one
-    whose call comes last is marked and keeps its turn, so the rest has an order.
+    call (call_turn, call_message). A result stands behind its call: its place
+    is the latest turn among itself and all that it answers, directly or not,
+    and behind that as many steps as there are links since. Where messages
+    answer each other in a circle, the one whose call comes last is marked and
+    keeps its turn, so the rest has an order.
     """
-    child = links.select("conv_id", F.struct("turn", "message").alias("node"), F.struct("call_turn", "call_message").alias("parent"))
-    start = F.col("parent")["call_turn"]
-    moved = written(
-        child.where(start >= F.col("node")["turn"]).select("conv_id", "node", F.col("node").alias("root"), start.alias("at"), F.lit(1).alias("step")), "chat_moved"
-    )
-    out, front = moved, moved
-    while not front.isEmpty():
-        follow = front.select("conv_id", F.col("node").alias("parent"), "root", "at", "step").join(child, ["conv_id", "parent"])
-        # A message that the move reaches again is on a circle; one that comes later anyway stays.
-        again = F.col("node").eqNullSafe(F.col("root"))
-        follow = follow.where(again | (F.col("node")["turn"] <= F.col("at")))
-        follow = written(follow.select("conv_id", "node", "root", "at", F.when(again, -1).otherwise(F.col("step") + 1).alias("step")), "chat_moved")
-        out, front = out.union(follow), follow.where("step > 0")
-    best = out.groupBy("conv_id", "node").agg(
-        F.max(F.when(F.col("step") > 0, F.struct("at", "step"))).alias("best"), F.max(F.col("step") < 0).alias("cyclic")
-    )
-    return best.select(
+    child = links.select("conv_id", F.struct("turn", "message").alias("node"), F.struct(F.col("call_turn").alias("turn"), F.col("call_message").alias("message")).alias("parent"))
+    child = written(child, "chat_links")
+    cyclic = F.lit(False).alias("cyclic")
+    moved = child.limit(0).select("conv_id", "node", F.struct(F.col("node.turn").alias("at"), F.lit(0).alias("step")).alias("best"), cyclic)
+    # Without an early link every result stands behind what it answers, and no circle closes.
+    if not child.where("parent.turn >= node.turn").isEmpty():
+        most = child.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+        rounds = int(most).bit_length() + 1
+        state = _doubled(child, rounds)
+        stuck = state.where("jump is not null")
+        # Whoever has gone round often enough stands on a circle, and has seen all of it.
+        circle = stuck.select("conv_id", F.col("jump").alias("node")).distinct()
+        last = circle.join(stuck.select("conv_id", "node", "best"), ["conv_id", "node"]).join(child, ["conv_id", "node"])
+        cut = written(last.where(F.col("parent.turn") == F.col("best.at")).select("conv_id", "node"), "chat_cut")
+        moved = moved.union(state.where("jump is null").select("conv_id", "node", "best", cyclic))
+        if not cut.isEmpty():
+            rest = child.join(stuck.select("conv_id", "node"), ["conv_id", "node"], "left_semi").join(cut, ["conv_id", "node"], "left_anti")
+            moved = moved.union(_doubled(rest.select("conv_id", "node", "parent"), rounds).select("conv_id", "node", "best", cyclic))
+            none = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("step"))
+            moved = moved.union(cut.select("conv_id", "node", none, F.lit(True)))
+    return moved.where("cyclic or best.step > 0").select(
         "conv_id",
         F.col("node.turn").alias("turn"),
         F.col("node.message").alias("message"),
@@ -163,22 +188,20 @@ def format_chat(
     other messages have null. Sorting a conversation by ``order_turn``,
     ``order_step``, ``turn`` is a topological order of the links: an early
     result moves behind its call, and what answers a moved message moves with
-    it; everything else keeps its turn. A call identifier that a conversation
-    uses twice belongs to its first turn, on that turn to the least message; on
-    one message its first use by name and arguments is written, and it is valid
-    if all its uses are. Calls and results belong to their own messages, however
+    it; everything else keeps its turn. Where a conversation uses an identifier
+    again, every call stays, and a result answers the nearest one before its
+    turn, or else the first; on one turn the least message's; on one message
+    its first use by name and arguments is written, and it is valid if all its
+    uses there are. Calls and results belong to their own messages, however
     many stand on a turn. Null texts count as
     empty; null ids and turns pass and link with nothing. A conversation is
     never gathered into one row, so a very long one is no hot group. Rows that
     repeat are formatted each. An empty table gives an empty result; other
     columns don't take part.
     """
-    first_turn = F.min("turn").over(Window.partitionBy("conv_id", "call_id"))
+    calls = calls.where("call_id is not null and conv_id is not null and turn is not null")
     checked = (
-        calls.where("call_id is not null")
-        .select("conv_id", "call_id", "turn", "message", "name", "arguments", valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"))
-        .withColumn("call_turn", first_turn)
-        .where(F.col("turn") == F.col("call_turn"))
+        calls.select("conv_id", "call_id", F.col("turn").alias("call_turn"), "message", "name", "arguments", valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"))
         .groupBy("conv_id", "call_id", "call_turn", "message")
         .agg(F.min("valid").alias("valid"), F.min(F.struct("name", "arguments")).alias("use"))
     )
@@ -187,9 +210,17 @@ def format_chat(
         F.count_if("valid").alias("valid_calls"),
         F.array_sort(F.collect_list(F.struct("call_id", call_json(F.col("call_id"), F.col("use.name"), F.col("use.arguments")).alias("json")))).alias("made"),
     )
-    called = checked.groupBy("conv_id", "call_id").agg(F.min("call_turn").alias("call_turn"), F.min("message").alias("call_message"))
-    # A message has one identifier. The calls are the hashed side: an identifier has one row there.
-    answered = results.groupBy(*KEY).agg(F.min("call_id").alias("call_id")).join(called.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    called = checked.groupBy("conv_id", "call_id", F.col("call_turn").alias("turn")).agg(F.struct("call_turn", F.min("message").alias("call_message")).alias("call"))
+    # A message has one identifier.
+    given = results.where("conv_id is not null and turn is not null").groupBy(*KEY).agg(F.min("call_id").alias("call_id"))
+    none = F.lit(None).cast("long")
+    both = called.select("conv_id", "call_id", "turn", "call", none.alias("message"), F.lit(False).alias("is_result")).union(
+        given.select("conv_id", "call_id", "turn", F.lit(None).cast(called.schema["call"].dataType), "message", F.lit(True))
+    )
+    by_id = Window.partitionBy("conv_id", "call_id")
+    earlier = F.last("call", ignorenulls=True).over(by_id.orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    paired = both.withColumn("_to", F.coalesce(earlier, F.min("call").over(by_id))).where("is_result")
+    answered = paired.select(*KEY, "call_id", F.col("_to.call_turn").alias("call_turn"), F.col("_to.call_message").alias("call_message"))
     answered = written(answered, "chat_answered")
     links = answered.where("call_turn is not null")
     key = KEY
