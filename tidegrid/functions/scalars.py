@@ -135,6 +135,11 @@ def subsolar_hour(hour: Column) -> Column:
     return F.pmod(F.pmod(hour, F.lit(24.0)) + 24.0, F.lit(24.0))
 
 
+def wrap_longitude(degrees: Column) -> Column:
+    """The same longitude from 0 to below 360."""
+    return F.pmod(F.pmod(degrees, F.lit(360.0)) + 360.0, F.lit(360.0))
+
+
 def driver_file_name(year: Column) -> Column:
     """Name of a year's five-minute driver file."""
     return F.concat(F.lit("omni_5min"), year.cast("string"), F.lit(".asc"))

@@ -197,12 +197,13 @@ def q_url_templates(spark, sf_dir):
 
 @query(
     "q_url_order",
-    """SELECT day, CASE WHEN day < DATE '2023-08-07' THEN [s, l] ELSE [l, s] END AS names FROM (SELECT d::DATE AS day,
+    """SELECT day, CASE WHEN day < DATE '2023-08-07' THEN [s, l] ELSE [l, s] END AS names FROM (SELECT d AS day,
        'abcg' || strftime(d, '%j') || '0.' || strftime(d, '%y') || 'i.Z' AS s, 'ABC0OPSFIN_' || strftime(d, '%Y%j') || '0000_01D_02H_GIM.INX.gz' AS l
-       FROM generate_series(TIMESTAMP '2023-07-01', TIMESTAMP '2023-09-30', INTERVAL 1 DAY) AS g(d))""",
+       FROM (SELECT DISTINCT (l_shipdate + INTERVAL 9132 DAY)::DATE AS d FROM lineitem))""",
 )
 def q_url_order(spark, sf_dir):
-    return clean.calendar(spark, "2023-07-01", "2023-09-30").select("day", S.map_file_names(F.col("day"), "ABC").alias("names"))
+    days = read(spark, sf_dir, "lineitem").select(F.date_add(F.to_date("l_shipdate"), 9132).alias("day")).distinct()
+    return days.select("day", S.map_file_names(F.col("day"), "ABC").alias("names"))
 
 
 @query(
@@ -236,10 +237,10 @@ def q_stamp_parts(spark, sf_dir):
 @query(
     "q_index_3hourly",
     """SELECT epoch_us(time_bucket(INTERVAL 3 HOUR, ts)) // 1000000 AS t, round_even(max(value) / 50 * 10, 0) / 10 AS kp FROM events
-       WHERE event_type <> 'view' GROUP BY 1""",
+       GROUP BY 1""",
 )
 def q_index_3hourly(spark, sf_dir):
-    e = event_rows(spark, sf_dir).where(F.col("event_type") != "view")
+    e = event_rows(spark, sf_dir)
     per = e.groupBy((F.floor(F.col("t") / 10800) * 10800).alias("t")).agg(F.max("value").alias("v"))
     return per.select("t", S.one_decimal(F.col("v") / 50).alias("kp"))
 
@@ -301,7 +302,10 @@ def q_seasonal_signature(spark, sf_dir):
 
 # --- alignment -------------------------------------------------------------------------------------------------------
 
-CHANNELS = """ch AS (SELECT event_type, t, avg(value) AS v FROM ev WHERE value < 300 GROUP BY 1, 2),
+#: The kinds of events in the given table.
+CHANNEL_NAMES = ("click", "error", "purchase", "signup", "view")
+
+CHANNELS = """ch AS (SELECT event_type, t, avg(value) AS v FROM ev GROUP BY 1, 2),
     fr AS (SELECT DISTINCT t // 3600 * 3600 AS t FROM ev), ft AS (SELECT event_type, fr.t FROM fr, (SELECT DISTINCT event_type FROM ev)),
     u AS (SELECT event_type, t, max(v) AS v, max(f) AS f FROM (SELECT event_type, t, v, 0 AS f FROM ch UNION ALL SELECT event_type, t, NULL, 1 FROM ft) GROUP BY 1, 2),
     n AS (SELECT event_type, t, f, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS pt,
@@ -315,7 +319,7 @@ def channel_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     frames = ev.select((F.floor(F.col("t") / HOUR) * HOUR).alias("t")).distinct()
     types = ev.select("event_type").distinct()
     by_type = types.withColumn("_one", F.lit(1)).join(frames.withColumn("_one", F.lit(1)), "_one").drop("_one")  # a handful of channels
-    return ev.where("value < 300"), by_type
+    return ev, by_type
 
 
 @query(
@@ -332,12 +336,12 @@ def q_align_interp(spark, sf_dir):
 
 @query(
     "q_align_ffill",
-    f"""WITH {EV}, k AS (SELECT t // 10800 * 10800 AS t, max(value) AS v FROM ev WHERE value > 250 GROUP BY 1), fr AS (SELECT DISTINCT t // 3600 * 3600 AS t FROM ev)
+    f"""WITH {EV}, k AS (SELECT t // 10800 * 10800 AS t, max(value) AS v FROM ev GROUP BY 1), fr AS (SELECT DISTINCT t // 3600 * 3600 AS t FROM ev)
         SELECT fr.t, CASE WHEN fr.t - k.t <= 10800 THEN k.v END AS value, coalesce(fr.t - k.t > 0, true) AS imputed FROM fr ASOF LEFT JOIN k ON fr.t >= k.t""",
 )
 def q_align_ffill(spark, sf_dir):
     ev = event_rows(spark, sf_dir)
-    kp = ev.where("value > 250").groupBy((F.floor(F.col("t") / 10800) * 10800).alias("t")).agg(F.max("value").alias("value"))
+    kp = ev.groupBy((F.floor(F.col("t") / 10800) * 10800).alias("t")).agg(F.max("value").alias("value"))
     frames = ev.select((F.floor(F.col("t") / HOUR) * HOUR).alias("t")).distinct()
     return timeline.align_carried(kp, frames, "t", "value", 10800)
 
@@ -379,12 +383,9 @@ def q_model_comparison(spark, sf_dir):
     return wide.select(F.col("event_type").alias("model"), *[r6(f"rmse_{d}").alias(f"rmse_{d}") for d in (2, 9, 16, 23)])
 
 
-WHOLE_CHANNELS = CHANNELS.replace("WHERE value < 300 ", "")
-
-
 @query(
     "q_quality_by_day",
-    f"""WITH {EV}, {WHOLE_CHANNELS}, w AS (SELECT t // 86400 AS day, t, event_type, coalesce(g > 0, true) AS imputed, NOT coalesce(g <= 1800, false) AS lost
+    f"""WITH {EV}, {CHANNELS}, w AS (SELECT t // 86400 AS day, t, event_type, coalesce(g > 0, true) AS imputed, NOT coalesce(g <= 1800, false) AS lost
             FROM (SELECT event_type, t, least(t - pt, nt - t) AS g FROM n WHERE f = 1)),
         l AS (SELECT day, count(*) FILTER (lost) AS frames_lost, count(*) AS frames FROM (SELECT day, t, bool_or(lost) AS lost FROM w GROUP BY 1, 2) GROUP BY 1)
         SELECT day, event_type AS channel, round(avg(imputed::INT), 6) AS imputed_share, round(avg(lost::INT), 6) AS outage_share, any_value(frames) AS frames,
@@ -406,13 +407,14 @@ def q_quality_by_day(spark, sf_dir):
 @query(
     "q_driver_matrix",
     f"""WITH {EV}, h AS (SELECT t // 3600 * 3600 AS t, event_type, avg(value) AS v FROM ev GROUP BY 1, 2)
-        SELECT t, round(max(v) FILTER (event_type = 'click'), 6) AS click, round(max(v) FILTER (event_type = 'view'), 6) AS view,
-        round(max(v) FILTER (event_type = 'purchase'), 6) AS purchase FROM h GROUP BY t""",
+        SELECT t, """
+    + ", ".join(f"round(max(v) FILTER (event_type = '{n}'), 6) AS {n}" for n in CHANNEL_NAMES)
+    + " FROM h GROUP BY t",
 )
 def q_driver_matrix(spark, sf_dir):
     e = event_rows(spark, sf_dir).withColumn("t", F.floor(F.col("t") / HOUR) * HOUR)
-    wide = e.groupBy("t").pivot("event_type", ["click", "view", "purchase"]).agg(F.avg("value"))
-    return wide.select("t", *[r6(c).alias(c) for c in ("click", "view", "purchase")])
+    wide = e.groupBy("t").pivot("event_type", list(CHANNEL_NAMES)).agg(F.avg("value"))
+    return wide.select("t", *[r6(c).alias(c) for c in CHANNEL_NAMES])
 
 
 @query(
@@ -568,12 +570,17 @@ def q_window_arrays(spark, sf_dir):
     return rows("map", F.concat("inputs", "targets")).union(rows("driver", F.col("drivers")))
 
 
-@query("q_horizon_labels", "SELECT k AS step, (k * 7200 // 3600) || 'h' AS label FROM range(1, 13) AS r(k)")
+@query(
+    "q_horizon_labels",
+    """SELECT DISTINCT l_linenumber AS step, (l_linenumber * 2)::VARCHAR || 'h' AS label, array_to_string(list_transform(range(1, l_linenumber + 1), lambda k: '+' || (k * 2)), '/') || 'h' AS leads,
+       't+' || (l_linenumber * 2) || 'h' AS name FROM lineitem""",
+)
 def q_horizon_labels(spark, sf_dir):
-    return spark.range(1, 13).select(F.col("id").alias("step"), S.horizon_label(F.col("id"), CADENCE).alias("label"))
+    steps, step = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("step")).distinct(), F.col("step")
+    return steps.select("step", S.horizon_label(step, CADENCE).alias("label"), S.lead_labels(step, CADENCE).alias("leads"), S.step_label(step, CADENCE).alias("name"))
 
 
-TWO_HOURLY = "h AS (SELECT t // 7200 * 7200 AS t, avg(value) AS value FROM ev WHERE value < 480 GROUP BY 1)"
+TWO_HOURLY = "h AS (SELECT t // 7200 * 7200 AS t, avg(value) AS value FROM ev GROUP BY 1)"
 
 
 @query(
@@ -602,11 +609,13 @@ def q_hourly_fill(spark, sf_dir):
 
 @query(
     "q_day_complete",
-    f"""WITH {EV}, h AS (SELECT t // 3600 * 3600 AS t FROM ev WHERE value > 300 GROUP BY 1) SELECT t // 86400 AS day, count(*) AS hours, count(*) = 24 AS complete FROM h GROUP BY 1""",
+    f"""WITH {EV}, h AS (SELECT t // 3600 * 3600 AS t, max(value) > 300 AS ok FROM ev GROUP BY 1)
+        SELECT t // 86400 AS day, count(*) FILTER (ok) AS hours, count(*) FILTER (ok) = 24 AS complete FROM h GROUP BY 1""",
 )
 def q_day_complete(spark, sf_dir):
-    h = event_rows(spark, sf_dir).where("value > 300").select((F.floor(F.col("t") / HOUR) * HOUR).alias("t")).distinct()
-    return h.groupBy(F.floor(F.col("t") / DAY).alias("day")).agg(F.count("*").alias("hours"), (F.count("*") == 24).alias("complete"))
+    h = event_rows(spark, sf_dir).groupBy((F.floor(F.col("t") / HOUR) * HOUR).alias("t")).agg((F.max("value") > 300).alias("ok"))
+    good = F.count_if("ok")
+    return h.groupBy(F.floor(F.col("t") / DAY).alias("day")).agg(good.alias("hours"), (good == 24).alias("complete"))
 
 
 @query(
@@ -630,7 +639,7 @@ METRICS = """m AS (SELECT model, horizon, sqrt(sum(w * (pred - target) ** 2) / s
 
 
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = event_rows(spark, sf_dir).where("value < 480").withColumn("t", F.floor(F.col("t") / CADENCE) * CADENCE)
+    ev = event_rows(spark, sf_dir).withColumn("t", F.floor(F.col("t") / CADENCE) * CADENCE)
     h = clean.mean_of_repeats(ev, ["t"], ["value"])
     p = evaluate.persistence(h, "t", "value", 3, CADENCE)
     both = p.withColumn("model", F.lit("persistence")).unionByName(p.withColumn("pred", F.lit(0.0)).withColumn("model", F.lit("zero")))
@@ -710,7 +719,7 @@ def q_weighted_loss(spark, sf_dir):
 )
 def q_climatology_addback(spark, sf_dir):
     ev = event_rows(spark, sf_dir).withColumn("t", F.floor(F.col("t") / CADENCE) * CADENCE)
-    f = ev.where("value < 480").groupBy("t").agg(F.avg("value").alias("value"))
+    f = ev.groupBy("t").agg(F.avg("value").alias("value"))
     base = ev.groupBy("t").agg(F.max("value").alias("base"))
     return evaluate.add_baseline(f, base, "t", "value", "base").select("t", r6("absolute").alias("absolute"))
 
@@ -819,12 +828,9 @@ def q_repeat_differences(spark, sf_dir):
     return out.select("dropped", *[r6(c).alias(c) for c in ("max", "mean", "relative")])
 
 
-@query("q_lon_wrap", f"SELECT DISTINCT ((x % 360) + 360) % 360 AS lon FROM (VALUES {', '.join(f'({-180 + 5 * k}.0::DOUBLE)' for k in range(73))}) AS t(x)")
+@query("q_lon_wrap", "SELECT c_custkey, round(((c_acctbal % 360) + 360) % 360, 6) AS lon FROM customer")
 def q_lon_wrap(spark, sf_dir):
-    import numpy as np
-
-    lons, _ = grids.wrap_longitudes(np.array([-180.0 + 5 * k for k in range(73)]))
-    return spark.createDataFrame([(float(x),) for x in lons], "lon double")
+    return read(spark, sf_dir, "customer").select("c_custkey", r6(S.wrap_longitude(F.col("c_acctbal"))).alias("lon"))
 
 
 @query(
@@ -949,7 +955,12 @@ def q_orientation_flip(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", grids.oriented(F.col("embedding"), F.col("label") % 2 == 0).alias("rows"))
 
 
-@query("q_float16_round_trip", None)
+#: A number as the nearest half float, ties to even; subnormal ones in steps of 2 ** -24.
+HALF = """CASE WHEN x = 0 THEN 0.0 WHEN abs(x) < 2.0 ** -14 THEN round_even(x * 2.0 ** 24, 0) / 2.0 ** 24
+    ELSE round_even(x * 2.0 ** (10 - floor(log2(abs(x)))), 0) / 2.0 ** (10 - floor(log2(abs(x)))) END"""
+
+
+@query("q_float16_round_trip", f"SELECT vec_id, list_transform(list_transform(embedding, lambda v: v::DOUBLE), lambda x: ({HALF})::FLOAT) AS values FROM embeddings")
 def q_float16_round_trip(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return grids.from_float16(grids.to_float16(e, "embedding"), "pack").select("vec_id", "values")
@@ -998,11 +1009,19 @@ def q_stream_dedupe(spark, sf_dir):
 # --- Python-backed operators without SQL twins -----------------------------------------------------------------------
 
 
-@query("q_climatology_model", None)
+@query(
+    "q_climatology_model",
+    f"""WITH {EV}, fr AS (SELECT DISTINCT t // 3600 * 3600 AS t FROM ev), fl AS (SELECT t // 86400 AS d, max(value) AS f FROM ev GROUP BY 1),
+        x AS (SELECT fr.t, f, radians(-23.44) * cos(2 * pi() * (dayofyear(to_timestamp(fr.t)) + 10) / 365.25) AS decl, (fr.t % 86400) / 3600.0 AS ut FROM fr JOIN fl ON fl.d = fr.t // 86400),
+        y AS (SELECT t, f, decl, ut, i * 8 + j AS cell, radians([{", ".join(map(str, LATS))}][i + 1]) AS lat, radians([{", ".join(map(str, LONS))}][j + 1]) AS lon FROM x, range(8) AS a(i), range(8) AS b(j)),
+        z AS (SELECT t, f, cell, sin(lat) * sin(decl) + cos(lat) * cos(decl) * cos(radians(15.0 * (ut - 14.0)) + lon) AS c FROM y)
+        SELECT t, cell, round((4.0 + 0.25 * greatest(f, 0) * greatest(c, 0))::FLOAT::DOUBLE, 3) AS value FROM z""",
+)
 def q_climatology_model(spark, sf_dir):
     frames_ = event_rows(spark, sf_dir).select((F.floor(F.col("t") / HOUR) * HOUR).alias("t"), "value")
     f107 = frames_.groupBy(S.epoch_date(F.col("t")).alias("day")).agg(F.max("value").alias("f107"))
-    return climatology.baseline(frames_.select("t").distinct(), f107, "t", LATS, LONS)
+    maps = climatology.baseline(frames_.select("t").distinct(), f107, "t", LATS, LONS)
+    return maps.select("t", F.posexplode("iri").alias("cell", "x")).select("t", F.col("cell").cast("long").alias("cell"), F.round(F.col("x").cast("double"), 3).alias("value"))
 
 
 N_LAT, N_LON, L_MOST = 23, 45, 22
@@ -1067,9 +1086,10 @@ def q_sun(spark, sf_dir):
     return e.select("event_id", r6(S.ecliptic_longitude(F.dayofyear("ts") + F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(DAY * 1_000_000)) / (DAY * 1e6))).alias("ecliptic"), r6(S.subsolar_hour(F.hour("ts") - 13 + F.col("value"))).alias("sub_hour"))
 
 
-@query("q_year_list", "SELECT y AS year FROM (VALUES (2023), (2024), (2025)) AS t(y)")
+@query("q_year_list", "SELECT DISTINCT o_custkey, year(o_orderdate)::INTEGER AS year FROM orders")
 def q_year_list(spark, sf_dir):
-    return spark.range(1).select(F.explode(S.year_list(F.lit("2023, 2024,2025"))).alias("year"))
+    years = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.year("o_orderdate").cast("string"))), ", ").alias("years"))
+    return years.select("o_custkey", F.explode(S.year_list(F.col("years"))).alias("year"))
 
 
 @query(
@@ -1096,13 +1116,18 @@ def q_subsample(spark, sf_dir):
     return evaluate.subsample(read(spark, sf_dir, "events"), "event_id", 4, 7)
 
 
-@query("q_day_packs", None)
+@query(
+    "q_day_packs",
+    f"""WITH {EV}, m AS (SELECT t // 86400 AS day, t % 86400 // 21600 AS hour, [avg(value), min(value), max(value)] AS v FROM ev GROUP BY 1, 2),
+        d AS (SELECT day, flatten(list(v ORDER BY hour)) AS v FROM m GROUP BY day HAVING count(*) = 4)
+        SELECT day, list_transform(list_transform(v, lambda y: y::FLOAT::DOUBLE), lambda x: ({HALF})::FLOAT) AS values FROM d""",
+)
 def q_day_packs(spark, sf_dir):
     ev = event_rows(spark, sf_dir)
     maps = ev.groupBy(F.floor(F.col("t") / DAY).alias("day"), F.floor(F.pmod("t", F.lit(DAY)) / (6 * HOUR)).alias("hour")).agg(
-        F.array(F.avg("value"), F.min("value"), F.max("value")).alias("v")
+        F.array(*[f("value").cast("float") for f in (F.avg, F.min, F.max)]).alias("v")
     )
-    return grids.day_packs(maps, "day", "hour", "v", hours=4)
+    return grids.from_float16(grids.day_packs(maps, "day", "hour", "v", hours=4), "pack").select("day", "values")
 
 
 # --- ranges, gates, weights ------------------------------------------------------------------------------------------
@@ -1146,9 +1171,10 @@ def q_mismatches(spark, sf_dir):
     return evaluate.mismatches(old, new, "k", "v")
 
 
-@query("q_forcing_schedule", "SELECT n_nationkey, round(greatest(0.0, 1 - n_nationkey / 20.0), 6)::DOUBLE AS share FROM nation")
+@query("q_forcing_schedule", "SELECT o_orderkey, round(greatest(0.0, 1 - (year(o_orderdate) - 1995) / 5.0), 6)::DOUBLE AS share FROM orders")
 def q_forcing_schedule(spark, sf_dir):
-    return read(spark, sf_dir, "nation").select("n_nationkey", r6(evaluate.teacher_forcing(F.col("n_nationkey"), 20)).alias("share"))
+    epoch = F.year("o_orderdate") - 1995
+    return read(spark, sf_dir, "orders").select("o_orderkey", r6(evaluate.teacher_forcing(epoch, 5)).alias("share"))
 
 
 #: A target grid with rows beyond the source's latitudes on both sides.
