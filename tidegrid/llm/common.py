@@ -78,18 +78,23 @@ def only_ids(df: DataFrame, ids: DataFrame, col: str | list[str]) -> DataFrame:
     return df.join(few_or_shuffled(ids), col, "left_semi")
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to its machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker, which Spark keeps, gives the memory that it has freed back to its machine."""
+    """``run``, after which the worker, which Spark keeps, gives back what it has freed."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return tidy
 

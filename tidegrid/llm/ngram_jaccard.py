@@ -33,8 +33,8 @@ from tidegrid.llm.components import connected_components
 COMMON_FROM = 24
 COMMON_MOST = 500_000
 #: Bytes of text that a task hashes at a time, and grams that it holds while it counts which of them several documents show.
-BLOCK_BYTES = 2_000_000
-HELD_GRAMS = 1_500_000
+BLOCK_BYTES = 1_000_000
+HELD_GRAMS = 1_000_000
 #: Parts of the table of all prefix grams, times the session's shuffle partitions.
 PARTS = 3
 #: Hubs of each list in a round. Another round follows while one leaves less than this share of the open rows.

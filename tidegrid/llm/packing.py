@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import strings, text_blocks, written
+from tidegrid.llm.common import give_back, strings, text_blocks, tidied, written
 from tidegrid.llm.merge_rounds import MergeTable
 
 #: Binary digits of a quantum's fraction.
@@ -34,10 +34,10 @@ FRACTION = 16
 #: Where there are more sources than this, those without a given weight share so many queues by hash.
 MAX_QUEUES = 512
 #: Parts of documents that are laid out at once; a longer document alone may have one a token.
-MAX_PARTS = 500_000
+MAX_PARTS = 200_000
 #: Parts of words whose ids a worker remembers, and the bytes it tokenises at a time.
 MAX_PARTS_KEPT = 300_000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
 #: Places of so many blocks and queues may be broadcast; more are joined in a shuffle.
 MAX_PLACES = 500_000
 
@@ -191,7 +191,9 @@ class ChunkIds:
 
 @lru_cache(maxsize=2)
 def _chunks(path: str) -> ChunkIds:
-    return ChunkIds(path)
+    made = ChunkIds(path)
+    give_back()  # reading the vocabulary takes many times what is kept of it
+    return made
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: str, source: str) -> DataFrame:
@@ -223,7 +225,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text, source).mapInArrow(
-        run, f"{id_col} {kind}, queue string, block long, before long, tokens long, ids array<int>"
+        tidied(run), f"{id_col} {kind}, queue string, block long, before long, tokens long, ids array<int>"
     )
 
 
@@ -272,7 +274,7 @@ def pieces_of(begin: np.ndarray, size: np.ndarray, queue: np.ndarray, held: np.n
     some = hi > lo
     doc, rounds, dq, lo, hi = doc[some], rounds[some], dq[some], lo[some], hi[some]
     place = np.empty(len(doc), dtype=np.int64)
-    step = max(1, 2_000_000 // len(quanta))
+    step = max(1, 500_000 // len(quanta))
     for k in range(0, len(doc), step):
         part = slice(k, k + step)
         old, new = _given(rounds[part] - 1, quanta, held), _given(rounds[part], quanta, held)
@@ -374,4 +376,4 @@ def pack(
     base = written(base, "packing_places")
     few = base.limit(MAX_PLACES + 1).count() <= MAX_PLACES
     placed = coded.join(F.broadcast(base) if few else base, ["queue", "block"]).select(id_col, "queue", (F.col("base") + F.col("before")).alias("begin"), "tokens", "ids")
-    return placed.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return placed.mapInArrow(tidied(run), schema + (", ids array<int>" if with_ids else ""))
