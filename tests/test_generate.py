@@ -119,6 +119,11 @@ def test_from_frames_to_packs_and_nothing_twice(spark, tmp_path):
     even = np.array([[h - 2 + c + 1 + 100 + c for c in (14, 12, 14, 12, 2, 0)] for h in range(0, 24, 2)], dtype=float)
     assert np.allclose(day[0::2], even, atol=0.13)
     assert np.allclose(day[1:22:2], (even[:-1] + even[1:]) / 2, atol=0.13) and np.allclose(day[23], even[-1], atol=0.13)
+    read = generate.read_packs(spark, path, "2020-01-01", "2020-01-01")
+    assert "PartitionFilters" in read._jdf.queryExecution().executedPlan().toString() and read.count() == 1
+    hours = {r.t: r["values"] for r in generate.hour_maps(read, [0, 23], 6).collect()}
+    assert sorted(hours) == [1577836800, 1577836800 + 23 * 3600] and np.allclose(hours[1577836800], day[0]) and np.allclose(hours[1577836800 + 23 * 3600], day[23])
+    assert generate.read_packs(spark, path, "2019-01-01", "2019-12-31").count() == 0
     before = sorted(p.name for p in tmp_path.rglob("*.parquet"))
     assert generate.generate(spark, *args).count() == 0
     assert sorted(p.name for p in tmp_path.rglob("*.parquet")) == before

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.scalars import epoch_date
 from tidegrid.operators import clean, climatology, evaluate, grids, stats, timeline
 from tidegrid.plans.stages import Settings, path_exists
+from tidegrid.session import settled
 from tidegrid.sources import ionex, text_tables
 
 #: Fluxes above this are spikes; repeats that differ by more than this share of the signal are worth a warning.
@@ -153,7 +154,7 @@ def windows(series: DataFrame, settings: Settings, drivers: list[str], train_end
     """
     cadence, length = settings.cadence_seconds, settings.inputs + settings.targets
     whole = grids.all_finite(F.col(values)) & grids.all_finite(F.array(*[F.col(d).cast("double") for d in drivers]))
-    frames = timeline.decimate(series, "t", cadence).select("t", values, *drivers, whole.alias("_ok")).checkpoint()
+    frames = settled(timeline.decimate(series, "t", cadence).select("t", values, *drivers, whole.alias("_ok")))
     valid = timeline.window_starts(frames.select("t", "_ok"), "t", "_ok", cadence, length).where("valid")
     named = valid.select("t", timeline.split_name(F.col("t"), F.col("last_t"), train_end, val_end, length * cadence).alias("split")).where("split is not null")
     used = stats.input_frames(named.where("split = 'train'").select("t"), "t", settings.inputs, cadence).join(frames, "t")

@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalars import hour_slice
 from tidegrid.operators import evaluate, grids
 from tidegrid.plans.stages import Settings, path_exists
+from tidegrid.session import settled
 
 DAY, HOUR = 86_400, 3_600
 #: (maps [n, steps, cells], drivers [n, steps, channels]) -> the next map, normalised [n, cells].
@@ -128,7 +130,7 @@ def generate(
     A second run over the same frames writes nothing. A day with an hour
     missing gets no pack, and is tried again by the next run.
     """
-    todo = days_to_do(frames, stored_days(spark, path), "t", years).checkpoint()
+    todo = settled(days_to_do(frames, stored_days(spark, path), "t", years))
     hours = F.explode(F.sequence(F.lit(0), F.lit(22), F.lit(2)))
     wanted = todo.select("day", hours.alias("h")).select((F.col("day") + F.col("h") * HOUR).alias("target"))
     maps_ = predicted(histories(frames, wanted, settings, maps, drivers, base), moments, model)
@@ -136,3 +138,19 @@ def generate(
         return todo
     packed(filled_days(maps_, "target", "value"), weights, targets).write.mode("append").partitionBy("year").parquet(path)
     return spark.read.schema("day long, pack binary, year int").parquet(path).select("day").join(todo, "day", "left_semi")
+
+
+def read_packs(spark: SparkSession, path: str, first: str, last: str, source: str | None = None) -> DataFrame:
+    """(day, year, pack) from one day to another, both included; only files of their years (and of one source, where packs are stored by source) are read."""
+    df = spark.read.parquet(path)
+    if source is not None:
+        df = df.where(F.col("source") == source)
+    lo, hi = (F.unix_seconds(F.to_timestamp(F.lit(d))) for d in (first, last))
+    return df.where(F.col("year").between(int(first[:4]), int(last[:4])) & F.col("day").between(lo, hi))
+
+
+def hour_maps(packs: DataFrame, hours: list[int], cells: int) -> DataFrame:
+    """(t, values): the maps of these hours of each day's pack."""
+    flat = grids.from_float16(packs, "pack", "_v")
+    each = flat.select("day", "_v", F.explode(F.array(*[F.lit(h) for h in hours])).alias("_h"))
+    return each.select((F.col("day") + F.col("_h") * HOUR).alias("t"), hour_slice(F.col("_v"), F.col("_h"), cells).alias("values"))

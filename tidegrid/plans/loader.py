@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import settled
+
 ROUNDS = 6
 
 
@@ -21,7 +23,7 @@ def with_positions(df: DataFrame, order: list[str], out: str = "position") -> Da
     The ranges are kept in the checkpoint folder, as their bounds are sampled.
     """
     place = F.spark_partition_id().alias("_range")
-    ranged = df.repartitionByRange(*order).select("*", place).checkpoint()
+    ranged = settled(df.repartitionByRange(*order).select("*", place))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
     starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))

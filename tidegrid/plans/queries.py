@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions import scalars as S
 from tidegrid.operators import clean, climatology, evaluate, grids, harmonics, spectrum, stats, timeline
 from tidegrid.plans import compose
+from tidegrid.session import shared_folder
 from tidegrid.streaming import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1060,6 +1062,15 @@ def q_harmonic_power(spark, sf_dir):
     return harmonics.grid_power(e, "vec_id", "map", N_LAT, N_LON, L_MOST).select("vec_id", "l", r6("s_l").alias("s_l"))
 
 
+@query("q_upsert_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def q_upsert_latest(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    path = f"{shared_folder(spark)}/latest_{uuid.uuid4().hex}"
+    for number, kind in enumerate(CHANNEL_NAMES):  # a batch each
+        frames.upsert(e.where(F.col("event_type") == kind), path, "user_id", "event_id", number, buckets=16)
+    return frames.current(spark, path)
+
+
 # --- smaller pieces --------------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidegrid.session import settled, shared_folder
+
 
 def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
@@ -123,7 +125,7 @@ def upsert(batch: DataFrame, path: str, key: str, rank: str, batch_id: int | Non
         raise ValueError(f"{path} has {now['buckets']} buckets, not {buckets}")
     if batch_id is not None and now.get("batch_id") is not None and batch_id <= now["batch_id"]:
         return
-    fresh = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).checkpoint()
+    fresh = settled(batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
     touched = sorted(r[0] for r in fresh.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
     versions = dict(now.get("versions", {}))
     if touched:
@@ -189,10 +191,7 @@ def run_to_table(stream: DataFrame, mode: str = "complete", at: str | None = Non
     run again leaves one copy of its rows.
     """
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at and not shared:
-        raise ValueError("name a folder, or set spark.checkpoint.dir")
-    path, schema = at or f"{shared.rstrip('/')}/stream_{uuid.uuid4().hex}", stream.schema
+    path, schema = at or f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}", stream.schema
     whole = mode == "complete"
 
     def write(df: DataFrame, batch_id: int) -> None:
