@@ -139,6 +139,9 @@ def test_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mtree, "LEAF", 16)
     monkeypatch.setattr(mtree, "PER_ROUTE", 100)
     monkeypatch.setattr(mtree, "QUERIES", 20)
+    monkeypatch.setattr(mtree, "ROOTS", 3)
+    monkeypatch.setattr(mtree, "CELLS", 50)
+    monkeypatch.setattr(mtree, "SEGMENT", 60)
     rows = vectors(1)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS route", "2 AS page").repartition(3)
     got = sorted(tuple(r) for r in mtree.top_k(df, 5, 10).select("query_id", "rank", "vec_id", "score").collect())

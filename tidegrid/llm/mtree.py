@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import written
+from tidegrid.llm.common import few_or_shuffled, written
 
-#: Vectors of a segment, entries of a leaf page, pages under an inner page, queries of a block.
-SEGMENT, LEAF, FANOUT, QUERIES = 4096, 256, 16, 1024
+#: Vectors of a segment, entries of a leaf page, pages under an inner page, queries that a segment's task takes at a time.
+SEGMENT, LEAF, FANOUT, QUERIES = 4096, 256, 16, 8192
+#: Root pages that are sent to every task at a time; more go in several rounds. Distances that a task holds at a time.
+ROOTS, CELLS = 16_384, 2_000_000
 #: Vectors for each routing object and the most of them; they come from a bounded sample by hash.
 PER_ROUTE, MOST_ROUTES = 2048, 1024
 #: Added to every bound: distances are doubles, scores are exact integers.
@@ -149,6 +151,53 @@ class Tree:
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
 
+def _sent(asked: DataFrame, pages: DataFrame, most: float) -> DataFrame:
+    """(dim, route, sub, id, v, bound): each query with every segment that its bound doesn't rule out.
+
+    A segment is ruled out by its root page alone: the query is farther from
+    the root's object than the covering radius and the distance of the k-th
+    best known score together. Roots are read in rounds of a bounded number.
+    """
+    spark = asked.sparkSession
+    roots = pages.where("page = 0").select("dim", "route", "sub", "radius", "object")
+    rounds = max(1, -(-roots.count() // ROOTS))
+    out = None
+    for n in range(rounds):
+        held = roots.where(F.pmod(F.xxhash64("dim", "route", "sub"), F.lit(rounds)) == n).toArrow()
+        by_dim = {}
+        for dim in set(held["dim"].to_pylist()):
+            part = held.filter(pa.compute.equal(held["dim"], dim))
+            by_dim[dim] = (part["route"].to_numpy(), part["sub"].to_numpy(), part["radius"].to_numpy(), _matrix(part["object"], dim + 1))
+        shared = spark.sparkContext.broadcast(by_dim)
+
+        def reach(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = batch.column(2).to_numpy()
+                for dim in np.unique(sizes).tolist():
+                    if dim not in shared.value:
+                        continue
+                    route, sub, radius, objects = shared.value[dim]
+                    mine, norms = np.flatnonzero(sizes == dim), (objects * objects).sum(axis=1)
+                    step = max(1, CELLS // len(route))
+                    for lo in range(0, len(mine), step):
+                        part = batch.take(pa.array(mine[lo : lo + step]))
+                        v, bound = _matrix(part.column(1), dim), part.column(3).to_numpy()
+                        own = (v * v).sum(axis=1)
+                        square = own[:, None] + norms[None, :] - 2 * (v @ objects[:, :dim].T)
+                        # What rounding may have added is taken off, so no segment is lost by it.
+                        low = np.sqrt(np.maximum(square - 1e-9 * (own[:, None] + norms[None, :] + 1), 0.0)) - radius[None, :]
+                        limit = np.sqrt(np.maximum(own + most - 2 * np.maximum(bound, -1e300), 0.0)) + SLACK
+                        limit[bound == -np.inf] = np.inf
+                        q, s = np.nonzero(low <= limit[:, None])
+                        at = pa.array(q)
+                        columns = [pa.array(np.full(len(q), dim, np.int32)), pa.array(route[s], pa.int32()), pa.array(sub[s], pa.int32())]
+                        yield pa.record_batch([*columns, part.column(0).take(at), part.column(1).take(at), part.column(3).take(at)], names=["dim", "route", "sub", "id", "v", "bound"])
+
+        some = asked.select("id", "v", "dim", "bound").mapInArrow(reach, "dim int, route int, sub int, id long, v array<double>, bound double")
+        out = some if out is None else out.union(some)
+    return out
+
+
 def top_k(
     vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
@@ -186,12 +235,17 @@ def top_k(
     def known_score(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         # The k-th best score among routing objects: they are candidates, so the answer is no worse.
         for ids, column in columns:
-            out = []
-            for i, v in zip(ids.to_pylist(), column.to_pylist(), strict=True):
-                known, x = shared.value.get(len(v), (np.zeros(0), np.zeros((0, len(v)))))
-                score = np.sort((x @ np.array(v))[known != i])
-                out.append(float(score[-k]) if len(score) >= k else float("-inf"))
-            yield pa.array(out, pa.float64())
+            own, sizes = ids.to_numpy(), pa.compute.list_value_length(column).to_numpy()
+            out = np.full(len(own), -np.inf)
+            for dim in np.unique(sizes).tolist():
+                known, x = shared.value.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
+                mine = np.flatnonzero(sizes == dim)
+                for lo in range(0, len(mine) if len(known) >= k else 0, max(1, CELLS // max(1, len(known)))):
+                    at = mine[lo : lo + max(1, CELLS // len(known))]
+                    score = _matrix(column.take(pa.array(at)), dim) @ x.T
+                    score[known[None, :] == own[at][:, None]] = -np.inf
+                    out[at] = np.partition(score, len(known) - k, axis=1)[:, len(known) - k]
+            yield pa.array(out)
 
     routed = written(points.withColumn("route", route("v")), "mtree_routed")
     sizes = routed.groupBy("dim", "route").agg(F.count("*").alias("n"))
@@ -218,15 +272,13 @@ def top_k(
         " ids array<long>, entries array<double>, dist array<double>"
     )
     pages = written(placed.select("dim", "route", "sub", "id", "v").groupBy("dim", "route", "sub").applyInArrow(pages_of, page_schema), "mtree_pages")
-    asked = points.where(F.pmod("id", F.lit(every)) == 0)
-    blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("bound", known_score("id", "v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    segments = pages.select("dim", "route", "sub").distinct()
-    jobs = segments.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    jobs = written(jobs, "mtree_jobs")
-    left = pages.join(jobs, ["dim", "route", "sub"])
-    right = asked.join(jobs.toDF("dim", "route_", "sub_", "block"), ["dim", "block"])
-    right = right.select("dim", F.col("route_").alias("route"), F.col("sub_").alias("sub"), "block", "id", "v", "bound")
+    asked = points.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", "dim", known_score("id", "v").alias("bound"))
+    sent = written(_sent(written(asked, "mtree_asked"), pages, most), "mtree_sent")
+    # A segment's pages move once for each block of the queries that reach it, which are no less than its pages.
+    reached = sent.groupBy("dim", "route", "sub").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    reached = few_or_shuffled(written(reached, "mtree_reached"))
+    left = pages.join(reached, ["dim", "route", "sub"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = sent.join(reached, ["dim", "route", "sub"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
 
     def search(trees: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
