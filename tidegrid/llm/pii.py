@@ -42,32 +42,32 @@ def _with(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _running(widths: Column) -> Column:
-    """Where each of the widths begins when they are laid end to end: sums over blocks, then within each block."""
+def _before_each(values: Column, zero: int, merge) -> Column:
+    """For each of the numbers what ``merge`` makes of all before it, beginning with ``zero``: over blocks, then within each block."""
 
-    def blocks_of(values: Column, body) -> Column:
+    def blocks_of(of: Column, body) -> Column:
         # A sequence would run backwards where there is no value.
-        last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
-        ids = F.when(F.size(values) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(ids, lambda k: body(F.slice(values, k * BLOCK + 1, F.lit(BLOCK)), k))
+        last = F.floor((F.size(of) - 1) / BLOCK).cast("int")
+        ids = F.when(F.size(of) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(ids, lambda k: body(F.slice(of, k * BLOCK + 1, F.lit(BLOCK)), k))
 
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    def total(of: Column) -> Column:
+        return F.aggregate(of, F.lit(zero).cast("long"), merge)
 
-    def before(values: Column) -> Column:
-        return F.transform(values, lambda _, k: total(F.slice(values, F.lit(1), k)))
+    def before(of: Column) -> Column:
+        return F.transform(of, lambda _, k: total(F.slice(of, F.lit(1), k)))
 
-    def laid(values: Column, starts) -> Column:
-        """Running sums of ``values`` whose blocks begin at ``starts``."""
+    def laid(of: Column, starts) -> Column:
+        """The same for values whose blocks begin at ``starts``."""
         return F.flatten(
-            blocks_of(values, lambda block, k: _with(block, lambda b: _with(F.element_at(starts, k + 1), lambda at: F.transform(before(b), lambda x: at + x))))
+            blocks_of(of, lambda block, k: _with(block, lambda b: _with(F.element_at(starts, k + 1), lambda at: F.transform(before(b), lambda x: merge(at, x)))))
         )
 
-    # Blocks of blocks: no sum goes over more than a block, but for the few of the topmost ones.
+    # Blocks of blocks: nothing goes over more than a block, but for the few of the topmost ones.
     def starts_of(sums: Column) -> Column:
         return _with(blocks_of(sums, lambda b, _: total(b)), lambda tops: _with(before(tops), lambda at: laid(sums, at)))
 
-    return _with(widths, lambda w: _with(blocks_of(w, lambda b, _: total(b)), lambda sums: _with(starts_of(sums), lambda at: laid(w, at))))
+    return _with(values, lambda v: _with(blocks_of(v, lambda b, _: total(b)), lambda sums: _with(starts_of(sums), lambda at: laid(v, at))))
 
 
 def located(text: Column, pattern: str, worth: Column) -> Column:
@@ -84,7 +84,7 @@ def located(text: Column, pattern: str, worth: Column) -> Column:
     )
 
     def placed(hits: Column) -> Column:
-        starts = _running(F.transform(hits, lambda x: (x["gap"] + x["long"]).cast("long")))
+        starts = _before_each(F.transform(hits, lambda x: (x["gap"] + x["long"]).cast("long")), 0, lambda a, b: a + b)
         return F.zip_with(
             hits,
             starts,
@@ -165,7 +165,25 @@ def candidates(text: Column, base: Column) -> Column:
     """(start, end, votes, features) of candidates that touch no base span; both codes are digit strings, x for no opinion."""
     body = F.coalesce(text, F.lit(""))
     hits = located(body, CANDIDATE, body.rlike("[0-9]|[A-Za-z]{14}"))  # no candidate is without one of them
-    hits = F.filter(hits, lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+
+    def apart(found: Column, taken: Column) -> Column:
+        """The hits that no base span touches: of the spans that begin before a hit ends, none ends behind its start.
+
+        Spans by their start and hits by their end are laid in one order, at
+        one place the hit first, so each hit sees the farthest end so far.
+        """
+        none = F.lit(-1).cast("long")
+        spans = F.transform(taken, lambda y: F.struct(y["start"].cast("long").alias("key"), F.lit(1).alias("span"), y["end"].cast("long").alias("far"), F.lit(-1).alias("hit")))
+        ours = F.transform(found, lambda x, k: F.struct(x["end"].cast("long").alias("key"), F.lit(0).alias("span"), none.alias("far"), k.alias("hit")))
+        order = F.array_sort(F.concat(spans, ours))
+
+        def free(laid: Column) -> Column:
+            seen = F.zip_with(laid, _before_each(F.transform(laid, lambda m: m["far"]), -1, lambda a, b: F.greatest(a, b)), lambda m, far: F.struct(m["hit"].alias("hit"), far.alias("far")))
+            return F.transform(F.filter(seen, lambda m: (m["hit"] >= 0) & (m["far"] <= F.get(found, m["hit"])["start"])), lambda m: F.get(found, m["hit"]))
+
+        return F.when((F.size(taken) == 0) | (F.size(found) == 0), found).otherwise(_with(order, free))
+
+    hits = _with(hits, lambda found: _with(base, lambda taken: apart(found, taken)))
 
     def described(x: Column) -> Column:
         votes = [F.coalesce(f(x["value"], x["before"]).cast("string"), F.lit("x")) for f in LABELERS.values()]
