@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,20 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.session import shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) one is made and set.
-    """
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="tidegrid_")
-        spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share, from ``spark.checkpoint.dir``; only a session in one process may go without."""
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
