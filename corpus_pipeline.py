@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import ngram_jaccard, packing, pii, toxicity
-from tidegrid.llm.common import bounded_batches, table, tokenizer_path, written
+from tidegrid.llm.common import table, tokenizer_path, written
+from tidegrid.session import bounded_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

@@ -1,6 +1,9 @@
 import math
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +127,34 @@ def test_harmonic_power_finds_its_degree():
         assert s[degree] > 0.1 and abs(s.sum() - s[degree]) < 1e-12
 
 
+def test_harmonic_power_works_in_blocks_of_a_batch():
+    class Frame:
+        schema = {"k": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "int"))}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    n_lat, n_lon, lmax, n = 23, 45, 22, 3000
+    maps = np.random.default_rng(1).normal(size=(n, n_lat * n_lon))
+    rows = pa.array([None, [1.0], [*[0.0] * (n_lat * n_lon - 1), None]], pa.list_(pa.float64()))
+    column = pa.concat_arrays([rows, pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_lat * n_lon), pa.array(maps.ravel())), rows])
+    batch = pa.record_batch([pa.array(range(-3, n + 3), pa.int32()), column], names=["k", "v"])
+    run = harmonics.grid_power(Frame(), "k", "v", n_lat, n_lon, lmax)
+    tracemalloc.start()
+    power, keys = np.zeros(n * (lmax + 1)), []
+    for out in run(iter([batch])):
+        power[len(keys) : len(keys) + out.num_rows] = out.column(2)
+        keys += out.column(0).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys == [k for k in range(n) for _ in range(lmax + 1)]
+    assert np.allclose(power.reshape(n, -1), harmonics.power(maps.reshape(n, n_lat, n_lon), lmax))
+    assert most < 40e6  # the rows as Python's numbers take over 100 MB
+
+
 def test_float16_round_trip(spark):
     df = spark.createDataFrame([(1, [1.5, -2.25, 30.0]), (2, None)], "k int, v array<float>")
     out = grids.from_float16(grids.to_float16(df, "v"), "pack").orderBy("k").collect()

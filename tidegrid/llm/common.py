@@ -34,18 +34,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of one Arrow batch between Spark and its Python workers. By rows alone a batch of long texts has no bound.
-BATCH_BYTES = 4_000_000
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let the session hand texts to Python workers in batches of bounded bytes; a smaller bound in plain bytes stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key) or "")
-    if not now or int(now[1]) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def common_from(counted: DataFrame, most: int, n: str = "n") -> int:
     """The least count that at most ``most`` rows reach, from a few hundred classes of counts."""
     size = F.when(F.col(n) < 64, F.col(n).cast("double")).otherwise(F.pow(2.0, F.floor(F.log2(n) * 8) / 8))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import chat_tools, conversation_repair, filter_audit, language_id, mtree, ngram_jaccard, packing, pii, pivot_index, sentence_pieces, sharding, token_counts, toxicity
-from tidegrid.llm.common import bounded_batches, table, tokenizer_path
+from tidegrid.llm.common import table, tokenizer_path
 from tidegrid.llm.repair_sql import repair_sql
+from tidegrid.session import bounded_batches
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -38,17 +39,31 @@ def power(maps: np.ndarray, lmax: int) -> np.ndarray:
     return out
 
 
+#: Maps that a worker analyses at a time, whatever the size of the batches that it is handed.
+BLOCK = 256
+
+
+def _whole(part: pa.RecordBatch, cells: int) -> tuple[pa.Array, np.ndarray]:
+    """Keys and maps (n, cells) of the rows whose map has that size and no missing cell."""
+    sized = part.filter(pc.fill_null(pc.equal(pc.list_value_length(part.column(1)), cells), False))
+    flat = sized.column(1).flatten()
+    full = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, cells).any(axis=1)
+    maps = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, cells)
+    return sized.column(0).filter(pa.array(full)), maps[full]
+
+
 def grid_power(df: DataFrame, key: str, values: str, n_lat: int, n_lon: int, lmax: int) -> DataFrame:
     """(key, l, s_l) of flat maps, in Arrow batches; maps with a missing cell or another size have no power."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, v) for k, v in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) if v and len(v) == n_lat * n_lon and None not in v]
-            if rows:
-                s = power(np.array([v for _, v in rows], dtype=np.float64).reshape(-1, n_lat, n_lon), lmax)
-                keys = pa.array([k.as_py() for k, _ in rows for _ in range(lmax + 1)], batch.column(0).type)
-                degrees = pa.array(np.tile(np.arange(lmax + 1, dtype=np.int32), len(rows)))
-                yield pa.record_batch([keys, degrees, pa.array(s.ravel())], names=[key, "l", "s_l"])
+            for lo in range(0, batch.num_rows, BLOCK):
+                keys, maps = _whole(batch.slice(lo, BLOCK), n_lat * n_lon)
+                if len(keys):
+                    s = power(maps.reshape(-1, n_lat, n_lon), lmax)
+                    rows = pa.array(np.repeat(np.arange(len(keys)), lmax + 1))
+                    degrees = pa.array(np.tile(np.arange(lmax + 1, dtype=np.int32), len(keys)))
+                    yield pa.record_batch([keys.take(rows), degrees, pa.array(s.ravel())], names=[key, "l", "s_l"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, values).mapInArrow(run, f"{key} {kind}, l int, s_l double")
