@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,18 @@ def test_copies_of_a_toxic_document_have_one_vote(edits):
     assert sum(s for s, y in got if y) >= 55 and sum(s for s, y in got if not y) <= 5
 
 
+def test_toxicity_counts_stems_a_group_at_a_time():
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnop", k=8)) for _ in range(3000)]
+    texts = [(" ".join(r.sample(words, 400)) + (" vileword" if k % 2 else ""), k) for k in range(400)]
+    tracemalloc.start()
+    stems = toxicity.telling_stems(texts[1::2], texts[::2])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert stems[0] == "vileword"
+    assert most < 20e6  # the stems of all 200 groups of a side at once take over 40 MB
+
+
 def test_windows_hold_every_byte():
     raw = toxicity.normalised("ab " * 500 + "x" * 1000)
     assert b"".join(toxicity.windows(raw)) == raw and max(map(len, toxicity.windows(raw))) <= 2 * toxicity.WINDOW

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import give_back
 from tidegrid.llm.ngram_jaccard import GramHasher
 
 #: Labelled documents to learn from, at most so many of each class, and the longest text among them in bytes.
@@ -107,29 +108,42 @@ def text_groups(texts: list[str]) -> list[int]:
     Near-equal: at least half of the least hashes of its three-word shingles
     are a group's, shingles that COMMON_GROUPS groups show left aside.
     """
-    hasher, first, owners, out = GramHasher(3), {}, {}, []
-    for k, t in enumerate(texts):
-        key = normalised(t)
+    hasher, keys = GramHasher(3), [normalised(t) for t in texts]
+    held = {}
+    for key, t in zip(keys, texts, strict=True):
+        if key not in held:
+            held[key] = np.array(hasher.grams(t)[:SKETCH], dtype=np.int64)
+    # A shingle that one text alone shows leads to no other text, so only the others' owners are kept.
+    _, which, shown = np.unique(np.concatenate([np.zeros(0, np.int64), *held.values()]), return_inverse=True, return_counts=True)
+    cuts = np.cumsum([len(h) for h in held.values()])[:-1]
+    several = dict(zip(held, np.split(shown[which] > 1, cuts) if held else [], strict=True))
+    first, owners, out = {}, {}, []
+    for k, key in enumerate(keys):
         if key not in first:
-            sketch = [h for h in hasher.grams(t)[:SKETCH].tolist() if len(owners.get(h, ())) < COMMON_GROUPS]
+            sketch = [h for h in held[key][several[key]].tolist() if len(owners.get(h, ())) < COMMON_GROUPS]
+            size = int((~several[key]).sum()) + len(sketch)
             shared = Counter(g for h in sketch for g in owners.get(h, ()))
             best = max(shared.items(), key=lambda x: (x[1], -x[0]), default=(k, 0))
-            first[key] = best[0] if 0 < len(sketch) <= 2 * best[1] else k
+            first[key] = best[0] if 0 < size <= 2 * best[1] else k
             for h in sketch:
                 owners.setdefault(h, set()).add(first[key])
         out.append(first[key])
     return out
 
 
-def _votes(texts: list[tuple[str, int]]) -> tuple[Counter, int]:
-    """Stems with the number of groups that show them, and the number of groups; ``texts`` are (text, group)."""
-    shown: dict[int, set[str]] = {}
+def _votes(texts: list[tuple[str, int]], only: set[str] | None = None) -> tuple[Counter, int]:
+    """Stems (of ``only``, if given) with the number of groups that show them, and the number of groups; ``texts`` are (text, group).
+
+    One group's stems are held at a time.
+    """
+    members: dict[int, list[str]] = {}
     for t, g in texts:
-        shown.setdefault(g, set()).update(_stems(t))
+        members.setdefault(g, []).append(t)
     counts: Counter = Counter()
-    for stems in shown.values():
-        counts.update(stems)
-    return counts, max(1, len(shown))
+    for group in members.values():
+        stems = {w for t in group for w in _stems(t)}
+        counts.update(stems if only is None else stems & only)
+    return counts, max(1, len(members))
 
 
 def telling_stems(toxic: list[tuple[str, int]], ordinary: list[tuple[str, int]]) -> list[str]:
@@ -137,14 +151,15 @@ def telling_stems(toxic: list[tuple[str, int]], ordinary: list[tuple[str, int]])
 
     Both lists hold (text, group); copies of one text, being one group, have one vote.
     """
-    (in_toxic, n), (in_ordinary, m) = _votes(toxic), _votes(ordinary)
+    in_toxic, n = _votes(toxic)
+    often = {w: c for w, c in in_toxic.items() if c >= 5}
+    in_ordinary, m = _votes(ordinary, set(often))
     telling = []
-    for w, c in in_toxic.items():
-        if c >= 5:
-            p = (c + in_ordinary[w]) / (n + m)
-            z = (c / n - in_ordinary[w] / m) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n + 1 / m))
-            if z >= STEM_Z:
-                telling.append((-round(z, 1), -len(w), w))
+    for w, c in often.items():
+        p = (c + in_ordinary[w]) / (n + m)
+        z = (c / n - in_ordinary[w] / m) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n + 1 / m))
+        if z >= STEM_Z:
+            telling.append((-round(z, 1), -len(w), w))
     kept: list[str] = []
     for _, _, w in sorted(telling):
         if not any(w.startswith(v) or v.startswith(w) for v in kept):
@@ -263,7 +278,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         .select(text, "_y")
         .collect()
     )
-    return learn([(r[0], r[1]) for r in rows], total[1] / total[0])
+    try:
+        return learn([(r[0], r[1]) for r in rows], total[1] / total[0])
+    finally:
+        del rows
+        _compressors.cache_clear()
+        give_back()  # the driver goes on for long without what the training took
 
 
 def with_scores(docs: DataFrame, model: ToxicityModel | None, text: str = "text", out: str = "score") -> DataFrame:
