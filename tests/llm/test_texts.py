@@ -243,3 +243,26 @@ def test_empty_tables(spark):
     assert token_counts.token_counts(empty, BYTES).count() == 0
     assert packing.pack(empty, WORDS).count() == 0
     assert sharding.shard(empty, 4).count() == 0
+
+
+def test_merge_rounds_look_up_only_pairs_that_they_make():
+    from tidegrid.llm.merge_rounds import MergeTable
+
+    asked = []
+
+    class Counting(MergeTable):
+        def joined(self, left, right):
+            asked.append(len(left))
+            return super().joined(left, right)
+
+    # Pairs 0 0, 1 1, ... make ever longer runs; 20 and 21 never merge.
+    table = Counting(64, [(k, k, k, k + 1) for k in range(10)] + [(20, 0, 30, 22), (3, 2, 31, 23)])
+    rng = np.random.default_rng(3)
+    words = [rng.choice([0, 0, 0, 0, 0, 0, 0, 20, 21], size=n) for n in rng.integers(1, 300, size=200)]
+    lengths = np.array([len(w) for w in words])
+    flat, counts = table.merge(np.concatenate(words), lengths)
+    assert sum(asked) < 3 * lengths.sum()  # all pairs in each round are over five times as many
+    asked.clear()
+    ends = np.cumsum(counts)
+    for w, a, b in zip(words, ends - counts, ends, strict=True):
+        assert flat[a:b].tolist() == table.merge_one(w)

@@ -86,12 +86,13 @@ class MergeTable:
             finish(np.flatnonzero(lengths > LONG))
             short = np.repeat(lengths <= LONG, lengths)
             sym, word = sym[short], word[short]
+        # The merge of each symbol with the next one of its word. A round looks up only the pairs that it has made.
+        made = np.full(len(sym), -1, dtype=np.int32)
+        if len(sym) > 1:
+            made[:-1] = np.where(word[:-1] == word[1:], self.joined(sym[:-1], sym[1:]), -1)
+        rank_at = np.where(made >= 0, self.rank[made], NO_RANK)
         while len(sym):
-            same = word[:-1] == word[1:]
-            made = np.where(same, self.joined(sym[:-1], sym[1:]), -1) if len(sym) > 1 else np.zeros(0, dtype=np.int64)
-            rank = np.where(made >= 0, self.rank[made], NO_RANK)
-            starts = np.flatnonzero(np.r_[True, ~same]) if len(sym) > 1 else np.zeros(1, dtype=np.int64)
-            rank_at = np.r_[rank, NO_RANK]
+            starts = np.flatnonzero(np.r_[True, word[:-1] != word[1:]])
             best = np.minimum.reduceat(rank_at, starts)
             counts = np.diff(np.r_[starts, len(sym)])
             best_at = np.repeat(best, counts)
@@ -103,30 +104,33 @@ class MergeTable:
                     break
                 keep = np.flatnonzero(live)
                 # Words leave whole, so pairs inside the rest stay neighbours.
-                sym, word, rank_at, best_at = sym[keep], word[keep], rank_at[keep], best_at[keep]
-                made = np.r_[made, -1][keep]
-            else:
-                made = np.r_[made, -1]
+                sym, word, rank_at, best_at, made = sym[keep], word[keep], rank_at[keep], best_at[keep], made[keep]
             hit = rank_at == best_at
-            # In a run of touching hits every second one merges, counted from the left.
-            index = np.arange(len(hit))
-            run_start = hit & ~np.r_[False, hit[:-1]]
-            run_base = np.maximum.accumulate(np.where(run_start, index, 0))
-            hit &= (index - run_base) % 2 == 0
-            gone = np.r_[False, hit[:-1]]
-            new = np.where(hit, self.piece[made], sym)
-            kept = ~gone
-            new, new_word, new_hit, old_best = new[kept], word[kept], hit[kept], best_at[kept]
+            if (hit[:-1] & hit[1:]).any():
+                # In a run of touching hits every second one merges, counted from the left.
+                index = np.arange(len(hit))
+                run_start = hit & ~np.r_[False, hit[:-1]]
+                run_base = np.maximum.accumulate(np.where(run_start, index, 0))
+                hit &= (index - run_base) % 2 == 0
+            merged = np.flatnonzero(hit)
+            kept = np.ones(len(hit), dtype=bool)
+            kept[merged + 1] = False
+            new = sym.copy()  # words that are finished below start from what stands here now
+            new[merged] = self.piece[made[merged]]
+            # What stands behind a merged pair stands behind its piece now.
+            made[merged], rank_at[merged] = made[merged + 1], rank_at[merged + 1]
+            new, new_word, new_hit, old_best, made, rank_at = new[kept], word[kept], hit[kept], best_at[kept], made[kept], rank_at[kept]
             pair = (new_word[:-1] == new_word[1:]) & (new_hit[:-1] | new_hit[1:])
             at = np.flatnonzero(pair)
             if len(at):
-                fresh = self.joined(new[at], new[at + 1])
+                fresh = made[at] = self.joined(new[at], new[at + 1])
+                rank_at[at] = np.where(fresh >= 0, self.rank[fresh], NO_RANK)
                 bad = at[(fresh >= 0) & (self.rank[fresh] <= old_best[at])]
                 if len(bad):
                     slow = np.unique(new_word[bad])
                     finish(slow)
                     keep = ~np.isin(new_word, slow)
-                    new, new_word = new[keep], new_word[keep]
+                    new, new_word, made, rank_at = new[keep], new_word[keep], made[keep], rank_at[keep]
             sym, word = new, new_word
         if not done_sym:
             return np.zeros(0, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
