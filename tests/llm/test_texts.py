@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidegrid.llm import packing, sentence_pieces, sharding, token_counts
@@ -266,3 +267,11 @@ def test_merge_rounds_look_up_only_pairs_that_they_make():
     ends = np.cumsum(counts)
     for w, a, b in zip(words, ends - counts, ends, strict=True):
         assert flat[a:b].tolist() == table.merge_one(w)
+
+
+def test_packing_of_plain_text_leaves_the_library_unloaded():
+    packing._tokenizer.cache_clear()
+    coder = packing.ChunkIds(WORDS)
+    flat, ends = coder.encode(pa.array(["Plain words, 12 of them.", None]), 1)
+    assert packing._tokenizer.cache_info().currsize == 0
+    assert flat[: ends[1]].tolist() == [*packing._tokenizer(WORDS).encode("Plain words, 12 of them.", add_special_tokens=False).ids, 1]

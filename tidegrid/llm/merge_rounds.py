@@ -41,9 +41,9 @@ class MergeTable:
 
     def __init__(self, size: int, merges: list[tuple[int, int, int, int]]):
         self.size = size
+        self.left, self.right = (np.array([m[k] for m in merges], dtype=np.int32) for k in (0, 1))
         self.rank = np.array([m[2] for m in merges], dtype=np.int32)
         self.piece = np.array([m[3] for m in merges], dtype=np.int64)
-        self.merges = merges
         self.pair_key, self.pair_merge, self.probes = _hash_table([m[0] * size + m[1] for m in merges], list(range(len(merges))))
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -141,7 +141,8 @@ class MergeTable:
     @cached_property
     def by_pair(self) -> dict[tuple[int, int], tuple[int, int]]:
         """Rank and piece by pair, for words that are merged one step at a time."""
-        return {(a, b): (rank, piece) for a, b, rank, piece in self.merges}
+        pairs, made = zip(self.left.tolist(), self.right.tolist(), strict=True), zip(self.rank.tolist(), self.piece.tolist(), strict=True)
+        return dict(zip(pairs, made, strict=True))
 
     def merge_one(self, sym: np.ndarray) -> list[int]:
         """One word's merges, one at a time: best rank first, then from the left. Its cost grows with n log n."""

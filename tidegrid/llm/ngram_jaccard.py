@@ -572,7 +572,8 @@ def ngram_jaccard(
     several = lists.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
     lists = written(lists.join(several, "gram"), "jaccard_lists")
     verify = partial(_linked, reps=reps, docs=docs, n=n, num=num, den=den, common=common, id_col=id_col, text=text)
-    comps = docs.sparkSession.createDataFrame([], "node long, component long")
+    # No node is linked yet. A range, as an empty list would start Python workers of another kind, which Spark keeps beside the others.
+    comps = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     many = None
     for k in range(MOST_ROUNDS):
         lists = written(_open_lists(lists, comps), "jaccard_open")

@@ -36,8 +36,8 @@ MAX_QUEUES = 512
 #: Parts of documents that are laid out at once; a longer document alone may have one a token.
 MAX_PARTS = 200_000
 #: Parts of words whose ids a worker remembers, and the bytes it tokenises at a time.
-MAX_PARTS_KEPT = 300_000
-BLOCK_BYTES = 1_500_000
+MAX_PARTS_KEPT = 100_000
+BLOCK_BYTES = 1_000_000
 #: Places of so many blocks and queues may be broadcast; more are joined in a shuffle.
 MAX_PLACES = 500_000
 
@@ -105,7 +105,7 @@ class ChunkIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.merges = _tokenizer(path), WordMerges(path)
+        self.path, self.merges = path, WordMerges(path)
         self.clear()
 
     def clear(self) -> None:
@@ -152,7 +152,9 @@ class ChunkIds:
         word = word.take(pa.array(np.flatnonzero(easy)))
         signed = np.flatnonzero(pc.greater(pc.binary_length(word.field("signs")), 0).to_numpy(zero_copy_only=False))
         hard = [_PARTS.findall(c) for c in strings(lower.take(pa.array(np.flatnonzero(~easy))))]
-        other = [e.ids for e in self.tokenizer.encode_batch_fast(strings(chunks.take(pa.array(np.flatnonzero(~plain)))), add_special_tokens=False)]
+        rest = strings(chunks.take(pa.array(np.flatnonzero(~plain))))
+        # The library is loaded by the first chunk that needs it; it takes more memory than all else that is kept here.
+        other = [e.ids for e in _tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False)] if any(rest) else [[] for _ in rest]
         parts = pa.concat_arrays(
             [word.field("letters"), word.field("signs").take(pa.array(signed)), pa.array([x for h in hard for x in h], pa.string())]
         ).dictionary_encode()
@@ -222,6 +224,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
                 ],
                 names=[id_col, "queue", "block", "before", "tokens", "ids"],
             )
+        coder.forget_rare()  # Spark keeps the worker for other work
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text, source).mapInArrow(
