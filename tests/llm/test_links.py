@@ -1,5 +1,6 @@
 """Similarity joins and searches against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -188,3 +189,21 @@ def test_recall_near_the_threshold(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
     found = pivot_index.near_duplicates(df).where("n_links > 0").count()
     assert found >= 0.9 * len(rows)
+
+
+def test_ngram_jaccard_leaves_no_intermediate_rows_and_no_list_made_in_python(spark, monkeypatch):
+    def files():
+        return spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+
+    shared = ngram_jaccard.written(spark.range(1), "probe").inputFiles()[0].rpartition("/")[0].rpartition("/")[0].removeprefix("file://").removeprefix("file:")
+    held, seen = set(os.listdir(shared)), []
+    monkeypatch.setattr(ngram_jaccard, "connected_components", lambda *a, f=ngram_jaccard.connected_components: (seen.append(files()), f(*a))[1])
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("an empty list starts Python workers of another kind"))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, first = spark.conf.get(key), files()
+    out = ngram_jaccard.ngram_jaccard(spark.range(400).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(0, 40), x -> string(x + id div 4 * 50 + if(x = 40, id, 0)))) text"))
+    assert out.where("component_id = doc_id").count() == 100
+    assert seen and max(seen) <= first
+    assert spark.conf.get(key) == before
+    left = {x.rpartition("_")[0] for x in set(os.listdir(shared)) - held}
+    assert "jaccard_found" in left and not left & {"jaccard_sets", "jaccard_lists", "jaccard_open", "jaccard_reps"}

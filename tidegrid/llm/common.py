@@ -7,6 +7,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(made: DataFrame) -> None:
+    """Delete a table that ``written`` gave, once no query reads it any more."""
+    jvm, sc = made.sparkSession._jvm, made.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in made.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of each query go when it ends; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def common_from(counted: DataFrame, most: int, n: str = "n") -> int:
     """The least count that at most ``most`` rows reach, from a few hundred classes of counts."""
     size = F.when(F.col(n) < 64, F.col(n).cast("double")).otherwise(F.pow(2.0, F.floor(F.log2(n) * 8) / 8))

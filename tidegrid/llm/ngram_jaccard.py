@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import common_from, few_or_shuffled, only_ids, strings, text_blocks, tidied, written
+from tidegrid.llm.common import common_from, discard, few_or_shuffled, only_ids, shuffles_freed, strings, text_blocks, tidied, written
 from tidegrid.llm.components import connected_components
 
 #: Documents that show a gram in their prefix before it counts as common, and the most grams put last as common.
@@ -530,29 +530,11 @@ def _still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select(*cols)
 
 
-def ngram_jaccard(
-    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(id, n_shingles, component_id) per row: documents linked at Jaccard >= num/den, and the least id they reach.
-
-    Exact: no candidate is dropped. Equal sets are one node before any pair is
-    formed. In each list of nodes that share a prefix gram, all pair with a few
-    hubs first; the links found contract the lists, and rounds with other hubs
-    follow while they close many lists. What is left is compared across
-    components only, inside the tasks, and only pairs that may link leave them;
-    where they are many, each node's nearest is verified first, in rounds, then
-    all that the links leave apart. So copies are not expanded into all pairs.
-
-    Null or empty text: no n-grams, linked with nothing, its own component.
-    Fewer than n words: the whole sequence is the one n-gram. A null id has a
-    null component and links with nothing. Rows that repeat an id keep rows of
-    their own, each linked by its own text. Other columns of ``docs`` don't
-    take part. An empty table gives an empty result.
-    """
-    docs = docs.select(F.col(id_col), F.col(text))
+def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, size, h1, h2) of all rows, (h1, h2, id, node) of all sets, and the component of each linked node."""
     seen = written(gram_sets(docs, n, num, den, id_col, text), "jaccard_sets")
-    found = seen.where("size >= 0")
-    live = found.where("id is not null and size > 0")
+    found = written(seen.where("size >= 0").select("id", "size", "h1", "h2"), "jaccard_found")
+    live = seen.where("id is not null and size > 0")
     # Nodes are numbered once, in a written table: equal sets are known by two hashes.
     classes = written(live.groupBy("h1", "h2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "jaccard_classes")
     # Common grams: what prefixes of all documents show, or what documents of one task share, summed over tasks.
@@ -560,23 +542,28 @@ def ngram_jaccard(
     in_task = seen.where("size = -1").select(F.explode(F.arrays_zip("prefix", "counts")).alias("x")).select("x.prefix", F.lit(0), "x.counts")
     counted = in_prefix.union(in_task).groupBy("gram").agg(F.greatest(F.sum("p"), F.sum("c")).alias("n")).where(F.col("n") >= COMMON_FROM)
     counted = written(counted, "jaccard_common")
+    discard(seen)
     frequent = counted.where(F.col("n") >= common_from(counted, COMMON_MOST)).select("gram")
     common = np.sort(frequent.toArrow()["gram"].to_numpy().astype(np.int64))
     ordered = ordered_sets(docs, n, num, den, id_col, text, common).where("id is not null and size > 0")
     reps = written(ordered.join(few_or_shuffled(classes), ["id", "h1", "h2"]), "jaccard_reps")
     if reps.count() > classes.count():  # rows that repeat id and text
-        reps = written(reps.dropDuplicates(["node"]), "jaccard_reps")
+        every, reps = reps, written(reps.dropDuplicates(["node"]), "jaccard_reps")
+        discard(every)
     # Nearly all grams stand in one list only; many small parts keep the table of them small in each task.
     parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = reps.select(F.posexplode("prefix").alias("at", "gram"), "node", "size").repartition(parts, "gram")
-    several = lists.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
+    # Every column is asked for, so both sides of the join read the same shuffle.
+    whole = [F.min("at").alias("at"), F.min("size").alias("size")]
+    several = lists.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), *whole).where("lo < hi and at >= 0 and size > 0").select("gram")
     lists = written(lists.join(several, "gram"), "jaccard_lists")
     verify = partial(_linked, reps=reps, docs=docs, n=n, num=num, den=den, common=common, id_col=id_col, text=text)
     # No node is linked yet. A range, as an empty list would start Python workers of another kind, which Spark keeps beside the others.
     comps = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     many = None
     for k in range(MOST_ROUNDS):
-        lists = written(_open_lists(lists, comps), "jaccard_open")
+        closed, lists = lists, written(_open_lists(lists, comps), "jaccard_open")
+        discard(closed)
         before, many = many, lists.count()
         if not many or before is not None and many > ROUND_LEAVES * before:
             break
@@ -594,6 +581,33 @@ def ngram_jaccard(
         if whole:
             break
         left = left.join(chosen, ["a", "b"], "left_anti")
+    discard(lists)
+    discard(reps)
+    return found, classes, comps
+
+
+def ngram_jaccard(
+    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(id, n_shingles, component_id) per row: documents linked at Jaccard >= num/den, and the least id they reach.
+
+    Exact: no candidate is dropped. Equal sets are one node before any pair is
+    formed. In each list of nodes that share a prefix gram, all pair with a few
+    hubs first; the links found contract the lists, and rounds with other hubs
+    follow while they close many lists. What is left is compared across
+    components only, inside the tasks, and only pairs that may link leave them;
+    where they are many, each node's nearest is verified first, in rounds, then
+    all that the links leave apart. So copies are not expanded into all pairs.
+
+    Null or empty text: no n-grams, linked with nothing, its own component.
+    Fewer than n words: the whole sequence is the one n-gram. A null id has a
+    null component and links with nothing. Rows that repeat an id keep rows of
+    their own, each linked by its own text. Other columns of ``docs`` don't
+    take part. An empty table gives an empty result.
+    """
+    docs = docs.select(F.col(id_col), F.col(text))
+    with shuffles_freed(docs.sparkSession):
+        found, classes, comps = _joined(docs, n, num, den, id_col, text)
     by_set = classes.join(comps.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_set.groupBy("root").agg(F.min("id").alias("component"))
     by_set = by_set.join(least, "root").select("h1", "h2", "component")
