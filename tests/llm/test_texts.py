@@ -275,3 +275,43 @@ def test_packing_of_plain_text_leaves_the_library_unloaded():
     flat, ends = coder.encode(pa.array(["Plain words, 12 of them.", None]), 1)
     assert packing._tokenizer.cache_info().currsize == 0
     assert flat[: ends[1]].tolist() == [*packing._tokenizer(WORDS).encode("Plain words, 12 of them.", add_special_tokens=False).ids, 1]
+
+
+def test_packing_merges_no_known_part_again():
+    coder, merged = packing.ChunkIds(WORDS), []
+    merge = coder.merges.part_ids
+    coder.merges.part_ids = lambda parts: merged.append(len(parts)) or merge(parts)
+    letters = np.array(list("abcdefghijklmnop"))
+    words = ["".join(letters[[k >> 16, k >> 12 & 15, k >> 8 & 15, k >> 4 & 15, k & 15]]) for k in range(150_000)]
+    blocks = [pa.array([" ".join(words[k : k + 10_000])]) for k in range(0, 150_000, 10_000)]
+    first = [coder.encode(b, 1) for b in blocks]
+    assert sum(merged) == 150_000
+    again = [coder.encode(b, 1) for b in blocks]
+    assert sum(merged) == 150_000
+    assert all(np.array_equal(x, y) for a, b in zip(first, again, strict=True) for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("most,end_id", [(40, 1), (1000, 70_000)])
+def test_packing_ids_are_the_library_s_however_few_parts_are_kept(monkeypatch, most, end_id):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "MAX_PARTS_KEPT", most)
+    rng, coder, library = random.Random(7), packing.ChunkIds(WORDS), Tokenizer.from_file(WORDS)
+    pieces = ["the", "Ing", "ÀÖØÞ", "ßÿ", "é", "×", "÷", "ı", "漢", "\x1c", " ", "'s", "<unk>", "7", "42", "...", "-_", " ", " ", "\n", "ab" * 12, "x" * 25, "y" * 4100]
+    for _ in range(12):
+        texts = ["".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(40)] + [None, ""]
+        flat, ends = coder.encode(pa.array(texts), end_id)
+        for k, x in enumerate(texts):
+            assert flat[ends[k] : ends[k + 1]].tolist() == [*library.encode(x or "", add_special_tokens=False).ids, end_id]
+    assert coder.encode(pa.array([None], pa.string()), end_id)[0].tolist() == [end_id]
+
+
+@pytest.mark.parametrize("end_id,wide", [(1, 2), (70_000, 4)])
+def test_packing_hands_ids_on_as_bytes(spark, end_id, wide):
+    df = spark.createDataFrame([(k, "Some plain words, " * k, "s") for k in range(50)], "doc_id long, text string, source string")
+    rows = packing.tokenised(df, WORDS, end_id, "doc_id", "text", "source").collect()
+    assert all(len(r.ids) == wide * r.tokens for r in rows)
+    ids_of = {r.doc_id: [np.frombuffer(r.ids, f"<u{wide}").tolist()] for r in rows}
+    out = packing.pack(df, WORDS, window=64, end_id=end_id, with_ids=True).collect()
+    check_pieces(out, ids_of, 64)
+    assert all(r.ids == ids_of[r.doc_id][0][r.start : r.start + r.length] for r in out)

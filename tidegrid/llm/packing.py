@@ -13,11 +13,10 @@ and across Spark partitions without a pass over them.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,9 @@ FRACTION = 16
 MAX_QUEUES = 512
 #: Parts of documents that are laid out at once; a longer document alone may have one a token.
 MAX_PARTS = 200_000
-#: Parts of words whose ids a worker remembers, and the bytes it tokenises at a time.
-MAX_PARTS_KEPT = 100_000
+#: Parts of words whose ids a worker remembers, their longest in steps of 8 bytes, and the bytes it tokenises at a time.
+MAX_PARTS_KEPT = 400_000
+KEY_WORDS = 3
 BLOCK_BYTES = 1_000_000
 #: Places of so many blocks and queues may be broadcast; more are joined in a shuffle.
 MAX_PLACES = 500_000
@@ -52,11 +52,56 @@ def _tokenizer(path: str):
 #: The steps of the vocabulary file that the plain path below takes by itself. Files with others are refused.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Chunks of plain letters, digits and signs (no apostrophe, nothing that NFC changes, no sign of a special string).
-_PLAIN = "^[A-Za-z0-9!\"#$%&()*+,./:;=>?@\\[\\]\\\\^_`{|}~À-ÖØ-öø-ÿ-]+$"
-#: What such a chunk falls into once it is in lower case: most are letters with signs behind them.
-_WORD = "^(?P<letters>[a-zß-öø-ÿ]+)(?P<signs>[^a-z0-9ß-öø-ÿ]*)$"
-_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: What plain chunks consist of (no apostrophe, nothing that NFC changes, no sign of a special string): ASCII and two-byte letters.
+_SIGNS = b"!\"#$%&()*+,./:;=>?@[]\\^_`{|}~-"
+_OTHER, _LETTER, _DIGIT, _SIGN = range(4)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = _LETTER
+_KIND[np.frombuffer(b"0123456789", np.uint8)] = _DIGIT
+_KIND[np.frombuffer(_SIGNS, np.uint8)] = _SIGN
+#: Second bytes of the letters À-ÖØ-öø-ÿ behind their first byte, and lower case of first and second bytes.
+_LATIN_LEAD = 0xC3
+_LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+_LATIN_LOWER = np.array([b + 32 if 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256)], dtype=np.uint8)
+
+
+def _octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a text or binary column without nulls, and the cuts between them."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    cuts = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    octets = np.frombuffer(data, dtype=np.uint8)[cuts[0] : cuts[-1]] if data else np.zeros(0, np.uint8)
+    return octets, cuts - cuts[0]
+
+
+def _binary(octets: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(octets))])
+
+
+def plain_parts(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which chunks are plain, the count of each one's parts (none of the others), and these in lower case, in order.
+
+    A part is a run of letters, a run of signs, or a digit.
+    """
+    octets, cuts = _octets(chunks)
+    kind, low = _KIND[octets], _LOWER[octets]
+    lead = np.flatnonzero(octets[:-1] == _LATIN_LEAD)
+    lead = lead[_LATIN[octets[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    low[lead + 1] = _LATIN_LOWER[octets[lead + 1]]
+    odd = np.r_[0, np.cumsum(kind == _OTHER)]
+    plain = odd[cuts[1:]] == odd[cuts[:-1]]
+    begins = kind == _DIGIT
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[cuts[:-1][np.diff(cuts) > 0]] = True
+    if not plain.all():
+        stays = np.repeat(plain, np.diff(cuts))
+        begins, low = begins[stays], low[stays]
+        cuts = np.r_[0, np.cumsum(np.where(plain, np.diff(cuts), 0))]
+    at = np.flatnonzero(begins)
+    return plain, np.diff(np.searchsorted(at, cuts)), _binary(low, np.r_[at, len(low)])
 
 
 class WordMerges:
@@ -75,19 +120,18 @@ class WordMerges:
         self.inner = np.array([vocab[sign[b]] for b in range(256)], dtype=np.int64)
         self.last = np.array([vocab[sign[b] + end] for b in range(256)], dtype=np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.top = max([*vocab.values(), *(t["id"] for t in file.get("added_tokens") or [])])
         self.table = MergeTable(max(vocab.values()) + 1, [(vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(pairs)])
 
     def part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of plain parts, none of them empty, and each one's count."""
         if not len(parts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        parts = pa.concat_arrays([parts])  # whole buffers, from offset 0
-        cuts = np.frombuffer(parts.buffers()[1], dtype=np.int32)[: len(parts) + 1]
-        octets = np.frombuffer(parts.buffers()[2], dtype=np.uint8)[cuts[0] : cuts[-1]]
-        ends = cuts[1:] - cuts[0] - 1
+        octets, cuts = _octets(parts)
+        ends = cuts[1:] - 1
         sym = self.inner[octets]
         sym[ends] = self.last[octets[ends]]
-        flat, counts = self.table.merge(sym, np.diff(cuts).astype(np.int64))
+        flat, counts = self.table.merge(sym, np.diff(cuts))
         return flat.astype(np.int32), counts.astype(np.int64)
 
 
@@ -97,98 +141,140 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - begin, count) + np.arange(int(count.sum()))
 
 
-class ChunkIds:
-    """Ids of texts by chunks between plain white space, which this vocabulary drops and never crosses.
+class KnownParts:
+    """Ids of at most ``most`` parts by their bytes, in plain arrays: open addressing with linear probing.
 
-    Plain chunks fall into parts; each distinct part is merged once, and the
-    frequent ones stay in memory. All other chunks go to the library.
+    Keys are the bytes themselves, filled up with zeros, which no plain part holds.
     """
 
-    def __init__(self, path: str):
-        self.path, self.merges = path, WordMerges(path)
+    def __init__(self, most: int):
+        self.most, self.bits = most, (2 * most - 1).bit_length()
+        self.key = np.empty((most, KEY_WORDS), np.uint64)
+        self.start, self.count, self.used = (np.empty(most, np.int32) for _ in range(3))
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.used = np.zeros(0, np.int64)
+        self.n, self.held = 0, 0
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        self.flat = np.empty(self.most, np.int32)
+
+    def keys(self, octets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        room = np.r_[octets, np.zeros(8, np.uint8)]
+        eights = np.ndarray(len(room) - 7, "<u8", room, strides=(1,))
+        size, mask = np.diff(cuts), np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        out = np.empty((len(size), KEY_WORDS), np.uint64)
+        for k in range(KEY_WORDS):
+            out[:, k] = eights[np.minimum(cuts[:-1] + 8 * k, len(octets))] & mask[np.clip(size - 8 * k, 0, 8)]
+        return out
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = np.zeros(len(keys), np.uint64)
+        for k in range(KEY_WORDS):
+            mixed = (mixed ^ keys[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+        return (mixed & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the parts, -1 for unknown ones."""
+        slot = self.slots(keys)
+        found = self.at[slot].astype(np.int64)
+        left = np.flatnonzero(found >= 0)
+        while len(left := left[(self.key[found[left]] != keys[left]).any(axis=1)]):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            found[left] = self.at[slot[left]]
+            left = left[found[left] >= 0]
+        return found
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray, used: np.ndarray) -> None:
+        """Remember distinct unknown parts, as many as there is room for."""
+        keys, counts, used = (x[: self.most - self.n] for x in (keys, counts, used))
+        ids, rows = int(counts.sum()), slice(self.n, self.n + len(keys))
+        if self.held + ids > len(self.flat):
+            self.flat = np.r_[self.flat[: self.held], np.empty(max(ids, self.held // 2), np.int32)]
+        self.flat[self.held : self.held + ids] = flat[:ids]
+        self.key[rows], self.count[rows], self.used[rows] = keys, counts, used
+        self.start[rows] = self.held + np.cumsum(counts) - counts
+        slot, left = self.slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.at[slot[left]] < 0]
+            self.at[slot[free]] = self.n + free  # of those that meet here, one stays
+            left = left[self.at[slot[left]] != self.n + left]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.n, self.held = self.n + len(keys), self.held + ids
 
     def forget_rare(self) -> None:
         """Keep the parts that came up often since the last time, if they leave room."""
-        kept = [w for w, often in zip(self.index, (self.used >= 3).tolist(), strict=True) if often]
-        at = np.flatnonzero(self.used >= 3)
-        start, count, flat = self.start, self.count, self.flat
+        kept = np.flatnonzero(self.used[: self.n] >= 3)
+        keys, counts = self.key[kept], self.count[kept]
+        flat = self.flat[_spread(self.start[kept], counts)]
         self.clear()
-        if 2 * len(kept) < MAX_PARTS_KEPT:
-            self.flat = flat[_spread(start[at], count[at])]
-            self.count, self.used = count[at], np.zeros(len(kept), np.int64)
-            self.start = np.cumsum(self.count) - self.count
-            self.index = dict(zip(kept, range(len(kept)), strict=True))
-
-    def lookup(self, parts: pa.Array) -> np.ndarray:
-        """Places of distinct plain parts; new ones are merged."""
-        if len(self.index) > MAX_PARTS_KEPT:
-            self.forget_rare()
-        words = strings(parts)
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            flat, counts = self.merges.part_ids(parts.take(pa.array(miss)))
-            base = len(self.start)
-            at[miss] = np.arange(base, base + len(miss))
-            self.index.update(zip([words[i] for i in miss.tolist()], range(base, base + len(miss)), strict=True))
-            self.start = np.r_[self.start, len(self.flat) + np.cumsum(counts) - counts]
-            self.count, self.flat = np.r_[self.count, counts], np.r_[self.flat, flat]
-            self.used = np.r_[self.used, np.zeros(len(miss), np.int64)]
-        return at
-
-    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, count) of the parts of each distinct chunk, in order, then (place of each part's ids, their count) in ``self.flat``."""
-        plain = pc.match_substring_regex(chunks, _PLAIN).to_numpy(zero_copy_only=False)
-        lower = pc.utf8_lower(chunks.take(pa.array(np.flatnonzero(plain))))
-        word = pc.extract_regex(lower, _WORD)
-        easy = word.is_valid().to_numpy(zero_copy_only=False)
-        at_easy, at_hard = np.flatnonzero(plain)[easy], np.flatnonzero(plain)[~easy]
-        word = word.take(pa.array(np.flatnonzero(easy)))
-        signed = np.flatnonzero(pc.greater(pc.binary_length(word.field("signs")), 0).to_numpy(zero_copy_only=False))
-        hard = [_PARTS.findall(c) for c in strings(lower.take(pa.array(np.flatnonzero(~easy))))]
-        rest = strings(chunks.take(pa.array(np.flatnonzero(~plain))))
+        if 2 * len(kept) < self.most:
+            self.add(keys, counts, flat, np.zeros(len(kept), np.int32))
+
+
+class ChunkIds:
+    """Ids of texts by chunks between plain white space, which this vocabulary drops and never crosses.
+
+    Plain chunks fall into parts; each distinct part is merged once, and the
+    frequent ones stay in memory. All other chunks go to the library.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.merges, self.known = path, WordMerges(path), KnownParts(MAX_PARTS_KEPT)
+
+    def part_ids(self, parts: pa.Array, often: np.ndarray) -> pa.Array:
+        """Ids, as bytes, of distinct plain parts, which come up so often; new ones are merged."""
+        octets, cuts = _octets(parts)
+        short, keys = np.diff(cuts) <= 8 * KEY_WORDS, self.known.keys(octets, cuts)
+        at = np.where(short, self.known.find(keys), -1)
+        hits, miss = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        flat, new = self.merges.part_ids(parts.take(pa.array(miss)))
+        self.known.used[at[hits]] += often[hits]
+        old = self.known.count[at[hits]].astype(np.int64)
+        made = [self.as_bytes(self.known.flat[_spread(self.known.start[at[hits]], old)], old), self.as_bytes(flat, new)]
+        place = np.empty(len(parts), np.int64)
+        place[hits], place[miss] = np.arange(len(hits)), len(hits) + np.arange(len(miss))
+        if self.known.n + len(miss) > self.known.most:
+            self.known.forget_rare()
+        keep = short[miss]
+        self.known.add(keys[miss[keep]], new[keep], flat[np.repeat(keep, new)], often[miss[keep]])
+        return pa.concat_arrays(made).take(pa.array(place))
+
+    def as_bytes(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        return _binary(ids.astype(self.width).view(np.uint8), np.r_[0, np.cumsum(counts)] * self.width.itemsize)
+
+    def chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        """Ids, as bytes, of each distinct chunk."""
+        plain, many, parts = plain_parts(chunks)
+        coded = parts.dictionary_encode()
+        which = coded.indices.to_numpy()
+        ids = self.part_ids(coded.dictionary, np.bincount(which, minlength=len(coded.dictionary)))
+        octets, cuts = _octets(ids.take(coded.indices))
+        made = _binary(octets, cuts[np.r_[0, np.cumsum(many)]])
+        if plain.all():
+            return made
         # The library is loaded by the first chunk that needs it; it takes more memory than all else that is kept here.
-        other = [e.ids for e in _tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False)] if any(rest) else [[] for _ in rest]
-        parts = pa.concat_arrays(
-            [word.field("letters"), word.field("signs").take(pa.array(signed)), pa.array([x for h in hard for x in h], pa.string())]
-        ).dictionary_encode()
-        owner = np.r_[at_easy, at_easy[signed], np.repeat(at_hard, np.array([len(h) for h in hard], dtype=np.int64))]
-        places = self.lookup(parts.dictionary)[parts.indices.to_numpy()]
-        # Chunks that the library tokenised are one part each, behind all others for this call only.
-        counts = np.fromiter(map(len, other), dtype=np.int64, count=len(other))
-        order = np.argsort(np.r_[owner, np.flatnonzero(~plain)], kind="stable")
-        start = np.r_[self.start[places], len(self.flat) + np.cumsum(counts) - counts][order]
-        count = np.r_[self.count[places], counts][order]
-        self.used += np.bincount(places, minlength=len(self.used))
-        many = np.bincount(np.r_[owner, np.flatnonzero(~plain)], minlength=len(chunks))
-        self.more = np.fromiter(chain.from_iterable(other), dtype=np.int32)
-        return np.cumsum(many) - many, many, start, count
+        rest = strings(chunks.take(pa.array(np.flatnonzero(~plain))))
+        other = [e.ids for e in _tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False)]
+        other = self.as_bytes(np.fromiter(chain.from_iterable(other), dtype=np.int64), np.fromiter(map(len, other), dtype=np.int64, count=len(other)))
+        place = np.arange(len(chunks))
+        place[~plain] = len(chunks) + np.arange(len(rest))
+        return pa.concat_arrays([made, other]).take(pa.array(place))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, each with the end id, and the offsets between them.
 
         Arrow splits the texts and finds the distinct chunks; only those are
-        looked up.
+        looked up. Ids take two bytes where the vocabulary and the end id fit,
+        else four.
         """
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        self.width = np.dtype("<u2" if self.merges.top < 1 << 16 and 0 <= end_id < 1 << 16 else "<u4")
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         coded = split.flatten().dictionary_encode()
-        first, many, start, count = self.chunk_ids(coded.dictionary)
-        which = coded.indices.to_numpy()
-        k = many[which]
-        part = _spread(first[which], k)
-        counts = count[part]
-        flat = np.concatenate([self.flat, self.more])[_spread(start[part], counts)]
-        parts_before = np.r_[0, np.cumsum(k)]
-        total = np.r_[0, np.cumsum(counts)]
-        ends = total[parts_before[np.cumsum(pc.list_value_length(split).to_numpy())]]
-        flat = np.insert(flat, ends, end_id)
-        return flat, np.r_[0, ends + np.arange(1, len(ends) + 1)]
+        ids = pa.concat_arrays([self.chunk_ids(coded.dictionary), self.as_bytes(np.array([end_id]), np.ones(1, np.int64))])
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        octets, cuts = _octets(ids.take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(ids) - 1))))
+        return octets.view(self.width), cuts[np.r_[0, ends + np.arange(1, len(ends) + 1)]] // self.width.itemsize
 
 
 @lru_cache(maxsize=2)
@@ -199,7 +285,7 @@ def _chunks(path: str) -> ChunkIds:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: str, source: str) -> DataFrame:
-    """(id, queue, block, before, tokens, ids): ``before`` counts the queue's tokens in the same block before the row.
+    """(id, queue, block, before, tokens, ids): ``before`` counts the queue's tokens in the same block before the row, ``ids`` holds them as bytes.
 
     A block is one task's rows. The table must be written before use: blocks
     are not the same in another run.
@@ -220,15 +306,14 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
                     pa.array(np.full(len(sizes), block, dtype=np.int64)),
                     pa.array(before, pa.int64()),
                     pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)),
+                    coder.as_bytes(flat, sizes),
                 ],
                 names=[id_col, "queue", "block", "before", "tokens", "ids"],
             )
-        coder.forget_rare()  # Spark keeps the worker for other work
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text, source).mapInArrow(
-        tidied(run), f"{id_col} {kind}, queue string, block long, before long, tokens long, ids array<int>"
+        tidied(run), f"{id_col} {kind}, queue string, block long, before long, tokens long, ids binary"
     )
 
 
@@ -351,8 +436,8 @@ def pack(
                 size = part.column("tokens").to_numpy()
                 queue = np.array([index[q] for q in strings(part.column("queue"))], dtype=np.int64)
                 doc, start, length, seq, offset = pieces_of(begin, size, queue, held, quanta, window)
-                column = part.column("ids")
-                flat = column.flatten().to_numpy()
+                octets, cuts = _octets(part.column("ids"))
+                flat = octets.view("<u2" if cuts[-1] == 2 * size.sum() else "<u4")
                 first = (np.cumsum(size) - size)[doc] + start
                 raw = memoryview(np.ascontiguousarray(flat, dtype="<u4")).cast("B")
                 crc = [zlib.crc32(raw[a * 4 : b * 4]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
@@ -370,7 +455,7 @@ def pack(
                 if with_ids:
                     at = np.r_[0, np.cumsum(length)]
                     values = flat[np.repeat(first - at[:-1], length) + np.arange(at[-1])]
-                    out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, pa.int32())))
+                    out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32))))
                     fields.append("ids")
                 yield pa.record_batch(out, names=fields)
 
