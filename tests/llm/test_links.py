@@ -100,6 +100,27 @@ def test_jaccard_just_under_the_threshold(spark, monkeypatch):
     assert got == jaccard_brute(rows, 4, 85, 100)
 
 
+def test_jaccard_pairs_of_a_large_group_never_become_rows(spark, monkeypatch):
+    """No hub finds a link, so a whole group is left to its tasks: they hand on links that join it, not its pairs."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_NODES", 64)
+    monkeypatch.setattr(ngram_jaccard, "_hub_pairs", lambda *a, f=ngram_jaccard._hub_pairs: f(*a).limit(0))
+    seen = []
+    monkeypatch.setattr(ngram_jaccard, "_still_apart", lambda p, c, f=ngram_jaccard._still_apart: (seen.append(p.count()), f(p, c))[1])
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(6, 112, 6), 1 if k % 2 else 2):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows += [(k, " ".join(words))] * (1 + (k < 3))
+    rows += [(1000 + k, " ".join(f"y{k // 2}z{j}" for j in range(30 + k % 2))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(df).collect()}
+    assert got == jaccard_brute(rows, 4, 85, 100)
+    assert seen and max(seen) <= 2 * len(rows)
+
+
 def test_parities_never_exceed_the_difference():
     rng = np.random.default_rng(0)
     for size in (1, 5, 100, 900, 5000):

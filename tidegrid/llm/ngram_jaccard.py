@@ -9,13 +9,15 @@ per pair, and a pair leaves as soon as one fragment shows more differing grams
 than the threshold leaves room for. Where a list of one prefix gram still holds
 documents that are not known to be connected, its pairs are compared inside the
 task by the parities of many fine fragments, a lower bound of their differing
-grams; only pairs that this bound can't refute become rows.
+grams; only pairs that this bound can't refute become rows. Where a
+group leaves many of them for each of its documents, its documents become rows
+instead: tasks compare their whole sets and hand on a forest of links.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -45,8 +47,11 @@ MOST_ROUNDS = 8
 AT_ONCE = 0.25
 #: Fragments of the grams after the prefix.
 FRAGMENTS = 4
-#: Documents of one list block; larger groups are compared block against block.
+#: Documents of one list block, and their grams; larger groups are compared block against block.
 BLOCK_NODES = 512
+BLOCK_GRAMS = 4_000_000
+#: Pairs that parities can't refute, for each document of a group, beyond which the group's whole sets are compared inside a task.
+DENSE = 2
 #: Cells of the pair tables, pairs, and 8-byte words of parities that a task holds at a time.
 CELLS, PAIRS, WORDS = 2_000_000, 250_000, 500_000
 
@@ -283,6 +288,20 @@ def fragments(docs: DataFrame, n: int, text: str, common: np.ndarray) -> DataFra
     return docs.select(F.col(text).alias("text")).mapInArrow(tidied(run), "h1 long, h2 long, fragment int, grams array<long>")
 
 
+def whole_sets(docs: DataFrame, n: int, text: str) -> DataFrame:
+    """(h1, h2, grams): each set's grams in the order of hashes, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = GramHasher(n)
+        for part in text_blocks(batches, 0, BLOCK_BYTES):
+            flat, offsets = hasher.sets(part.column(0))
+            digest, raw, cuts = _digests(flat, offsets), memoryview(flat).cast("B"), (8 * offsets).tolist()
+            grams = pa.array([bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+            yield pa.record_batch([*(pa.array(np.ascontiguousarray(digest[:, k])) for k in (0, 1)), grams], names=["h1", "h2", "grams"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidied(run), "h1 long, h2 long, grams binary")
+
+
 def _least_overlap(size_a: Column, size_b: Column, num: int, den: int) -> Column:
     """Grams that two sets of these sizes share at least when they reach num/den."""
     return F.floor(((size_a + size_b) * num + (num + den - 1)) / F.lit(num + den)).cast("long")
@@ -376,12 +395,12 @@ class BlockPairs:
         self.node, self.size, self.comp, self.part, lo, hi, anchor = (
             block[c].to_numpy() for c in ("node", "size", "comp", "part", "lo", "hi", "anchor")
         )
-        self.across = lo != hi
+        self.across, self.block = lo != hi, block
         # The groups follow each other; their pairs are cells of one flat table.
-        first = np.r_[True, (anchor[1:] != anchor[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
-        group = np.cumsum(first) - 1
+        first = _starts(block)
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, block.num_rows]))
         members = np.bincount(group)
-        self.members, self.inside = members[group], np.arange(len(group)) - np.flatnonzero(first)[group]
+        self.members, self.inside = members[group], np.arange(len(group)) - first[group]
         self.base = np.r_[0, np.cumsum(members * members)]
         self.group = group
         entries = get["lists"].flatten()
@@ -420,7 +439,7 @@ class BlockPairs:
         return begin[group] + a, begin[group] + b
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes of the pairs that parities can't refute, and in how many parities they differ."""
+        """Rows of the pairs that parities can't refute, and in how many parities they differ."""
         a, b = self.candidates()
         words = parity_words(self.size)
         common, differ = np.minimum(words[a], words[b]), np.zeros(len(a), dtype=np.int64)
@@ -442,13 +461,62 @@ class BlockPairs:
                 at = mine[k : k + max(1, WORDS // w)]
                 differ[at] = np.bitwise_count(bits[place[a[at]]] ^ bits[place[b[at]]]).sum(axis=1, dtype=np.int64)
         keep = differ <= self.size[a] + self.size[b] - 2 * self._least(a, b)
-        return self.node[a[keep]], self.node[b[keep]], differ[keep]
+        return a[keep], b[keep], differ[keep]
+
+    def found(self) -> pa.Table:
+        """These pairs as rows, or the documents in them, of groups that leave more than ``DENSE`` pairs for each of theirs."""
+        a, b, differ = self.pairs()
+        group = self.group[a]
+        dense = (np.bincount(group, minlength=len(self.base) - 1) > DENSE * np.bincount(self.group))[group]
+        ends = np.sort(self.node[np.stack([a, b])[:, ~dense]], axis=0)
+        pairs = pa.table({"a": ends[0], "b": ends[1], "differ": differ[~dense]})
+        held = self.block.select(GROUPED).take(pa.array(np.unique(np.r_[a[dense], b[dense]])))
+        return pa.concat_tables([pairs, held], promote_options="default")
+
+
+#: What a document's row says of its group.
+GROUPED = ["anchor", "lo", "hi", "part", "node", "size", "comp"]
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where the groups of rows with one (anchor, lo, hi) begin."""
+    keys = [rows[c].to_numpy() for c in ("anchor", "lo", "hi")]
+    fresh = np.ones(rows.num_rows, dtype=bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(fresh)
+
+
+def _by_groups(rows: DataFrame, each: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``each`` on the rows dealt by (anchor, lo, hi): on whole groups, with few cells of pairs at a time."""
+
+    def out(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cells, lo = np.r_[0, np.cumsum(np.diff(np.r_[begin, t.num_rows]) ** 2)], 0
+        while lo < len(begin):
+            hi = max(lo + 1, int(np.searchsorted(cells, cells[lo] + CELLS, side="right")) - 1)
+            end = begin[hi] if hi < len(begin) else t.num_rows
+            yield from each(t.slice(begin[lo], end - begin[lo]).combine_chunks()).to_batches()
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+                begin = _starts(held)
+                if len(begin) > 1:  # the last group may go on in the next batch
+                    yield from out(held.slice(0, begin[-1]), begin[:-1])
+                    held = held.slice(begin[-1])
+        if held is not None and held.num_rows:
+            yield from out(held, _starts(held))
+
+    return rows.repartition("anchor", "lo", "hi").sortWithinPartitions("anchor", "lo", "hi").mapInArrow(tidied(run), schema)
 
 
 def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, differ): pairs across components that the open lists may still link, by at least how many grams they differ.
 
-    Lists with one anchor go to one task, where each of their documents comes
+    Between them stand the documents of dense groups, as rows of ``GROUPED``
+    without a pair. Lists with one anchor go to one task, where each of their documents comes
     once. Larger groups are dealt in blocks, by classes of sizes first: sets
     that link are of one class or of neighbouring ones, so only blocks of such
     classes meet, each pair of blocks in a task of its own.
@@ -458,10 +526,11 @@ def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataF
     klass = F.floor(F.log("size") / (math.log(den / num) * (1 + 1e-6))).cast("int") if num < den else F.col("size").cast("int")
     rows = rows.withColumn("klass", klass)
     rows = written(rows.join(reps.select("node", "bits"), "node"), "jaccard_anchored")
-    counts = rows.groupBy("anchor", "klass").agg(F.count("*").alias("n"))
-    groups = counts.groupBy("anchor").agg(F.sum("n").alias("all"))
-    counts = counts.join(groups.where(F.col("all") > BLOCK_NODES).select("anchor"), "anchor")
-    blocks = written(counts.select("anchor", "klass", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")), "jaccard_blocks")
+    counts = rows.groupBy("anchor", "klass").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    groups = counts.groupBy("anchor").agg(F.sum("n").alias("all"), F.sum("grams").alias("of_all"))
+    counts = counts.join(groups.where((F.col("all") > BLOCK_NODES) | (F.col("of_all") > BLOCK_GRAMS)).select("anchor"), "anchor")
+    many = F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    blocks = written(counts.select("anchor", "klass", many.alias("blocks")), "jaccard_blocks")
     # A block's name is its class and its number in it; a row goes to every pair of blocks that holds its own.
     near = blocks.select("anchor", F.col("klass").alias("beside"), F.col("blocks").alias("many"))
     pairs = blocks.join(near, "anchor").where(F.abs(F.col("klass") - F.col("beside")) <= 1).select("anchor", "klass", "blocks", "beside", "many")
@@ -478,41 +547,57 @@ def _block_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataF
         return c["klass"].cast("long") * 2**31 + c["k"]
 
     own, other = named(F.col("own")), named(F.col("other"))
-    dealt = (
-        split.select("anchor", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), own.alias("part"), "node", "size", "comp", "lists", "bits")
-        .repartition("anchor", "lo", "hi")
-        .sortWithinPartitions("anchor", "lo", "hi")
-    )
-
-    def starts(t: pa.Table) -> np.ndarray:
-        keys = [t[c].to_numpy() for c in ("anchor", "lo", "hi")]
-        fresh = np.ones(t.num_rows, dtype=bool)
-        fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        return np.flatnonzero(fresh)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def out(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cells, lo = np.r_[0, np.cumsum(np.diff(np.r_[begin, t.num_rows]) ** 2)], 0
-            while lo < len(begin):
-                hi = max(lo + 1, int(np.searchsorted(cells, cells[lo] + CELLS, side="right")) - 1)
-                end = begin[hi] if hi < len(begin) else t.num_rows
-                a, b, differ = BlockPairs(t.slice(begin[lo], end - begin[lo]).combine_chunks(), num, den).pairs()
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(differ)], names=["a", "b", "differ"])
-                lo = hi
+    dealt = split.select("anchor", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), own.alias("part"), "node", "size", "comp", "lists", "bits")
+    schema = "a long, b long, differ long, " + ", ".join(f"{c} long" for c in GROUPED)
+    return _by_groups(dealt, lambda t: BlockPairs(t, num, den).found(), schema)
+
+
+def _forest(group: pa.Table, num: int, den: int) -> pa.Table:
+    """(a, b): links across components in one group, by whole sets; none that the ones before it make superfluous."""
+    lo, hi, part, node, size, comp = (group[c].to_numpy() for c in ("lo", "hi", "part", "node", "size", "comp"))
+    sets = [np.frombuffer(x.as_buffer(), dtype="<i8") for x in group["grams"].combine_chunks()]
+    # More parities than a set needs only sharpen the bound.
+    words = int(parity_words(size).max())
+    bits, pairs = np.stack([parities(x, words) for x in sets]), []
+    for i in range(len(node) - 1):
+        least = ((size[i] + size[i + 1 :]) * num + num + den - 1) // (num + den)
+        fits = (comp[i + 1 :] != comp[i]) & (least <= np.minimum(size[i], size[i + 1 :]))
+        if lo[0] != hi[0]:
+            fits &= part[i + 1 :] != part[i]
+        j, least = np.flatnonzero(fits) + i + 1, least[fits]
+        for k in range(0, len(j), max(1, WORDS // words)):
+            at = slice(k, k + max(1, WORDS // words))
+            differ = np.bitwise_count(bits[i] ^ bits[j[at]]).sum(axis=1, dtype=np.int64)
+            keep = differ <= size[i] + size[j[at]] - 2 * least[at]
+            pairs.append(np.stack([np.full(keep.sum(), i), j[at][keep], differ[keep], least[at][keep]]).astype(np.int32))
+    left = np.concatenate([np.zeros((4, 0), np.int32), *pairs], axis=1)
+    # The nearest come first, so that their links spare most of the others.
+    left, root, links, step = left[:, np.argsort(left[2], kind="stable")], np.unique(comp, return_inverse=True)[1], [], max(1, int(AT_ONCE * len(node)))
+    while left.shape[1]:
+        left = left[:, root[left[0]] != root[left[1]]]
+        for i, j, _, least in left[:, :step].T.tolist():
+            if root[i] != root[j]:
+                x, y = sorted((sets[i], sets[j]), key=len)
+                if np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) >= least:
+                    root[root == root[j]] = root[i]
+                    links.append((i, j))
+        left = left[:, step:]
+    ends = np.sort(node[np.array(links, dtype=np.int64).reshape(-1, 2)], axis=1)
+    return pa.table({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
+
+
+def _dense_links(dense: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
+    """(a, b): links that join the documents of dense groups as far as their sets reach the threshold, fewer than the documents of each group."""
+    need = written(only_ids(reps.select("node", "id", "h1", "h2"), dense.select("node").distinct(), "node"), "jaccard_need")
+    ids = need.select(F.col("id").alias(id_col)).distinct()
+    sets = whole_sets(only_ids(docs, ids, id_col), n, text).join(need, ["h1", "h2"]).select("node", "grams").dropDuplicates(["node"])
 
-        for batch in batches:
-            if batch.num_rows:
-                held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
-                begin = starts(held)
-                if len(begin) > 1:  # the last group may go on in the next batch
-                    yield from out(held.slice(0, begin[-1]), begin[:-1])
-                    held = held.slice(begin[-1])
-        if held is not None and held.num_rows:
-            yield from out(held, starts(held))
+    def each(t: pa.Table) -> pa.Table:
+        begin = _starts(t)
+        ends = np.r_[begin[1:], t.num_rows]
+        return pa.concat_tables([_forest(t.slice(a, b - a), num, den) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)])
 
-    return dealt.mapInArrow(tidied(run), "a long, b long, differ long").distinct()
+    return _by_groups(dense.join(sets, "node").select(*GROUPED, "grams"), each, "a long, b long")
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -569,7 +654,11 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str)
             break
         links = verify(written(_hub_pairs(lists, HUBS, HUBS * k, num, den), "jaccard_hub_pairs"))
         comps = connected_components(comps.toDF("a", "b").union(links), "a", "b")
-    nodes, left = reps.count(), _block_pairs(lists, reps, num, den)
+    nodes, open_pairs = reps.count(), written(_block_pairs(lists, reps, num, den), "jaccard_blocked")
+    left, dense = open_pairs.where("a is not null").select("a", "b", "differ").distinct(), open_pairs.where("a is null").select(*GROUPED)
+    if not dense.isEmpty():
+        links = written(_dense_links(dense, reps, docs, n, num, den, id_col, text), "jaccard_dense")
+        comps = connected_components(comps.toDF("a", "b").union(links), "a", "b")
     for k in range(MOST_ROUNDS):
         left = written(_still_apart(left, comps), "jaccard_left")
         many = left.count()
@@ -581,6 +670,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str)
         if whole:
             break
         left = left.join(chosen, ["a", "b"], "left_anti")
+    discard(open_pairs)
     discard(lists)
     discard(reps)
     return found, classes, comps
@@ -595,8 +685,9 @@ def ngram_jaccard(
     formed. In each list of nodes that share a prefix gram, all pair with a few
     hubs first; the links found contract the lists, and rounds with other hubs
     follow while they close many lists. What is left is compared across
-    components only, inside the tasks, and only pairs that may link leave them;
-    where they are many, each node's nearest is verified first, in rounds, then
+    components only, inside the tasks, and only pairs that may link leave them,
+    or, where a group holds many, the least links that join it, by whole sets;
+    where such pairs are many, each node's nearest is verified first, in rounds, then
     all that the links leave apart. So copies are not expanded into all pairs.
 
     Null or empty text: no n-grams, linked with nothing, its own component.
